@@ -25,7 +25,8 @@ def words(text: Column) -> Column:
 
 def shingles(all_words: Column, n: int) -> Column:
     """Each run of n words as one text; all words as one where there are fewer; none without words."""
-    many = F.transform(F.sequence(F.lit(1), F.size(all_words) - (n - 1)), lambda i: F.array_join(F.slice(all_words, i, n), " "))
+    # Single elements: slice() would copy the whole array for each shingle.
+    many = F.transform(F.sequence(F.lit(0), F.size(all_words) - n), lambda i: F.concat_ws(" ", *[F.get(all_words, i + k) for k in range(n)]))
     return F.when(F.size(all_words) >= n, many).when(F.size(all_words) > 0, F.array(F.array_join(all_words, " "))).otherwise(F.array().cast("array<string>"))
 
 
@@ -40,7 +41,8 @@ def containment(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: fl
     id, null or empty texts and items without words match nothing; an item of fewer than n words is one
     shingle, which only a text of exactly those words holds. Other columns are ignored.
     """
-    items = benchmark.where("item_id is not null").select("item_id", F.explode(shingles(words(whole_text()), n)).alias("shingle")).distinct()
+    items = benchmark.where("item_id is not null").select("item_id", words(whole_text()).alias("words"))
+    items = items.select("item_id", F.explode(shingles(F.col("words"), n)).alias("shingle")).distinct()
     items = items.withColumn("h", F.xxhash64("shingle"))
     items = items.join(items.groupBy("item_id").agg(F.count("*").alias("n_shingles")), "item_id")
     items = materialize(items, "items")
@@ -50,18 +52,18 @@ def containment(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: fl
     ranked = items.groupBy("item_id", "n_shingles").agg(F.sort_array(F.collect_set("h")).alias("hs"))
     k = F.floor(F.lit(1 - threshold + 1e-9) * upper).cast("int") + 1
     sketch = ranked.select("item_id", "n_shingles", upper.cast("int").alias("size_class"), F.explode(F.slice("hs", F.lit(1), F.least(k, F.size("hs")))).alias("h"))
-    by_hash = sketch.groupBy("h").agg(F.min("size_class").alias("smallest"))
+    by_hash = sketch.select("h").distinct()
 
     own = docs.where("doc_id is not null").select("doc_id", words(whole_text()).alias("words"))
     hashes = F.transform(shingles(F.col("words"), n), lambda s: F.xxhash64(s))
-    # A document smaller than what an item's partition asks for cannot hold the item's share, unless rows share its id.
     hits = own.select("doc_id", F.explode(F.array_distinct(hashes)).alias("h")).join(sized(by_hash, n_items), "h")
     pairs = hits.select("doc_id", "h").join(sized(sketch.select("h", "item_id"), n_items), "h").select("doc_id", "item_id").distinct()
     pairs = materialize(pairs, "candidates")
 
     # Exact: whole shingle texts of the documents found, against the items they were found with.
     suspects = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    exact = suspects.select("doc_id", F.explode(F.array_distinct(shingles(words(whole_text()), n))).alias("shingle"))
+    exact = suspects.select("doc_id", words(whole_text()).alias("words"))
+    exact = exact.select("doc_id", F.explode(F.array_distinct(shingles(F.col("words"), n))).alias("shingle"))
     exact = exact.join(sized(items.select("shingle", "item_id", "n_shingles"), n_items), "shingle").select("doc_id", "item_id", "n_shingles", "shingle").distinct()
     shared = exact.join(pairs, ["doc_id", "item_id"]).groupBy("doc_id", "item_id", "n_shingles").agg(F.count("*").alias("n_shared"))
     share = F.col("n_shared") / F.col("n_shingles")
