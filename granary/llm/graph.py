@@ -17,9 +17,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = materialize(edges, "edges"), None
-    while True:
+    while not edges.isEmpty():
         ways = edges.union(edges.select("b", "a"))
-        least = ways.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = ways.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))

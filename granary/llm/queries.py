@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, jaccard, mixing, ogg, suffixes, token_counts, token_files, toxicity
+from granary.llm import decontaminate, fuzzy_lines, jaccard, mixing, ogg, suffix_tree, suffixes, token_counts, token_files, toxicity
 from granary.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -41,6 +45,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.drop_similar_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
