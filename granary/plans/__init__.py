@@ -1,0 +1,3 @@
+"""Queries over the given tables; importing this package registers them."""
+
+from granary.plans import budget, rollups  # noqa: F401
