@@ -34,10 +34,11 @@ class ChunkStore:
         total = own.agg(F.sum(F.octet_length("bytes").cast("long"))).first()[0] or 0
         parts = max(1, own.rdd.getNumPartitions())
         each = max(1, min(-(-total // parts // CHUNK_BYTES), MOST_CHUNKS // parts))
+        self.chunks = min(MOST_CHUNKS, parts * int(each))
         self.buckets = int(max(12, -(-total // BUCKET_BYTES)))
         chunk = F.spark_partition_id() * F.lit(int(each)) + F.pmod(F.xxhash64("doc_id"), F.lit(int(each))).cast("int")
         self.name = f"granary_chunks_{uuid.uuid4().hex}"
-        own.withColumn("chunk", chunk).write.bucketBy(min(MOST_CHUNKS, parts * int(each)), "chunk").option("compression", "zstd").saveAsTable(self.name)
+        own.withColumn("chunk", chunk).write.bucketBy(self.chunks, "chunk").option("compression", "zstd").saveAsTable(self.name)
 
     @cached_property
     def table(self) -> DataFrame:

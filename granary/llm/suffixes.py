@@ -3,16 +3,16 @@
 Every string of SPAN bytes has an anchor: its KEY-byte piece of smallest hash. A run of strings with one
 anchor is one entry, so suffixes are kept at anchors only, about one in thirteen bytes. Chunks first ask
 which anchor pieces occur in other documents (see chunks); entries whose piece does not are done. The
-rest are suffixes dealt by sampled splitters into ranges of their leading bytes, by Spark's range
-partitioning. Each range sorts its suffixes by multikey quicksort and compares neighbours, so each
-string's smallest document is known. Pieces of very many documents are dealt by whole strings instead,
-also splitting one string's entries over ranges; these are compared across the ranges' boundaries.
+rest are suffixes dealt by sampled splitters into ranges of their leading bytes. Each range sorts its
+suffixes by multikey quicksort and compares neighbours, so each string's smallest document is known.
+Pieces of very many documents are cut into whole strings, whose entries may lie in several buckets of a
+range; what each bucket finds of such a string is compared across the buckets' boundaries.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,10 +98,6 @@ class Entries:
         self.count = np.diff(np.append(cut, len(start)))
         self.row, self.key = rows[doc[start[cut]]], piece[self.anchor]
 
-    def text(self, k: int) -> bytes:
-        a = self.first[k]
-        return self.data[a : a + self.count[k] + SPAN - 1].tobytes()
-
 
 def _doc_ids(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     null = np.array([v is None for v in t.column("doc_id").to_pylist()], bool)
@@ -129,46 +125,98 @@ def _entries(t: pa.Table) -> Iterator[tuple[Entries, np.ndarray]]:
         yield Entries(rows, data, offsets), null
 
 
-def _contexts(t: pa.Table, told: pa.Table, hot: int) -> tuple[dict, list]:
-    """Distinct entry texts of a chunk, with (smallest doc_id, number of strings, anchor's place, hot), and each batch's (entries, row number, entry, text keys)."""
-    ids, _ = _doc_ids(t)
-    texts: dict[tuple, int] = {}
-    uses = []
-    for e, pick, docs in _shared(t, told):
-        own = []
-        for k, many in zip(pick.tolist(), (docs > hot).tolist()):
-            doc = int(ids[e.row[k]])
-            whole = e.text(k)
-            if many:
-                names = [(whole[i : i + SPAN], 0, 1) for i in range(int(e.count[k]))]
-            else:
-                names = [(whole, int(e.anchor[k] - e.first[k]), 0)]
-            for name in names:
-                texts[name] = min(doc, texts.get(name, doc))
-            own.append((k, names))
-        uses.append((e, own))
-    return texts, uses
-
-
-SUFFIX = "chunk int, rid int, key binary, part int, suffix binary, doc long"
+def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The byte ranges as one binary array."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    index = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[index]))])
+
+
+class Contexts:
+    """The distinct texts of a chunk's shared entries, in the order of their hashes.
+
+    name: hash of each text and its anchor's place; doc: the smallest document that has it; count: its
+    strings of SPAN bytes; uses: by batch the entries (string, document, number of the text).
+    Entries of hot pieces are cut into their single strings, with the anchor's place left out.
+    """
+
+    def __init__(self, t: pa.Table, told: pa.Table, hot: int, with_texts: bool):
+        ids, _ = _doc_ids(t)
+        names, docs, counts, hots, keys, texts, self.uses = [], [], [], [], [], [], []
+        for e, pick, held in _shared(t, told):
+            many = held > hot
+            cold = pick[~many]
+            first, count, anchor, doc = e.first[cold], e.count[cold], e.anchor[cold], ids[e.row[cold]]
+            single = np.zeros(len(cold), bool)
+            if many.any():
+                own = pick[many]
+                step = np.arange(e.count[own].sum()) - np.repeat(np.cumsum(e.count[own]) - e.count[own], e.count[own])
+                at = np.repeat(e.first[own], e.count[own]) + step
+                first, anchor = np.concatenate([first, at]), np.concatenate([anchor, at])
+                count = np.concatenate([count, np.ones(len(at), np.int64)])
+                doc = np.concatenate([doc, np.repeat(ids[e.row[own]], e.count[own])])
+                single = np.concatenate([single, np.ones(len(at), bool)])
+            ranges = hashes.Ranges(e.data)
+            size = count + SPAN - 1
+            name = hashes.mix(ranges.hash(first, first + size) + (anchor - first).astype(np.uint64) * np.uint64(2) + single.astype(np.uint64))
+            self.uses.append((first, count, doc, name))
+            if not len(name):
+                continue
+            order = np.lexsort((doc, name))
+            lead = order[np.diff(name[order], prepend=~name[order[0]]) != 0]
+            names.append(name[lead])
+            docs.append(doc[lead])
+            counts.append(count[lead])
+            hots.append(single[lead])
+            if with_texts:
+                texts.append(gather(e.data, first[lead], size[lead]))
+                keys.append(gather(e.data, np.where(single[lead], first[lead], anchor[lead]), np.where(single[lead], SPAN, KEY)))
+        if names:
+            name, doc = np.concatenate(names), np.concatenate(docs)
+            order = np.lexsort((doc, name))
+            lead = order[np.diff(name[order], prepend=~name[order[0]]) != 0]
+            self.name, self.doc = name[lead], doc[lead]
+            self.count, self.hot = np.concatenate(counts)[lead], np.concatenate(hots)[lead]
+            if with_texts:
+                self.text, self.key = pa.concat_arrays(texts).take(pa.array(lead)), pa.concat_arrays(keys).take(pa.array(lead))
+        else:
+            self.name, self.doc, self.count, self.hot = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+            self.text = self.key = pa.array([], pa.binary())
+
+
+SUFFIX = "chunk int, rid int, bucket int, whole boolean, suffix binary, doc long"
 FOUND = "chunk int, told binary, edge binary, edge_doc long, rid int"
+FOUND_SCHEMA = pa.schema([("chunk", pa.int32()), ("told", pa.binary()), ("edge", pa.binary()), ("edge_doc", pa.int64()), ("rid", pa.int32())])
+#: Sampled keys for splitters, and their length.
+SAMPLE, LEADING = 200_000, 16
+#: Whole strings of hot pieces are dealt to so many buckets of one range.
+SALT = 16
+
 
+def range_of(keys: pa.Array, splitters: list[bytes]) -> np.ndarray:
+    """The range of each key's leading bytes: how many splitters it is not below."""
+    kind = f"S{LEADING}"
+    return np.searchsorted(np.array(splitters, kind), np.array([k[:LEADING] for k in keys.to_pylist()], kind), "right")
 
-def _sort_range(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts one range's suffixes; tells each chunk the strings that a smaller document holds."""
-    whole = [p for p in parts if p.num_rows]
-    if not whole:
-        return
-    t = pa.Table.from_batches(whole)
-    texts = t.column("suffix").to_pylist()
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    size = np.array([len(x) for x in texts])
-    base = np.cumsum(size) - size
-    count = size - SPAN + 1
+
+def _sort_bucket(t: pa.Table) -> pa.Table:
+    """Sorts one bucket's suffixes and compares neighbours; tells each chunk the strings that a smaller document holds.
+
+    Whole strings of hot pieces may go on in other buckets: what is found of these is compared across them.
+    """
+    coded = t.column("suffix").combine_chunks().dictionary_encode()
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+    text, texts = coded.indices.to_numpy(), coded.dictionary
+    row_doc = t.column("doc").to_numpy()
+    doc = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(doc, text, row_doc)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    base = offsets[:-1] - offsets[0]
+    count = np.diff(offsets) - SPAN + 1
+    starts = np.cumsum(count) - count
     owner = np.repeat(np.arange(len(texts)), count)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    at = base[owner] + place
-    doc = t.column("doc").to_numpy()
+    at = base[owner] + np.arange(len(owner)) - starts[owner]
     words = eight_byte_words(data)
     order = multikey_quicksort(words, at)
     new = np.zeros(len(order), bool)
@@ -176,29 +224,25 @@ def _sort_range(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for w in _WORDS:
         value = words[at[order] + w]
         new[1:] |= value[1:] != value[:-1]
-    run = np.cumsum(new) - 1
-    least = np.minimum.reduceat(doc[owner[order]], np.flatnonzero(new))[run]
+    least = np.minimum.reduceat(doc[owner[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
     found = np.empty(len(order), np.int64)
     found[order] = least
-    part = t.column("part").to_numpy()
     chunk, rid = t.column("chunk").to_numpy(), t.column("rid").to_numpy()
-    schema = pa.schema([("chunk", pa.int32()), ("told", pa.binary()), ("edge", pa.binary()), ("edge_doc", pa.int64()), ("rid", pa.int32())])
-
-    # Whole strings at a boundary may go on in the next range: they are told from all ranges' smallest documents.
-    keys = t.column("key").to_pylist()
-    hot = np.flatnonzero(part > 0)
-    ends = {min(keys[k] for k in hot), max(keys[k] for k in hot)} if len(hot) else set()
-    edge = np.array([k for k in hot if keys[k] in ends], np.int64)
-    if len(edge):
-        at_edge = (np.cumsum(count) - count)[edge]
-        yield pa.RecordBatch.from_arrays([pa.array(chunk[edge], pa.int32()), pa.nulls(len(edge), pa.binary()), pa.array([keys[k] for k in edge], pa.binary()), pa.array(found[at_edge], pa.int64()), pa.array(rid[edge], pa.int32())], schema=schema)
-    starts = np.cumsum(count) - count
-    changed = np.minimum.reduceat(found, starts) < doc
-    changed[edge] = False
-    for c in np.unique(chunk[changed]):
-        own = np.flatnonzero(changed & (chunk == c))
-        values = np.concatenate([found[starts[k] : starts[k] + count[k]] for k in own])
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([pack(rid[own].astype(np.uint32), count[own].astype(np.uint32), values)]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], schema=schema)
+    whole = t.column("whole").to_numpy(zero_copy_only=False)
+    out = []
+    if whole.any():
+        own = np.flatnonzero(whole)
+        out.append(pa.Table.from_arrays([pa.array(chunk[own], pa.int32()), pa.nulls(len(own), pa.binary()), t.column("suffix").take(pa.array(own)), pa.array(found[starts[text[own]]], pa.int64()), pa.array(rid[own], pa.int32())], schema=FOUND_SCHEMA))
+    changed = np.flatnonzero((np.minimum.reduceat(found, starts)[text] < row_doc) & ~whole)
+    changed = changed[np.argsort(chunk[changed], kind="stable")]
+    cut = np.flatnonzero(np.diff(chunk[changed], prepend=-1))
+    for a, b in zip(cut, np.append(cut[1:], len(changed))):
+        rows = changed[a:b]
+        n = count[text[rows]]
+        index = np.arange(n.sum()) + np.repeat(starts[text[rows]] - (np.cumsum(n) - n), n)
+        packed = pack(rid[rows].astype(np.uint32), found[index])
+        out.append(pa.Table.from_arrays([pa.array([chunk[rows[0]]], pa.int32()), pa.array([packed], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], schema=FOUND_SCHEMA))
+    return pa.concat_tables(out) if out else FOUND_SCHEMA.empty_table()
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -230,42 +274,48 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, hot: int = HOT) ->
         return ask(chunk, *np.unique(key[first], return_counts=True), buckets)
 
     totals = materialize(answer_totals(store.map(question, ASKED)), "pieces")
+    per_chunk = max(4, min(40, SAMPLE // store.chunks))
+
+    def sample(chunk: int, t: pa.Table) -> pa.Table:
+        """Leading bytes at random places of a chunk, the same in each run."""
+        joined = b"".join(t.column("bytes").to_pylist())
+        places = np.random.default_rng(chunk).integers(0, max(1, len(joined)), per_chunk)
+        return pa.table({"key": pa.array([joined[p : p + LEADING] for p in places], pa.binary())})
+
+    # At most SAMPLE keys, or four for each of at most MOST_CHUNKS chunks.
+    keys = sorted(bytes(r.key) for r in store.map(sample, "key binary").collect())
+    splitters = sorted(set(keys[:: max(1, len(keys) // (4 * buckets))][1:]))
 
     def suffixes(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
-        texts, _ = _contexts(t, told, hot)
-        names = sorted(texts)
-        key = [text if many else text[at : at + KEY] for text, at, many in names]
-        return pa.table([pa.array([chunk] * len(names), pa.int32()), pa.array(range(len(names)), pa.int32()), pa.array(key, pa.binary()), pa.array([(chunk + 1) * many for _, _, many in names], pa.int32()), pa.array([x[0] for x in names], pa.binary()), pa.array([texts[x] for x in names], pa.int64())], names=["chunk", "rid", "key", "part", "suffix", "doc"])
+        c = Contexts(t, told, hot, True)
+        bucket = range_of(c.key, splitters)
+        bucket = np.where(c.hot, (bucket + 1) * SALT + chunk % SALT + len(splitters), bucket)
+        return pa.table([pa.array(np.full(len(c.name), chunk, np.int32)), pa.array(np.arange(len(c.name), dtype=np.int32)), pa.array(bucket.astype(np.int32)), pa.array(c.hot), c.text, pa.array(c.doc)], names=["chunk", "rid", "bucket", "whole", "suffix", "doc"])
 
-    dealt = store.meet(totals, suffixes, SUFFIX).repartitionByRange(4 * buckets, "key", "part")
-    found = materialize(dealt.mapInArrow(_sort_range, FOUND), "repeats")
+    dealt = store.meet(totals, suffixes, SUFFIX)
+    found = materialize(dealt.groupBy("bucket").applyInArrow(_sort_bucket, FOUND), "repeats")
     edges = found.where("edge is not null")
     across = edges.join(edges.groupBy("edge").agg(F.min("edge_doc").alias("least")), "edge").select("chunk", "rid", "least")
     told = totals.unionByName(found.where("told is not null").select("chunk", "told"), allowMissingColumns=True).unionByName(across, allowMissingColumns=True)
 
     def cut(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
-        ids, _ = _doc_ids(t)
-        texts, uses = _contexts(t, told.filter(told.column("bucket").is_valid()), hot)
-        names = sorted(texts)
-        least = {x: None for x in names}
+        c = Contexts(t, told.filter(told.column("bucket").is_valid()), hot, False)
+        starts = np.cumsum(c.count) - c.count
+        least = np.repeat(c.doc, c.count)
         for row in told.filter(told.column("told").is_valid()).column("told").to_pylist():
-            rid, count, values = unpack(row)
-            for k, a, n in zip(rid.tolist(), (np.cumsum(count, dtype=np.int64) - count).tolist(), count.tolist()):
-                least[names[k]] = values[a : a + n]
+            rid, values = unpack(row)
+            n = c.count[rid]
+            least[np.arange(n.sum()) + np.repeat(starts[rid] - (np.cumsum(n) - n), n)] = values
         edge = told.filter(told.column("rid").is_valid())
-        for k, v in zip(edge.column("rid").to_pylist(), edge.column("least").to_pylist()):
-            least[names[k]] = np.array([v])
+        if edge.num_rows:
+            least[starts[edge.column("rid").to_numpy()]] = edge.column("least").to_numpy()
         out = []
-        for (rows, data, offsets), (e, own) in zip(batches(t), uses):
+        for (rows, data, offsets), (first, count, doc, name) in zip(batches(t), c.uses):
             gone = np.zeros(len(data) + 1, np.int32)
-            for k, keys in own:
-                doc = ids[e.row[k]]
-                at = e.first[k]
-                for name in keys:
-                    values = least[name]
-                    smaller = np.full(len(name[0]) - SPAN + 1, texts[name] < doc) if values is None else np.asarray(values) < doc
-                    gone[at : at + len(smaller)] = smaller
-                    at += len(smaller)
+            if len(name):
+                step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                text = np.searchsorted(c.name, name)
+                gone[np.repeat(first, count) + step] = least[np.repeat(starts[text], count) + step] < np.repeat(doc, count)
             sums = np.cumsum(gone, dtype=np.int64)
             before = np.concatenate([np.zeros(SPAN, np.int64), sums])[: len(sums)]
             covered = (sums - before > 0)[: len(data)]
