@@ -6,9 +6,10 @@ shingles: two linked sets share one of them. Among the classes of one such shing
 pairs: its nodes hold OR-combined bitmaps of shingles and ranges of sizes, and pairs of nodes are dropped
 as soon as their largest possible overlap is too small. Whole sets then decide.
 
-The first round tries each class with one partner in a leaf and chains the leaves. The second traverses
-the trees for pairs of classes that no chain of links joins yet, so a large group of near copies does not
-come out as all its pairs, while no link between components is lost.
+The first rounds look at the trees of each class's most frequent routing shingles only, try each class
+with one partner of another component in its leaf and chain the leaves. The last traverses all trees for
+pairs of classes that no chain of links joins yet, so a large group of near copies does not come out as
+all its pairs, while no link between components is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from granary.llm.common import materialize
 from granary.llm.graph import components
 
 BITS, LEAF, FAN = 1024, 32, 8
+#: Rounds that chain, and how many of the most frequent routing shingles of a class they use (0: all).
+ROUNDS, CHAINED = 3, 0
 #: Shingles that more classes share are dealt in blocks of so many classes, each pair of blocks on its own.
 BLOCK = 4096
 
@@ -166,8 +169,8 @@ def _survivors(store: ChunkStore, told: DataFrame, n: int, percent: int) -> Data
 ROUTED = "token long, i int, j int, cls long, n int, lost int, sig binary"
 
 
-def _routes(survivors: DataFrame, block: int, diagonal: bool) -> DataFrame:
-    """A row for each class and routing shingle; for a frequent shingle one for each pair of blocks that the class's block is in."""
+def _routes(survivors: DataFrame, block: int, diagonal: bool, last: int = 0) -> DataFrame:
+    """A row for each class and routing shingle; for a frequent shingle one for each pair of blocks that the class's block is in. last: only so many of the most frequent."""
 
     def route(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
@@ -178,7 +181,7 @@ def _routes(survivors: DataFrame, block: int, diagonal: bool) -> DataFrame:
                 sig = np.zeros(BITS // 8, np.uint8)
                 np.bitwise_or.at(sig, bits // 8, (1 << (bits % 8)).astype(np.uint8))
                 lost = len(tokens) - len(bits)
-                for token, often in zip(np.frombuffer(row["prefix"], np.int64).tolist(), np.frombuffer(row["often"], np.uint32).tolist()):
+                for token, often in zip(np.frombuffer(row["prefix"], np.int64)[-last:].tolist(), np.frombuffer(row["often"], np.uint32)[-last:].tolist()):
                     blocks = -(-often // block)
                     own = row["cls"] % blocks
                     others = [own] if diagonal else range(blocks)
@@ -281,12 +284,22 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     survivors = materialize(_survivors(store, told, n, percent), "survivors")
     store.drop()
 
-    alone = _routes(survivors, block, True).withColumn("comp", F.col("cls"))
-    links = materialize(_verify(_candidates(alone, percent, True), survivors, percent), "links")
-    comps = components(links)
-    routed = _routes(survivors, block, False).join(comps, F.col("cls") == F.col("node"), "left")
-    routed = materialize(routed.withColumn("comp", F.coalesce("comp", "cls")).drop("node"), "routed")
-    more = materialize(_verify(_candidates(routed, percent, False), survivors, percent), "links")
+    def routed(comps: DataFrame | None, diagonal: bool, last: int) -> DataFrame:
+        rows = _routes(survivors, block, diagonal, last)
+        if comps is None:
+            return rows.withColumn("comp", F.col("cls"))
+        return rows.join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cls")).drop("node")
+
+    links = comps = None
+    for _ in range(ROUNDS):
+        dealt = materialize(routed(comps, True, CHAINED), "routed")
+        found = materialize(_verify(_candidates(dealt, percent, True), survivors, percent), "links")
+        links = found if links is None else links.union(found)
+        comps = components(links)
+        if found.isEmpty():
+            break
+    dealt = materialize(routed(comps, False, 0), "routed")
+    more = materialize(_verify(_candidates(dealt, percent, False), survivors, percent), "links")
     comps = components(links.union(more))
 
     of_class = classes.join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cls"))
