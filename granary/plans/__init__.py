@@ -1,3 +1,3 @@
 """Queries over the given tables; importing this package registers them."""
 
-from granary.plans import budget, history, rollups  # noqa: F401
+from granary.plans import budget, domain, history, rollups  # noqa: F401
