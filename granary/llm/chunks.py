@@ -95,8 +95,11 @@ def answers(told: pa.Table, column: str = "answer", index: int = 0) -> np.ndarra
     return np.concatenate([unpack(a)[index] for _, a in rows]) if rows else np.zeros(0, np.uint32)
 
 
-def batches(t: pa.Table, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """row numbers, joined bytes and offsets of a chunk's documents, about `most` bytes at a time; a longer document comes alone."""
+BATCH_BYTES = 2 << 20
+
+
+def batches(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """row numbers, joined bytes and offsets of a chunk's documents, about BATCH_BYTES at a time; a longer document comes alone."""
     column = t.column("bytes").combine_chunks() if t.num_rows else pa.array([], pa.binary())
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     if not len(column):
@@ -106,6 +109,6 @@ def batches(t: pa.Table, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.n
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES, "right")) - 1)
         yield np.arange(at, stop), data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at]
         at = stop

@@ -320,10 +320,10 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, hot: int = HOT) ->
             before = np.concatenate([np.zeros(SPAN, np.int64), sums])[: len(sums)]
             covered = (sums - before > 0)[: len(data)]
             for r, a, b in zip(rows, offsets[:-1], offsets[1:]):
-                c = covered[a:b]
-                kept = data[a:b][~c].tobytes() if b > a else b""
-                n_spans = int(np.count_nonzero(c[1:] & ~c[:-1]) + (len(c) and c[0]))
-                out.append((t.column("doc_id")[int(r)].as_py(), int(b - a), int(c.sum()), n_spans, hashlib.sha256(kept).hexdigest(), *[kept] * keep_text))
+                own = covered[a:b]
+                kept = data[a:b][~own].tobytes() if b > a else b""
+                n_spans = int(np.count_nonzero(own[1:] & ~own[:-1]) + (len(own) and own[0]))
+                out.append((t.column("doc_id")[int(r)].as_py(), int(b - a), int(own.sum()), n_spans, hashlib.sha256(kept).hexdigest(), *[kept] * keep_text))
         kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_text
         columns = list(zip(*out)) if out else [[]] * len(kinds)
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)

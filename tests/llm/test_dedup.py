@@ -41,6 +41,20 @@ def test_repeats_match_brute_force(spark, hot):
     assert got == brute.remove_repeats(docs)
 
 
+def test_chunks_of_many_batches(spark):
+    from granary.llm import chunks
+
+    docs = sample(9, 40)
+    joined = "".join(t or "" for _, t in docs).encode()
+    docs += [(1000 + i, joined[i * 9000 : i * 9000 + 30_000].decode(errors="ignore")) for i in range(12)]
+    docs += [(2000 + i, "".join(random.Random(i).choices("abc \n", k=700_000))) for i in range(6)]
+    got = {r.doc_id: tuple(r)[1:] for r in suffixes.remove_repeats(frame(spark, docs)).collect()}
+    small = [d for d in docs if d[0] < 2000]
+    want = brute.remove_repeats(small)
+    assert chunks.BATCH_BYTES < sum(len(t or "") for _, t in docs)
+    assert {d: got[d] for d in want} == want
+
+
 @pytest.mark.parametrize("n,percent,block", [(4, 85, 4096), (2, 50, 2), (5, 80, 3)])
 def test_components_match_brute_force(spark, n, percent, block):
     docs = sample(5)
