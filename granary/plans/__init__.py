@@ -1,3 +1,3 @@
 """Queries over the given tables; importing this package registers them."""
 
-from granary.plans import budget, checks, domain, history, rollups, streams  # noqa: F401
+from granary.plans import budget, checks, domain, history, picks, rollups, streams  # noqa: F401
