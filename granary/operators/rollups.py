@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from granary.functions.money import ratio, total
 
-REVENUE = F.col("Quantity") * F.col("NetPrice")
+def revenue() -> Column:
+    return F.col("Quantity") * F.col("NetPrice")
 
 
 def star(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
@@ -25,12 +26,12 @@ def with_default_key(left: DataFrame, right: DataFrame, on: str, key: str, defau
 
 def monthly_sales(sales: DataFrame) -> DataFrame:
     months = sales.groupBy(F.year("OrderDate").alias("Year"), F.month("OrderDate").alias("Month"))
-    return months.agg(F.count("*").alias("Lines"), F.countDistinct("OrderNumber").alias("Orders"), total(REVENUE).alias("Revenue"), ratio(F.sum(REVENUE), F.count("*")).alias("MeanLine"))
+    return months.agg(F.count("*").alias("Lines"), F.countDistinct("OrderNumber").alias("Orders"), total(revenue()).alias("Revenue"), ratio(F.sum(revenue()), F.count("*")).alias("MeanLine"))
 
 
 def yearly_sales(sales: DataFrame) -> DataFrame:
     years = sales.groupBy(F.year("OrderDate").alias("Year"))
-    return years.agg(F.count("*").alias("Lines"), F.countDistinct("OrderNumber").alias("Orders"), total(REVENUE).alias("Revenue"))
+    return years.agg(F.count("*").alias("Lines"), F.countDistinct("OrderNumber").alias("Orders"), total(revenue()).alias("Revenue"))
 
 
 def histogram_of_counts(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -130,7 +131,7 @@ def measures(star_rows: DataFrame, by: list[str] = (), date_role: str = "OrderDa
     cost = F.sum(F.col("Quantity") * F.col("UnitCost"))
     lag = F.datediff("DeliveryDate", "OrderDate")
     return rows.groupBy(*by).agg(
-        total(REVENUE).alias("SalesAmount"), cost.cast("double").alias("CostAmount"), (F.sum(REVENUE) - cost).cast("double").alias("ProfitAmount"),
+        total(revenue()).alias("SalesAmount"), cost.cast("double").alias("CostAmount"), (F.sum(revenue()) - cost).cast("double").alias("ProfitAmount"),
         F.count("*").alias("Transactions"), F.countDistinct("CustomerKey").alias("Customers"), F.sum(lag).alias("OrderVsDelivery"),
         F.sum(F.datediff("DeliveryDate", "DueDate")).alias("DueVsDelivery"), ratio(F.sum(lag), F.count("*")).alias("AvgDeliveryLag"),
     )
@@ -139,7 +140,7 @@ def measures(star_rows: DataFrame, by: list[str] = (), date_role: str = "OrderDa
 def matrix(star_rows: DataFrame, levels: list[str]) -> DataFrame:
     """Measures with subtotals; distinct customers are counted anew at each level."""
     cost = F.sum(F.col("Quantity") * F.col("UnitCost"))
-    return star_rows.rollup(*levels).agg(F.grouping_id().cast("long").alias("Level"), total(REVENUE).alias("SalesAmount"), cost.cast("double").alias("CostAmount"), (F.sum(REVENUE) - cost).cast("double").alias("ProfitAmount"), F.count("*").alias("Transactions"), F.countDistinct("CustomerKey").alias("Customers"))
+    return star_rows.rollup(*levels).agg(F.grouping_id().cast("long").alias("Level"), total(revenue()).alias("SalesAmount"), cost.cast("double").alias("CostAmount"), (F.sum(revenue()) - cost).cast("double").alias("ProfitAmount"), F.count("*").alias("Transactions"), F.countDistinct("CustomerKey").alias("Customers"))
 
 
 def new_customers(sales: DataFrame, by: list[str]) -> DataFrame:
@@ -153,7 +154,7 @@ def assigned_sales(sales: DataFrame, assignments: DataFrame, by: list[str]) -> D
     """Sales credited to the employee only from the first start to the last end of the assignments to that store."""
     window = assignments.groupBy("StoreKey", "EmployeeKey").agg(F.min("StartDate").alias("s"), F.max("EndDate").alias("e"))
     credited = sales.join(window, ["StoreKey", "EmployeeKey"]).where("OrderDate between s and e")
-    return credited.groupBy(*by).agg(total(REVENUE).alias("SalesAmount"), F.count("*").alias("Lines"))
+    return credited.groupBy(*by).agg(total(revenue()).alias("SalesAmount"), F.count("*").alias("Lines"))
 
 
 def digest(df: DataFrame) -> DataFrame:

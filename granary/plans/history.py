@@ -255,7 +255,7 @@ def m_employee_sales_by_assignment(spark, sf):
 def m_assignment_table(spark, sf):
     lines = S.sales(spark, sf).withColumn("EmployeeKey", F.col("ProductKey") % 50)
     rows = I.in_interval(lines, "OrderDate", assignments(spark, sf), "StartDate", "EndDate", ["StoreKey", "EmployeeKey"])
-    return rows.groupBy("StoreKey", "EmployeeKey", "StartDate", "EndDate").agg(R.total(R.REVENUE).alias("SalesAmount"), F.count("*").alias("Lines"))
+    return rows.groupBy("StoreKey", "EmployeeKey", "StartDate", "EndDate").agg(R.total(R.revenue()).alias("SalesAmount"), F.count("*").alias("Lines"))
 
 
 MONTHS = ", months AS (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH))::DATE AS MonthStart) "

@@ -235,7 +235,7 @@ def monthly_cov(spark, sf):
 
 @q("share_of_total", f"SELECT StoreKey, sum{REV}::DOUBLE AS Amount, sum{REV}::DOUBLE / (SELECT sum{REV}::DOUBLE FROM sales) AS Share FROM sales GROUP BY StoreKey")
 def share_of_total(spark, sf):
-    return R.share_of_total(S.sales(spark, sf), "StoreKey", R.REVENUE)
+    return R.share_of_total(S.sales(spark, sf), "StoreKey", R.revenue())
 
 
 @q("channel_store_mix", "SELECT StoreType, ChannelKey, count(*) AS \"Rows\", count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY StoreType) AS Share FROM sales JOIN stores USING (StoreKey) GROUP BY 1, 2")
@@ -286,7 +286,7 @@ def top_country_pairs(spark, sf):
 @q("join_star", f"SELECT Region, Category, Segment, sum{REV}::DOUBLE AS Revenue FROM sales JOIN (SELECT StoreKey, Region FROM stores) USING (StoreKey) JOIN (SELECT ProductKey, Category FROM products) USING (ProductKey) JOIN (SELECT CustomerKey, Segment FROM customers) USING (CustomerKey) GROUP BY 1, 2, 3")
 def join_star(spark, sf):
     dims = {"StoreKey": S.stores(spark, sf).select("StoreKey", "Region"), "ProductKey": S.products(spark, sf).select("ProductKey", "Category"), "CustomerKey": S.customers(spark, sf).select("CustomerKey", "Segment")}
-    return R.star(S.sales(spark, sf), dims).groupBy("Region", "Category", "Segment").agg(R.total(R.REVENUE).alias("Revenue"))
+    return R.star(S.sales(spark, sf), dims).groupBy("Region", "Category", "Segment").agg(R.total(R.revenue()).alias("Revenue"))
 
 
 @q("join_currency_fallback", "SELECT GeographyKey, Country, coalesce(CASE WHEN GeographyKey < 20 THEN GeographyKey + 100 END, 1)::INTEGER AS CurrencyKey FROM geography")
