@@ -128,12 +128,31 @@ def calibrate(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
     return max(beta[0], 0.0) / scale, beta[1]
 
 
+def prior(share: dict[int, float]) -> bytes:
+    """The model that gives every text the share of class 1."""
+    return pack(np.append(np.zeros(BUCKETS), np.log(share[1] / share[0])))
+
+
+def is_fitted(model: bytes) -> bool:
+    """Whether the model tells texts apart at all."""
+    return bool(unpack(model)[0][:-1].any())
+
+
 def fit_model(texts: list[str], labels: np.ndarray, share: dict[int, float]) -> bytes:
-    """Trains on four fifths of the sample; the last fifth sets slope and offset. share: each class's share of all labelled rows."""
+    """Trains on four fifths of the sample; the last fifth sets slope and offset. share: each class's share of all labelled rows, none of them 0.
+
+    Where either part lacks a class, all of the sample trains and the offset moves from the odds that
+    training saw to those of `share`. A sample of one class gives the prior alone.
+    """
     aside = np.array([zlib.crc32(t.encode()) % 5 == 0 for t in texts], bool)
     y = labels.astype(float)
+    if len(set(y)) < 2:
+        return prior(share)
     if len(set(y[~aside])) < 2 or len(set(y[aside])) < 2:
-        return pack(np.zeros(BUCKETS + 1))
+        t = Trainer(texts, labels)
+        t.fit()
+        trained = np.sqrt(max(1.0, (y == 0).sum() / y.sum())) * y.sum() / (y == 0).sum()
+        return t.model(1.0, t.bias[1] - t.bias[0] + np.log(share[1] / share[0]) - np.log(trained))
     t = Trainer([x for x, a in zip(texts, aside) if not a], labels[~aside])
     t.fit()
     scorer = Scorer(t.model(1.0, 0.0))
@@ -149,11 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> bytes:
     The sample is the rows of smallest hashed id, the same for any partitioning; it bounds what one task
     reads to fit, and it is the only bound: scoring covers all rows. A doc_id with several labels takes
     the largest; null labels, ids without a text and rows of fold 0 are left out. With no labels of one
-    class every score is one half.
+    class every score is the share of toxic labels, each class counted once more: one half with no labels.
     """
     own = labels.where(F.col("toxic").isNotNull() & (fold() != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     counted = {int(r.toxic): float(r["count"]) for r in own.groupBy("toxic").count().collect()}
-    share = {c: counted.get(c, 0.0) / max(1.0, sum(counted.values())) for c in (0, 1)}
+    rest = 0.0 if len(counted) == 2 else 1.0
+    share = {c: (counted.get(c, 0.0) + rest) / (sum(counted.values()) + 2 * rest) for c in (0, 1)}
     order = F.xxhash64("doc_id")
     picked = own.where("toxic = 1").orderBy(order, "doc_id").limit(most).unionByName(own.where("toxic = 0").orderBy(order, "doc_id").limit(most))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -166,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> bytes:
             yield pd.DataFrame({"model": [fit_model(all_rows.text.tolist(), all_rows.toxic.to_numpy(), share)]})
 
     found = sample.repartition(1).mapInPandas(fit, "model binary").collect()
-    return bytes(found[0].model) if found else pack(np.zeros(BUCKETS + 1))
+    return bytes(found[0].model) if found else prior(share)
 
 
 class Scorer:
@@ -214,13 +234,18 @@ def score_toxicity(docs: DataFrame, model: bytes, text: str = "text") -> DataFra
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of `docs`."""
-    scored = score_toxicity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
-    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    """doc_id, held_out, score, predicted for each row of `docs`. A model that tells no texts apart predicts 0 for all."""
+    model = train(docs, labels)
+    scored = score_toxicity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    toxic = (F.col("score") >= 0.5) & F.lit(is_fitted(model))
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", toxic.cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose text scores below one half."""
-    scored = score_toxicity(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, train(docs, labels))
+    """The rows of `docs`, all columns, whose text scores below one half; all rows where the model tells no texts apart."""
+    model = train(docs, labels)
+    if not is_fitted(model):
+        return docs
+    scored = score_toxicity(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model)
     kept = scored.where("score < 0.5").drop("score")
     return kept.withColumnRenamed("_score", "score") if "_score" in kept.columns else kept

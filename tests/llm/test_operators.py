@@ -129,6 +129,27 @@ def test_toxicity_learns_and_keeps_clean_texts(spark):
     assert {r.score for r in toxicity.toxicity(docs, lab.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_keeps_documents_where_a_class_is_missing(spark):
+    texts = [f"plain words number {i} and more" + (" grumble" if i < 12 else "") for i in range(60)]
+    docs = frame(spark, texts)
+    whole = [(i, int(i < 12)) for i in range(60)]
+    for labels in ([], [x for x in whole if not x[1]], [x for x in whole if x[1]]):
+        lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+        assert toxicity.drop_toxic(docs, lab).count() == 60
+        rows = toxicity.toxicity(docs, lab).collect()
+        assert {r.predicted for r in rows} == {0} and len({r.score for r in rows}) == 1
+        if labels and not labels[0][1]:
+            assert rows[0].score < 0.5
+
+
+def test_toxicity_learns_where_the_part_set_aside_lacks_a_class():
+    texts = [f"plain words number {i} and more" + (" grumble" if i % 8 == 0 else "") for i in range(200)]
+    texts = [t for t in texts if "grumble" not in t or zlib.crc32(t.encode()) % 5]
+    labels = np.array([int("grumble" in t) for t in texts])
+    scores = toxicity.Scorer(toxicity.fit_model(texts, labels, {0: 1 - labels.mean(), 1: labels.mean()})).scores(texts)
+    assert scores[labels == 1].min() > scores[labels == 0].max() and (scores[labels == 0] < 0.5).all()
+
+
 def test_mixture_follows_the_inverse_distribution(spark):
     docs = spark.range(4000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'a' when id % 3 = 1 then 'b' end as source", "repeat('x', cast(id % 7 as int)) as text")
     out = mixing.mix_sources(docs, {"a": 3.0, "b": 1.0}, scale=2.0).persist()
