@@ -11,6 +11,8 @@ import os
 import re
 
 PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
+#: Strings with an id of their own, which the library matches before it lower-cases.
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 #: A comma or full stop behind other punctuation belongs to one pre-token with it.
 JOINED = re.compile(r"(?:[^\w\s]|_)[,.] ")
 MEMO = 700_000
@@ -31,13 +33,16 @@ def load(path: str):
 
 
 class Chunks:
-    """Space-delimited strings of texts. A text of Latin-1 characters is lower-cased first, as the vocabulary's normaliser does it there, so that fewer different strings come up."""
+    """Space-delimited strings of texts. A text of Latin-1 characters is lower-cased first, as the vocabulary's normaliser does it there, so that fewer different strings come up; one that would come to hold a special string by it is not."""
 
     @staticmethod
     def split(text: str) -> list[str]:
         try:
             text.encode("latin-1")
-            text = text.lower().replace("\n", " ")
+            low = text.lower()
+            if "<|" in low and any(low.count(s) != text.count(s) for s in SPECIAL):
+                return text.replace("\n", " ").split(" ")
+            text = low.replace("\n", " ")
             if not JOINED.search(text):
                 text = text.replace(", ", " , ").replace(". ", " . ")
         except UnicodeEncodeError:

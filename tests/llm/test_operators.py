@@ -72,6 +72,16 @@ def test_counts_equal_the_library(spark, library):
         assert got[i] == (len((t or "").encode()), n, n > 2048)
 
 
+def test_special_strings_of_other_case_are_plain_text(spark, library):
+    texts = ["<|ENDOFTEXT|>", "A <|EndOfText|>, b. <|startoftext|> <|STARTOFTEXT|>x", "<|endoftext|> É <|endofTEXT|>\n_, Z", "<|x <|endoftext|>"]
+    docs = frame(spark, texts)
+    want = [ids(library, t) for t in texts]
+    assert want[0] == [27, 347, 40786, 4160, 91, 285]
+    assert [r.n_tokens for r in token_counts.token_counts(docs, vocabulary()).orderBy("doc_id").collect()] == [len(w) for w in want]
+    got = [r.ids_crc32 for r in token_files.token_files(docs, vocabulary()).orderBy("doc_id").collect()]
+    assert got == [zlib.crc32(array.array("I", [*w, token_files.END_ID]).tobytes()) for w in want]
+
+
 def test_media_round_trip_and_damage(spark):
     rows = {r.doc_id: r for r in ogg.media_columns(frame(spark, ODD), keep_media=True).collect()}
     for i, t in enumerate(ODD):
