@@ -3,7 +3,8 @@
 A word's vector is the mean of the vectors of its character n-grams and of itself, hashed into a fixed
 number of buckets; a passage's vector is the mean over its words; a linear softmax gives the class. Both
 layers are trained together. Training starts on whole texts and goes on with each text's most toxic
-passage of SPAN words, since a few words decide: a text's score is that of its most toxic passage.
+passage of SPAN words, since a few words decide: a text's score is that of its most toxic passage. Every
+run of SPAN words is a passage.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from granary.llm.common import fold, pack, unpack, whole_text
 WORD = re.compile(r"[^\W_]+")
 BUCKETS, DIM, SPAN = 1 << 18, 16, 12
 SHORTEST, LONGEST = 4, 6
+#: Longer runs of letters, as in texts without spaces, are read in windows of so many letters.
+WINDOW = 40
 #: Buckets that fewer training texts have keep a zero vector, so that no text is learnt by its own rare words.
 FEWEST = 5
 #: Step lengths of embeddings, output layer and bias.
@@ -30,25 +33,28 @@ RATES = (4.0, 0.1, 0.1)
 MEMO = 500_000
 
 
+def text_words(text: str) -> list[str]:
+    """Lower-cased runs of letters and digits; a run of more than WINDOW as windows that overlap, so that each n-gram is whole in one."""
+    found = WORD.findall(text.lower())
+    if max(map(len, found), default=0) <= WINDOW:
+        return found
+    step = WINDOW - LONGEST + 1
+    return [w[i : i + WINDOW] for w in found for i in range(0, max(1, len(w) - LONGEST + 1), step)]
+
+
 def subwords(word: str) -> list[int]:
-    """Buckets of the marked word and of its n-grams; only the first 40 letters of a longer word are cut into n-grams."""
+    """Buckets of the marked word and of its n-grams."""
     marked = f"<{word}>"
-    own = marked[:42]
-    grams = {own[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(own) - n + 1)}
+    grams = {marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)}
     return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams | {marked})]
 
 
-def spans(n: int) -> np.ndarray:
-    """Starts of a text's passages: every SPAN words, with a short rest joined to the passage before it."""
-    return np.arange(max(1, n // SPAN)) * SPAN
-
-
 class Trainer:
     """Full-batch steps on both layers, each of a set length, so that what many texts agree on grows and what single texts have does not. The gradient of a word's vector is a multiple of one direction, so counts by bucket suffice."""
 
     def __init__(self, texts: list[str], labels: np.ndarray, seed: int = 7):
         words: dict[str, int] = {}
-        docs = [np.array([words.setdefault(w, len(words)) for w in WORD.findall(t.lower())], np.int64) for t in texts]
+        docs = [np.array([words.setdefault(w, len(words)) for w in text_words(t)], np.int64) for t in texts]
         self.sizes = np.array([len(d) for d in docs])
         self.tokens = np.concatenate(docs) if docs else np.zeros(0, np.int64)
         subs = [subwords(w) for w in words]
@@ -65,9 +71,9 @@ class Trainer:
         self.n_words = len(words)
         full = np.flatnonzero(self.sizes)
         base = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]) if len(docs) else np.zeros(0, np.int64)
-        parts = [(d, base[d] + spans(self.sizes[d])) for d in full]
-        self.seg_doc = np.concatenate([np.full(len(s), d) for d, s in parts]) if parts else np.zeros(0, np.int64)
-        self.seg_at = np.concatenate([s for _, s in parts]) if parts else np.zeros(0, np.int64)
+        n_own = np.maximum(self.sizes[full] - SPAN + 1, 1)
+        self.seg_doc = np.repeat(full, n_own)
+        self.seg_at = np.arange(n_own.sum()) + np.repeat(base[full] - np.cumsum(n_own) + n_own, n_own)
         rng = np.random.default_rng(seed)
         self.emb = rng.normal(0, 0.01, (BUCKETS, DIM)) * self.learnt[:, None]
         self.out = rng.normal(0, 0.3, (2, DIM))
@@ -76,9 +82,8 @@ class Trainer:
     def fit(self, whole: int = 30, picked: int = 100) -> None:
         if not self.n_words or len(set(self.y)) < 2:
             return
-        seg_len = np.diff(np.append(self.seg_at, len(self.tokens)))
-        seg_of_token = np.repeat(np.arange(len(self.seg_at)), seg_len)
-        doc_of_token = self.seg_doc[seg_of_token]
+        seg_len = np.minimum(self.sizes, SPAN)[self.seg_doc]
+        doc_of_token = np.repeat(np.arange(len(self.sizes)), self.sizes)
         first = np.flatnonzero(np.diff(self.seg_doc, prepend=-1))
         full = self.seg_doc[first]
         weight = np.where(self.y > 0, np.sqrt(max(1.0, (self.y == 0).sum() / max(1, (self.y > 0).sum()))), 1.0)[full]
@@ -92,11 +97,14 @@ class Trainer:
                 used, share = slice(None), 1.0 / self.sizes[doc_of_token]
                 rows = np.searchsorted(full, doc_of_token)
             else:  # the mean over its most toxic passage
-                seg = np.add.reduceat(worth[self.tokens], self.seg_at) / seg_len
-                top = np.lexsort((seg, self.seg_doc))[np.append(first[1:], len(self.seg_doc)) - 1]
-                used = np.flatnonzero(np.isin(seg_of_token, top))
-                share = 1.0 / seg_len[seg_of_token[used]]
-                rows = np.searchsorted(full, doc_of_token[used])
+                sums = np.concatenate([[0.0], np.cumsum(worth[self.tokens])])
+                seg = (sums[self.seg_at + seg_len] - sums[self.seg_at]) / seg_len
+                best = np.flatnonzero(seg == np.repeat(np.maximum.reduceat(seg, first), np.diff(np.append(first, len(seg)))))
+                top = best[np.flatnonzero(np.diff(self.seg_doc[best], prepend=-1))]
+                size_top = seg_len[top]
+                rows = np.repeat(np.arange(len(top)), size_top)
+                used = np.arange(len(rows)) + (self.seg_at[top] - np.cumsum(size_top) + size_top)[rows]
+                share = 1.0 / size_top[rows]
             tokens = self.tokens[used]
             logit = np.bincount(rows, worth[tokens] * share, len(full)) + self.bias[1] - self.bias[0]
             pull = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - self.y[full])
@@ -198,14 +206,15 @@ class Scorer:
     def raw(self, texts: list[str]) -> np.ndarray:
         out = np.empty(len(texts))
         for k, t in enumerate(texts):
-            words = WORD.findall(t.lower())
+            words = text_words(t)
             memo = self.memo
             for w in set(words).difference(memo):
                 memo[w] = float(self.bucket[subwords(w)].mean())
             if words:
                 worth = np.fromiter(map(memo.__getitem__, words), float, len(words))
-                at = spans(len(words))
-                out[k] = (np.add.reduceat(worth, at) / np.diff(np.append(at, len(words)))).max()
+                size = min(len(words), SPAN)
+                sums = np.concatenate([[0.0], np.cumsum(worth)])
+                out[k] = (sums[size:] - sums[:-size]).max() / size
             else:
                 out[k] = 0.0
             if len(memo) > MEMO:

@@ -160,6 +160,21 @@ def test_toxicity_learns_where_the_part_set_aside_lacks_a_class():
     assert scores[labels == 1].min() > scores[labels == 0].max() and (scores[labels == 0] < 0.5).all()
 
 
+def test_toxicity_reads_long_words_and_counts_a_cue_alike_anywhere():
+    rng = random.Random(6)
+    run = lambda n: "".join(rng.choice(["ba", "do", "ki", "lu", "ne"]) for _ in range(n))
+    texts = [run(60) + ("grumble" if i % 3 == 0 else "xabbleq" if i % 3 == 1 else "") + run(10) for i in range(300)]
+    labels = np.array([int(i % 3 == 0) for i in range(300)])
+    scores = toxicity.Scorer(toxicity.fit_model(texts, labels, {0: 2 / 3, 1: 1 / 3})).scores(texts)
+    assert np.mean((scores >= 0.5) == labels) > 0.95
+    words = [run(2) for _ in range(23)]
+    assert toxicity.text_words("x" * 40) == ["x" * 40] and "".join(toxicity.text_words("y" * 41)).count("y") > 41
+    model = np.zeros(toxicity.BUCKETS + 1)
+    model[toxicity.subwords("grumble")] = 1.0
+    found = [toxicity.Scorer(toxicity.pack(model)).raw([" ".join([*words[:k], "grumble", *words[k:]])])[0] for k in (0, 11, 12, 22, 23)]
+    assert max(found) - min(found) < 0.02
+
+
 def test_mixture_follows_the_inverse_distribution(spark):
     docs = spark.range(4000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'a' when id % 3 = 1 then 'b' end as source", "repeat('x', cast(id % 7 as int)) as text")
     out = mixing.mix_sources(docs, {"a": 3.0, "b": 1.0}, scale=2.0).persist()
