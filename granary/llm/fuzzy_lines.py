@@ -1,34 +1,34 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
+"""Fuzzy line deduplication: shared word runs, edit similarity, connected groups.
 
 Lines are normalised (lower case, ASCII punctuation and white space as single spaces); equal ones are one
-node. A node's 64-bit SimHash is over its words and word pairs. Two hashes that differ in at most
-DISTANCE bits agree on some blocks whole, so nodes meet on every choice of that many blocks. Pairs that
-meet are checked for the distance and then for the edit similarity of their word sequences.
+node. Of a pair of similar lines, the longer, of l words, is within d = floor((1 - SIMILARITY) l) edits of
+the other. Cut into d + 1 runs of equal length, one run is untouched and so is in the other line, at most d
+places off. Nodes meet on such runs: the search misses nothing. Runs that only one line has are left out
+in a packed exchange beforehand. Pairs that meet are checked for length and for the words that one lacks,
+and then for the edit similarity of their word sequences.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import hashes
-from granary.llm.chunks import ChunkStore
-from granary.llm.common import materialize
+from granary.llm.chunks import ANSWERED, ASKED, ChunkStore, answers, bucket_of
+from granary.llm.common import materialize, pack, pack_sorted, unpack, unpack_sorted
 from granary.llm.graph import components
 
-DISTANCE, SIMILARITY = 3, 0.8
-#: Groups of more nodes first try one partner for each; pairs in one component are not tried again.
+SIMILARITY = 0.8
+#: Runs of more nodes first try one partner for each; pairs in one component are not tried again.
 LARGE = 16
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 
 class Lines:
-    """The lines of a chunk's documents: row, line number, key and SimHash, for lines with words."""
+    """The lines of a chunk's documents: row, line number and key, and the hashes of their words."""
 
     def __init__(self, t: pa.Table):
         self.texts = [(b or b"").decode().split("\n") for b in t.column("bytes").to_pylist()]
@@ -36,75 +36,130 @@ class Lines:
         self.row = np.repeat(np.arange(len(count)), count)
         self.line = np.arange(len(self.row)) - np.repeat(np.cumsum(count) - count, count)
         every = [x.lower().encode() for own in self.texts for x in own]
-        self.key, self.sim = np.zeros(len(every), np.uint64), np.zeros(len(every), np.uint64)
+        self.key = np.zeros(len(every), np.uint64)
         self.words = np.zeros(len(every), np.int64)
+        found = [np.zeros(0, np.uint64)]
         at = 0
         while at < len(every):
             stop, size = at, 0
             while stop < len(every) and (stop == at or size + len(every[stop]) < 1 << 20):
                 size += len(every[stop])
                 stop += 1
-            self._batch(at, every[at:stop])
+            found.append(self._batch(at, every[at:stop]))
             at = stop
+        self.h = np.concatenate(found)
+        self.start = np.cumsum(self.words) - self.words
 
-    def _batch(self, at: int, lines: list[bytes]) -> None:
+    def _batch(self, at: int, lines: list[bytes]) -> np.ndarray:
         offsets = np.cumsum([0, *map(len, lines)])
         h, line = hashes.words(_PLAIN[np.frombuffer(b"".join(lines), np.uint8)], offsets)
-        if not len(h):
-            return
-        cut = np.flatnonzero(np.diff(line, prepend=-1))
-        own = line[cut] + at
-        size = np.diff(np.append(cut, len(h)))
-        place = np.arange(len(h)) - np.repeat(cut, size)
-        up, _ = hashes.powers(int(size.max()) + 1)
-        self.key[own] = hashes.mix(np.add.reduceat(h * up[place], cut) + size.astype(np.uint64))
-        self.words[own] = size
-        pair = hashes.mix(h + np.append(h[1:], np.uint64(0)) * np.uint64(5))
-        bits = np.zeros((len(cut), 64), np.int32)
-        weight = 2 * size - 1
-        for feature, last in ((h, True), (pair, False)):
-            for a in range(0, len(cut), 2000):
-                span = slice(cut[a], cut[a + 2000] if a + 2000 < len(cut) else len(h))
-                ones = np.unpackbits(feature[span].view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-                if not last:  # a line's last word starts no pair
-                    ones[np.append(cut[a + 1 : a + 2000], span.stop)[: len(cut[a : a + 2000])] - 1 - span.start] = 0
-                bits[a : a + 2000] += np.add.reduceat(ones, cut[a : a + 2000] - span.start, 0)
-        self.sim[own] = np.packbits(2 * bits > weight[:, None], axis=1).view(np.uint64).ravel()
-        code = (h % np.uint64(40_000) + np.uint64(256)).astype(np.uint16)
-        self._codes = getattr(self, "_codes", [])
-        self._codes.append((own, cut, size, code))
+        if len(h):
+            cut = np.flatnonzero(np.diff(line, prepend=-1))
+            own = line[cut] + at
+            size = np.diff(np.append(cut, len(h)))
+            place = np.arange(len(h)) - np.repeat(cut, size)
+            up, _ = hashes.powers(int(size.max()) + 1)
+            self.key[own] = hashes.mix(np.add.reduceat(h * up[place], cut) + size.astype(np.uint64))
+            self.words[own] = size
+        return h
 
     def code(self, k: int) -> str:
         """Line k's words as one letter each."""
-        for own, cut, size, code in self._codes:
-            i = int(np.searchsorted(own, k))
-            if i < len(own) and own[i] == k:
-                return code[cut[i] : cut[i] + size[i]].tobytes().decode("utf-16-le")
-        return ""
+        h = self.h[self.start[k] : self.start[k] + self.words[k]]
+        return (h % np.uint64(40_000) + np.uint64(256)).astype("<u2").tobytes().decode("utf-16-le")
+
+
+def most_edits(size: np.ndarray, similarity: float) -> np.ndarray:
+    """Edits that a pair may have whose longer line is of so many words."""
+    return np.floor((1 - similarity) * size + 1e-9).astype(np.int64)
 
 
-def block_keys(sim: Column, nodes: int) -> Column:
-    """Numbers that hashes within DISTANCE share one of: each choice of `kept` of DISTANCE + kept equal blocks.
+class Runs:
+    """Word runs of some lines: hash, line (its place in `own`), position, and whether the line cuts itself there.
 
-    More lines take more blocks and so longer keys, to keep chance meetings rare; any choice is complete.
+    A line has its own d + 1 runs, and all runs of the lengths that lines longer than it by up to their d
+    are cut into.
     """
-    kept = 2 if nodes < 1 << 23 else 3 if nodes < 1 << 29 else 4
-    blocks = DISTANCE + kept
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(blocks)]
-    keys = []
-    for n, choice in enumerate(combinations(masks, kept)):
-        mask = sum(choice)
-        keys.append(F.xxhash64(F.lit(n), sim.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
-    return F.array(*keys)
 
+    def __init__(self, x: Lines, own: np.ndarray, similarity: float):
+        size = x.words[own]
+        sizes = np.unique(size)
+        longest = int(sizes[-1]) if len(sizes) else 0
+        every = np.arange(int(longest / similarity) + 3)
+        edits = most_edits(every, similarity)
+        cut = np.where(edits > 0, every // (edits + 1), 0)
+        needs: dict[int, list[int]] = {}
+        for m in sizes.tolist():
+            last = int(np.searchsorted(every - edits, m, "right"))
+            for q in np.unique(cut[m:last]).tolist():
+                if q:
+                    needs.setdefault(q, []).append(m)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        line = np.repeat(np.arange(len(own)), size)
+        h = x.h[np.repeat(x.start[own], size) + place]
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        for q, fit in sorted(needs.items()):
+            n = max(0, len(h) - q + 1)
+            joined = np.full(n, q, np.uint64)
+            for k in range(q):
+                joined = hashes.mix(joined + h[k : k + n] + np.uint64(k + 1))
+            use = np.flatnonzero(np.isin(size, fit)[line[:n]] & (place[:n] + q <= size[line[:n]]))
+            of, at = line[use], place[use]
+            mine = (cut[size[of]] == q) & (at % q == 0) & (at // q <= edits[size[of]])
+            parts.append((joined[use], of, at, mine))
+        self.hash, self.line, self.at, self.own = (np.concatenate(c) for c in zip(*parts))
+        self.keys, self.place = np.unique(self.hash, return_inverse=True)
+
+    def ask(self, chunk: int, buckets: int) -> pa.Table:
+        """To each bucket the distinct hashes with how often they come (2: more) and whether a line cuts itself there."""
+        often = np.minimum(np.bincount(self.place, minlength=len(self.keys)), 2).astype(np.uint8)
+        own = (np.bincount(self.place, self.own, len(self.keys)) > 0).astype(np.uint8)
+        cut = np.searchsorted(bucket_of(self.keys, buckets), np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(cut))
+        rows = [pack(pack_sorted(self.keys[c]), often[c], own[c]) for c in (slice(cut[b], cut[b + 1]) for b in full)]
+        return pa.table({"chunk": pa.array([chunk] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "asked": pa.array(rows, pa.binary())})
+
+
+def answer_shared(asked: DataFrame) -> DataFrame:
+    """To each chunk, whether its runs come more than once and some line cuts itself there."""
+
+    def total(t: pa.Table) -> pa.Table:
+        own = [unpack(x) for x in t.column("asked").to_pylist()]
+        keys = [unpack_sorted(x[0]) for x in own]
+        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        often, cuts = (np.bincount(place, np.concatenate([x[k] for x in own]), len(every)) for k in (1, 2))
+        shared = ((often > 1) & (cuts > 0)).astype(np.uint8)
+        cut = np.cumsum([0, *map(len, keys)])
+        out = [pack(shared[place[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
+        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "answer": pa.array(out, pa.binary())})
+
+    return asked.groupBy("bucket").applyInArrow(total, ANSWERED)
+
+
+def seen_words(x: Lines, own: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sets of each line's words."""
+    size = x.words[own]
+    begin = np.cumsum(size) - size
+    h = x.h[np.repeat(x.start[own] - begin, size) + np.arange(size.sum())]
+    bit = np.uint64(1) << (h & np.uint64(63))
+    upper = (h >> np.uint64(6)) & np.uint64(1) == 1
+    return [np.bitwise_or.reduceat(np.where(upper == k, bit, np.uint64(0)), begin).astype(np.int64) if len(own) else np.zeros(0, np.int64) for k in (False, True)]
 
-LINE = "chunk int, doc_id long, line int, key long, sim long"
 
+LINE = "chunk int, doc_id long, line int, key long"
+RUN = "run long, key long, size int, at int, own boolean, w0 long, w1 long"
 
-def _linked(pairs: DataFrame, store: ChunkStore, where: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """The pairs (a, b, a_sim, b_sim) that are within the distance and similar. where: chunk, doc_id, line, key of each node."""
-    near = materialize(pairs.where(F.bit_count(F.col("a_sim").bitwiseXOR(F.col("b_sim"))) <= distance).select("a", "b").distinct(), "pairs")
+
+def may_link(similarity: float) -> Column:
+    """Whether a and b, by their lengths and the words that one lacks, can be similar."""
+    edits = F.floor(F.greatest("a.size", "b.size") * (1 - similarity) + 1e-9)
+    lacks = lambda x, y: sum(F.bit_count(F.col(f"{x}.{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{w}")))) for w in ("w0", "w1"))
+    return (F.abs(F.col("a.size") - F.col("b.size")) <= edits) & (lacks("a", "b") <= edits) & (lacks("b", "a") <= edits)
+
+
+def _linked(pairs: DataFrame, store: ChunkStore, where: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar. where: chunk, doc_id, line, key of each node."""
+    near = materialize(pairs.distinct(), "pairs")
     nodes = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).distinct()
 
     def texts(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
@@ -125,31 +180,59 @@ def _linked(pairs: DataFrame, store: ChunkStore, where: DataFrame, distance: int
     a = code.select(F.col("key").alias("a"), F.col("code").alias("a_code"))
     b = code.select(F.col("key").alias("b"), F.col("code").alias("b_code"))
     longest = F.greatest(F.length("a_code"), F.length("b_code"))
-    alike = (1 - F.levenshtein("a_code", "b_code") / longest) >= similarity - 1e-9
-    return near.join(a, "a").join(b, "b").where(alike).select("a", "b")
+    edits = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
+    within = F.call_function("levenshtein", F.col("a_code"), F.col("b_code"), edits) >= 0
+    return near.join(a, "a").join(b, "b").where(within).select("a", "b")
 
 
-def _groups(lines: DataFrame, store: ChunkStore, distance: int, similarity: float) -> DataFrame:
+def _groups(lines: DataFrame, store: ChunkStore, similarity: float) -> DataFrame:
     """key, first (the group's first occurrence) of lines that are equal or similar to others."""
-    nodes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "chunk")).alias("first"), F.first("sim").alias("sim"), F.count("*").alias("n"))
-    nodes = materialize(nodes, "lines")
+    nodes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "chunk")).alias("first"), F.count("*").alias("n"))
+    nodes, buckets = materialize(nodes, "lines"), store.buckets
     where = nodes.select("key", "first.doc_id", "first.line", "first.chunk")
-    met = materialize(nodes.select("key", "sim", F.explode(block_keys(F.col("sim"), nodes.count())).alias("block")), "blocks")
-    sizes = met.groupBy("block").agg(F.count("*").alias("size"), F.min(F.struct("key", "sim")).alias("least")).where("size > 1")
+
+    def firsts(t: pa.Table, told: pa.Table) -> tuple[Lines, np.ndarray]:
+        """The lines told of, in the order of the chunk; of repeated rows of a document the first counts."""
+        wanted = {k: (d, n) for d, n, k in zip(told.column("doc_id").to_pylist(), told.column("line").to_pylist(), told.column("key").to_pylist()) if k is not None}
+        x = Lines(t)
+        ids, own = t.column("doc_id").to_pylist(), []
+        for i, (r, n, k) in enumerate(zip(x.row.tolist(), x.line.tolist(), x.key.astype(np.int64).tolist())):
+            if wanted.get(k) == (ids[r], n):
+                del wanted[k]
+                own.append(i)
+        return x, np.array(own, np.int64)
+
+    def ask_runs(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
+        return Runs(*firsts(t, told), similarity).ask(chunk, buckets)
+
+    shared = materialize(answer_shared(store.meet(where, ask_runs, ASKED)), "shared")
+
+    def list_runs(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
+        is_line = pa.array(told.column("key").is_valid().to_numpy(), pa.bool_())
+        x, own = firsts(t, told.filter(is_line))
+        runs = Runs(x, own, similarity)
+        asked = told.filter(pa.array(~is_line.to_numpy(zero_copy_only=False)))
+        use = np.flatnonzero((answers(asked) > 0)[runs.place]) if len(runs.keys) else np.zeros(0, np.int64)
+        line = runs.line[use]
+        w0, w1 = seen_words(x, own)
+        return pa.table({"run": runs.hash[use].astype(np.int64), "key": x.key[own][line].astype(np.int64), "size": x.words[own][line].astype(np.int32), "at": runs.at[use].astype(np.int32), "own": runs.own[use], "w0": w0[line], "w1": w1[line]})
+
+    told = where.unionByName(shared, allowMissingColumns=True)
+    met = materialize(store.meet(told, list_runs, RUN), "runs")
+    sizes = met.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("key", "size", "w0", "w1")).alias("a"), F.max("key").alias("most")).where("n > 1 and a.key <> most")
     sizes = materialize(sizes, "meetings")
-    large = met.join(sizes.where(F.col("size") > LARGE), "block").where("key <> least.key")
-    star = large.select(F.col("least.key").alias("a"), F.col("key").alias("b"), F.col("least.sim").alias("a_sim"), F.col("sim").alias("b_sim"))
-    links = materialize(_linked(star, store, where, distance, similarity), "links")
+    star = met.alias("b").join(sizes.where(F.col("n") > LARGE), "run").where(F.col("a.key") != F.col("b.key")).where(may_link(similarity))
+    links = materialize(_linked(star.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")), store, where, similarity), "links")
     comps = components(links)
-    rows = met.join(sizes.select("block"), "block").join(comps, F.col("key") == F.col("node"), "left")
-    rows = rows.select("block", "key", "sim", F.coalesce("comp", "key").alias("comp"))
-    open_blocks = rows.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    rows = materialize(rows.join(open_blocks.select("block"), "block"), "meetings")
-    a = rows.select("block", F.col("key").alias("a"), F.col("sim").alias("a_sim"), F.col("comp").alias("a_comp"))
-    b = rows.select("block", F.col("key").alias("b"), F.col("sim").alias("b_sim"), F.col("comp").alias("b_comp"))
-    near = F.bit_count(F.col("a_sim").bitwiseXOR(F.col("b_sim"))) <= distance
-    pairs = a.join(b, (a.block == b.block) & (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & near)
-    more = materialize(_linked(pairs.select("a", "b", "a_sim", "b_sim"), store, where, distance, similarity), "links")
+    rows = met.join(sizes.select("run"), "run").join(comps, F.col("key") == F.col("node"), "left")
+    rows = rows.select(*met.columns, F.coalesce("comp", "key").alias("comp"))
+    open_runs = rows.groupBy("run").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    rows = materialize(rows.join(open_runs.select("run"), "run"), "meetings")
+    edits = F.floor(F.col("a.size") * (1 - similarity) + 1e-9)
+    meet = (F.col("a.run") == F.col("b.run")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("a.size") >= F.col("b.size")) & (F.abs(F.col("a.at") - F.col("b.at")) <= edits)
+    pairs = rows.where("own").alias("a").join(rows.alias("b"), meet & may_link(similarity))
+    pairs = pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"))
+    more = materialize(_linked(pairs, store, where, similarity), "links")
     comps = components(links.union(more))
     own = nodes.join(comps, F.col("key") == F.col("node"), "left").where("n > 1 or comp is not null")
     own = own.select("key", F.coalesce("comp", "key").alias("comp"), F.struct("first.doc_id", "first.line").alias("first"))
@@ -159,13 +242,14 @@ def _groups(lines: DataFrame, store: ChunkStore, distance: int, similarity: floa
 KEPT = "doc_id long, n_lines long, n_removed long, kept string"
 
 
-def drop_similar_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
+def drop_similar_lines(docs: DataFrame, distance: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines, n_removed, kept (the text without its removed lines) of each row.
 
     Of each connected group of similar lines the first occurrence, by doc_id and line number, stays. Lines
     without letters or digits always stay. A null text counts as empty: one empty line. Rows with a null
     doc_id stay whole and take no part; rows that repeat a doc_id count as one document, whose lines of
     one number are one occurrence. An empty table gives an empty result. Other columns are ignored.
+    `distance`, once a bound on SimHash bits, no longer limits what is found.
     """
     store = ChunkStore(docs)
 
@@ -174,10 +258,10 @@ def drop_similar_lines(docs: DataFrame, distance: int = DISTANCE, similarity: fl
         ids = t.column("doc_id").to_pylist()
         own = np.flatnonzero((x.words > 0) & np.array([i is not None for i in ids], bool)[x.row])
         doc = np.array([0 if i is None else i for i in ids], np.int64)[x.row[own]]
-        return pa.table({"chunk": pa.array(np.full(len(own), chunk, np.int32)), "doc_id": doc, "line": pa.array(x.line[own].astype(np.int32)), "key": x.key[own].astype(np.int64), "sim": x.sim[own].astype(np.int64)})
+        return pa.table({"chunk": pa.array(np.full(len(own), chunk, np.int32)), "doc_id": doc, "line": pa.array(x.line[own].astype(np.int32)), "key": x.key[own].astype(np.int64)})
 
     lines = materialize(store.map(describe, LINE), "all-lines")
-    groups = materialize(_groups(lines, store, distance, similarity), "groups")
+    groups = materialize(_groups(lines, store, similarity), "groups")
     gone = lines.join(groups, "key").where("doc_id <> kept.doc_id or line <> kept.line").select("chunk", "doc_id", "line", "key")
 
     def cut(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:

@@ -89,3 +89,39 @@ def test_similar_lines_go_once(spark):
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in fuzzy_lines.drop_similar_lines(frame(spark, docs), distance=12).collect()}
     assert got[1] == (3, 0, docs[0][1]) and got[2] == (2, 1, f"kept {words[200]}") and got[3] == (2, 1, "--")
     assert got[4] == (1, 1, "") and got[5] == (1, 0, "") and got[6][1] == 0
+
+
+def test_similar_lines_match_brute_force_with_registered_parameters(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    lines = []
+    for size in (3, 4, 5, 6, 9, 10, 11, 15, 20, 27, 27, 40, 101):
+        base = [rng.choice(words) for _ in range(size)]
+        lines.append(base)
+        for edits in {1, size // 10, size // 5, size // 5 + 1, size // 4}:
+            w = list(base)
+            for _ in range(edits):
+                k, kind = rng.randrange(len(w)), rng.randrange(4)
+                w[k : k + 1] = [rng.choice(words)] if kind < 2 else [] if kind == 2 and len(w) > 1 else [w[k], rng.choice(words)]
+            lines.append(w)
+    hot = [rng.choice(words) for _ in range(5)]
+    lines += [hot + [rng.choice(words) for _ in range(7)] for _ in range(40)]
+    rng.shuffle(lines)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    first = list(range(len(lines)))
+    for b in range(len(lines)):
+        for a in range(b):
+            if first[a] != first[b] and 1 - distance(lines[a], lines[b]) / max(len(lines[a]), len(lines[b])) >= 0.8 - 1e-9:
+                low, high = sorted((first[a], first[b]))
+                first = [low if f == high else f for f in first]
+    docs = [(i, " ".join(w)) for i, w in enumerate(lines)]
+    got = {r.doc_id for r in fuzzy_lines.drop_similar_lines(frame(spark, docs)).collect() if not r.n_removed}
+    assert got == set(first) and len(first) - len(got) > 25
