@@ -157,6 +157,12 @@ def sequence_expand(spark, sf):
     return A.expand(S.sales(spark, sf).where("StoreKey = 1").select("OrderNumber", "OrderLineNumber", "Quantity"), "Quantity").drop("Quantity")
 
 
+@q("sequence_expand_all", "SELECT OrderNumber, OrderLineNumber, unnest(range(1, Quantity + 1))::INTEGER AS \"Index\" FROM sales")
+def sequence_expand_all(spark, sf):
+    """Of all stores."""
+    return A.expand(S.sales(spark, sf).select("OrderNumber", "OrderLineNumber", "Quantity"), "Quantity").drop("Quantity")
+
+
 @q("order_lines_explode", ", o AS (SELECT OrderNumber, count(*) AS n FROM sales GROUP BY 1) SELECT OrderNumber, unnest(range(1, n + 1))::INTEGER AS LineNumber FROM o")
 def order_lines_explode(spark, sf):
     return A.expand(S.sales(spark, sf).groupBy("OrderNumber").agg(F.count("*").alias("n")), "n", "LineNumber").drop("n")
@@ -204,6 +210,12 @@ def fx_daily(spark, sf):
     return X.fx_triangulate(master(spark, sf), CODES).where(F.col("Date").between("1996-01-01", "1996-12-31") & ok)
 
 
+@q("fx_daily_all", TRI + " SELECT Date, FromCurrency, ToCurrency, Rate FROM pairs WHERE isfinite(Rate) AND Rate > 0")
+def fx_daily_all(spark, sf):
+    """All pairs on all days."""
+    return X.fx_triangulate(master(spark, sf), CODES).where((F.col("Rate") > 0) & (F.col("Rate") < float("inf")))
+
+
 @q("fx_monthly", TRI + " SELECT date_trunc('month', Date)::DATE AS MonthStart, FromCurrency, ToCurrency, round(avg(Rate), 6) AS MeanRate, min(Rate) AS MinRate, max(Rate) AS MaxRate, arg_max(Rate, Date) AS EndRate FROM pairs GROUP BY 1, 2, 3")
 def fx_monthly(spark, sf):
     return X.fx_monthly(X.fx_triangulate(master(spark, sf), CODES)).withColumn("MeanRate", F.round("MeanRate", 6))

@@ -279,6 +279,26 @@ def gap_months(spark, sf):
     return inside.join(own.select(F.trunc("OrderDate", "month").alias("MonthStart")).distinct(), "MonthStart", "left_anti")
 
 
+@q("calendar_left_join_by_store", ", months AS (SELECT unnest(generate_series((SELECT date_trunc('month', min(OrderDate)) FROM sales), (SELECT max(OrderDate) FROM sales), INTERVAL 1 MONTH))::DATE AS MonthStart) SELECT StoreKey, MonthStart, coalesce(n, 0) AS \"Rows\" FROM stores CROSS JOIN months LEFT JOIN (SELECT StoreKey, date_trunc('month', OrderDate)::DATE AS MonthStart, count(*) AS n FROM sales GROUP BY 1, 2) USING (StoreKey, MonthStart)")
+def calendar_left_join_by_store(spark, sf):
+    """Every store in every month of the sales' own range."""
+    own = S.sales(spark, sf).select("StoreKey", F.trunc("OrderDate", "month").alias("MonthStart"))
+    counted = own.groupBy("StoreKey", "MonthStart").agg(F.count("*").alias("n"))
+    bounds = counted.agg(F.min("MonthStart").alias("f"), F.max("MonthStart").alias("t"))
+    every = bounds.select(F.explode(F.expr("sequence(f, t, interval 1 month)")).alias("MonthStart"))
+    grid = S.stores(spark, sf).select("StoreKey").crossJoin(F.broadcast(every))
+    return grid.join(counted, ["StoreKey", "MonthStart"], "left").select("StoreKey", "MonthStart", F.coalesce("n", F.lit(0)).alias("Rows"))
+
+
+@q("gap_months_by_customer", ", own AS (SELECT DISTINCT CustomerKey, date_trunc('month', OrderDate)::DATE AS MonthStart FROM sales), every AS (SELECT CustomerKey, unnest(generate_series(min(MonthStart), max(MonthStart), INTERVAL 1 MONTH))::DATE AS MonthStart FROM own GROUP BY 1) SELECT CustomerKey, MonthStart FROM every ANTI JOIN own USING (CustomerKey, MonthStart)")
+def gap_months_by_customer(spark, sf):
+    """Months without orders between each customer's first and last."""
+    own = S.sales(spark, sf).select("CustomerKey", F.trunc("OrderDate", "month").alias("MonthStart")).distinct()
+    bounds = own.groupBy("CustomerKey").agg(F.min("MonthStart").alias("f"), F.max("MonthStart").alias("t"))
+    every = bounds.select("CustomerKey", F.explode(F.expr("sequence(f, t, interval 1 month)")).alias("MonthStart"))
+    return every.join(own, ["CustomerKey", "MonthStart"], "left_anti")
+
+
 @q("eligible_counts", MONTHS + ", c AS (SELECT CustomerKey, min(OrderDate) AS s, max(OrderDate) AS e FROM sales GROUP BY 1) SELECT MonthStart, count(c.CustomerKey) AS Active FROM months LEFT JOIN c ON date_trunc('month', s) <= MonthStart AND MonthStart <= date_trunc('month', e) GROUP BY 1")
 def eligible_counts(spark, sf):
     own = S.sales(spark, sf).groupBy("CustomerKey").agg(F.min("OrderDate").alias("s"), F.max("OrderDate").alias("e"))
