@@ -6,6 +6,10 @@ input. Here documents are written once, in chunks, as a table bucketed by chunk.
 distinct keys with one packed row for each range of key hashes; a bucket of such rows answers with arrays
 in the same order; the answers meet their chunk again without any shuffle of texts, since the table is
 bucketed. A key held by a third of all documents is one entry in each chunk.
+
+The exchange has a row for each chunk and bucket that have keys in common, and so never more rows than the
+chunks have distinct keys: it grows with the input, and packing only makes it smaller. Chunks have
+CHUNK_BYTES up to 700 GB of text; larger inputs have larger ones, up to LARGEST_CHUNK, and then more.
 """
 
 from __future__ import annotations
@@ -19,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import pack, pack_sorted, unpack, unpack_sorted, whole_text
+from granary.llm.common import narrow, pack, pack_sorted, unpack, unpack_sorted, whole_text
 
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
-MOST_CHUNKS = 90_000
+CHUNK_BYTES, LARGEST_CHUNK, BUCKET_BYTES = 8 << 20, 64 << 20, 16 << 20
+#: Chunks grow towards LARGEST_CHUNK before there are more than so many.
+FEW_CHUNKS = 90_000
+#: Bits of a key beyond those that number the bytes of the corpus.
+SPARE_BITS = 18
 
 
 class ChunkStore:
@@ -33,9 +40,15 @@ class ChunkStore:
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("bytes"))
         total = own.agg(F.sum(F.octet_length("bytes").cast("long"))).first()[0] or 0
         parts = max(1, own.rdd.getNumPartitions())
-        each = max(1, min(-(-total // parts // CHUNK_BYTES), MOST_CHUNKS // parts))
-        self.chunks = min(MOST_CHUNKS, parts * int(each))
+        each = max(1, -(-total // parts // min(LARGEST_CHUNK, max(CHUNK_BYTES, total // FEW_CHUNKS))))
+        self.chunks = parts * int(each)
+        most = "spark.sql.sources.bucketing.maxBuckets"
+        if self.chunks > int(self.spark.conf.get(most)):
+            self.spark.conf.set(most, str(self.chunks))
         self.buckets = int(max(12, -(-total // BUCKET_BYTES)))
+        #: Keys cut to these bits coincide by chance for one in 2^SPARE_BITS at most, and pack better.
+        bits = min(64, int(total).bit_length() + SPARE_BITS)
+        self.mask = np.uint64(((1 << bits) - 1) << (64 - bits))
         chunk = F.spark_partition_id() * F.lit(int(each)) + F.pmod(F.xxhash64("doc_id"), F.lit(int(each))).cast("int")
         self.name = f"granary_chunks_{uuid.uuid4().hex}"
         own.withColumn("chunk", chunk).write.bucketBy(self.chunks, "chunk").option("compression", "zstd").saveAsTable(self.name)
@@ -70,7 +83,7 @@ def ask(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Ta
     """A row for each bucket that the chunk's sorted distinct keys fall into."""
     cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
     full = np.flatnonzero(np.diff(cut))
-    rows = [pack(pack_sorted(keys[cut[b] : cut[b + 1]]), counts[cut[b] : cut[b + 1]].astype(np.uint32)) for b in full]
+    rows = [pack(pack_sorted(keys[cut[b] : cut[b + 1]]), narrow(counts[cut[b] : cut[b + 1]])) for b in full]
     return pa.table({"chunk": pa.array([chunk] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "asked": pa.array(rows, pa.binary())})
 
 
@@ -81,9 +94,9 @@ def answer_totals(asked: DataFrame) -> DataFrame:
         own = [unpack(x) for x in t.column("asked").to_pylist()]
         keys = [unpack_sorted(k) for k, _ in own]
         every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(place, np.concatenate([c for _, c in own]).astype(float), len(every)).astype(np.uint32)
+        sums = np.bincount(place, np.concatenate([c for _, c in own]).astype(float), len(every)).astype(np.uint64)
         cut = np.cumsum([0, *map(len, keys)])
-        out = [pack(sums[place[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
+        out = [pack(narrow(sums[place[a:b]])) for a, b in zip(cut[:-1], cut[1:])]
         return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "answer": pa.array(out, pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(total, ANSWERED)

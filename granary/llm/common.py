@@ -34,7 +34,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes a table to the shared folder and reads it again."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.granary_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `materialize` wrote, once nothing is to be read from it any more."""
+    for t in tables:
+        remove(t.sparkSession, t.granary_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -66,18 +74,23 @@ _CODE = {np.dtype(d): c.encode() for c, d in zip(_DTYPES[::2], _DTYPES[1::2])}
 _KIND = {c: d for d, c in _CODE.items()}
 
 
+#: Shorter values are not compressed: a frame's own bytes would outweigh what it saves.
+SHORT = 128
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value; bytes of equal weight lie together, so sorted or small numbers shrink."""
+    """Arrays as one value; bytes of equal weight lie together, so sorted or small numbers shrink."""
     out = [struct.pack("<H", len(arrays))]
     for a in arrays:
         a = np.ascontiguousarray(a)
         planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b""
         out.append(_CODE[a.dtype] + struct.pack("<Q", len(a)) + planes)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    raw = b"".join(out)
+    return b"\0" + raw if len(raw) < SHORT else b"\1" + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
+    raw = zstandard.ZstdDecompressor().decompress(data[1:]) if data[:1] == b"\1" else data[1:]
     (n,), at, out = struct.unpack_from("<H", raw), 2, []
     for _ in range(n):
         kind, (size,) = _KIND[raw[at : at + 1]], struct.unpack_from("<Q", raw, at + 1)
@@ -95,3 +108,9 @@ def pack_sorted(keys: np.ndarray) -> np.ndarray:
 
 def unpack_sorted(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, dtype=steps.dtype)
+
+
+def narrow(numbers: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in the smallest unsigned type that holds them all."""
+    most = int(numbers.max()) if len(numbers) else 0
+    return numbers.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max))

@@ -1,15 +1,20 @@
-"""Probabilistic suffix tree over words: contexts of up to two words, kept by a divergence test.
+"""Probabilistic suffix tree over words: contexts of up to `depth` words, kept by a divergence test.
 
-Level 0 is the smoothed distribution of single tokens. A context s of one more word than its parent is a
-candidate when it occurs at least LEAST times in training. Its distribution takes DISCOUNT from each next
-token seen at least twice and gives what is left to the parent's:
+Level 0 is the smoothed distribution of single tokens. A context s of n words is a candidate when it occurs
+LEAST times or more in training. With c(s, x) its occurrences before x and c(s) all of them,
 
-    p(x | s) = (max(c(s, x) - DISCOUNT, 0) + left(s) * p(x | parent)) / n(s)
+    p(x | s) = (1 - w) c(s, x) / c(s) + w p(x | parent)
 
-It is kept if this raises the log-likelihood of its own training occurrences, each scored with its own
-occurrence left out, by more than GAIN nats: that is n(s) times an estimate of the divergence from the
-parent. A token is scored in the longest kept context that ends before it. Counts come from all training
-documents, as questions from chunks to buckets of contexts.
+where the parent is the longest kept shorter suffix of s. The weight w is one for all contexts of n words
+and of equal floor(log2 c(s)): the share of their training occurrences whose next token comes once only in
+its context, that is how often something new follows. A context is kept if it raises the log-likelihood of
+its own training occurrences, each scored with itself left out, by more than GAIN nats: c(s) times an
+estimate of the divergence from the parent. A token is scored in the longest kept context before it.
+
+All statistics are sums over positions. Chunks ask for counts of runs of n words, n = 1, 2, ..., and tell
+the gains of their contexts; a frequent context is one entry a chunk, whatever follows it. Gains are added
+up as whole numbers, so that results do not depend on chunks. Runs of more than one word are told apart by
+their hash, cut so that one in 2^18 coincides with another by chance.
 """
 
 from __future__ import annotations
@@ -22,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import hashes
-from granary.llm.chunks import ANSWERED, ASKED, ChunkStore, answers, ask, batches, bucket_of
-from granary.llm.common import materialize, pack, pack_sorted, unpack, unpack_sorted
+from granary.llm.chunks import ChunkStore, answers, batches, bucket_of
+from granary.llm.common import discard, materialize, narrow, pack, pack_sorted, unpack, unpack_sorted
 
-LEAST, DISCOUNT, GAIN = 16, 0.9, 8.0
+LEAST, DEPTH, GAIN = 2, 4, 8.0
+#: Gains are rounded to so many parts of a nat; counts of contexts fall into bins by their logarithm.
+PARTS, BINS = 64, 64
 END = np.uint64(0x5851F42D4C957F2D)
 HELD_OUT = 1
+COUNTS, GAINS = 0, 1
 
 
 class Tokens:
@@ -41,193 +49,234 @@ class Tokens:
             h, d = hashes.words(data, offsets)
             hs.append(h)
             docs.append(rows[d])
-        doc = np.concatenate([*docs, np.arange(len(ids))])
-        order = np.argsort(doc, kind="stable")
-        self.doc = doc[order]
-        self.token = np.concatenate([*hs, np.full(len(ids), END)])[order]
+        doc = np.concatenate(docs)
+        size = np.bincount(doc, minlength=len(ids)) + 1
+        self.doc = np.repeat(np.arange(len(ids)), size)
+        self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(size) - size, size)
+        self.token = np.full(len(self.doc), END)
+        self.token[np.arange(len(doc)) + doc] = np.concatenate(hs)
         self.train = ((self.fold >= 0) & (self.fold != HELD_OUT))[self.doc]
-        self.words, self.place = np.unique(self.token, return_inverse=True)
-        self.counts = np.bincount(self.place, self.train, len(self.words))
-
-    def base(self, told: pa.Table, totals: tuple[int, int]) -> None:
-        """Training counts c of each token, and its level-0 probability."""
-        n, v = totals
-        self.c = answers(told).astype(np.int64)[self.place] if len(self.words) else np.zeros(0, np.int64)
-        self.p0 = (self.c + 0.5) / (n + 0.5 * (v + 1))
 
 
-class Level:
-    """A chunk's candidate contexts of one length, their next tokens, and their places in the chunk.
+class Runs:
+    """Runs of n tokens at the positions `at` where they end: which are asked for, and their training counts.
 
-    at: positions with a candidate context; parent: the parent's probability there; may: where the next
-    token may occur twice with the context, so that its count is asked for.
+    count: by position, once answered; slot: by position, the number of its run among `keys`.
     """
 
-    def __init__(self, at: np.ndarray, context: np.ndarray, token: np.ndarray, parent: np.ndarray, train: np.ndarray, may: np.ndarray):
-        self.at, self.parent, self.may = at, parent, np.flatnonzero(may)
-        self.contexts, self.place = np.unique(context, return_inverse=True)
-        symbol = (token >> np.uint64(32)).astype(np.uint32)
-        pair = np.lexsort((symbol[self.may], self.place[self.may]))
-        own, sym = self.place[self.may][pair], symbol[self.may][pair]
-        new = np.ones(len(pair), bool)
-        new[1:] = (own[1:] != own[:-1]) | (sym[1:] != sym[:-1])
-        number = np.cumsum(new) - 1
-        self.pair_of = np.empty(len(pair), np.int64)
-        self.pair_of[pair] = number
-        self.owner, self.symbol = own[new], sym[new]
-        size = len(self.owner)
-        self.count = np.bincount(number, train[self.may][pair], size).astype(np.uint32)
-        self.q = np.log(parent[self.may][pair][new]).astype(np.float16)
-        self.other = np.bincount(self.place, train & ~may, len(self.contexts)).astype(np.uint32)
-
-    def ask(self, chunk: int, buckets: int) -> pa.Table:
-        ctx_cut = np.searchsorted(bucket_of(self.contexts, buckets), np.arange(buckets + 1))
-        pair_cut = np.searchsorted(self.owner, ctx_cut)
-        runs = np.bincount(self.owner, minlength=len(self.contexts)).astype(np.uint32)
-        full = np.flatnonzero(np.diff(ctx_cut))
-        rows = []
-        for b in full:
-            c, p = slice(ctx_cut[b], ctx_cut[b + 1]), slice(pair_cut[b], pair_cut[b + 1])
-            rows.append(pack(pack_sorted(self.contexts[c]), runs[c], self.other[c], self.symbol[p], self.count[p], self.q[p]))
-        return pa.table({"chunk": pa.array([chunk] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "asked": pa.array(rows, pa.binary())})
-
-    def learn(self, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """At each position: whether its context is kept, the token's probability in it, and their count together."""
-        n = answers(told, index=0).astype(float)[self.place]
-        left = answers(told, index=1).astype(float)[self.place]
-        seen = np.zeros(len(self.at))
-        if len(self.may):
-            seen[self.may] = answers(told, index=2).astype(float)[self.pair_of]
-        p = (np.where(seen > 1, seen - DISCOUNT, 0.0) + left * self.parent) / np.maximum(n, 1)
-        return n > 0, np.where(n > 0, p, self.parent), seen
-
-
-def answer_contexts(asked: DataFrame) -> DataFrame:
-    """To each chunk: n and left of its contexts (0 where the test drops one), and counts of its pairs."""
+    def __init__(self, x: Tokens, n: int, at: np.ndarray, run: np.ndarray, sure: np.ndarray | None, seen: np.ndarray, mask: np.uint64):
+        self.x, self.n, self.at, self.run = x, n, at, run
+        self.sure = np.zeros(len(at), bool) if sure is None else sure
+        self.seen = seen
+        self.asked = at[~self.sure]
+        self.keys, inverse = np.unique(run[self.asked] & mask, return_inverse=True)
+        self.slot = np.full(len(x.token), -1, np.int64)
+        self.slot[self.asked] = inverse
 
-    def total(t: pa.Table) -> pa.Table:
-        own = [unpack(x) for x in t.column("asked").to_pylist()]
-        contexts = [unpack_sorted(x[0]) for x in own]
-        every, place = np.unique(np.concatenate(contexts), return_inverse=True)
-        cut = np.cumsum([0, *map(len, contexts)])
-        owner = np.concatenate([np.repeat(place[a:b], x[1]) for a, b, x in zip(cut[:-1], cut[1:], own)])
-        symbol, count = np.concatenate([x[3] for x in own]), np.concatenate([x[4] for x in own]).astype(float)
-        order = np.lexsort((symbol, owner))
-        new = np.ones(len(order), bool)
-        new[1:] = (owner[order][1:] != owner[order][:-1]) | (symbol[order][1:] != symbol[order][:-1])
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        first = order[new]
-        c = np.bincount(number, count, len(first))
-        q = np.exp(np.concatenate([x[5] for x in own])[first].astype(float))
-        of = owner[first]
-        other = np.bincount(place, np.concatenate([x[2] for x in own]).astype(float), len(every))
-        n = np.bincount(of, c, len(every)) + other
-        left = n - np.bincount(of, np.where(c > 1, c - DISCOUNT, 0.0), len(every))
-        share = left / np.maximum(n, 1)
-        seen = np.where(c > 2, c - 1 - DISCOUNT, 0.0) / np.maximum(n[of], 1) / q + share[of]
-        gain = np.bincount(of, c * np.log(np.maximum(seen, 1e-300)), len(every)) + other * np.log(np.maximum(share, 1e-300))
-        kept = (n >= LEAST) & (gain > GAIN)
-        n, left = np.where(kept, n, 0).astype(np.uint32), np.where(kept, left, 0).astype(np.float32)
-        c = np.where(c > 1, c, 0).astype(np.uint32)
-        pair_cut = np.cumsum([0, *(len(x[3]) for x in own)])
-        out = [pack(n[place[a:b]], left[place[a:b]], c[number[x:y]]) for a, b, x, y in zip(cut[:-1], cut[1:], pair_cut[:-1], pair_cut[1:])]
-        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "answer": pa.array(out, pa.binary())})
+    def answered(self, told: pa.Table, sure_counts: np.ndarray) -> None:
+        self.count = np.zeros(len(self.x.token), np.int64)
+        self.count[self.at] = sure_counts
+        if len(self.asked):
+            self.count[self.asked] = answers(told).astype(np.int64)[self.slot[self.asked]]
 
-    return asked.groupBy("bucket").applyInArrow(total, ANSWERED)
+    def question(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Keys, their training counts and bins of their contexts; and by bin the runs that are sure to come once."""
+        slot, train = self.slot[self.asked], self.x.train[self.asked]
+        counts = np.bincount(slot, train, len(self.keys))
+        bins = np.zeros(len(self.keys), np.uint8)
+        bins[slot] = bin_of(self.seen[~self.sure])
+        once = self.sure & self.x.train[self.at]
+        return self.keys, [narrow(counts.astype(np.uint64)), bins], np.bincount(bin_of(self.seen[once]), minlength=BINS).astype(np.uint64)
 
 
-def answer_words(asked: DataFrame) -> DataFrame:
-    """To each chunk the counts of its words; with chunk -1, each bucket's number of tokens and of different ones."""
+def bin_of(n: np.ndarray) -> np.ndarray:
+    return np.maximum(np.frexp(n.astype(float))[1] - 1, 0)
 
-    def total(t: pa.Table) -> pa.Table:
-        own = [unpack(x) for x in t.column("asked").to_pylist()]
-        keys = [unpack_sorted(k) for k, _ in own]
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(place, np.concatenate([c for _, c in own]).astype(float), len(every)).astype(np.uint64)
-        cut = np.cumsum([0, *map(len, keys)])
-        out = [pack(sums[place[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
-        rows = t.num_rows
-        return pa.table({"chunk": pa.concat_arrays([t.column("chunk").combine_chunks(), pa.array([-1], pa.int32())]), "bucket": pa.concat_arrays([t.column("bucket").combine_chunks(), pa.array([0], pa.int32())]), "answer": pa.array([*out, None], pa.binary()), "n": pa.array([None] * rows + [int(sums.sum())], pa.int64()), "v": pa.array([None] * rows + [int((sums > 0).sum())], pa.int64())})
 
-    return asked.groupBy("bucket").applyInArrow(total, ANSWERED + ", n long, v long")
+def single_tokens(x: Tokens) -> Runs:
+    return Runs(x, 1, np.arange(len(x.token)), x.token, None, np.zeros(len(x.token), np.int64), ~np.uint64(0))
+
 
+def longer(x: Tokens, runs: Runs, mask: np.uint64) -> tuple[Runs, np.ndarray]:
+    """Runs of one token more, where the tokens before the last are a candidate context; and the counts that are sure.
 
-def first_level(x: Tokens) -> Level:
-    at = np.flatnonzero(x.doc[1:] == x.doc[:-1]) + 1
-    at = at[x.c[at - 1] >= LEAST]
-    return Level(at, x.token[at - 1], x.token[at], x.p0[at], x.train[at], x.c[at] > 1)
+    A run has no more occurrences than its end: none where that has none, one where that is this very one.
+    """
+    n = runs.n
+    at = np.flatnonzero(x.place >= n)
+    at = at[runs.count[at - 1] >= LEAST]
+    run = np.zeros(len(x.token), np.uint64)
+    run[at] = hashes.mix(runs.run[at] * np.uint64(3) + hashes.mix(x.token[at - n] + np.uint64(n)))
+    last = runs.count[at]
+    sure = (last == 0) | ((last == 1) & x.train[at])
+    return Runs(x, n + 1, at, run, sure, runs.count[at - 1], mask), np.minimum(last, 1)
+
+
+class Walk:
+    """What the answers so far say of a chunk's positions: runs of each length, and the probabilities."""
+
+    def __init__(self, t: pa.Table, told: pa.Table, found: dict[int, dict], mask: np.uint64):
+        self.x = x = Tokens(t)
+        self.found, self.told = found, told
+        runs = single_tokens(x)
+        self.runs, self.next = [], runs
+        sure = np.zeros(len(x.token), np.int64)
+        while self.next.n in found:
+            self.next.answered(self._of(self.next.n, COUNTS), sure)
+            self.runs.append(self.next)
+            self.next, sure = longer(x, self.next, mask)
+        if self.runs:
+            n, v = found[1]["n"], found[1]["v"]
+            self.p0 = (self.runs[0].count + 0.5) / (n + 0.5 * (v + 1))
+            self.p = self.p0.copy()
+
+    def _of(self, level: int, kind: int) -> pa.Table:
+        t = self.told
+        return t.filter(pa.array((t.column("level").to_numpy() == level) & (t.column("kind").to_numpy() == kind))) if t.num_rows else t
+
+    def contexts(self, level: int) -> tuple[np.ndarray, ...]:
+        """Positions behind contexts of `level` words, their numbers among the keys of those runs, c(s, x), c(s) and w."""
+        short, long = self.runs[level - 1], self.runs[level]
+        at = long.at
+        return at, short.slot[at - 1], long.count[at].astype(float), long.seen.astype(float), self.found[level + 1]["weight"][bin_of(long.seen)]
+
+    def gains(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        at, slot, c, n, w = self.contexts(level)
+        train = self.x.train[at]
+        ratio = (1 - w) * np.maximum(c - 1, 0) / (np.maximum(n - 1, 1) * self.p[at]) + w
+        gain = np.where(train, np.rint(PARTS * np.log(ratio)), 0.0)
+        keys = self.runs[level - 1].keys
+        used = np.bincount(slot, minlength=len(keys)) > 0
+        return used, np.bincount(slot, gain, len(keys))[used].astype(np.int64)
+
+    def learn(self, level: int) -> None:
+        """Goes on with the kept contexts of `level` words."""
+        at, slot, c, n, w = self.contexts(level)
+        if len(at):
+            keys = self.runs[level - 1].keys
+            kept = np.zeros(len(keys), bool)
+            kept[np.bincount(slot, minlength=len(keys)) > 0] = answers(self._of(level, GAINS)) > 0
+            self.p[at] = np.where(kept[slot], (1 - w) * c / n + w * self.p[at], self.p[at])
+
+
+ASKED = "chunk int, bucket int, kind int, asked binary"
+ANSWERED = "chunk int, bucket int, kind int, answer binary, sums array<long>"
+
+
+def _ask(chunk: int, buckets: int, kind: int, keys: np.ndarray, values: list[np.ndarray], once: np.ndarray | None = None) -> pa.Table:
+    """A row for each bucket that the sorted keys fall into; the first also carries `once`."""
+    cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+    full = np.flatnonzero(np.diff(cut))
+    if not len(full) and once is not None and once.any():
+        full = np.array([0])
+    none = np.zeros(0, np.uint64)
+    rows = [pack(pack_sorted(keys[cut[b] : cut[b + 1]]), *(v[cut[b] : cut[b + 1]] for v in values), *([] if once is None else [once if b == full[0] else none])) for b in full]
+    return pa.table({"chunk": pa.array([chunk] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "kind": pa.array([kind] * len(full), pa.int32()), "asked": pa.array(rows, pa.binary())})
+
+
+def _signs(gains: np.ndarray) -> np.ndarray:
+    """Signed numbers as unsigned ones: small ones stay small."""
+    return ((gains << 1) ^ (gains >> 63)).astype(np.uint64)
+
+
+def _answer(asked: DataFrame) -> DataFrame:
+    """To each chunk the counts of its runs, and whether its contexts are kept; in one row a bucket, with chunk -1, sums for the weights."""
 
+    def total(t: pa.Table) -> pa.Table:
+        parts = []
+        for kind in (COUNTS, GAINS):
+            own = t.filter(pa.array(t.column("kind").to_numpy() == kind))
+            if not own.num_rows:
+                continue
+            told = [unpack(x) for x in own.column("asked").to_pylist()]
+            keys = [unpack_sorted(x[0]) for x in told]
+            every, place = np.unique(np.concatenate(keys), return_inverse=True)
+            value = np.concatenate([x[1].astype(np.int64) for x in told])
+            if kind == GAINS:
+                value = (value >> 1) ^ -(value & 1)
+            sums = np.bincount(place, value, len(every))
+            cut = np.cumsum([0, *map(len, keys)])
+            if kind == COUNTS:
+                result, bins = sums.astype(np.uint64), np.zeros(len(every), np.int64)
+                bins[place] = np.concatenate([x[2] for x in told])
+                once = sum((x[3].astype(float) for x in told if len(x[3])), np.zeros(BINS))
+                seen = np.bincount(bins, sums, BINS) + once
+                single = np.bincount(bins, sums == 1, BINS) + once
+                tally = np.concatenate([seen, single, [(sums > 0).sum()]]).astype(np.int64)
+            else:
+                result, tally = (sums > GAIN * PARTS).astype(np.uint8), None
+            out = [pack(narrow(result[place[a:b]])) for a, b in zip(cut[:-1], cut[1:])]
+            n = own.num_rows
+            parts.append(pa.table({"chunk": own.column("chunk"), "bucket": own.column("bucket"), "kind": own.column("kind"), "answer": pa.array(out, pa.binary()), "sums": pa.array([None] * n, pa.list_(pa.int64()))}))
+            if tally is not None:
+                parts.append(pa.table({"chunk": pa.array([-1], pa.int32()), "bucket": pa.array([0], pa.int32()), "kind": pa.array([kind], pa.int32()), "answer": pa.array([None], pa.binary()), "sums": pa.array([tally], pa.list_(pa.int64()))}))
+        return pa.concat_tables(parts)
 
-def second_level(x: Tokens, one: Level, p1: np.ndarray, seen1: np.ndarray) -> Level:
-    """p1: the token's probability in the longest context so far; seen1: its count with the word before; both at every position."""
-    at = one.at[one.at > 1]
-    at = at[(x.doc[at - 2] == x.doc[at]) & (seen1[at - 1] >= LEAST)]
-    context = hashes.mix(x.token[at - 2] * np.uint64(3) + hashes.mix(x.token[at - 1]))
-    return Level(at, context, x.token[at], p1[at], x.train[at], seen1[at] > 1)
+    return asked.groupBy("bucket").applyInArrow(total, ANSWERED)
 
 
-def spread(x: Tokens, one: Level, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    _, p, seen = one.learn(told)
-    p1, seen1 = x.p0.copy(), np.zeros(len(x.token))
-    p1[one.at], seen1[one.at] = p, seen
-    return p1, seen1
+def _tally(answered: DataFrame) -> dict:
+    """Number of positions, of different runs with training occurrences, and by bin of the context's count the weight."""
+    rows = answered.where("chunk = -1").select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
+    sums = np.zeros(2 * BINS + 1)
+    for r in rows:
+        sums[r.k] = r.v
+    seen, single = sums[:BINS], sums[BINS : 2 * BINS]
+    return {"n": int(seen.sum()), "v": int(sums[-1]), "weight": (single + 0.5) / (seen + 1)}
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
     Training takes the rows whose crc32(doc_id as text) mod 5 is not 1; rows with a null doc_id are
     neither held out nor learnt from. A null text counts as empty: its end is its one token. With no
-    training rows all probabilities are 1. Rows that repeat a doc_id each count and have a row. Other
-    columns are ignored.
+    training rows all probabilities are 1. Rows that repeat a doc_id each count and have a row. An empty
+    table gives an empty result. Other columns are ignored. `depth` is the number of words of the longest
+    contexts; each one more is a further pass over the documents.
     """
     store = ChunkStore(docs)
-    buckets = store.buckets
-
-    def count_words(chunk: int, t: pa.Table) -> pa.Table:
-        x = Tokens(t)
-        return ask(chunk, x.words, x.counts, buckets)
-
-    counted = materialize(answer_words(store.map(count_words, ASKED)), "words")
-    n, v = (int(k or 0) for k in counted.agg(F.sum("n"), F.sum("v")).first())
-    told = counted.where("chunk >= 0").select("chunk", "bucket", "answer", F.lit(0).alias("level"))
-
-    def of(told: pa.Table, level: int) -> pa.Table:
-        return told.filter(pa.array(told.column("level").to_numpy() == level)) if told.num_rows else told
-
-    def ask_first(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
-        x = Tokens(t)
-        x.base(of(told, 0), (n, v))
-        return first_level(x).ask(chunk, buckets)
-
-    first = materialize(answer_contexts(store.meet(told, ask_first, ASKED)), "contexts")
-    told = told.unionByName(first.withColumn("level", F.lit(1)))
-
-    def ask_second(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
-        x = Tokens(t)
-        x.base(of(told, 0), (n, v))
-        one = first_level(x)
-        return second_level(x, one, *spread(x, one, of(told, 1))).ask(chunk, buckets)
-
-    second = materialize(answer_contexts(store.meet(told, ask_second, ASKED)), "contexts")
-    told = told.unionByName(second.withColumn("level", F.lit(2)))
+    buckets, mask = store.buckets, store.mask
+
+    def first(chunk: int, t: pa.Table) -> pa.Table:
+        keys, values, once = single_tokens(Tokens(t)).question()
+        return _ask(chunk, buckets, COUNTS, keys, values, once)
+
+    answered = [materialize(_answer(store.map(first, ASKED)), "words")]
+    found = {1: _tally(answered[0])}
+    told = answered[0].where("chunk >= 0").select("chunk", "bucket", "kind", "answer", F.lit(1).alias("level"))
+    for n in range(1, depth + 2):  # counts of runs of n tokens are known, and gains of contexts of n - 2 words
+
+        def ask(chunk: int, t: pa.Table, told: pa.Table, n: int = n, found: dict = dict(found)) -> pa.Table:
+            w = Walk(t, told, found, mask)
+            parts = []
+            if n <= depth:
+                keys, values, once = w.next.question()
+                parts.append(_ask(chunk, buckets, COUNTS, keys, values, once))
+            if n >= 2:
+                for level in range(1, n - 1):
+                    w.learn(level)
+                used, gains = w.gains(n - 1)
+                parts.append(_ask(chunk, buckets, GAINS, w.runs[n - 2].keys[used], [narrow(_signs(gains))]))
+            return pa.concat_tables(parts)
+
+        answered.append(materialize(_answer(store.meet(told, ask, ASKED)), "runs"))
+        level = F.when(F.col("kind") == COUNTS, n + 1).otherwise(n - 1)
+        told = told.union(answered[-1].where("chunk >= 0").select("chunk", "bucket", "kind", "answer", level.alias("level")))
+        if n <= depth:
+            found[n + 1] = _tally(answered[-1])
 
     def score(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
-        x = Tokens(t)
-        x.base(of(told, 0), (n, v))
-        one = first_level(x)
-        p, seen = spread(x, one, of(told, 1))
-        two = second_level(x, one, p, seen)
-        kept, p2, _ = two.learn(of(told, 2))
-        p[two.at[kept]] = p2[kept]
-        rows = t.num_rows
-        ints = lambda w: pa.array(np.bincount(x.doc, w, rows).astype(np.int64))
-        return pa.table({"doc_id": t.column("doc_id"), "held_out": pa.array(x.fold == HELD_OUT), "n_tokens": ints(np.ones(len(x.doc))), "n_known": ints(x.c > 0), "train_tokens": pa.array(np.full(rows, n)), "base_score": pa.array(np.bincount(x.doc, np.log10(x.p0), rows)), "score": pa.array(np.bincount(x.doc, np.log10(p), rows))})
+        w = Walk(t, told, found, mask)
+        for level in range(1, depth + 1):
+            w.learn(level)
+        x, rows = w.x, t.num_rows
+        ints = lambda y: pa.array(np.bincount(x.doc, y, rows).astype(np.int64))
+        return pa.table({"doc_id": t.column("doc_id"), "held_out": pa.array(x.fold == HELD_OUT), "n_tokens": ints(np.ones(len(x.doc))), "n_known": ints(w.runs[0].count > 0), "train_tokens": pa.array(np.full(rows, found[1]["n"])), "base_score": pa.array(np.bincount(x.doc, np.log10(w.p0), rows)), "score": pa.array(np.bincount(x.doc, np.log10(w.p), rows))})
 
     result = materialize(store.meet(told, score, SCORES), "scores")
     store.drop()
+    discard(*answered)
     return result

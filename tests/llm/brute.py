@@ -1,7 +1,9 @@
 """Plain versions of the dealt contracts, for small tables."""
 
 import hashlib
+import math
 import re
+import zlib
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -55,3 +57,50 @@ def remove_repeats(docs: list[tuple[int, str]], span: int = 50) -> dict[int, tup
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out[d] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def suffix_tree_scores(docs: list[tuple[int, str]], depth: int, least: int = 2, gain: float = 8.0, parts: int = 64) -> dict[int, tuple]:
+    """held_out and score of each document, from whole tables of runs."""
+    tokens = {d: [*WORD.findall(ascii_lower(t or "")), None] for d, t in docs}
+    train = {d for d in tokens if zlib.crc32(str(d).encode()) % 5 != 1}
+    count: dict[tuple, int] = {}
+    for d in train:
+        w = tokens[d]
+        for i in range(len(w)):
+            for n in range(1, min(depth + 1, i + 1) + 1):
+                run = tuple(w[i - n + 1 : i + 1])
+                count[run] = count.get(run, 0) + 1
+    total = sum(c for r, c in count.items() if len(r) == 1)
+    distinct = sum(1 for r in count if len(r) == 1)
+    weights: dict[tuple, float] = {}
+    for n in range(1, depth + 1):
+        seen: dict[int, list] = {}
+        for run, c in count.items():
+            if len(run) == n + 1 and count[run[:-1]] >= least:
+                s = seen.setdefault(int(math.log2(count[run[:-1]])), [0, 0])
+                s[0] += c
+                s[1] += c == 1
+        weights |= {(n, b): (x + 0.5) / (s + 1) for b, (s, x) in seen.items()}
+    kept: set = set()
+
+    def p(run: tuple) -> float:
+        """The last token's probability behind the others, in the longest kept suffix of these."""
+        x = run[-1]
+        if len(run) == 1:
+            return (count.get(run, 0) + 0.5) / (total + 0.5 * (distinct + 1))
+        if run[:-1] not in kept:
+            return p(run[1:])
+        n = count[run[:-1]]
+        w = weights.get((len(run) - 1, int(math.log2(n))), 0.5)
+        return (1 - w) * count.get(run, 0) / n + w * p((*run[1:-1], x))
+
+    for n in range(1, depth + 1):
+        gains: dict[tuple, int] = {}
+        for run, c in count.items():
+            ctx = run[:-1]
+            if len(run) == n + 1 and count[ctx] >= least:
+                w = weights[n, int(math.log2(count[ctx]))]
+                ratio = (1 - w) * (c - 1) / ((count[ctx] - 1) * p(run[1:])) + w
+                gains[ctx] = gains.get(ctx, 0) + c * round(parts * math.log(ratio))
+        kept |= {s for s, g in gains.items() if g > gain * parts}
+    return {d: (d not in train, sum(math.log10(p(tuple(w[max(0, i - depth) : i + 1]))) for i in range(len(w)))) for d, w in tokens.items()}

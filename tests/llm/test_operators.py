@@ -242,6 +242,29 @@ def test_suffix_tree_scores(spark):
     assert suffix_tree.score_texts(frame(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("depth", [1, 4])
+def test_suffix_tree_matches_brute_force(spark, depth):
+    import brute
+
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeÉF") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    passage = [rng.choice(words) + rng.choice("xyz") for _ in range(60)]
+    texts = [None, "", "  \n", "x" * 20_000]
+    for i in range(90):
+        w = [words[min(int(rng.expovariate(0.08)), 59)] for _ in range(rng.randint(0, 80))]
+        if i % 5 == 0:
+            w[len(w) // 2 : len(w) // 2] = passage[rng.randint(0, 20) : rng.randint(30, 60)]
+        texts.append(" ".join(w))
+    texts += [texts[30], texts[40], texts[40]]
+    rows = {r.doc_id: r for r in suffix_tree.score_texts(frame(spark, texts).repartition(3), depth).collect()}
+    want = brute.suffix_tree_scores(list(enumerate(texts)), depth)
+    for i, (held, score) in want.items():
+        assert rows[i].held_out == held and abs(rows[i].score - score) < 1e-6 * max(1, abs(score))
+    assert sum(r.score for r in rows.values()) > sum(r.base_score for r in rows.values())
+    doubled = suffix_tree.score_texts(frame(spark, texts).union(spark.createDataFrame([(None, texts[50], "c", 1)], "doc_id long, text string, start string, n_tokens int")).repartition(2), depth)
+    assert doubled.count() == len(texts) + 1
+
+
 def test_pipeline_stages_have_the_right_columns(spark):
     import corpus_pipeline
 
