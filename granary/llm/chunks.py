@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm import hashes
 from granary.llm.common import narrow, pack, pack_sorted, unpack, unpack_sorted, whole_text
 
 CHUNK_BYTES, LARGEST_CHUNK, BUCKET_BYTES = 8 << 20, 64 << 20, 16 << 20
 #: Chunks grow towards LARGEST_CHUNK before there are more than so many.
 FEW_CHUNKS = 90_000
-#: Bits of a key beyond those that number the bytes of the corpus.
-SPARE_BITS = 18
+#: Bits of a cut key beyond those that number the bytes of the corpus, and in all at least.
+SPARE_BITS, LEAST_BITS = 18, 48
 
 
 class ChunkStore:
@@ -47,7 +48,7 @@ class ChunkStore:
             self.spark.conf.set(most, str(self.chunks))
         self.buckets = int(max(12, -(-total // BUCKET_BYTES)))
         #: Keys cut to these bits coincide by chance for one in 2^SPARE_BITS at most, and pack better.
-        bits = min(64, int(total).bit_length() + SPARE_BITS)
+        bits = min(64, max(LEAST_BITS, int(total).bit_length() + SPARE_BITS))
         self.mask = np.uint64(((1 << bits) - 1) << (64 - bits))
         chunk = F.spark_partition_id() * F.lit(int(each)) + F.pmod(F.xxhash64("doc_id"), F.lit(int(each))).cast("int")
         self.name = f"granary_chunks_{uuid.uuid4().hex}"
@@ -93,7 +94,7 @@ def answer_totals(asked: DataFrame) -> DataFrame:
     def total(t: pa.Table) -> pa.Table:
         own = [unpack(x) for x in t.column("asked").to_pylist()]
         keys = [unpack_sorted(k) for k, _ in own]
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        every, place = hashes.distinct(np.concatenate(keys))
         sums = np.bincount(place, np.concatenate([c for _, c in own]).astype(float), len(every)).astype(np.uint64)
         cut = np.cumsum([0, *map(len, keys)])
         out = [pack(narrow(sums[place[a:b]])) for a, b in zip(cut[:-1], cut[1:])]

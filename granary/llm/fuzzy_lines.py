@@ -1,255 +1,335 @@
-"""Fuzzy line deduplication: shared word runs, edit similarity, connected groups.
+"""Fuzzy line deduplication: SimHash blocks, edit similarity, connected groups, and a search that misses nothing.
 
 Lines are normalised (lower case, ASCII punctuation and white space as single spaces); equal ones are one
-node. Of a pair of similar lines, the longer, of l words, is within d = floor((1 - SIMILARITY) l) edits of
-the other. Cut into d + 1 runs of equal length, one run is untouched and so is in the other line, at most d
-places off. Nodes meet on such runs: the search misses nothing. Runs that only one line has are left out
-in a packed exchange beforehand. Pairs that meet are checked for length and for the words that one lacks,
-and then for the edit similarity of their word sequences.
+node. Two lines are linked if the edit similarity of their word sequences, 1 - edits / words of the longer,
+is at least `similarity`.
+
+An edit of words leaves most runs of three words as they are, so a line can only have a link if enough of
+its runs also occur elsewhere. Counts of all runs, asked in packed form, leave few lines. These are hashed
+(SimHash over words); pairs of equal 16-bit blocks find what is within two bits, and the two smallest
+shared runs find most of the rest: lines that meet are compared with one of them, in rounds, and linked
+lines become components. SimHash cannot guarantee 0.8, so a last search does: of a line's shared runs,
+rarest first, the first ones are such that two linked lines have one of these in common. Runs whose lines
+are all in one component are done; for the others, lines of different components are compared.
+
+Lines of up to six words meet on runs of two words, since one edit may touch all runs of three.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import hashes
-from granary.llm.chunks import ANSWERED, ASKED, ChunkStore, answers, bucket_of
-from granary.llm.common import materialize, pack, pack_sorted, unpack, unpack_sorted
-from granary.llm.graph import components
+from granary.llm.chunks import ASKED, ChunkStore, answer_totals, answers, ask
+from granary.llm.common import discard, materialize
+from granary.llm.graph import joined_components, with_components
 
 SIMILARITY = 0.8
-#: Runs of more nodes first try one partner for each; pairs in one component are not tried again.
-LARGE = 16
+#: Rounds that compare each line with one of those it meets, before the last search.
+ROUNDS = 2
+#: Runs that more lines share are dealt in blocks of so many lines, each pair of blocks on its own.
+BLOCK = 2048
+#: Open runs up to this number are sent to all executors; more are joined by shuffle.
+BROADCAST_RUNS = 500_000
+#: Bits of a line's set of words.
+BITS = 512
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 
 class Lines:
-    """The lines of a chunk's documents: row, line number and key, and the hashes of their words."""
+    """The lines of a chunk's documents: row, line number, key and number of words, and the hashes of the words."""
 
     def __init__(self, t: pa.Table):
-        self.texts = [(b or b"").decode().split("\n") for b in t.column("bytes").to_pylist()]
-        count = np.array([len(x) for x in self.texts], np.int64)
+        texts = t.column("bytes").to_pylist()
+        count = np.array([b.count(b"\n") + 1 for b in texts], np.int64)
         self.row = np.repeat(np.arange(len(count)), count)
         self.line = np.arange(len(self.row)) - np.repeat(np.cumsum(count) - count, count)
-        every = [x.lower().encode() for own in self.texts for x in own]
-        self.key = np.zeros(len(every), np.uint64)
-        self.words = np.zeros(len(every), np.int64)
-        found = [np.zeros(0, np.uint64)]
-        at = 0
-        while at < len(every):
+        self.key, self.words = np.zeros(len(self.row), np.uint64), np.zeros(len(self.row), np.int64)
+        found, at, stop, line = [np.zeros(0, np.uint64)], 0, 0, 0
+        while at < len(texts):
             stop, size = at, 0
-            while stop < len(every) and (stop == at or size + len(every[stop]) < 1 << 20):
-                size += len(every[stop])
+            while stop < len(texts) and (stop == at or size + len(texts[stop]) < 1 << 20):
+                size += len(texts[stop])
                 stop += 1
-            found.append(self._batch(at, every[at:stop]))
+            found.append(self._batch(line, texts[at:stop]))
+            line += int(count[at:stop].sum())
             at = stop
         self.h = np.concatenate(found)
         self.start = np.cumsum(self.words) - self.words
 
-    def _batch(self, at: int, lines: list[bytes]) -> np.ndarray:
-        offsets = np.cumsum([0, *map(len, lines)])
-        h, line = hashes.words(_PLAIN[np.frombuffer(b"".join(lines), np.uint8)], offsets)
+    def _batch(self, at: int, texts: list[bytes]) -> np.ndarray:
+        data = np.frombuffer(b"\n".join([b.lower() if b.isascii() else b.decode().lower().encode() for b in texts]), np.uint8)
+        offsets = np.concatenate([[0], np.flatnonzero(data == 10) + 1, [len(data)]])
+        h, line = hashes.words(_PLAIN[data], offsets)
         if len(h):
             cut = np.flatnonzero(np.diff(line, prepend=-1))
-            own = line[cut] + at
             size = np.diff(np.append(cut, len(h)))
             place = np.arange(len(h)) - np.repeat(cut, size)
             up, _ = hashes.powers(int(size.max()) + 1)
-            self.key[own] = hashes.mix(np.add.reduceat(h * up[place], cut) + size.astype(np.uint64))
-            self.words[own] = size
+            self.key[line[cut] + at] = hashes.mix(np.add.reduceat(h * up[place], cut) + size.astype(np.uint64))
+            self.words[line[cut] + at] = size
         return h
 
-    def code(self, k: int) -> str:
-        """Line k's words as one letter each."""
-        h = self.h[self.start[k] : self.start[k] + self.words[k]]
-        return (h % np.uint64(40_000) + np.uint64(256)).astype("<u2").tobytes().decode("utf-16-le")
-
 
 def most_edits(size: np.ndarray, similarity: float) -> np.ndarray:
     """Edits that a pair may have whose longer line is of so many words."""
     return np.floor((1 - similarity) * size + 1e-9).astype(np.int64)
 
 
-class Runs:
-    """Word runs of some lines: hash, line (its place in `own`), position, and whether the line cuts itself there.
+def most_lost(q: int, size: np.ndarray, similarity: float) -> np.ndarray:
+    """Runs of q words that a line of so many words may have and a similar one may lack.
 
-    A line has its own d + 1 runs, and all runs of the lengths that lines longer than it by up to their d
-    are cut into.
+    An edit touches q runs, but an insertion one less; to a line of k words more belong k insertions. From
+    a partner's length on that is one period longer the number falls, so the lengths below are all.
     """
+    longer = np.arange(math.ceil(1 / max(1 - similarity, 1e-9)) + 1 if similarity < 1 else 1)
+    partner = size[:, None] + longer
+    edits = most_edits(partner, similarity)
+    return np.where(longer <= edits, q * edits - longer, 0).max(1, initial=0)
+
+
+def families(similarity: float) -> list[tuple[int, int, int]]:
+    """(q, least, most) words of the lines that meet on runs of q words: pairs with a line below the least of q = 3 meet on q = 2."""
+    size = np.arange(1, 200)
+    bad = size[size - 2 - most_lost(3, size, similarity) < 1]
+    first = int(bad.max()) + 1
+    reach = int(size[size - most_edits(size, similarity) < first].max())
+    short = np.arange(2, reach + 1)
+    if first > 100 or (short - 1 - most_lost(2, short, similarity) < 1).any():
+        raise ValueError("a similarity of 0.75 to 1 is needed")
+    return [(2, 2, reach), (3, first, 1 << 62)]
 
-    def __init__(self, x: Lines, own: np.ndarray, similarity: float):
-        size = x.words[own]
-        sizes = np.unique(size)
-        longest = int(sizes[-1]) if len(sizes) else 0
-        every = np.arange(int(longest / similarity) + 3)
-        edits = most_edits(every, similarity)
-        cut = np.where(edits > 0, every // (edits + 1), 0)
-        needs: dict[int, list[int]] = {}
-        for m in sizes.tolist():
-            last = int(np.searchsorted(every - edits, m, "right"))
-            for q in np.unique(cut[m:last]).tolist():
-                if q:
-                    needs.setdefault(q, []).append(m)
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        line = np.repeat(np.arange(len(own)), size)
-        h = x.h[np.repeat(x.start[own], size) + place]
-        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
-        for q, fit in sorted(needs.items()):
-            n = max(0, len(h) - q + 1)
-            joined = np.full(n, q, np.uint64)
+
+class Runs:
+    """Word runs of some lines: hash, line (its place in `own`), and distinct hashes with each run's place among them."""
+
+    def __init__(self, x: Lines, own: np.ndarray, similarity: float, mask: np.uint64):
+        self.size = size = x.words[own]
+        begin = np.cumsum(size) - size
+        self.place = np.arange(size.sum()) - np.repeat(begin, size)
+        self.word_line = np.repeat(np.arange(len(own)), size)
+        self.h = x.h[np.repeat(x.start[own] - begin, size) + np.arange(size.sum())]
+        parts, self.family = [], []
+        for q, least, most in families(similarity):
+            n = max(0, len(self.h) - q + 1)
+            of = size[self.word_line[:n]]
+            use = np.flatnonzero((self.place[:n] + q <= of) & (of >= least) & (of <= most))
+            joined = np.full(len(use), q, np.uint64)
             for k in range(q):
-                joined = hashes.mix(joined + h[k : k + n] + np.uint64(k + 1))
-            use = np.flatnonzero(np.isin(size, fit)[line[:n]] & (place[:n] + q <= size[line[:n]]))
-            of, at = line[use], place[use]
-            mine = (cut[size[of]] == q) & (at % q == 0) & (at // q <= edits[size[of]])
-            parts.append((joined[use], of, at, mine))
-        self.hash, self.line, self.at, self.own = (np.concatenate(c) for c in zip(*parts))
-        self.keys, self.place = np.unique(self.hash, return_inverse=True)
-
-    def ask(self, chunk: int, buckets: int) -> pa.Table:
-        """To each bucket the distinct hashes with how often they come (2: more) and whether a line cuts itself there."""
-        often = np.minimum(np.bincount(self.place, minlength=len(self.keys)), 2).astype(np.uint8)
-        own = (np.bincount(self.place, self.own, len(self.keys)) > 0).astype(np.uint8)
-        cut = np.searchsorted(bucket_of(self.keys, buckets), np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cut))
-        rows = [pack(pack_sorted(self.keys[c]), often[c], own[c]) for c in (slice(cut[b], cut[b + 1]) for b in full)]
-        return pa.table({"chunk": pa.array([chunk] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "asked": pa.array(rows, pa.binary())})
-
-
-def answer_shared(asked: DataFrame) -> DataFrame:
-    """To each chunk, whether its runs come more than once and some line cuts itself there."""
-
-    def total(t: pa.Table) -> pa.Table:
-        own = [unpack(x) for x in t.column("asked").to_pylist()]
-        keys = [unpack_sorted(x[0]) for x in own]
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        often, cuts = (np.bincount(place, np.concatenate([x[k] for x in own]), len(every)) for k in (1, 2))
-        shared = ((often > 1) & (cuts > 0)).astype(np.uint8)
-        cut = np.cumsum([0, *map(len, keys)])
-        out = [pack(shared[place[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
-        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "answer": pa.array(out, pa.binary())})
-
-    return asked.groupBy("bucket").applyInArrow(total, ANSWERED)
-
-
-def seen_words(x: Lines, own: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit sets of each line's words."""
-    size = x.words[own]
-    begin = np.cumsum(size) - size
-    h = x.h[np.repeat(x.start[own] - begin, size) + np.arange(size.sum())]
-    bit = np.uint64(1) << (h & np.uint64(63))
-    upper = (h >> np.uint64(6)) & np.uint64(1) == 1
-    return [np.bitwise_or.reduceat(np.where(upper == k, bit, np.uint64(0)), begin).astype(np.int64) if len(own) else np.zeros(0, np.int64) for k in (False, True)]
+                joined = hashes.mix(joined + self.h[use + k] + np.uint64(k + 1))
+            parts.append((joined & mask, self.word_line[use]))
+            self.family.append(slice(sum(len(p[0]) for p in parts[:-1]), sum(len(p[0]) for p in parts)))
+        self.hash, self.line = (np.concatenate(c) for c in zip(*parts))
+        self.keys, self.slot = hashes.distinct(self.hash)
 
 
 LINE = "chunk int, doc_id long, line int, key long"
-RUN = "run long, key long, size int, at int, own boolean, w0 long, w1 long"
-
-
-def may_link(similarity: float) -> Column:
-    """Whether a and b, by their lengths and the words that one lacks, can be similar."""
-    edits = F.floor(F.greatest("a.size", "b.size") * (1 - similarity) + 1e-9)
-    lacks = lambda x, y: sum(F.bit_count(F.col(f"{x}.{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{w}")))) for w in ("w0", "w1"))
-    return (F.abs(F.col("a.size") - F.col("b.size")) <= edits) & (lacks("a", "b") <= edits) & (lacks("b", "a") <= edits)
-
-
-def _linked(pairs: DataFrame, store: ChunkStore, where: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar. where: chunk, doc_id, line, key of each node."""
-    near = materialize(pairs.distinct(), "pairs")
-    nodes = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).distinct()
-
-    def texts(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
-        wanted = set(zip(told.column("doc_id").to_pylist(), told.column("line").to_pylist(), told.column("key").to_pylist()))
-        docs = {d for d, _, _ in wanted}
-        t = t.filter(pa.array([d in docs for d in t.column("doc_id").to_pylist()], pa.bool_()))
-        out: dict[int, str] = {}
-        if t.num_rows:
-            x = Lines(t)
-            ids = t.column("doc_id").to_pylist()
-            for k, (r, n, key) in enumerate(zip(x.row.tolist(), x.line.tolist(), x.key.astype(np.int64).tolist())):
-                if (ids[r], n, key) in wanted and key not in out:
-                    out[key] = x.code(k)
-        return pa.table({"key": pa.array(list(out), pa.int64()), "code": pa.array(list(out.values()), pa.string())})
-
-    told = where.join(nodes, "key").select("chunk", "doc_id", "line", "key")
-    code = materialize(store.meet(told, texts, "key long, code string"), "codes")
-    a = code.select(F.col("key").alias("a"), F.col("code").alias("a_code"))
-    b = code.select(F.col("key").alias("b"), F.col("code").alias("b_code"))
-    longest = F.greatest(F.length("a_code"), F.length("b_code"))
-    edits = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
+SURVIVOR = "key long, size int, code string, seen binary, simhash long, run array<long>, often array<int>"
+_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+
+def _survivors(x: Lines, own: np.ndarray, runs: Runs, counts: np.ndarray, similarity: float) -> pa.Table:
+    """Lines with enough shared runs to have a link, with their words as letters, set of words, SimHash, and the runs that they can be met on."""
+    often = counts[runs.slot] if len(runs.slot) else np.zeros(0, np.int64)
+    parts = []
+    for (q, least, most), s in zip(families(similarity), runs.family):
+        line, df, run = runs.line[s], often[s], runs.hash[s]
+        shared = np.bincount(line, df > 1, len(own)).astype(np.int64)
+        need = runs.size - q + 1 - most_lost(q, runs.size, similarity)
+        able = (runs.size >= least) & (runs.size <= most) & (shared >= need)
+        use = np.flatnonzero((df > 1) & able[line])
+        line, df, run = line[use], df[use], run[use]
+        order = np.lexsort((run, df, line))
+        line, df, run = line[order], df[order], run[order]
+        first = np.flatnonzero(np.diff(line, prepend=-1))
+        rank = np.arange(len(line)) - np.repeat(first, np.diff(np.append(first, len(line))))
+        keep = rank < (shared - need + 1)[line]
+        keep[1:] &= (run[1:] != run[:-1]) | (line[1:] != line[:-1])
+        parts.append((line[keep], df[keep], run[keep]))
+    line, df, run = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(line, kind="stable")
+    line, df, run = line[order], df[order], run[order]
+    found, n = np.unique(line, return_counts=True)
+    place = np.full(len(own), -1)
+    place[found] = np.arange(len(found))
+    use = np.flatnonzero(place[runs.word_line] >= 0)
+    h, of = runs.h[use], place[runs.word_line[use]]
+    cut = np.flatnonzero(np.diff(of, prepend=-1))
+    # Words as 2^20 letters beyond the basic plane.
+    letters = (h % np.uint64(1 << 20) + np.uint64(1 << 16)).astype("<u4").tobytes().decode("utf-32-le")
+    code = [letters[a:b] for a, b in zip(cut.tolist(), np.append(cut[1:], len(h)).tolist())]
+    seen = np.zeros((len(found), BITS // 8), np.uint8)
+    bit = (h >> np.uint64(20)) % np.uint64(BITS)
+    np.bitwise_or.at(seen.reshape(-1), of * (BITS // 8) + (bit >> np.uint64(3)).astype(np.int64), (1 << (bit & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+    simhash = np.zeros(len(found), np.uint64)
+    size = runs.size[found]
+    for b in range(64 if len(found) else 0):
+        ones = np.add.reduceat(((h >> np.uint64(b)) & np.uint64(1)).astype(np.int64), cut)
+        simhash |= (2 * ones > size).astype(np.uint64) << np.uint64(b)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+    columns = [x.key[own][found].astype(np.int64), size, code, [s.tobytes() for s in seen], simhash.astype(np.int64)]
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(run.astype(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.minimum(df, (1 << 31) - 1).astype(np.int32)))]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, _KINDS)] + lists, names=["key", "size", "code", "seen", "simhash", "run", "often"])
+
+
+def _similar(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose word sequences are similar."""
+    a = lines.select(F.col("key").alias("a"), F.col("code").alias("a_code"), F.col("size").alias("a_size"))
+    b = lines.select(F.col("key").alias("b"), F.col("code").alias("b_code"), F.col("size").alias("b_size"))
+    edits = F.floor(F.greatest("a_size", "b_size") * (1 - similarity) + 1e-9).cast("int")
     within = F.call_function("levenshtein", F.col("a_code"), F.col("b_code"), edits) >= 0
-    return near.join(a, "a").join(b, "b").where(within).select("a", "b")
+    return pairs.join(b, "b").join(a, "a").where(F.abs(F.col("a_size") - F.col("b_size")) <= edits).where(within).select("a", "b")
+
+
+def _meetings(lines: DataFrame) -> DataFrame:
+    """token, key: pairs of the SimHash's four blocks, and each line's two smallest runs."""
+    block = [F.shiftrightunsigned("simhash", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
+    pairs = [F.xxhash64(F.lit(4 * i + j), block[i], block[j]) for i in range(4) for j in range(i)]
+    return lines.select("key", F.explode(F.concat(F.array(*pairs), F.slice(F.array_sort("run"), 1, 2))).alias("token"))
+
+
+def _one_each(lines: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Pairs (a, b): of each token's components one line each, with that of the smallest key."""
+    rows = with_components(_meetings(lines), comps, "key")
+    each = rows.groupBy("token", "comp").agg(F.min("key").alias("key"))
+    hub = each.groupBy("token").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("token", "a")
+    return each.join(hub, "token").where("a <> key").select("a", F.col("key").alias("b")).distinct()
+
+
+MET = "run long, i int, j int, key long, comp long, size int, seen binary"
+
+
+def _pairs_of(t: pa.Table, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of lines of one run and of different components that lengths and sets of words leave."""
+    c = {k: t.column(k).to_numpy() for k in ("run", "i", "j", "key", "comp", "size")}
+    seen = np.frombuffer(b"".join(t.column("seen").to_pylist()), np.uint64).reshape(t.num_rows, BITS // 64)
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for k in ("run", "i", "j"):
+        new[1:] |= c[k][1:] != c[k][:-1]
+    cut = np.flatnonzero(new)
+    for lo, hi in zip(cut.tolist(), np.append(cut[1:], t.num_rows).tolist()):
+        size, comp, key, sets = c["size"][lo:hi].astype(np.int64), c["comp"][lo:hi], c["key"][lo:hi], seen[lo:hi]
+        edits = most_edits(size, similarity)
+        # In order of size: a line's shorter partners begin where sizes reach its own less its edits.
+        first = np.searchsorted(size, size - edits)
+        for at in range(0, hi - lo, 128):
+            b = np.arange(at, min(at + 128, hi - lo))
+            a = np.arange(int(first[b[0]]), int(b[-1]) + 1)
+            able = (a[None] < b[:, None]) & (a[None] >= first[b][:, None]) & (comp[a][None] != comp[b][:, None])
+            y, x = np.nonzero(able)
+            x, y = a[x], b[y]
+            for k in range(0, len(x), 1 << 16):
+                p, r = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                lacks = np.maximum(np.bitwise_count(sets[p] & ~sets[r]).sum(1, dtype=np.int64), np.bitwise_count(sets[r] & ~sets[p]).sum(1, dtype=np.int64))
+                good = lacks <= edits[r]
+                if good.any():
+                    yield np.stack([np.minimum(key[p[good]], key[r[good]]), np.maximum(key[p[good]], key[r[good]])], 1)
+
+
+def _all_left(lines: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components that share one of the runs that they can be met on."""
+    own = materialize(with_components(lines.select("key", "size", "seen", "run", "often"), comps, "key"), "grouped")
+    runs = own.select("comp", F.explode(F.arrays_zip("run", "often")).alias("r")).select("comp", "r.run", "r.often")
+    met = runs.groupBy("run").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("often").alias("often"))
+    left = materialize(met.where("low <> high").select("run", F.ceil(F.col("often") / BLOCK).cast("int").alias("blocks")), "open-runs")
+    n = left.count()
+    rows = own.select("key", "comp", "size", "seen", F.explode("run").alias("run")).join(F.broadcast(left) if n <= BROADCAST_RUNS else left, "run")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("run", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "comp", "size", "seen")
+    rows = rows.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "size", "key")
+
+    def find(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            found = list(_pairs_of(t, similarity))
+            if found:
+                pair = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+        for p in parts:
+            held.append(p)
+            if sum(h.num_rows for h in held) >= 20_000:
+                t = pa.Table.from_batches(held)
+                same = np.logical_and.reduce([t.column(k).to_numpy() == t.column(k)[-1].as_py() for k in ("run", "i", "j")])
+                if at := int(np.argmax(same)):
+                    yield from done(t.slice(0, at))
+                    held = t.slice(at).combine_chunks().to_batches()
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    pairs = materialize(rows.mapInArrow(find, "a long, b long").distinct(), "pairs")
+    discard(own, left)
+    return pairs
 
 
 def _groups(lines: DataFrame, store: ChunkStore, similarity: float) -> DataFrame:
-    """key, first (the group's first occurrence) of lines that are equal or similar to others."""
+    """key, kept (the group's first occurrence) of lines that are equal or similar to others."""
+    buckets, mask = store.buckets, store.mask
     nodes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "chunk")).alias("first"), F.count("*").alias("n"))
-    nodes, buckets = materialize(nodes, "lines"), store.buckets
-    where = nodes.select("key", "first.doc_id", "first.line", "first.chunk")
+    nodes = materialize(nodes.select("key", "first", F.col("n") > 1, F.col("first.chunk").alias("chunk"), F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")).toDF("key", "first", "twice", "chunk", "doc_id", "line"), "lines")
+    where = nodes.select("chunk", "doc_id", "line", "key")
 
     def firsts(t: pa.Table, told: pa.Table) -> tuple[Lines, np.ndarray]:
         """The lines told of, in the order of the chunk; of repeated rows of a document the first counts."""
-        wanted = {k: (d, n) for d, n, k in zip(told.column("doc_id").to_pylist(), told.column("line").to_pylist(), told.column("key").to_pylist()) if k is not None}
         x = Lines(t)
-        ids, own = t.column("doc_id").to_pylist(), []
-        for i, (r, n, k) in enumerate(zip(x.row.tolist(), x.line.tolist(), x.key.astype(np.int64).tolist())):
-            if wanted.get(k) == (ids[r], n):
-                del wanted[k]
-                own.append(i)
-        return x, np.array(own, np.int64)
+        key = told.column("key").to_numpy().astype(np.int64)
+        if not len(key):
+            return x, np.zeros(0, np.int64)
+        order = np.argsort(key)
+        own = x.key.astype(np.int64)
+        at = order[np.minimum(np.searchsorted(key, own, sorter=order), len(key) - 1)]
+        doc = np.array([-1 if i is None else i for i in t.column("doc_id").to_pylist()], np.int64)[x.row]
+        null = np.array([i is None for i in t.column("doc_id").to_pylist()], bool)[x.row]
+        hit = np.flatnonzero((key[at] == own) & (told.column("doc_id").to_numpy()[at] == doc) & (told.column("line").to_numpy()[at] == x.line) & (x.words > 0) & ~null)
+        return x, np.sort(hit[np.unique(own[hit], return_index=True)[1]])
 
     def ask_runs(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
-        return Runs(*firsts(t, told), similarity).ask(chunk, buckets)
-
-    shared = materialize(answer_shared(store.meet(where, ask_runs, ASKED)), "shared")
-
-    def list_runs(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
-        is_line = pa.array(told.column("key").is_valid().to_numpy(), pa.bool_())
-        x, own = firsts(t, told.filter(is_line))
-        runs = Runs(x, own, similarity)
-        asked = told.filter(pa.array(~is_line.to_numpy(zero_copy_only=False)))
-        use = np.flatnonzero((answers(asked) > 0)[runs.place]) if len(runs.keys) else np.zeros(0, np.int64)
-        line = runs.line[use]
-        w0, w1 = seen_words(x, own)
-        return pa.table({"run": runs.hash[use].astype(np.int64), "key": x.key[own][line].astype(np.int64), "size": x.words[own][line].astype(np.int32), "at": runs.at[use].astype(np.int32), "own": runs.own[use], "w0": w0[line], "w1": w1[line]})
-
-    told = where.unionByName(shared, allowMissingColumns=True)
-    met = materialize(store.meet(told, list_runs, RUN), "runs")
-    sizes = met.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("key", "size", "w0", "w1")).alias("a"), F.max("key").alias("most")).where("n > 1 and a.key <> most")
-    sizes = materialize(sizes, "meetings")
-    star = met.alias("b").join(sizes.where(F.col("n") > LARGE), "run").where(F.col("a.key") != F.col("b.key")).where(may_link(similarity))
-    links = materialize(_linked(star.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")), store, where, similarity), "links")
-    comps = components(links)
-    rows = met.join(sizes.select("run"), "run").join(comps, F.col("key") == F.col("node"), "left")
-    rows = rows.select(*met.columns, F.coalesce("comp", "key").alias("comp"))
-    open_runs = rows.groupBy("run").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    rows = materialize(rows.join(open_runs.select("run"), "run"), "meetings")
-    edits = F.floor(F.col("a.size") * (1 - similarity) + 1e-9)
-    meet = (F.col("a.run") == F.col("b.run")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("a.size") >= F.col("b.size")) & (F.abs(F.col("a.at") - F.col("b.at")) <= edits)
-    pairs = rows.where("own").alias("a").join(rows.alias("b"), meet & may_link(similarity))
-    pairs = pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"))
-    more = materialize(_linked(pairs, store, where, similarity), "links")
-    comps = components(links.union(more))
-    own = nodes.join(comps, F.col("key") == F.col("node"), "left").where("n > 1 or comp is not null")
+        runs = Runs(*firsts(t, told), similarity, mask)
+        return ask(chunk, runs.keys, np.bincount(runs.slot, minlength=len(runs.keys)), buckets)
+
+    counted = materialize(answer_totals(store.meet(where, ask_runs, ASKED)), "counts")
+
+    def survive(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
+        is_line = told.column("key").is_valid().to_numpy().astype(bool)
+        x, own = firsts(t, told.filter(pa.array(is_line)))
+        runs = Runs(x, own, similarity, mask)
+        return _survivors(x, own, runs, answers(told.filter(pa.array(~is_line))).astype(np.int64), similarity)
+
+    left = materialize(store.meet(where.unionByName(counted, allowMissingColumns=True), survive, SURVIVOR), "able-lines")
+    discard(counted)
+    comps = None
+    for _ in range(ROUNDS):
+        comps = joined_components(comps, _similar(_one_each(left, comps), left, similarity))
+    pairs = _all_left(left, comps, similarity)
+    comps = joined_components(comps, _similar(pairs, left, similarity))
+    own = nodes.join(comps, F.col("key") == F.col("node"), "left").where("twice or comp is not null")
     own = own.select("key", F.coalesce("comp", "key").alias("comp"), F.struct("first.doc_id", "first.line").alias("first"))
-    return own.join(own.groupBy("comp").agg(F.min("first").alias("kept")), "comp").select("key", "kept")
+    groups = materialize(own.join(own.groupBy("comp").agg(F.min("first").alias("kept")), "comp").select("key", "kept"), "groups")
+    discard(left, pairs, nodes)
+    return groups
 
 
 KEPT = "doc_id long, n_lines long, n_removed long, kept string"
 
 
-def drop_similar_lines(docs: DataFrame, distance: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
+def drop_similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines, n_removed, kept (the text without its removed lines) of each row.
 
     Of each connected group of similar lines the first occurrence, by doc_id and line number, stays. Lines
     without letters or digits always stay. A null text counts as empty: one empty line. Rows with a null
     doc_id stay whole and take no part; rows that repeat a doc_id count as one document, whose lines of
     one number are one occurrence. An empty table gives an empty result. Other columns are ignored.
-    `distance`, once a bound on SimHash bits, no longer limits what is found.
+    `similarity` is from 0.75 to 1. In the comparison words are told apart by 20 bits of their hash: two
+    different ones count as equal once in a million.
     """
     store = ChunkStore(docs)
 
@@ -261,7 +341,7 @@ def drop_similar_lines(docs: DataFrame, distance: int | None = None, similarity:
         return pa.table({"chunk": pa.array(np.full(len(own), chunk, np.int32)), "doc_id": doc, "line": pa.array(x.line[own].astype(np.int32)), "key": x.key[own].astype(np.int64)})
 
     lines = materialize(store.map(describe, LINE), "all-lines")
-    groups = materialize(_groups(lines, store, similarity), "groups")
+    groups = _groups(lines, store, similarity)
     gone = lines.join(groups, "key").where("doc_id <> kept.doc_id or line <> kept.line").select("chunk", "doc_id", "line", "key")
 
     def cut(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
@@ -269,20 +349,25 @@ def drop_similar_lines(docs: DataFrame, distance: int | None = None, similarity:
         for d, n, k in zip(told.column("doc_id").to_pylist(), told.column("line").to_pylist(), told.column("key").to_pylist()):
             drop.setdefault(d, set()).add((n, k))
         ids = t.column("doc_id").to_pylist()
-        out = []
         hit = [i for i, d in enumerate(ids) if d in drop]
-        keys: dict[int, np.ndarray] = {}
-        if hit:
-            x = Lines(t.take(pa.array(hit)))
-            for i, own in zip(hit, np.split(x.key.astype(np.int64), np.flatnonzero(np.diff(x.row)) + 1)):
-                keys[i] = own
+        # Of a document with one row here the line numbers are enough; of repeated rows the lines are compared.
+        twice = [i for i in hit if ids.count(ids[i]) > 1] if len({ids[i] for i in hit}) < len(hit) else []
+        keys: dict[int, list[int]] = {}
+        if twice:
+            x = Lines(t.take(pa.array(twice)))
+            keys = {i: own.tolist() for i, own in zip(twice, np.split(x.key.astype(np.int64), np.flatnonzero(np.diff(x.row)) + 1))}
+        out = []
         for i, (d, text) in enumerate(zip(ids, t.column("bytes").to_pylist())):
-            own = text.decode().split("\n")
-            kept = own if i not in keys else [s for n, (s, k) in enumerate(zip(own, keys[i].tolist())) if (n, k) not in drop[d]]
-            out.append((d, len(own), len(own) - len(kept), "\n".join(kept)))
+            own, kept = text.count(b"\n") + 1, text.decode()
+            lost = 0
+            if d in drop:
+                gone = {n for n, k in drop[d] if i not in keys or (n < own and keys[i][n] == k)}
+                lost, kept = len(gone), "\n".join([s for n, s in enumerate(kept.split("\n")) if n not in gone])
+            out.append((d, own, lost, kept))
         columns = list(zip(*out)) if out else [[]] * 4
         return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.string()])], names=["doc_id", "n_lines", "n_removed", "kept"])
 
     result = materialize(store.meet(gone, cut, KEPT), "kept")
     store.drop()
+    discard(lines, groups)
     return result

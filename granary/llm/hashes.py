@@ -33,10 +33,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Ranges:
     """hash(starts, ends): a 64-bit hash of each byte range, the same wherever those bytes lie."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, letters: np.ndarray = _LETTERS):
         up, self.down = powers(len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_LETTERS[data] * up[: len(data)], dtype=np.uint64, out=self.sums[1:])
+        terms = letters[data]
+        np.multiply(terms, up[: len(data)], out=terms)
+        np.cumsum(terms, out=self.sums[1:])
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
@@ -44,8 +46,7 @@ class Ranges:
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """hash and document number of each word `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, in order."""
-    low = LOWER[data]
-    gap = SPACE[low]
+    gap = SPACE[data]
     edge = np.ones(len(data) + 1, bool)  # a space, or a document's start, before
     edge[1:-1] = gap[:-1]
     edge[offsets[:-1]] = True
@@ -54,7 +55,49 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stop[:-1] = gap[1:]
     stop[offsets[1:][offsets[1:] > 0] - 1] = True
     ends = np.flatnonzero(~gap & stop) + 1
-    return Ranges(low).hash(starts, ends), np.searchsorted(offsets, starts, "right") - 1
+    cut = np.searchsorted(starts, offsets)
+    return Ranges(data, _LETTERS[LOWER]).hash(starts, ends), np.repeat(np.arange(len(offsets) - 1), np.diff(cut))
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and each key's place among them.
+
+    Sorts one number of a key's upper bits and its place, which is several times faster than sorting places
+    by keys; keys that agree in those bits are put right after.
+    """
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    low = np.uint64((1 << int(len(keys)).bit_length()) - 1)
+    both = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    order = (both & low).astype(np.int64)
+    own = keys[order]
+    if (own[1:] < own[:-1]).any():
+        again = np.argsort(own, kind="stable")
+        order, own = order[again], own[again]
+    new = np.ones(len(own), bool)
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    place = np.empty(len(own), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return own[new], place
+
+
+def order_within(group: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The order by group (small numbers) and then key: one number of group, upper bits of the key and place is sorted."""
+    n = len(keys)
+    if not n:
+        return np.zeros(0, np.int64)
+    of_place, of_group = int(n).bit_length(), max(1, int(group.max()).bit_length())
+    middle = 64 - of_place - of_group
+    if middle < 24:
+        return np.lexsort((keys, group))
+    both = (group.astype(np.uint64) << np.uint64(64 - of_group)) | (keys >> np.uint64(64 - middle) << np.uint64(of_place)) | np.arange(n, dtype=np.uint64)
+    both.sort()
+    order = (both & np.uint64((1 << of_place) - 1)).astype(np.int64)
+    g, k = group[order], keys[order]
+    if ((g[1:] == g[:-1]) & (k[1:] < k[:-1])).any():
+        order = order[np.lexsort((k, g))]
+    return order
 
 
 def shingles(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +121,7 @@ def shingles(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
         short_hash.append(x[0])
     d = np.concatenate([doc[: len(joined)][own], np.array(short_doc, np.int64)])
     x = np.concatenate([joined[own], np.array(short_hash, np.uint64)])
-    order = np.lexsort((x, d))
+    order = order_within(d, x)
     d, x = d[order], x[order]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1])

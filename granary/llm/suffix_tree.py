@@ -69,7 +69,7 @@ class Runs:
         self.sure = np.zeros(len(at), bool) if sure is None else sure
         self.seen = seen
         self.asked = at[~self.sure]
-        self.keys, inverse = np.unique(run[self.asked] & mask, return_inverse=True)
+        self.keys, inverse = hashes.distinct(run[self.asked] & mask)
         self.slot = np.full(len(x.token), -1, np.int64)
         self.slot[self.asked] = inverse
 
@@ -190,7 +190,7 @@ def _answer(asked: DataFrame) -> DataFrame:
                 continue
             told = [unpack(x) for x in own.column("asked").to_pylist()]
             keys = [unpack_sorted(x[0]) for x in told]
-            every, place = np.unique(np.concatenate(keys), return_inverse=True)
+            every, place = hashes.distinct(np.concatenate(keys))
             value = np.concatenate([x[1].astype(np.int64) for x in told])
             if kind == GAINS:
                 value = (value >> 1) ^ -(value & 1)

@@ -86,12 +86,13 @@ def test_similar_lines_go_once(spark):
     near = line.replace(words[7], "other")
     far = " ".join(words[100:160])
     docs = [(1, f"{line}\n{far}\n--"), (2, f"{far.upper()}!\nkept {words[200]}"), (3, f"{line}\n--"), (4, near), (5, None), (6, " ".join(words[:30] + words[200:230]))]
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in fuzzy_lines.drop_similar_lines(frame(spark, docs), distance=12).collect()}
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in fuzzy_lines.drop_similar_lines(frame(spark, docs)).collect()}
     assert got[1] == (3, 0, docs[0][1]) and got[2] == (2, 1, f"kept {words[200]}") and got[3] == (2, 1, "--")
     assert got[4] == (1, 1, "") and got[5] == (1, 0, "") and got[6][1] == 0
 
 
-def test_similar_lines_match_brute_force_with_registered_parameters(spark):
+@pytest.mark.parametrize("block,rounds", [(fuzzy_lines.BLOCK, fuzzy_lines.ROUNDS), (7, 1)])
+def test_similar_lines_match_brute_force_with_registered_parameters(spark, monkeypatch, block, rounds):
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
     lines = []
@@ -123,5 +124,34 @@ def test_similar_lines_match_brute_force_with_registered_parameters(spark):
                 low, high = sorted((first[a], first[b]))
                 first = [low if f == high else f for f in first]
     docs = [(i, " ".join(w)) for i, w in enumerate(lines)]
+    monkeypatch.setattr(fuzzy_lines, "BLOCK", block)
+    monkeypatch.setattr(fuzzy_lines, "ROUNDS", rounds)
     got = {r.doc_id for r in fuzzy_lines.drop_similar_lines(frame(spark, docs)).collect() if not r.n_removed}
     assert got == set(first) and len(first) - len(got) > 25
+
+
+def test_bounds_on_lost_runs():
+    """No edit script of so few edits loses more runs than the bound says."""
+    rng = random.Random(5)
+    for _ in range(3000):
+        n = rng.randint(2, 30)
+        a = [rng.randrange(1000) for _ in range(n)]
+        b = list(a)
+        edits = 0
+        while edits + 1 <= 0.2 * max(len(a), len(b) + 1) + 1e-9 and rng.random() < 0.9:
+            k = rng.randrange(len(b))
+            kind = rng.randrange(3)
+            b[k : k + 1] = [rng.randrange(1000)] if kind == 0 else [] if kind == 1 and len(b) > 1 else [b[k], rng.randrange(1000)]
+            edits += 1
+        if edits > 0.2 * max(len(a), len(b)) + 1e-9:
+            continue
+        met = False
+        for q, least, most in fuzzy_lines.families(0.8):
+            if all(least <= len(x) <= most for x in (a, b)):
+                met = True
+                for x, y in ((a, b), (b, a)):
+                    other = {tuple(y[i : i + q]) for i in range(len(y) - q + 1)}
+                    lost = sum(tuple(x[i : i + q]) not in other for i in range(len(x) - q + 1))
+                    bound = fuzzy_lines.most_lost(q, fuzzy_lines.np.array([len(x)]), 0.8)[0]
+                    assert lost <= bound < len(x) - q + 1
+        assert met or a == b
