@@ -10,7 +10,8 @@ its runs also occur elsewhere. Counts of all runs, asked in packed form, leave f
 shared runs find most of the rest: lines that meet are compared with one of them, in rounds, and linked
 lines become components. SimHash cannot guarantee 0.8, so a last search does: of a line's shared runs,
 rarest first, the first ones are such that two linked lines have one of these in common. Runs whose lines
-are all in one component are done; for the others, lines of different components are compared.
+are all in one component are done. For the others, each line is first compared with the line of another
+component that has most words in common with it, and then lines of components that are still apart are.
 
 Lines of up to six words meet on runs of two words, since one edit may touch all runs of three.
 """
@@ -31,8 +32,8 @@ from granary.llm.common import discard, materialize
 from granary.llm.graph import joined_components, with_components
 
 SIMILARITY = 0.8
-#: Rounds that compare each line with one of those it meets, before the last search.
-ROUNDS = 2
+#: Rounds that compare each line with one of those it meets, and with its nearest, before the last search.
+ROUNDS = 1
 #: Runs that more lines share are dealt in blocks of so many lines, each pair of blocks on its own.
 BLOCK = 2048
 #: Open runs up to this number are sent to all executors; more are joined by shuffle.
@@ -196,18 +197,18 @@ def _meetings(lines: DataFrame) -> DataFrame:
 
 
 def _one_each(lines: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Pairs (a, b): of each token's components one line each, with that of the smallest key."""
+    """Pairs (a, b): of each token's components one line each, with the smallest key that it meets."""
     rows = with_components(_meetings(lines), comps, "key")
     each = rows.groupBy("token", "comp").agg(F.min("key").alias("key"))
     hub = each.groupBy("token").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("token", "a")
-    return each.join(hub, "token").where("a <> key").select("a", F.col("key").alias("b")).distinct()
+    return each.join(hub, "token").where("a <> key").groupBy(F.col("key").alias("b")).agg(F.min("a").alias("a"))
 
 
 MET = "run long, i int, j int, key long, comp long, size int, seen binary"
 
 
 def _pairs_of(t: pa.Table, similarity: float) -> Iterator[np.ndarray]:
-    """Pairs of lines of one run and of different components that lengths and sets of words leave."""
+    """Pairs of lines of one run and of different components that lengths and sets of words leave, and how many words one lacks."""
     c = {k: t.column(k).to_numpy() for k in ("run", "i", "j", "key", "comp", "size")}
     seen = np.frombuffer(b"".join(t.column("seen").to_pylist()), np.uint64).reshape(t.num_rows, BITS // 64)
     new = np.zeros(t.num_rows, bool)
@@ -231,11 +232,18 @@ def _pairs_of(t: pa.Table, similarity: float) -> Iterator[np.ndarray]:
                 lacks = np.maximum(np.bitwise_count(sets[p] & ~sets[r]).sum(1, dtype=np.int64), np.bitwise_count(sets[r] & ~sets[p]).sum(1, dtype=np.int64))
                 good = lacks <= edits[r]
                 if good.any():
-                    yield np.stack([np.minimum(key[p[good]], key[r[good]]), np.maximum(key[p[good]], key[r[good]])], 1)
+                    yield np.stack([np.minimum(key[p[good]], key[r[good]]), np.maximum(key[p[good]], key[r[good]]), lacks[good]], 1)
 
 
-def _all_left(lines: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different components that share one of the runs that they can be met on."""
+def _nearest(pairs: np.ndarray) -> np.ndarray:
+    """For each line the pair of fewest lacking words; lines as first, partners as second number."""
+    both = np.concatenate([pairs, pairs[:, [1, 0, 2]]])
+    both = both[np.lexsort((both[:, 1], both[:, 2], both[:, 0]))]
+    return both[np.diff(both[:, 0], prepend=~both[0, 0]) != 0]
+
+
+def _all_left(lines: DataFrame, comps: DataFrame, similarity: float, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components that share one of the runs that they can be met on; with `nearest` one of each line only."""
     own = materialize(with_components(lines.select("key", "size", "seen", "run", "often"), comps, "key"), "grouped")
     runs = own.select("comp", F.explode(F.arrays_zip("run", "often")).alias("r")).select("comp", "r.run", "r.often")
     met = runs.groupBy("run").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("often").alias("often"))
@@ -252,8 +260,8 @@ def _all_left(lines: DataFrame, comps: DataFrame, similarity: float) -> DataFram
         def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
             found = list(_pairs_of(t, similarity))
             if found:
-                pair = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+                pair = _nearest(np.concatenate([_nearest(x) for x in found])) if nearest else np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, k]) for k in range(3)], names=["a", "b", "lacks"])
 
         for p in parts:
             held.append(p)
@@ -266,7 +274,10 @@ def _all_left(lines: DataFrame, comps: DataFrame, similarity: float) -> DataFram
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    pairs = materialize(rows.mapInArrow(find, "a long, b long").distinct(), "pairs")
+    found = rows.mapInArrow(find, "a long, b long, lacks long")
+    if nearest:
+        found = found.groupBy("a").agg(F.min(F.struct("lacks", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     discard(own, left)
     return pairs
 
@@ -309,6 +320,9 @@ def _groups(lines: DataFrame, store: ChunkStore, similarity: float) -> DataFrame
     comps = None
     for _ in range(ROUNDS):
         comps = joined_components(comps, _similar(_one_each(left, comps), left, similarity))
+        pairs = _all_left(left, comps, similarity, nearest=True)
+        comps = joined_components(comps, _similar(pairs, left, similarity))
+        discard(pairs)
     pairs = _all_left(left, comps, similarity)
     comps = joined_components(comps, _similar(pairs, left, similarity))
     own = nodes.join(comps, F.col("key") == F.col("node"), "left").where("twice or comp is not null")

@@ -91,7 +91,7 @@ def test_similar_lines_go_once(spark):
     assert got[4] == (1, 1, "") and got[5] == (1, 0, "") and got[6][1] == 0
 
 
-@pytest.mark.parametrize("block,rounds", [(fuzzy_lines.BLOCK, fuzzy_lines.ROUNDS), (7, 1)])
+@pytest.mark.parametrize("block,rounds", [(fuzzy_lines.BLOCK, fuzzy_lines.ROUNDS), (7, 2)])
 def test_similar_lines_match_brute_force_with_registered_parameters(spark, monkeypatch, block, rounds):
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
