@@ -1,7 +1,7 @@
 """Token ids and token counts of one public word-level BPE file, memoised by whitespace-delimited string.
 
 White space always separates pre-tokens of this vocabulary, so a text's ids are the ids of its
-space-delimited strings put together. Strings of plain Latin letters with plain punctuation behind go
+space-delimited strings put together. Strings of plain Latin letters go straight to the merges.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
 #: Strings with an id of their own, which the library matches before it lower-cases.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 #: A comma or full stop behind other punctuation belongs to one pre-token with it.
-JOINED = re.compile(r"(?:[^\w\s]|_)[,.] ")
+#: White space is as the library has it: Python's class also holds U+001C to U+001F.
+JOINED = re.compile("(?:[^\\w\t\n\x0b\x0c\r \x85\xa0]|_)[,.] ")
 MEMO = 700_000
 
 

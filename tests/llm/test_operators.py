@@ -82,6 +82,17 @@ def test_special_strings_of_other_case_are_plain_text(spark, library):
     assert got == [zlib.crc32(array.array("I", [*w, token_files.END_ID]).tobytes()) for w in want]
 
 
+def test_random_strings_have_the_library_ids(library):
+    rng = random.Random(21)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", ", ", ". ", ",", ".", " ", "\n", "\t", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\x00", "'s", "'LL", "_", "!", "?!", "a", "The", "é", "É", "ß", "İ", "Σ", "12", "½", "²", "日本", "<|", "|>", "-", "İs", "\u2028", "x" * 9]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(20_000)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    found = bpe.Ids(vocabulary()).ids(texts)
+    assert [t for t, a, b in zip(texts, want, found) if array.array("I", a).tobytes() != b] == []
+    counts = bpe.Counts(vocabulary(), bpe.prove_whole_tokens(vocabulary())).n(texts)
+    assert [t for t, a, b in zip(texts, want, counts) if len(a) != b] == []
+
+
 def test_media_round_trip_and_damage(spark):
     rows = {r.doc_id: r for r in ogg.media_columns(frame(spark, ODD), keep_media=True).collect()}
     for i, t in enumerate(ODD):
