@@ -43,12 +43,18 @@ def inventory_ledger(demand: DataFrame, opening_months: float = 2.0, reorder_mon
     """Month by month for each product and warehouse: receive, sell, and order below the reorder point.
 
     Stock is sequential within a key, so a key's months fold as one array, in the JVM; keys spread over
-    the cluster. Its months are those with demand, a bounded number. Sales take what is there; the rest is
-    a stock-out. Keys with fewer than `least_months` months are left out.
+    the cluster. Its months are all from its first demand to the last month of the table, a bounded number;
+    months without demand have their snapshot too, and an order comes `lead` months later. Sales take what
+    is there; the rest is a stock-out. Parameters come from the mean of the months with demand. Keys with
+    fewer than `least_months` of these are left out.
     """
     month = F.struct((F.col("Year") * 12 + F.col("Month") - 1).alias("m"), F.col("QuantitySold").cast("long").alias("q"))
     keys = demand.groupBy("ProductKey", "WarehouseKey").agg(F.sort_array(F.collect_list(month)).alias("months"), F.ceil(F.avg("QuantitySold")).alias("mean"))
-    keys = keys.where(F.size("months") >= least_months)
+    last = demand.agg(F.max(F.col("Year") * 12 + F.col("Month") - 1).alias("last"))
+    keys = keys.where(F.size("months") >= least_months).crossJoin(F.broadcast(last))
+    sold_in = F.map_from_entries("months")
+    every = F.transform(F.sequence(F.col("months")[0]["m"], F.col("last")), lambda m: F.struct(m.alias("m"), F.coalesce(F.col("sold_in")[m], F.lit(0).cast("long")).alias("q")))
+    keys = keys.withColumn("sold_in", sold_in).withColumn("months", every)
     mean = F.col("mean").cast("double")
     row = "struct<m:int,demand:bigint,received:bigint,sold:bigint,onhand:bigint,ordered:bigint,reorder:boolean,stockout:boolean>"
     start = F.struct(F.ceil(mean * opening_months).cast("long").alias("stock"), F.transform(F.sequence(F.lit(1), F.lit(lead)), lambda _: F.lit(0).cast("long")).alias("due"), F.array().cast(f"array<{row}>").alias("out"))

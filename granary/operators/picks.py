@@ -108,14 +108,19 @@ def pick_store(orders: DataFrame, stores: DataFrame, local: float, seed: int) ->
 
 
 def wishlist(purchases: DataFrame, products: DataFrame, per_customer: int, seed: int) -> DataFrame:
-    """Wishes of the categories a customer bought from, none of what they have, by keyed order."""
+    """Wishes of the categories a customer bought from, none of what they have, by keyed order.
+
+    Of a category the first 4 * per_customer products that the customer does not have take part, in a
+    keyed order of products: these are among as many more as the customer has of it.
+    """
     bought = purchases.join(products.select("ProductKey", "Category"), "ProductKey")
     likes = bought.groupBy("CustomerKey", "Category").agg(F.count("*").alias("n"))
     ranked = products.select("ProductKey", "Category").withColumn("_r", F.row_number().over(W.partitionBy("Category").orderBy(hash_u01(F.col("ProductKey"), seed=seed), "ProductKey")))
-    few = ranked.where(F.col("_r") <= 4 * per_customer)
-    candidates = likes.join(few, "Category").join(purchases, ["CustomerKey", "ProductKey"], "left_anti")
+    few = likes.alias("l").join(ranked.alias("p"), (F.col("l.Category") == F.col("p.Category")) & (F.col("p._r") <= 4 * per_customer + F.col("l.n"))).select("l.CustomerKey", "l.Category", "l.n", "p.ProductKey", "p._r")
+    free = few.join(purchases.select("CustomerKey", "ProductKey"), ["CustomerKey", "ProductKey"], "left_anti")
+    free = free.withColumn("_k", F.row_number().over(W.partitionBy("CustomerKey", "Category").orderBy("_r"))).where(F.col("_k") <= 4 * per_customer)
     order = W.partitionBy("CustomerKey").orderBy(F.desc("n"), hash_u01(F.col("CustomerKey"), F.col("ProductKey"), seed=seed), "ProductKey")
-    return candidates.withColumn("Rank", F.row_number().over(order)).where(F.col("Rank") <= per_customer).select("CustomerKey", "ProductKey", "Rank")
+    return free.withColumn("Rank", F.row_number().over(order)).where(F.col("Rank") <= per_customer).select("CustomerKey", "ProductKey", "Rank")
 
 
 def complaints(lines: DataFrame, rate: float, seed: int) -> DataFrame:

@@ -136,7 +136,13 @@ def weighted_sample_wor(spark, sf):
     return A.weighted_sample_wor(own, ["Country"], "w", "CustomerKey", 5, 3).select("Country", "CustomerKey")
 
 
-@q("weighted_pick", f", pool AS (SELECT Country, StoreKey, 1 + StoreKey % 4 AS w FROM stores), c AS (SELECT *, sum(w) OVER (PARTITION BY Country ORDER BY StoreKey) / (sum(w) OVER (PARTITION BY Country))::DOUBLE AS hi, (sum(w) OVER (PARTITION BY Country ORDER BY StoreKey) - w) / (sum(w) OVER (PARTITION BY Country))::DOUBLE AS lo FROM pool), l AS (SELECT CustomerKey, Country, {u01_sql('CustomerKey', seed=11)} AS u FROM customers) SELECT CustomerKey, StoreKey FROM l JOIN c ON l.Country = c.Country AND u >= lo AND u < hi")
+def ranges_sql(name: str, pool: str, group: str, weight: str, item: str) -> str:
+    """Shares of a pool as ranges [lo, hi), the last one up to 1."""
+    over = f"PARTITION BY {group} ORDER BY {item}"
+    return f"{name} AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY {group} ORDER BY {item} DESC) = 1 THEN 1.0::DOUBLE ELSE sum({weight}) OVER ({over}) / (sum({weight}) OVER (PARTITION BY {group}))::DOUBLE END AS hi, coalesce(sum({weight}) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (sum({weight}) OVER (PARTITION BY {group}))::DOUBLE AS lo FROM {pool} WHERE {weight} > 0)"
+
+
+@q("weighted_pick", f", pool AS (SELECT Country, StoreKey, 1 + StoreKey % 4 AS w FROM stores), {ranges_sql('c', 'pool', 'Country', 'w', 'StoreKey')}, l AS (SELECT CustomerKey, Country, {u01_sql('CustomerKey', seed=11)} AS u FROM customers) SELECT CustomerKey, StoreKey FROM l LEFT JOIN c ON l.Country = c.Country AND u >= lo AND u < hi")
 def weighted_pick(spark, sf):
     pool = S.stores(spark, sf).select("Country", "StoreKey", (1 + F.col("StoreKey") % 4).alias("w"))
     return A.weighted_pick(S.customers(spark, sf).select("CustomerKey", "Country"), pool, "Country", "w", "StoreKey", "CustomerKey", 11).select("CustomerKey", "StoreKey")
@@ -168,7 +174,7 @@ def order_lines_explode(spark, sf):
     return A.expand(S.sales(spark, sf).groupBy("OrderNumber").agg(F.count("*").alias("n")), "n", "LineNumber").drop("n")
 
 
-@register("threshold_packing")
+@register("threshold_packing", STAR.replace("WITH raw", "WITH RECURSIVE raw", 1) + ", r AS (SELECT Region, Country, n, row_number() OVER (PARTITION BY Region ORDER BY Country) AS i FROM (SELECT Region, Country, count(*) AS n FROM stores GROUP BY 1, 2)), pk AS (SELECT Region, Country, i, n AS s, 0 AS Pack FROM r WHERE i = 1 UNION ALL SELECT r.Region, r.Country, r.i, CASE WHEN p.s + r.n > 10 AND p.s > 0 THEN r.n ELSE p.s + r.n END, CASE WHEN p.s + r.n > 10 AND p.s > 0 THEN p.Pack + 1 ELSE p.Pack END FROM pk p JOIN r ON r.Region = p.Region AND r.i = p.i + 1) SELECT Region, Country, Pack FROM pk")
 def threshold_packing(spark, sf):
     rows = S.stores(spark, sf).groupBy("Region", "Country").agg(F.count("*").alias("n"))
     return A.pack(rows, "Region", "Country", "n", 10)
@@ -247,17 +253,23 @@ def convert_currency(spark, sf):
     return X.convert(lines, "NetPrice", "OrderDate", "cur", X.fx_triangulate(master(spark, sf), CODES), "USD", "Usd").select("OrderNumber", "OrderLineNumber", F.round("Usd", 4).alias("Usd"))
 
 
-LEDGER = DEMAND.replace(", demand AS", ", demand AS", 1) + """, k AS (SELECT ProductKey, WarehouseKey, ceil(avg(QuantitySold)) AS mean FROM demand GROUP BY 1, 2 HAVING count(*) >= 3),
-d AS (SELECT ProductKey, WarehouseKey, "Year", "Month", QuantitySold AS q, mean, row_number() OVER (PARTITION BY ProductKey, WarehouseKey ORDER BY "Year", "Month") AS i FROM demand JOIN k USING (ProductKey, WarehouseKey)),
+def ledger_sql(lead: int = 1) -> str:
+    return DEMAND + f""", k AS (SELECT ProductKey, WarehouseKey, ceil(avg(QuantitySold))::BIGINT AS mean, min("Year" * 12 + "Month" - 1) AS f, (SELECT max("Year" * 12 + "Month" - 1) FROM demand) AS t FROM demand GROUP BY 1, 2 HAVING count(*) >= 3),
+e AS (SELECT ProductKey, WarehouseKey, mean, f, unnest(range(f, t + 1)) AS m FROM k),
+d AS (SELECT e.ProductKey, e.WarehouseKey, e.m, e.m - e.f + 1 AS i, e.mean, coalesce(QuantitySold, 0)::BIGINT AS q FROM e LEFT JOIN demand x ON x.ProductKey = e.ProductKey AND x.WarehouseKey = e.WarehouseKey AND x."Year" * 12 + x."Month" - 1 = e.m),
 led AS (
-  SELECT ProductKey, WarehouseKey, i, "Year", "Month", q, mean, 0::BIGINT AS received, least(ceil(mean * 2)::BIGINT, q) AS sold, ceil(mean * 2)::BIGINT - least(ceil(mean * 2)::BIGINT, q) AS onhand,
-    CASE WHEN ceil(mean * 2)::BIGINT - least(ceil(mean * 2)::BIGINT, q) < mean THEN ceil(mean * 2)::BIGINT ELSE 0 END AS ordered FROM d WHERE i = 1
+  SELECT ProductKey, WarehouseKey, i, m, q, mean, 0::BIGINT AS received, least(mean * 2, q) AS sold, mean * 2 - least(mean * 2, q) AS onhand,
+    CASE WHEN mean * 2 - least(mean * 2, q) < mean THEN mean * 2 ELSE 0 END AS ordered, list_append({[0] * (lead - 1)}::BIGINT[], CASE WHEN mean * 2 - least(mean * 2, q) < mean THEN mean * 2 ELSE 0 END) AS due FROM d WHERE i = 1
   UNION ALL
-  SELECT d.ProductKey, d.WarehouseKey, d.i, d."Year", d."Month", d.q, d.mean, l.ordered, least(l.onhand + l.ordered, d.q), l.onhand + l.ordered - least(l.onhand + l.ordered, d.q),
-    CASE WHEN l.onhand + l.ordered - least(l.onhand + l.ordered, d.q) < d.mean THEN ceil(d.mean * 2)::BIGINT ELSE 0 END
+  SELECT d.ProductKey, d.WarehouseKey, d.i, d.m, d.q, d.mean, l.due[1], least(l.onhand + l.due[1], d.q), l.onhand + l.due[1] - least(l.onhand + l.due[1], d.q),
+    CASE WHEN l.onhand + l.due[1] - least(l.onhand + l.due[1], d.q) < d.mean THEN d.mean * 2 ELSE 0 END,
+    list_append(l.due[2:], CASE WHEN l.onhand + l.due[1] - least(l.onhand + l.due[1], d.q) < d.mean THEN d.mean * 2 ELSE 0 END)
   FROM led l JOIN d ON d.ProductKey = l.ProductKey AND d.WarehouseKey = l.WarehouseKey AND d.i = l.i + 1)
-, ledger AS (SELECT ProductKey, WarehouseKey, last_day(make_date("Year", "Month", 1)) AS SnapshotDate, q AS Demand, received AS QuantityReceived, sold AS QuantitySold, onhand AS QuantityOnHand, ordered AS QuantityOnOrder, onhand < mean AS ReorderFlag, sold < q AS StockoutFlag FROM led)
+, ledger AS (SELECT ProductKey, WarehouseKey, last_day(make_date((m // 12)::BIGINT, (m % 12 + 1)::BIGINT, 1)) AS SnapshotDate, q AS Demand, received AS QuantityReceived, sold AS QuantitySold, onhand AS QuantityOnHand, ordered AS QuantityOnOrder, onhand < mean AS ReorderFlag, sold < q AS StockoutFlag FROM led)
 """
+
+
+LEDGER = ledger_sql()
 RSTAR = STAR.replace("WITH raw", "WITH RECURSIVE raw", 1)
 
 
@@ -266,7 +278,7 @@ def inventory_ledger_det(spark, sf):
     return X.inventory_ledger(demand(spark, sf))
 
 
-@register("inventory_ledger")
+@register("inventory_ledger", RSTAR + ledger_sql(3) + "SELECT * FROM ledger")
 def inventory_ledger(spark, sf):
     return X.inventory_ledger(demand(spark, sf), lead=3)
 

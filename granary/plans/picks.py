@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from granary.functions.hashing import hash_u01, u01_sql
 from granary.operators import picks as P
 from granary.plans import star as S
-from granary.plans.history import assignments, orders
+from granary.plans.domain import ranges_sql
+from granary.plans.history import ASSIGN, ORDERS, assignments, orders
 from granary.plans.registry import register
 from granary.plans.star import STAR
 
@@ -32,7 +33,12 @@ def inflation_factor(spark, sf):
     return S.sales(spark, sf).select("OrderNumber", "OrderLineNumber", F.round(P.inflation(F.col("OrderDate"), "1995-01-01", 0.03, 0.5, 2.0), 9).alias("Factor"))
 
 
-@q("reprice_lines")
+REPRICE = f""", a AS (SELECT *, UnitPrice::DOUBLE * {INFL} AS u FROM sales), b AS (SELECT *, CASE WHEN u <= 500 THEN 5.0::DOUBLE WHEN u <= 1000 THEN 10.0::DOUBLE ELSE 50.0::DOUBLE END AS st FROM a),
+c AS (SELECT *, greatest(floor(u / st + 0.5::DOUBLE) * st, st) AS p FROM b), d AS (SELECT *, greatest(least(floor(p * (PromotionKey - 1)) / 100.0::DOUBLE, p - least(UnitCost::DOUBLE, p - 0.01::DOUBLE) - 0.01::DOUBLE), 0.0::DOUBLE) AS off FROM c)
+SELECT OrderNumber, OrderLineNumber, floor(p * 100 + 0.5::DOUBLE) / 100.0::DOUBLE AS NewPrice, floor(off * 100 + 0.5::DOUBLE) / 100.0::DOUBLE AS NewDiscount, floor((p - off) * 100 + 0.5::DOUBLE) / 100.0::DOUBLE AS NewNet FROM d"""
+
+
+@q("reprice_lines", REPRICE)
 def reprice_lines(spark, sf):
     return P.reprice(S.sales(spark, sf)).select("OrderNumber", "OrderLineNumber", "NewPrice", "NewDiscount", "NewNet")
 
@@ -66,13 +72,13 @@ def hour_weight(spark, sf):
     return _hours(spark, sf).select("ChannelKey", "Hour", F.round("Weight", 9).alias("Weight"))
 
 
-@q("pick_order_minute")
+@q("pick_order_minute", HOURS + f", {ranges_sql('c', 'hw', 'ChannelKey', 'Weight', 'Hour')}, o AS (SELECT OrderNumber, min(ChannelKey) AS ChannelKey, {u01_sql('OrderNumber', seed=13)} AS u, {u01_sql('OrderNumber', seed=13, salt=1)} AS m FROM sales GROUP BY OrderNumber) SELECT OrderNumber, (Hour * 60 + floor(m * 60))::INTEGER AS TimeKey FROM o LEFT JOIN c ON o.ChannelKey = c.ChannelKey AND u >= lo AND u < hi")
 def pick_order_minute(spark, sf):
     own = S.sales(spark, sf).groupBy("OrderNumber").agg(F.min("ChannelKey").alias("ChannelKey"))
     return P.pick_minute(own, _hours(spark, sf), 13).select("OrderNumber", "TimeKey")
 
 
-@q("promo_assign")
+@q("promo_assign", f", promos AS (SELECT PromotionKey AS k, DATE '1995-01-01' + (PromotionKey * 97)::INTEGER AS f, DATE '1995-01-01' + (PromotionKey * 97 + 400)::INTEGER AS t FROM (SELECT DISTINCT PromotionKey FROM sales)), r AS (SELECT OrderNumber, OrderLineNumber, k, -ln(1 - {u01_sql('OrderNumber', 'OrderLineNumber', 'k', seed=5)}) / (k * 1.0::DOUBLE) AS race FROM sales JOIN promos ON OrderDate BETWEEN f AND t), b AS (SELECT OrderNumber, OrderLineNumber, arg_min(k, race) AS k FROM r GROUP BY 1, 2) SELECT OrderNumber, OrderLineNumber, coalesce(k, 1)::INTEGER AS PromotionKey FROM sales LEFT JOIN b USING (OrderNumber, OrderLineNumber)")
 def promo_assign(spark, sf):
     lines = S.sales(spark, sf)
     day0 = F.lit("1995-01-01").cast("date")
@@ -81,19 +87,21 @@ def promo_assign(spark, sf):
     return P.assign_promo(lines, promos, 5).select("OrderNumber", "OrderLineNumber", "PromotionKey")
 
 
-@q("assign_salesperson")
+@q("assign_salesperson", ASSIGN + f", o AS (SELECT OrderNumber, min(OrderDate) AS OrderDate, min(StoreKey) AS StoreKey FROM sales GROUP BY 1), r AS (SELECT DISTINCT OrderNumber, a.EmployeeKey AS k FROM o JOIN assign a ON a.StoreKey = o.StoreKey AND OrderDate BETWEEN StartDate AND EndDate), b AS (SELECT OrderNumber, arg_min(k, -ln(1 - {u01_sql('OrderNumber', 'k', seed=6)})) AS k FROM r GROUP BY 1) SELECT OrderNumber, coalesce(k, -1)::BIGINT AS Seller FROM o LEFT JOIN b USING (OrderNumber)")
 def assign_salesperson(spark, sf):
     own = S.sales(spark, sf).groupBy("OrderNumber").agg(F.min("OrderDate").alias("OrderDate"), F.min("StoreKey").alias("StoreKey"))
     return P.assign_employee(own, assignments(spark, sf), 6).select("OrderNumber", "Seller")
 
 
-@q("geo_biased_store")
+@q("geo_biased_store", ORDERS + f", pool AS (SELECT Country AS g, StoreKey, 1 AS w FROM stores UNION ALL SELECT '*', StoreKey, 1 FROM stores), {ranges_sql('c', 'pool', 'g', 'w', 'StoreKey')}, o AS (SELECT OrderNumber, CASE WHEN {u01_sql('OrderNumber', seed=9, salt=1)} < 0.7::DOUBLE AND Country IN (SELECT Country FROM stores) THEN Country ELSE '*' END AS g, {u01_sql('OrderNumber', seed=9)} AS u FROM orders1 JOIN customers USING (CustomerKey)) SELECT OrderNumber, StoreKey FROM o LEFT JOIN c ON o.g = c.g AND u >= lo AND u < hi")
 def geo_biased_store(spark, sf):
     own = orders(spark, sf).join(S.customers(spark, sf).select("CustomerKey", "Country"), "CustomerKey")
     return P.pick_store(own, S.stores(spark, sf), 0.7, 9).select("OrderNumber", "StoreKey")
 
 
-@q("wishlist_pairs")
+@q("wishlist_pairs", f""", bought AS (SELECT DISTINCT CustomerKey, ProductKey FROM sales), likes AS (SELECT CustomerKey, Category, count(*) AS n FROM bought JOIN products USING (ProductKey) GROUP BY 1, 2),
+c AS (SELECT l.CustomerKey, l.n, l.Category, p.ProductKey, row_number() OVER (PARTITION BY l.CustomerKey, l.Category ORDER BY {u01_sql('p.ProductKey', seed=4)}, p.ProductKey) AS r FROM likes l JOIN products p USING (Category) WHERE NOT EXISTS (SELECT 1 FROM bought b WHERE b.CustomerKey = l.CustomerKey AND b.ProductKey = p.ProductKey)),
+k AS (SELECT CustomerKey, ProductKey, row_number() OVER (PARTITION BY CustomerKey ORDER BY n DESC, {u01_sql('CustomerKey', 'ProductKey', seed=4)}, ProductKey)::INTEGER AS Rank FROM c WHERE r <= 12) SELECT * FROM k WHERE Rank <= 3""")
 def wishlist_pairs(spark, sf):
     bought = S.sales(spark, sf).select("CustomerKey", "ProductKey").distinct()
     return P.wishlist(bought, S.products(spark, sf), 3, 4)
@@ -104,7 +112,9 @@ def complaint_rows(spark, sf):
     return P.complaints(S.sales(spark, sf), 0.05, 12)
 
 
-@q("allocate_capped")
+@q("allocate_capped", """, a AS (SELECT StoreKey, StoreKey % 5 AS g, sum(Quantity)::DOUBLE AS w, (20 + StoreKey % 50)::DOUBLE AS cap FROM sales GROUP BY StoreKey),
+b AS (SELECT *, (40 - coalesce(sum(cap) OVER (PARTITION BY g ORDER BY cap / w, StoreKey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(w) OVER (PARTITION BY g) - coalesce(sum(w) OVER (PARTITION BY g ORDER BY cap / w, StoreKey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM a)
+SELECT StoreKey, g, round(CASE WHEN cap / w <= level THEN cap ELSE w * first_value(level) OVER (PARTITION BY g ORDER BY CASE WHEN cap / w <= level THEN 1 ELSE 0 END, cap / w, StoreKey) END, 6) AS Share FROM b""")
 def allocate_capped(spark, sf):
     own = S.sales(spark, sf).groupBy("StoreKey").agg(F.sum("Quantity").cast("double").alias("w")).withColumns({"g": F.col("StoreKey") % 5, "cap": (20 + F.col("StoreKey") % 50).cast("double")})
     return P.allocate_capped(own, "w", "cap", 40, ["g"], "StoreKey").select("StoreKey", "g", F.round("Share", 6).alias("Share"))

@@ -135,7 +135,7 @@ def view_returns(spark, sf):
     return S.returns(S.sales(spark, sf)).withColumn("ReturnNetPrice", F.col("ReturnNetPrice").cast("double"))
 
 
-@register("view_passthrough")
+@register("view_passthrough", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def view_passthrough(spark, sf):
     names = [n for n in ("nation", "region", "absent") if (df := S.scan_table(spark, sf, n)) is not None and df.createOrReplaceTempView(f"v_{n}") is None]
     return spark.sql(f"SELECT n_name, r_name FROM v_{names[0]} JOIN v_{names[1]} ON n_regionkey = r_regionkey")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -164,18 +165,56 @@ def _swap(spark: SparkSession, staged: str, path: str) -> None:
     fs.delete(old, True)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage: the rows as written to the folder of spark.checkpoint.dir.
+
+    Only where the session has none, on one machine, a local folder stands in.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-granary-"))
+    return df.checkpoint()
+
+
 def compact(spark: SparkSession, path: str, target_mb: int = 128, min_files: int = 2, codec: str = "snappy") -> int:
-    """Rewrites a table of many small files; returns the number of files it has then. Tables of fewer files stay."""
+    """Rewrites a table of many small files; returns the number of files it has then. Tables of fewer files stay.
+
+    A partitioned table keeps its folders, each rewritten to files of about the target size.
+    """
     fs, p = _fs(spark, path)
-    files = [s for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")]
-    if len(files) < min_files:
-        return len(files)
-    n = max(1, -(-sum(s.getLen() for s in files) // (target_mb << 20)))
-    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    found, sizes, parts = fs.listFiles(p, True), [], set()
+    while found.hasNext():
+        s = found.next().getPath(), 0
+        name = s[0].getName()
+        if name.endswith(".parquet"):
+            sizes.append(fs.getFileStatus(s[0]).getLen())
+            inner = s[0].getParent().toUri().getPath().removeprefix(p.toUri().getPath()).strip("/")
+            parts.update(x.split("=")[0] for x in inner.split("/") if "=" in x)
+    if len(sizes) < min_files:
+        return len(sizes)
     df = spark.read.parquet(path)
-    (df.coalesce(n) if n < len(files) else df.repartition(n)).write.option("compression", codec).parquet(staged)
+    by = [c for c in df.columns if c in parts]
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    n = max(1, -(-sum(sizes) // (target_mb << 20)))
+    if by:
+        # The rows of a folder come from as many tasks as it has files of the target size, about.
+        folders = df.groupBy(*by).agg(F.count("*").alias("_rows"))
+        total = df.count()
+        share = F.greatest(F.lit(1), F.ceil(F.col("_rows") * n / F.lit(max(1, total)))).cast("int")
+        dealt = df.join(F.broadcast(folders.withColumn("_files", share).drop("_rows")), by) if folders.count() <= 100_000 else df.withColumn("_files", F.lit(1))
+        dealt = dealt.withColumn("_file", F.floor(F.rand(7) * F.col("_files")).cast("int"))
+        dealt.repartition(*by, "_file").drop("_files", "_file").select(df.columns).write.partitionBy(*by).option("compression", codec).parquet(staged)
+    else:
+        (df.coalesce(n) if n < len(sizes) else df.repartition(n)).write.option("compression", codec).parquet(staged)
     _swap(spark, staged, path)
-    return n
+    left, number = fs.listFiles(p, True), 0
+    while left.hasNext():
+        number += left.next().getPath().getName().endswith(".parquet")
+    return number
 
 
 def relayout(spark: SparkSession, path: str, layout: str, codec: str = "snappy") -> None:
