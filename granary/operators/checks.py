@@ -69,3 +69,37 @@ def relationships(tables: dict[str, DataFrame], declared: list[tuple[str, str, s
 def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
     """The rows, failing the job at the first that breaks the condition."""
     return df.where(F.when(condition, True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
+def row_checks(df: DataFrame, rules: list[tuple[str, str, str]], suite: str, category: str = "quality") -> DataFrame:
+    """Many conditions on the rows of one table, (check, description, condition that a bad row meets): one scan counts them all."""
+    counts = df.agg(*[count_where(c).alias(f"c{i}") for i, (_, _, c) in enumerate(rules)])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.lit(d).alias("description"), F.col(f"c{i}").alias("v")) for i, (n, d, _) in enumerate(rules)]))
+    return counts.select(each.alias("r")).select(F.lit(suite).alias("suite"), F.lit(category).alias("category"), "r.check", "r.description", F.when(F.col("r.v") == 0, "PASS").otherwise("FAIL").alias("result"), F.col("r.v").cast("double").alias("actual_value"))
+
+
+def repeats(df: DataFrame, keys: list[str], name: str, suite: str) -> DataFrame:
+    """Keys that more than one row has."""
+    found = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return check(found, F.count("*"), name, f"repeated {', '.join(keys)}", suite)
+
+
+def share_check(df: DataFrame, condition: str, low: float, high: float, name: str, suite: str) -> DataFrame:
+    """The share of rows that meet a condition, which is to lie between two bounds."""
+    share = F.round(count_where(condition).cast("double") / F.nullif(F.count("*").cast("double"), F.lit(0.0)), 6)
+    return check(df, share, name, f"share between {low} and {high}", suite, good=F.col("v").between(low, high))
+
+
+def churn_rate(periods: DataFrame) -> DataFrame:
+    """Distinct subscriptions, those that churned, and their share."""
+    churned = F.countDistinct(F.when(F.col("IsChurnPeriod"), F.col("SubscriptionKey")))
+    every = F.countDistinct("SubscriptionKey")
+    return periods.agg(every.alias("Subscriptions"), churned.alias("Churned"), F.round(churned / F.nullif(every, F.lit(0)), 6).alias("ChurnRate"))
+
+
+def transition_violations(df: DataFrame, keys: list[str], order: list[str], value: str, reason: str, allowed: list[str]) -> DataFrame:
+    """Rows whose value differs from the row before of the key for a reason that is not allowed; a null reason is not."""
+    from pyspark.sql import Window as W
+
+    before = F.lag(value).over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("Previous", before).where(F.col("Previous").isNotNull() & (F.col("Previous") != F.col(value)) & ~F.coalesce(F.col(reason).isin(allowed), F.lit(False)))
