@@ -30,7 +30,7 @@ CHUNK_BYTES, LARGEST_CHUNK, BUCKET_BYTES = 8 << 20, 64 << 20, 16 << 20
 #: Chunks grow towards LARGEST_CHUNK before there are more than so many.
 FEW_CHUNKS = 90_000
 #: Bits of a cut key beyond those that number the bytes of the corpus, and in all at least.
-SPARE_BITS, LEAST_BITS = 18, 48
+SPARE_BITS, LEAST_BITS = 14, 44
 
 
 class ChunkStore:

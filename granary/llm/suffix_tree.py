@@ -14,7 +14,7 @@ estimate of the divergence from the parent. A token is scored in the longest kep
 All statistics are sums over positions. Chunks ask for counts of runs of n words, n = 1, 2, ..., and tell
 the gains of their contexts; a frequent context is one entry a chunk, whatever follows it. Gains are added
 up as whole numbers, so that results do not depend on chunks. Runs of more than one word are told apart by
-their hash, cut so that one in 2^18 coincides with another by chance.
+their hash, cut so that one in 2^14 coincides with another by chance.
 """
 
 from __future__ import annotations
@@ -80,13 +80,15 @@ class Runs:
             self.count[self.asked] = answers(told).astype(np.int64)[self.slot[self.asked]]
 
     def question(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Keys, their training counts and bins of their contexts; and by bin the runs that are sure to come once."""
+        """Keys, their training counts and, for those that may come once in all, bins of their contexts; and by bin of the context all training occurrences, and those that are sure to be single."""
         slot, train = self.slot[self.asked], self.x.train[self.asked]
         counts = np.bincount(slot, train, len(self.keys))
         bins = np.zeros(len(self.keys), np.uint8)
         bins[slot] = bin_of(self.seen[~self.sure])
-        once = self.sure & self.x.train[self.at]
-        return self.keys, [narrow(counts.astype(np.uint64)), bins], np.bincount(bin_of(self.seen[once]), minlength=BINS).astype(np.uint64)
+        bins[counts != 1] = 0
+        every = bin_of(self.seen[self.x.train[self.at]])
+        once = bin_of(self.seen[self.sure & self.x.train[self.at]])
+        return self.keys, [narrow(counts.astype(np.uint64)), bins], np.concatenate([np.bincount(b, minlength=BINS) for b in (every, once)]).astype(np.uint64)
 
 
 def bin_of(n: np.ndarray) -> np.ndarray:
@@ -198,11 +200,10 @@ def _answer(asked: DataFrame) -> DataFrame:
             cut = np.cumsum([0, *map(len, keys)])
             if kind == COUNTS:
                 result, bins = sums.astype(np.uint64), np.zeros(len(every), np.int64)
-                bins[place] = np.concatenate([x[2] for x in told])
-                once = sum((x[3].astype(float) for x in told if len(x[3])), np.zeros(BINS))
-                seen = np.bincount(bins, sums, BINS) + once
-                single = np.bincount(bins, sums == 1, BINS) + once
-                tally = np.concatenate([seen, single, [(sums > 0).sum()]]).astype(np.int64)
+                np.maximum.at(bins, place, np.concatenate([x[2] for x in told]))
+                tally = sum((x[3].astype(np.int64) for x in told if len(x[3])), np.zeros(2 * BINS, np.int64))
+                tally[BINS:] += np.bincount(bins, sums == 1, BINS).astype(np.int64)
+                tally = np.append(tally, (sums > 0).sum())
             else:
                 result, tally = (sums > GAIN * PARTS).astype(np.uint8), None
             out = [pack(narrow(result[place[a:b]])) for a, b in zip(cut[:-1], cut[1:])]
