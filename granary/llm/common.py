@@ -65,6 +65,17 @@ def fold(col: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 5, F.lit(-1))
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores behind where `columns` has them already (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import whole_text
+from granary.llm.common import free, whole_text
 
 #: A table of sources up to this many rows is sent to all executors; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
@@ -52,24 +52,27 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float
     return sizes.crossJoin(F.broadcast(total)).select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, scale: float = 1.0, seed: int = 17, key: str = "doc_id") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, scale: float = 1.0, seed: int = 17, key: str = "doc_id", added: bool = True) -> DataFrame:
     """Repeats each row a Poisson number of times and shuffles all copies.
 
     The number is the inverse distribution function of a Poisson variable, with its source's rate for
     mean, at a uniform number hashed from seed and `key`: it does not depend on partitioning or on other
     rows of the source. Added columns: rate, copy (from 0) and shuffle_key, which orders the result.
     Rows with the same key have the same number of copies; a null key hashes as an empty one; null
-    sources are one source. Sources without a weight give no rows, nor does an empty table. Columns of
-    `docs` named rate, copy or shuffle_key are refused.
+    sources are one source. Null texts count as empty ones. Sources without a weight give no rows, nor does
+    an empty table. Columns of `docs` named rate, copy or shuffle_key are refused; without `added` the
+    result has the columns of `docs` alone, and these may have any name.
     """
-    if clash := {"rate", "copy", "shuffle_key"} & set(docs.columns):
+    if clash := {"rate", "copy", "shuffle_key"} & set(docs.columns) if added else ():
         raise ValueError(f"columns would clash: {sorted(clash)}")
+    rate, copy, shuffle, source, steps, u, n = free(docs.columns, "rate", "copy", "shuffle_key", "_source", "_steps", "_u", "_n")
     rates = source_rates(docs, weights, alpha, scale).withColumn("_steps", poisson_steps(F.col("rate")))
-    rates = rates.select(F.col("source").alias("_source"), "rate", "_steps").persist()
+    rates = rates.select(F.col("source").alias(source), F.col("rate").alias(rate), F.col("_steps").alias(steps)).persist()
     small = rates.count() <= BROADCAST_ROWS
-    joined = docs.join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col("_source")))
-    times = F.size(F.filter("_steps", lambda s: s <= F.col("_u")))
-    copies = joined.withColumn("_u", hash_uniform(F.col(key), seed=seed)).withColumn("_n", times).where("_n > 0")
-    out = copies.select(*docs.columns, "rate", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
-    out = out.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(key), "copy"))
-    return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key", key, "copy")
+    joined = docs.join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col(source)))
+    times = F.size(F.filter(steps, lambda s: s <= F.col(u)))
+    copies = joined.withColumn(u, hash_uniform(F.col(key), seed=seed)).withColumn(n, times).where(F.col(n) > 0)
+    out = copies.select(*docs.columns, rate, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(copy))
+    out = out.withColumn(shuffle, F.xxhash64(F.lit(seed), F.col(key), copy))
+    out = out.repartitionByRange(shuffle).sortWithinPartitions(shuffle, key, copy)
+    return out if added else out.select(docs.columns)

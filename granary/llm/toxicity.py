@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import fold, pack, unpack, whole_text
+from granary.llm.common import fold, free, pack, unpack, whole_text
 
 WORD = re.compile(r"[^\W_]+")
 BUCKETS, DIM, SPAN = 1 << 18, 16, 12
@@ -175,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> bytes:
 
     The sample is the rows of smallest hashed id, the same for any partitioning; it bounds what one task
     reads to fit, and it is the only bound: scoring covers all rows. A doc_id with several labels takes
-    the largest; null labels, ids without a text and rows of fold 0 are left out. With no labels of one
+    the largest, and one with several texts the first in order; null labels, ids without a text and rows of
+    fold 0 are left out. With no labels of one
     class every score is the share of toxic labels, each class counted once more: one half with no labels.
     """
     own = labels.where(F.col("toxic").isNotNull() & (fold() != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
@@ -190,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> bytes:
     def fit(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [b for b in batches if len(b)]
         if rows:
-            all_rows = pd.concat(rows).drop_duplicates("doc_id").sort_values("doc_id")
+            all_rows = pd.concat(rows).sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
             yield pd.DataFrame({"model": [fit_model(all_rows.text.tolist(), all_rows.toxic.to_numpy(), share)]})
 
     found = sample.repartition(1).mapInPandas(fit, "model binary").collect()
@@ -225,8 +226,8 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.raw(texts) + self.bias, -500, 500)))
 
 
-def score_toxicity(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """All rows with a `score` column: the model's probability of class 1.
+def score_toxicity(docs: DataFrame, model: bytes, text: str = "text", name: str = "score") -> DataFrame:
+    """All rows with a column `name`: the model's probability of class 1.
 
     A null or empty text, or one without letters, has the score of the bias alone. Equal texts have equal scores.
     """
@@ -239,7 +240,7 @@ def score_toxicity(docs: DataFrame, model: bytes, text: str = "text") -> DataFra
         for b in batches:
             yield pd.Series(state["scorer"].scores(b.tolist()))
 
-    return docs.withColumn("score", score(whole_text(text)))
+    return docs.withColumn(name, score(whole_text(text)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -251,10 +252,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose text scores below one half; all rows where the model tells no texts apart."""
+    """The rows of `docs`, all columns, whose text scores below one half; all rows where the model tells no texts apart.
+
+    Null texts score as empty ones; rows that repeat an id or have none each count by their own text. A
+    column of `docs` named score stays as it is. An empty table gives an empty result.
+    """
     model = train(docs, labels)
     if not is_fitted(model):
         return docs
-    scored = score_toxicity(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model)
-    kept = scored.where("score < 0.5").drop("score")
-    return kept.withColumnRenamed("_score", "score") if "_score" in kept.columns else kept
+    (name,) = free(docs.columns, "score")
+    return score_toxicity(docs, model, name=name).where(F.col(name) < 0.5).drop(name)

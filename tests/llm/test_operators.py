@@ -206,6 +206,21 @@ def test_mixture_follows_the_inverse_distribution(spark):
         mixing.mix_sources(docs.withColumn("copy", F.lit(1)))
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["score", "_score", "copy", "rate", "_n", "_u", "_source", "_steps", "shuffle_key", "score_"]
+    docs = spark.createDataFrame([(i, f"some words number {i} here" + " grumble" * (i % 4 == 0), "s") for i in range(80)], "doc_id long, text string, source string")
+    docs = docs.unionByName(docs.limit(1)).unionByName(spark.createDataFrame([(None, None, None)], docs.schema))
+    for n in names:
+        docs = docs.withColumn(n, F.lit(f"own {n}"))
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, lab)
+    mixed = mixing.mix_sources(docs, added=False)
+    for out in (kept, mixed):
+        assert out.columns == docs.columns and out.count() > 0
+        assert all(r[n] == f"own {n}" for r in out.collect() for n in names)
+    assert toxicity.drop_toxic(docs.limit(0), lab.limit(0)).count() == mixing.mix_sources(docs.limit(0), added=False).count() == 0
+
+
 def test_containment_matches_brute_force(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcd") for _ in range(4))
@@ -280,3 +295,13 @@ def test_pipeline_stages_have_the_right_columns(spark):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard", "decontamination", "mixing", "tokens"]
+
+
+def test_pipeline_runs_over_whole_tables(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = sorted(corpus_pipeline.run(spark, sf).collect(), key=lambda r: r.start)
+    assert {r.doc_id for r in rows} <= set(docs) and len({r.doc_id for r in rows}) > len(docs) / 4
+    assert all(b.start == a.start + a.n_tokens and a.doc_id <= b.doc_id for a, b in zip(rows, rows[1:]))
