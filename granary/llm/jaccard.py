@@ -6,7 +6,7 @@ shingles: two linked sets share one of them. Among the classes of one such shing
 pairs: its nodes hold OR-combined bitmaps of shingles and ranges of sizes, and pairs of nodes are dropped
 as soon as their largest possible overlap is too small. Whole sets then decide.
 
-The first rounds look at the trees of each class's most frequent routing shingles only, try each class
+The first rounds try each class
 with one partner of another component in its leaf and chain the leaves. The last traverses all trees for
 pairs of classes that no chain of links joins yet, so a large group of near copies does not come out as
 all its pairs, while no link between components is lost.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from granary.llm import hashes
 from granary.llm.chunks import ASKED, ChunkStore, answer_totals, answers, ask, batches
-from granary.llm.common import materialize
-from granary.llm.graph import components
+from granary.llm.common import discard, materialize
+from granary.llm.graph import joined_components
 
 BITS, LEAF, FAN = 1024, 32, 8
 #: Rounds that chain, and how many of the most frequent routing shingles of a class they use (0: all).
@@ -290,17 +290,18 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
             return rows.withColumn("comp", F.col("cls"))
         return rows.join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cls")).drop("node")
 
-    links = comps = None
+    comps = None
     for _ in range(ROUNDS):
         dealt = materialize(routed(comps, True, CHAINED), "routed")
         found = materialize(_verify(_candidates(dealt, percent, True), survivors, percent), "links")
-        links = found if links is None else links.union(found)
-        comps = components(links)
+        comps = joined_components(comps, found)
+        discard(dealt)
         if found.isEmpty():
             break
     dealt = materialize(routed(comps, False, 0), "routed")
     more = materialize(_verify(_candidates(dealt, percent, False), survivors, percent), "links")
-    comps = components(links.union(more))
+    comps = joined_components(comps, more)
+    discard(dealt, totals)
 
     of_class = classes.join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = of_class.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
