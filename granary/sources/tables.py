@@ -135,9 +135,9 @@ def normalize_dates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_fact(df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str = "snappy", mode: str = "overwrite") -> None:
-    """Parquet, one shuffle by partition so that each has few files."""
+    """Parquet, one shuffle by partition so that each has few files; the adaptive plan splits a large partition over several tasks."""
     if partition_by:
-        df = df.repartition(*partition_by).sortWithinPartitions(*partition_by)
+        df = df.hint("rebalance", *partition_by).sortWithinPartitions(*partition_by)
     writer = df.write.mode(mode).option("compression", compression)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
@@ -165,18 +165,20 @@ def _swap(spark: SparkSession, staged: str, path: str) -> None:
     fs.delete(old, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage: the rows as written to the folder of spark.checkpoint.dir.
-
-    Only where the session has none, on one machine, a local folder stands in.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only where the session has none, on one machine, a local one stands in."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-granary-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage: the rows as written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
