@@ -65,3 +65,30 @@ def pool_places(df: DataFrame, group: str, key: str) -> DataFrame:
     """Each row's place in its group's pool, and the pool's size."""
     w = W.partitionBy(group)
     return df.withColumn("Place", F.row_number().over(w.orderBy(key))).withColumn("PoolSize", F.count("*").over(w))
+
+
+def sample_covering(df: DataFrame, group: str, weight: Column, key: str, n: int, seed: int) -> DataFrame:
+    """n rows by weight without replacement, at least one of each group (all of these where groups are more than n).
+
+    Each row has a keyed race time, the smaller the larger its weight: the first of each group are taken, and
+    then the first of all others.
+    """
+    race = F.struct((-F.ln(1 - hash_u01(F.col(key), seed=seed)) / weight).alias("race"), F.col(key).alias("key"))
+    rows = df.withColumn("_race", race)
+    best = rows.groupBy(group).agg(F.min("_race").alias("_best")).select(F.col("_best.key").alias("_first"))
+    first = rows.join(best, F.col(key) == F.col("_first"), "left_semi")
+    rest = rows.join(best, F.col(key) == F.col("_first"), "left_anti").orderBy("_race").limit(max(0, n - best.count()))
+    return first.withColumn("Covers", F.lit(True)).unionByName(rest.withColumn("Covers", F.lit(False))).drop("_race")
+
+
+def brand_month_share(brands: DataFrame, months: DataFrame, exponent: float, boost: float, floor: float, seed: int) -> DataFrame:
+    """Each month's shares of the brands: their sizes to a power, one brand boosted in turn by a keyed order, none below a floor before they are made to sum to 1.
+
+    Brands are few: one row each, and a window over them.
+    """
+    turn = F.row_number().over(W.orderBy(hash_u01(F.col("Brand"), seed=seed), "Brand")) - 1
+    ranked = brands.withColumns({"_turn": turn, "_n": F.count("*").over(W.partitionBy()), "_base": F.pow(F.col("Size").cast("double"), F.lit(exponent))})
+    ranked = ranked.withColumn("_base", F.col("_base") / F.sum("_base").over(W.partitionBy()))
+    index = F.year("MonthStart") * 12 + F.month("MonthStart")
+    rows = months.crossJoin(F.broadcast(ranked)).withColumn("_w", F.greatest(F.col("_base") * F.when(index % F.col("_n") == F.col("_turn"), boost).otherwise(1.0), F.lit(floor)))
+    return rows.withColumn("Share", F.col("_w") / F.sum("_w").over(W.partitionBy("MonthStart"))).select("MonthStart", "Brand", "Share")

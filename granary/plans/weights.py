@@ -112,3 +112,18 @@ def store_reassign_closed(spark, sf):
     shops = S.stores(spark, sf).select("StoreKey", "Country")
     rows = S.sales(spark, sf).select("OrderNumber", "OrderLineNumber", "OrderDate", "StoreKey").join(shops, "StoreKey")
     return V.repick(rows, F.expr(CLOSED), shops.where("StoreKey % 3 <> 1"), "Country", "StoreKey", "OrderNumber", 46).select("OrderNumber", "OrderLineNumber", "Old", "StoreKey")
+
+
+RACE = f"-ln(1 - {u01_sql('CustomerKey', seed=47)}) / (1 + CustomerKey % 5)::DOUBLE"
+
+
+@q("sample_with_coverage", f", r AS (SELECT CustomerKey, Country, {RACE} AS race FROM customers), f AS (SELECT *, row_number() OVER (PARTITION BY Country ORDER BY race, CustomerKey) AS k FROM r), g AS (SELECT CustomerKey, Country, row_number() OVER (ORDER BY race, CustomerKey) AS k FROM f WHERE k > 1) SELECT CustomerKey, Country, true AS Covers FROM f WHERE k = 1 UNION ALL SELECT CustomerKey, Country, false FROM g WHERE k <= 100 - (SELECT count(DISTINCT Country) FROM r)")
+def sample_with_coverage(spark, sf):
+    own = S.customers(spark, sf).select("CustomerKey", "Country")
+    return V.sample_covering(own, "Country", (1 + F.col("CustomerKey") % 5).cast("double"), "CustomerKey", 100, 47)
+
+
+@q("brand_rotation", MONTHS + f", b AS (SELECT Brand, count(*) AS Size FROM products GROUP BY 1), t AS (SELECT Brand, row_number() OVER (ORDER BY {u01_sql('Brand', seed=48)}, Brand) - 1 AS turn, count(*) OVER () AS n, pow(Size::DOUBLE, 0.8::DOUBLE) / sum(pow(Size::DOUBLE, 0.8::DOUBLE)) OVER () AS base FROM b), w AS (SELECT MonthStart, Brand, greatest(base * CASE WHEN (year(MonthStart) * 12 + month(MonthStart)) % n = turn THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END, 0.01::DOUBLE) AS w FROM months CROSS JOIN t) SELECT MonthStart, Brand, round(w / sum(w) OVER (PARTITION BY MonthStart), 9) AS Share FROM w")
+def brand_rotation(spark, sf):
+    brands = S.products(spark, sf).groupBy("Brand").agg(F.count("*").alias("Size"))
+    return V.brand_month_share(brands, months(spark, sf), 0.8, 1.5, 0.01, 48).withColumn("Share", F.round("Share", 9))
