@@ -26,19 +26,27 @@ def table_row_counts(spark, sf):
     return row_counts(spark, sf, ["orders", "lineitem", "part", "customer", "supplier"])
 
 
-@register("resolve_table_path")
+RETAIL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@register("resolve_table_path", "SELECT 'Orders' AS name, 'parquet' AS format, count(*) AS rows FROM orders UNION ALL SELECT 'lineitem', 'parquet', count(*) FROM lineitem UNION ALL SELECT 'absent', NULL, NULL")
 def resolve_table_path(spark, sf):
-    from granary.sources.tables import resolve_table
+    """The rows of what each name leads to; null for a name that leads nowhere."""
+    from granary.sources.tables import resolve_table, row_counts
 
-    rows = [(n, *(resolve_table(spark, sf, n) or (None, None))) for n in ("Orders", "lineitem", "absent")]
-    return spark.createDataFrame(rows, "name string, format string, path string")
+    names = ["Orders", "lineitem", "absent"]
+    kinds = [(n, (resolve_table(spark, sf, n) or (None, None))[0]) for n in names]
+    found = spark.createDataFrame(kinds, "name string, format string")
+    return found.join(row_counts(spark, sf, names), F.col("name") == F.col("table")).select("name", "format", "rows")
 
 
-@register("discover_tables")
+@register("discover_tables", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", 'parquet' AS format, count(*) AS rows FROM {t}" for t in RETAIL))
 def discover_tables(spark, sf):
-    from granary.sources.tables import discover_tables
+    """The rows of each retail table that a listing of the folder finds."""
+    from granary.sources.tables import discover_tables, row_counts
 
-    return discover_tables(spark, sf)
+    found = discover_tables(spark, sf).where(F.col("table").isin(*RETAIL)).select("table", "format")
+    return found.join(row_counts(spark, sf, list(RETAIL)), "table")
 
 
 @register("preview_page", "SELECT o_orderkey, o_custkey, (SELECT count(*) FROM orders) AS total_rows FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 50")
