@@ -52,6 +52,7 @@ class ChunkStore:
         self.mask = np.uint64(((1 << bits) - 1) << (64 - bits))
         chunk = F.spark_partition_id() * F.lit(int(each)) + F.pmod(F.xxhash64("doc_id"), F.lit(int(each))).cast("int")
         self.name = f"granary_chunks_{uuid.uuid4().hex}"
+        self.told_name = self.name + "_told"
         own.withColumn("chunk", chunk).write.bucketBy(self.chunks, "chunk").option("compression", "zstd").saveAsTable(self.name)
 
     @cached_property
@@ -67,8 +68,15 @@ class ChunkStore:
         both = self.table.groupBy("chunk").cogroup(told.groupBy("chunk"))
         return both.applyInArrow(lambda key, t, r: f(key[0].as_py(), t, r), schema)
 
+    def tell(self, rows: DataFrame) -> DataFrame:
+        """Adds rows with a chunk to a table bucketed as the documents are, and gives all of it: `meet` reads it as often as need be without a shuffle."""
+        rows = rows.repartition(self.chunks, "chunk")
+        rows.write.bucketBy(self.chunks, "chunk").option("compression", "zstd").saveAsTable(self.told_name, mode="append")
+        return self.spark.table(self.told_name)
+
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for name in (self.told_name, self.name):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 ASKED = "chunk int, bucket int, asked binary"

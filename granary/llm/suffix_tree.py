@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import hashes
 from granary.llm.chunks import ChunkStore, answers, batches, bucket_of
-from granary.llm.common import discard, materialize, narrow, pack, pack_sorted, unpack, unpack_sorted
+from granary.llm.common import materialize, narrow, pack, pack_sorted, unpack, unpack_sorted
 
 LEAST, DEPTH, GAIN = 2, 4, 8.0
 #: Gains are rounded to so many parts of a nat; counts of contexts fall into bins by their logarithm.
@@ -216,9 +216,9 @@ def _answer(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(total, ANSWERED)
 
 
-def _tally(answered: DataFrame) -> dict:
+def _tally(told: DataFrame, level: int) -> dict:
     """Number of positions, of different runs with training occurrences, and by bin of the context's count the weight."""
-    rows = answered.where("chunk = -1").select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
+    rows = told.where((F.col("chunk") == -1) & (F.col("level") == level)).select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
     sums = np.zeros(2 * BINS + 1)
     for r in rows:
         sums[r.k] = r.v
@@ -241,13 +241,15 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     store = ChunkStore(docs)
     buckets, mask = store.buckets, store.mask
 
+    def answered(told: DataFrame) -> DataFrame:
+        return told.where("chunk >= 0").select("chunk", "bucket", "kind", "answer", "level")
+
     def first(chunk: int, t: pa.Table) -> pa.Table:
         keys, values, once = single_tokens(Tokens(t)).question()
         return _ask(chunk, buckets, COUNTS, keys, values, once)
 
-    answered = [materialize(_answer(store.map(first, ASKED)), "words")]
-    found = {1: _tally(answered[0])}
-    told = answered[0].where("chunk >= 0").select("chunk", "bucket", "kind", "answer", F.lit(1).alias("level"))
+    told = store.tell(_answer(store.map(first, ASKED)).withColumn("level", F.lit(1)))
+    found = {1: _tally(told, 1)}
     for n in range(1, depth + 2):  # counts of runs of n tokens are known, and gains of contexts of n - 2 words
 
         def ask(chunk: int, t: pa.Table, told: pa.Table, n: int = n, found: dict = dict(found)) -> pa.Table:
@@ -263,11 +265,10 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 parts.append(_ask(chunk, buckets, GAINS, w.runs[n - 2].keys[used], [narrow(_signs(gains))]))
             return pa.concat_tables(parts)
 
-        answered.append(materialize(_answer(store.meet(told, ask, ASKED)), "runs"))
         level = F.when(F.col("kind") == COUNTS, n + 1).otherwise(n - 1)
-        told = told.union(answered[-1].where("chunk >= 0").select("chunk", "bucket", "kind", "answer", level.alias("level")))
+        told = store.tell(_answer(store.meet(answered(told), ask, ASKED)).withColumn("level", level))
         if n <= depth:
-            found[n + 1] = _tally(answered[-1])
+            found[n + 1] = _tally(told, n + 1)
 
     def score(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
         w = Walk(t, told, found, mask)
@@ -277,7 +278,6 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         ints = lambda y: pa.array(np.bincount(x.doc, y, rows).astype(np.int64))
         return pa.table({"doc_id": t.column("doc_id"), "held_out": pa.array(x.fold == HELD_OUT), "n_tokens": ints(np.ones(len(x.doc))), "n_known": ints(w.runs[0].count > 0), "train_tokens": pa.array(np.full(rows, found[1]["n"])), "base_score": pa.array(np.bincount(x.doc, np.log10(w.p0), rows)), "score": pa.array(np.bincount(x.doc, np.log10(w.p), rows))})
 
-    result = materialize(store.meet(told, score, SCORES), "scores")
+    result = materialize(store.meet(answered(told), score, SCORES), "scores")
     store.drop()
-    discard(*answered)
     return result
