@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,8 +46,10 @@ def text_words(text: str) -> list[str]:
 def subwords(word: str) -> list[int]:
     """Buckets of the marked word and of its n-grams."""
     marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams | {marked})]
+    text = marked.encode() if marked.isascii() else marked
+    grams = [text[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(text) - n + 1)]
+    own = dict.fromkeys([text, *grams])
+    return [zlib.crc32(g) % BUCKETS for g in (own if marked.isascii() else map(str.encode, own))]
 
 
 class Trainer:
@@ -209,8 +212,11 @@ class Scorer:
         for k, t in enumerate(texts):
             words = text_words(t)
             memo = self.memo
-            for w in set(words).difference(memo):
-                memo[w] = float(self.bucket[subwords(w)].mean())
+            if new := list(set(words).difference(memo)):
+                subs = [subwords(w) for w in new]
+                size = np.fromiter(map(len, subs), np.int64, len(subs))
+                means = np.add.reduceat(self.bucket[np.fromiter(chain.from_iterable(subs), np.int64, size.sum())], np.cumsum(size) - size) / size
+                memo.update(zip(new, means.tolist()))
             if words:
                 worth = np.fromiter(map(memo.__getitem__, words), float, len(words))
                 size = min(len(words), SPAN)
