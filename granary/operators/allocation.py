@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.hashing import hash_u01
+from granary.operators.selection import first_crossing
+from granary.sources.tables import written
 
 
 def allocate(df: DataFrame, weight: str, total: Column, group: list[str], key: str, name: str = "Allocated") -> DataFrame:
@@ -55,12 +57,108 @@ def weighted_pick(left: DataFrame, pool: DataFrame, group: str, weight: str, ite
     return rows.join(dealt.alias("_d"), meet, "left").select(*[f"_l.{c}" for c in left.columns], f"_d.{item}")
 
 
+def first_n(df: DataFrame, group: list[str], value: Column, key: str, n: str) -> DataFrame:
+    """The first rows of each group by value, then by a numeric key: as many as the column `n` says, which is constant in a group.
+
+    The value at which the count is reached is found by selection, and then the key among the rows of just
+    that value, so no window sees a group. A group with fewer rows gives all; rows with a null value or key
+    are none. Keys below 2^53 are told apart.
+    """
+    rows = written(df.withColumn("_v", value.cast("double")).where(F.col("_v").isNotNull() & F.col(key).isNotNull() & (F.col(n) > 0)))
+    last = _threshold(rows, group, F.col("_v"), n)
+    met = _beside(rows, last.select(*group, F.col("_at").alias("_cut"), "_left"), group)
+    ties = written(met.where(F.col("_v") == F.col("_cut")).drop("_cut"))
+    among = _threshold(ties, group, F.col(key), "_left").select(*group, F.col("_at").alias("_last"))
+    below = met.where(F.col("_cut").isNull() | (F.col("_v") < F.col("_cut"))).drop("_cut", "_left", "_v")
+    return below.unionByName(_beside(ties, among, group).where(F.col("_last").isNull() | (F.col(key) <= F.col("_last"))).drop("_last", "_left", "_v"))
+
+
+def _beside(rows: DataFrame, own: DataFrame, group: list[str]) -> DataFrame:
+    """All rows with what `own` has for their group, or without a group its one row or none."""
+    return rows.join(own, group, "left") if group else rows.join(F.broadcast(own), F.lit(True), "left")
+
+
+def _threshold(rows: DataFrame, group: list[str], value: Column, n: str) -> DataFrame:
+    """group, _at (the n-th least value), _left (how many rows of that value are among the first n); no row for groups of fewer."""
+    own = rows.select(*group, value.alias("_value"), F.col(n).cast("double").alias("_need"))
+    wants = own.groupBy(*group).agg(F.max("_need").alias("_need"))
+    found = first_crossing(own.drop("_need"), group, F.col("_value"), wants)
+    return found.select(*group, F.col("Value").alias("_at"), (F.col("_t") - F.col("BelowA")).alias("_left"))
+
+
+def allocate_by_remainder(df: DataFrame, weight: Column, total: Column, group: list[str], key: str, name: str = "Allocated") -> DataFrame:
+    """Whole numbers by whole weights that sum to `total` in each group, however many rows a group has.
+
+    Floors of the exact shares, and one more for the largest remainders, ties by key, all in whole numbers;
+    the last remainder that gets one is found by selection (`first_n`). Keys are unique in a group; rows of a
+    null group, or of one without weight, are left out.
+    """
+    big = "decimal(38,0)"
+    rows = df.withColumns({"_w": weight.cast("long"), "_t": total.cast("long")})
+    sums = rows.groupBy(*group).agg(F.sum("_w").alias("_s"))
+    rows = _beside(rows, sums, group)
+    scaled = F.col("_w").cast(big) * F.col("_t").cast(big)
+    rows = rows.where("_s > 0").withColumn("_f", F.floor(scaled / F.col("_s")).cast("long"))
+    rows = rows.withColumn("_f", F.col("_f") + F.when(F.col("_f").cast(big) * F.col("_s") > scaled, -1).when((F.col("_f") + 1).cast(big) * F.col("_s") <= scaled, 1).otherwise(0))
+    rows = written(rows.withColumn("_m", (scaled - F.col("_f").cast(big) * F.col("_s")).cast("long")))
+    return _with_rest(rows, group, key, -F.col("_m"), F.col("_m") > 0, name).drop("_w", "_t", "_s", "_f", "_m")
+
+
+def _with_rest(rows: DataFrame, group: list[str], key: str, value: Column, fits: Column, name: str) -> DataFrame:
+    """_f, and one more for the first rows by value that fit, until the group's sum is _t."""
+    rest = rows.groupBy(*group).agg((F.max("_t") - F.sum("_f")).alias("_rest"))
+    open_rows = rows.where(fits)
+    open_rows = _beside(open_rows, rest, group)
+    more = first_n(open_rows.select(*group, key, value.alias("_p"), "_rest"), group, F.col("_p"), key, "_rest").select(*group, key, F.lit(1).alias("_one"))
+    return rows.join(more, [*group, key], "left").withColumn(name, F.col("_f") + F.coalesce("_one", F.lit(0))).drop("_one")
+
+
+def fit_total(orders: DataFrame, lines: str, total: int, most: int, key: str, name: str = "Lines") -> DataFrame:
+    """Lines per order moved to an exact total, each in [1, most].
+
+    What is missing is spread over the orders by their headroom (most - lines), what is too much by what they
+    can lose (lines - 1): floors, and one line more for the largest remainders, ties by key. ValueError where
+    the headroom does not suffice. Orders with fewer than 1 or more than `most` lines start at that bound.
+    """
+    rows = written(orders.withColumn("_l", F.least(F.greatest(F.coalesce(F.col(lines), F.lit(1)), F.lit(1)), F.lit(most)).cast("long")))
+    now = rows.agg(F.coalesce(F.sum("_l"), F.lit(0)).alias("n"), F.count("*").alias("orders")).first()
+    lack = total - now.n
+    if not now.orders <= total <= most * now.orders:
+        raise ValueError(f"{total} lines do not fit {now.orders} orders of 1 to {most}: there is room for {now.orders} to {most * now.orders}")
+    room = most - F.col("_l") if lack > 0 else F.col("_l") - 1
+    if lack == 0:
+        return rows.withColumn(name, F.col("_l")).drop("_l")
+    moved = allocate_by_remainder(rows.withColumn("_room", room), F.col("_room"), F.lit(abs(lack)), [], key, "_move")
+    return moved.withColumn(name, F.col("_l") + F.col("_move") * (1 if lack > 0 else -1)).drop("_l", "_room", "_move")
+
+
+def allocate_capped(df: DataFrame, weight: str, cap: str, total: int, group: list[str], key: str, name: str = "Share") -> DataFrame:
+    """Whole numbers by weight, none above its whole cap, that sum to `total` in each group; what is above a cap goes to the others by weight.
+
+    The level up to which shares rise is where the sum of min(cap, level * weight) is the total: it is
+    searched over a histogram of cap / weight, refined in one bin a group. Floors, then one more for the
+    largest remainders, ties by key. ValueError where a group's caps do not hold the total. Rows without a
+    positive weight get 0. Keys are unique in a group; a null group is not one.
+    """
+    rows = written(df.withColumns({"_w": F.col(weight).cast("double"), "_c": F.greatest(F.col(cap).cast("long"), F.lit(0)), "_t": F.lit(total).cast("long")}))
+    weighed = rows.where("_w > 0")
+    short = rows.groupBy(*group).agg(F.coalesce(F.sum(F.when(F.col("_w") > 0, F.col("_c"))), F.lit(0)).alias("_room")).where(F.col("_room") < total)
+    if lacking := short.count():
+        raise ValueError(f"{lacking} groups cannot hold {total}")
+    found = first_crossing(weighed, group, F.col("_c") / F.col("_w"), F.array(F.lit(float(total))), F.col("_c"), F.col("_w"))
+    level = found.select(*group, ((F.lit(float(total)) - F.col("BelowA")) / (F.col("SumB") - F.col("BelowB"))).alias("_level"))
+    rows = _beside(rows, level, group)
+    share = F.when(F.col("_w") > 0, F.least(F.col("_c").cast("double"), F.col("_level") * F.col("_w"))).otherwise(0.0)
+    rows = written(rows.withColumn("_x", F.round(share, 9)).withColumn("_f", F.floor("_x").cast("long")))
+    part = F.round(F.col("_x") - F.col("_f"), 9)
+    return _with_rest(rows, group, key, -part, (part > 0) & (F.col("_f") < F.col("_c")), name).drop("_w", "_c", "_t", "_level", "_x", "_f")
+
+
 def stratified_sample(df: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
-    """About n rows, by largest remainders over the groups' sizes; rows by keyed hash."""
+    """About n rows, by largest remainders over the groups' sizes; rows by keyed hash, ties by a numeric key, without a window over a group."""
     sizes = df.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_all", F.lit(1))
     quota = allocate(sizes, "_n", F.lit(n), ["_all"], group, "_quota").select(group, "_quota")
-    rank = F.row_number().over(W.partitionBy(group).orderBy(hash_u01(F.col(key), seed=seed), key))
-    return df.withColumn("_k", rank).join(quota, group).where("_k <= _quota").drop("_k", "_quota")
+    return first_n(df.join(quota, group), [group], hash_u01(F.col(key), seed=seed), key, "_quota").drop("_quota")
 
 
 def trim_value(df: DataFrame, column: str, value: str, most: int, key: str, seed: int) -> DataFrame:

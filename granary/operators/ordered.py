@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.hashing import hash_u01
+from granary.operators.selection import quantiles
 
 
 def dense_surrogate_key(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -59,8 +60,9 @@ def abc_classify(demand: DataFrame, everything: DataFrame, key: str = "ProductKe
 
 
 def quantile_tiers(df: DataFrame, score: str, probabilities: list[float], labels: list[str], name: str) -> DataFrame:
-    """Tiers by exact quantile cuts of a score; a score on a cut is in the lower tier."""
-    cuts = df.agg(F.percentile(F.col(score), F.array(*[F.lit(p) for p in probabilities])).alias("_cuts"))
+    """Tiers by exact quantile cuts of a score, found by selection; a score on a cut is in the lower tier. Without any score all rows have the last tier."""
+    found = quantiles(df, [], F.col(score), probabilities).agg(F.map_from_entries(F.collect_list(F.struct("Probability", "Quantile"))).alias("_m"))
+    cuts = found.select(F.transform(F.sequence(F.lit(0), F.lit(len(probabilities) - 1)), lambda i: F.col("_m")[i]).alias("_cuts"))
     tier = F.lit(labels[-1])
     for i in reversed(range(len(probabilities))):
         tier = F.when(F.col(score) <= F.col("_cuts")[i], labels[i]).otherwise(tier)
@@ -76,10 +78,11 @@ def rescale(df: DataFrame, column: str, lo: float, hi: float, name: str) -> Data
 
 
 def normalize_by_group(df: DataFrame, group: str, column: str, alpha: float, lo: float, hi: float, least: int, name: str) -> DataFrame:
-    """Factor exp(alpha * (median of logs of all - of the group)), clamped; 1 for small groups."""
+    """Factor exp(alpha * (median of logs of all - of the group)), clamped; 1 for small groups. Medians come from selection: no task holds a group's values."""
     logs = df.withColumn("_l", F.ln(F.col(column).cast("double")))
-    groups = logs.groupBy(group).agg(F.percentile("_l", 0.5).alias("_g"), F.count("*").alias("_n"))
-    whole = logs.agg(F.percentile("_l", 0.5).alias("_a"))
+    medians = quantiles(logs, [group], F.col("_l"), [0.5]).select(F.col(group).alias("_own"), F.col("Quantile").alias("_g"))
+    groups = logs.groupBy(group).agg(F.count("*").alias("_n")).join(medians, F.col(group).eqNullSafe(F.col("_own")), "left").drop("_own")
+    whole = quantiles(logs, [], F.col("_l"), [0.5]).agg(F.max("Quantile").alias("_a"))
     factor = F.least(F.greatest(F.exp(alpha * (F.col("_a") - F.col("_g"))), F.lit(lo)), F.lit(hi))
     factors = groups.crossJoin(F.broadcast(whole)).select(group, F.when(F.col("_n") >= least, factor).otherwise(1.0).alias(name))
     return df.join(factors, group)

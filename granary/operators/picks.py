@@ -133,8 +133,8 @@ def complaints(lines: DataFrame, rate: float, seed: int) -> DataFrame:
     return picked.select("CustomerKey", "OrderNumber", "OrderLineNumber", made.alias("ComplaintDate"), F.when(solved, F.date_add(made, days)).alias("ResolutionDate"), F.when(solved, days).alias("ResponseDays"))
 
 
-def allocate_capped(df: DataFrame, weight: str, cap: str, total: int, group: list[str], key: str) -> DataFrame:
-    """Shares of a total by weight, none above its cap, the excess spread over the others by weight.
+def capped_shares(df: DataFrame, weight: str, cap: str, total: int, group: list[str], key: str) -> DataFrame:
+    """Real shares of a total by weight, none above its cap, the excess spread over the others by weight (in whole numbers: `allocation.allocate_capped`).
 
     Closed form: rows in the order of cap over weight are full up to a point; the rest share what is left.
     """

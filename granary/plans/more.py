@@ -4,12 +4,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.hashing import hash_u01, u01_sql
-from granary.operators.allocation import allocate, expand
+from granary.operators.allocation import allocate_by_remainder, expand, fit_total
 from granary.operators.intervals import in_interval
 from granary.plans import star as S
 from granary.plans.history import ASSIGN, MONTHS, assignments, months
 from granary.plans.registry import register
 from granary.plans.star import STAR
+from granary.sources.tables import written
 
 
 def q(name: str, sql: str):
@@ -108,10 +109,27 @@ def warehouse_allocation(spark, sf):
     return rows.select("Country", "Stores", F.when(n >= 6, "large").when(n >= 3, "medium").otherwise("small").alias("Kind"), F.when(n >= 6, F.ceil(n / 4.0)).otherwise(F.lit(1)).cast("bigint").alias("Warehouses"))
 
 
-@q("split_total_orders", ", o AS (SELECT CustomerKey, count(DISTINCT OrderNumber)::BIGINT AS w FROM sales GROUP BY 1), a AS (SELECT *, 5000 * w / (sum(w) OVER ())::DOUBLE AS e FROM o), b AS (SELECT *, floor(round(e, 9))::BIGINT AS f, round(e - floor(round(e, 9)), 9) AS r FROM a) SELECT CustomerKey, f + CASE WHEN row_number() OVER (ORDER BY r DESC, CustomerKey) <= 5000 - sum(f) OVER () THEN 1 ELSE 0 END AS Lines FROM b")
+@q("allocate_total_by_customer", ", o AS (SELECT CustomerKey, count(DISTINCT OrderNumber)::BIGINT AS w FROM sales GROUP BY 1), a AS (SELECT *, 5000 * w / (sum(w) OVER ())::DOUBLE AS e FROM o), b AS (SELECT *, floor(round(e, 9))::BIGINT AS f, round(e - floor(round(e, 9)), 9) AS r FROM a) SELECT CustomerKey, f + CASE WHEN row_number() OVER (ORDER BY r DESC, CustomerKey) <= 5000 - sum(f) OVER () THEN 1 ELSE 0 END AS Lines FROM b")
+def allocate_total_by_customer(spark, sf):
+    """5000 lines over all customers by their orders: one group, spread by selection and not by a window."""
+    own = S.sales(spark, sf).groupBy("CustomerKey").agg(F.countDistinct("OrderNumber").alias("w"))
+    return allocate_by_remainder(own, F.col("w"), F.lit(5000), [], "CustomerKey", "Lines").select("CustomerKey", "Lines")
+
+
+def _fitted_sql(per_order: int, name: str) -> str:
+    """Lines moved to `per_order` times the orders, each in [1, 9]."""
+    return f"""{name} AS (SELECT *, room * abs(lack) // nullif(all_room, 0) AS f, room * abs(lack) % nullif(all_room, 0) AS r FROM (
+      SELECT *, sum(room) OVER ()::BIGINT AS all_room FROM (SELECT *, CASE WHEN lack > 0 THEN 9 - n ELSE n - 1 END AS room FROM (SELECT *, {per_order} * count(*) OVER () - (sum(n) OVER ())::BIGINT AS lack FROM o)))),
+    {name}2 AS (SELECT OrderNumber, (n + sign(lack) * (coalesce(f, 0) + CASE WHEN r > 0 AND row_number() OVER (ORDER BY r DESC, OrderNumber) <= abs(lack) - sum(f) OVER () THEN 1 ELSE 0 END))::BIGINT AS {name} FROM {name})"""
+
+
+@q("split_total_orders", f", o AS (SELECT OrderNumber, least(count(*), 9) AS n FROM sales GROUP BY 1), {_fitted_sql(6, 'More')}, {_fitted_sql(2, 'Fewer')} SELECT OrderNumber, n AS Lines, More, Fewer FROM o JOIN More2 USING (OrderNumber) JOIN Fewer2 USING (OrderNumber)")
 def split_total_orders(spark, sf):
-    own = S.sales(spark, sf).groupBy("CustomerKey").agg(F.countDistinct("OrderNumber").alias("w")).withColumn("one", F.lit(1))
-    return allocate(own, "w", F.lit(5000), ["one"], "CustomerKey", "Lines").select("CustomerKey", "Lines")
+    """Lines per order moved to exactly six and exactly two lines an order in the mean, each in [1, 9]."""
+    own = written(S.sales(spark, sf).groupBy("OrderNumber").agg(F.least(F.count("*"), F.lit(9)).alias("n")))
+    orders = own.count()
+    more = fit_total(own, "n", 6 * orders, 9, "OrderNumber", "More")
+    return fit_total(more, "n", 2 * orders, 9, "OrderNumber", "Fewer").select("OrderNumber", F.col("n").alias("Lines"), "More", "Fewer")
 
 
 @q("new_customer_promo", ", f AS (SELECT CustomerKey, min(OrderDate) AS f FROM sales GROUP BY 1) SELECT OrderNumber, OrderLineNumber, CASE WHEN OrderDate <= f + 30 THEN 99 WHEN PromotionKey = 11 THEN 1 ELSE PromotionKey END AS PromotionKey FROM sales JOIN f USING (CustomerKey)")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from granary.functions.hashing import hash_u01, u01_sql
+from granary.operators import allocation as A
 from granary.operators import picks as P
 from granary.plans import star as S
 from granary.plans.domain import ranges_sql
@@ -112,12 +113,26 @@ def complaint_rows(spark, sf):
     return P.complaints(S.sales(spark, sf), 0.05, 12)
 
 
-@q("allocate_capped", """, a AS (SELECT StoreKey, StoreKey % 5 AS g, sum(Quantity)::DOUBLE AS w, (20 + StoreKey % 50)::DOUBLE AS cap FROM sales GROUP BY StoreKey),
+CAPPED = """, a AS (SELECT StoreKey, StoreKey % 5 AS g, sum(Quantity)::DOUBLE AS w, (20 + StoreKey % 50)::DOUBLE AS cap FROM sales GROUP BY StoreKey),
 b AS (SELECT *, (40 - coalesce(sum(cap) OVER (PARTITION BY g ORDER BY cap / w, StoreKey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(w) OVER (PARTITION BY g) - coalesce(sum(w) OVER (PARTITION BY g ORDER BY cap / w, StoreKey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM a)
-SELECT StoreKey, g, round(CASE WHEN cap / w <= level THEN cap ELSE w * first_value(level) OVER (PARTITION BY g ORDER BY CASE WHEN cap / w <= level THEN 1 ELSE 0 END, cap / w, StoreKey) END, 6) AS Share FROM b""")
+"""
+
+
+def _capped(spark, sf):
+    return S.sales(spark, sf).groupBy("StoreKey").agg(F.sum("Quantity").cast("double").alias("w")).withColumns({"g": F.col("StoreKey") % 5, "cap": (20 + F.col("StoreKey") % 50).cast("double")})
+
+
+@q("capped_shares", CAPPED + """SELECT StoreKey, g, round(CASE WHEN cap / w <= level THEN cap ELSE w * first_value(level) OVER (PARTITION BY g ORDER BY CASE WHEN cap / w <= level THEN 1 ELSE 0 END, cap / w, StoreKey) END, 6) AS Share FROM b""")
+def capped_shares(spark, sf):
+    return P.capped_shares(_capped(spark, sf), "w", "cap", 40, ["g"], "StoreKey").select("StoreKey", "g", F.round("Share", 6).alias("Share"))
+
+
+@q("allocate_capped", CAPPED + """, x AS (SELECT StoreKey, g, cap, round(CASE WHEN cap / w <= level THEN cap ELSE w * first_value(level) OVER (PARTITION BY g ORDER BY CASE WHEN cap / w <= level THEN 1 ELSE 0 END, cap / w, StoreKey) END, 9) AS x FROM b),
+f AS (SELECT *, floor(x)::BIGINT AS f, round(x - floor(x), 9) AS r FROM x)
+SELECT StoreKey, g, f + CASE WHEN r > 0 AND row_number() OVER (PARTITION BY g ORDER BY CASE WHEN r > 0 THEN 0 ELSE 1 END, r DESC, StoreKey) <= 40 - sum(f) OVER (PARTITION BY g) THEN 1 ELSE 0 END AS Share FROM f""")
 def allocate_capped(spark, sf):
-    own = S.sales(spark, sf).groupBy("StoreKey").agg(F.sum("Quantity").cast("double").alias("w")).withColumns({"g": F.col("StoreKey") % 5, "cap": (20 + F.col("StoreKey") % 50).cast("double")})
-    return P.allocate_capped(own, "w", "cap", 40, ["g"], "StoreKey").select("StoreKey", "g", F.round("Share", 6).alias("Share"))
+    """Whole numbers that sum to 40 in each group, none above its cap."""
+    return A.allocate_capped(_capped(spark, sf), "w", "cap", 40, ["g"], "StoreKey").select("StoreKey", "g", "Share")
 
 
 @q("store_hierarchy", "SELECT StoreKey, Country, District, ((District - 1) // 2 + 1)::INTEGER AS StoreRegion FROM (SELECT StoreKey, Country, ((row_number() OVER (PARTITION BY Country ORDER BY StoreKey) - 1) // 3 + 1)::INTEGER AS District FROM stores)")

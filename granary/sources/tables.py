@@ -22,6 +22,11 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.getFileStatus(p).isDirectory()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p)
@@ -182,6 +187,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage as `checkpointed`, through a table: rows are computed once, and columns can be left out when it is read."""
+    path = f"{shared_folder(df.sparkSession)}/granary-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def compact(spark: SparkSession, path: str, target_mb: int = 128, min_files: int = 2, codec: str = "snappy") -> int:
     """Rewrites a table of many small files; returns the number of files it has then. Tables of fewer files stay.
 
