@@ -37,26 +37,6 @@ def weighted_sample_wor(df: DataFrame, group: list[str], weight: str, key: str,
     return df.where(F.col(weight) > 0).withColumn("_k", F.row_number().over(W.partitionBy(*group).orderBy(race, key))).where(F.col("_k") <= k).drop("_k")
 
 
-def weighted_pick(left: DataFrame, pool: DataFrame, group: str, weight: str, item: str, key: str, seed: int, bins: int = 64) -> DataFrame:
-    """One item of the group's pool for each left row, by weight; null where the group has no item of positive weight.
-
-    The pool's cumulative shares are ranges, the last one up to 1; each is dealt to the bins it touches,
-    so that the join is on (group, bin) with the range as a rest.
-    """
-    own = pool.where(F.col(weight) > 0)
-    w = W.partitionBy(group)
-    upto = w.orderBy(item)
-    whole = F.sum(weight).over(w).cast("double")
-    before = F.coalesce(F.sum(weight).over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    high = F.when(F.lead(item).over(upto).isNull(), 1.0).otherwise(F.sum(weight).over(upto.rowsBetween(W.unboundedPreceding, 0)) / whole)
-    shares = own.select(group, item, high.alias("_hi"), (before / whole).alias("_lo"))
-    dealt = shares.withColumn("_bin", F.explode(F.sequence(F.least(F.floor(F.col("_lo") * bins), F.lit(bins - 1)).cast("int"), F.least(F.floor(F.col("_hi") * bins), F.lit(bins - 1)).cast("int"))))
-    rows = left.withColumn("_u", hash_u01(F.col(key), seed=seed)).withColumn("_bin", F.floor(F.col("_u") * bins).cast("int")).alias("_l")
-    on = [F.col(f"_l.{c}") == F.col(f"_d.{c}") for c in (group, "_bin")]
-    meet = on[0] & on[1] & (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))
-    return rows.join(dealt.alias("_d"), meet, "left").select(*[f"_l.{c}" for c in left.columns], f"_d.{item}")
-
-
 def first_n(df: DataFrame, group: list[str], value: Column, key: str, n: str) -> DataFrame:
     """The first rows of each group by value, then by a numeric key: as many as the column `n` says, which is constant in a group.
 

@@ -7,8 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.hashing import hash_u01
-from granary.operators.allocation import weighted_pick
-from granary.operators.intervals import in_interval
+from granary.operators.alias import pick_by_day, weighted_pick
 
 
 def band_step(value: Column, bands: list[tuple[float, float]], last: float) -> Column:
@@ -76,25 +75,27 @@ def pick_minute(orders: DataFrame, hours: DataFrame, seed: int) -> DataFrame:
     return picked.withColumn("TimeKey", F.col("Hour") * 60 + F.floor(hash_u01(F.col("OrderNumber"), seed=seed, salt=1) * 60).cast("int"))
 
 
-def race_pick(rows: DataFrame, keys: list[str], weight: Column, item: str, seed: int) -> DataFrame:
-    """One candidate row of each key by weight: the smallest of -ln(u) / weight, so candidates need not be gathered."""
-    race = -F.ln(1 - hash_u01(*[F.col(k) for k in keys], F.col(item), seed=seed)) / weight
-    return rows.withColumn("_r", F.struct(race.alias("race"), F.col(item).alias("item"))).groupBy(*keys).agg(F.min("_r").alias("_r")).select(*keys, F.col("_r.item").alias(item))
+def assign_promo(lines: DataFrame, promos: DataFrame, seed: int) -> DataFrame:
+    """At most one promotion that runs on the order's day and serves the line's ChannelGroup, by Weight; lines without one get key 1.
 
+    `promos` has PromotionKey, ChannelGroup (null: all groups), StartDate, EndDate and Weight.
+    """
+    groups = lines.select("ChannelGroup").where(F.col("ChannelGroup").isNotNull()).distinct()
+    everywhere = promos.where(F.col("ChannelGroup").isNull()).drop("ChannelGroup").crossJoin(groups)
+    own = promos.where(F.col("ChannelGroup").isNotNull()).unionByName(everywhere.select(promos.columns)).withColumnRenamed("PromotionKey", "_promo")
+    picked = pick_by_day(lines.drop("PromotionKey"), "OrderDate", own, "ChannelGroup", "StartDate", "EndDate", "_promo", "Weight", ["OrderNumber", "OrderLineNumber"], seed, "PromotionKey")
+    return picked.withColumn("PromotionKey", F.coalesce("PromotionKey", F.lit(1)))
 
-def assign_promo(lines: DataFrame, promos: DataFrame, seed: int) -> DataFrame:
-    """At most one promotion that runs on the order's day, by weight; lines without one get key 1."""
-    keys = ["OrderNumber", "OrderLineNumber"]
-    active = in_interval(lines.select(*keys, "OrderDate"), "OrderDate", promos, "StartDate", "EndDate")
-    picked = race_pick(active, keys, F.col("Weight"), "PromotionKey", seed)
-    return lines.drop("PromotionKey").join(picked, keys, "left").withColumn("PromotionKey", F.coalesce("PromotionKey", F.lit(1)))
-
-
-def assign_employee(orders: DataFrame, assignments: DataFrame, seed: int) -> DataFrame:
-    """A salesperson whose assignment to the store holds on the day; -1 where there is none."""
-    active = in_interval(orders, "OrderDate", assignments.withColumnRenamed("EmployeeKey", "Seller"), "StartDate", "EndDate", ["StoreKey"])
-    picked = race_pick(active.select("OrderNumber", "Seller").distinct(), ["OrderNumber"], F.lit(1.0), "Seller", seed)
-    return orders.join(picked, "OrderNumber", "left").withColumn("Seller", F.coalesce("Seller", F.lit(-1)))
+
+def assign_employee(orders: DataFrame, assignments: DataFrame, manager: Column, seed: int) -> DataFrame:
+    """A salesperson whose assignment to the store holds on the day, by Weight; -1 where there is none. Managers sell nothing.
+
+    `assignments` has StoreKey, EmployeeKey, StartDate, EndDate (null: open) and Weight; where all weights of a
+    day are zero, those present are equal.
+    """
+    staff = assignments.where(~manager)
+    picked = pick_by_day(orders, "OrderDate", staff, "StoreKey", "StartDate", "EndDate", "EmployeeKey", "Weight", ["OrderNumber"], seed, "Seller")
+    return picked.withColumn("Seller", F.coalesce("Seller", F.lit(-1)))
 
 
 def pick_store(orders: DataFrame, stores: DataFrame, local: float, seed: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.hashing import hash_u01
-from granary.operators.allocation import weighted_pick
+from granary.operators.alias import weighted_pick
 
 
 def mapped(value: Column, weights: dict[str, float], other: float = 1.0) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import calendar as C
 from granary.functions.hashing import hash_u01, u01_sql
+from granary.operators import alias
 from granary.operators import allocation as A
 from granary.operators import facts as X
 from granary.operators import ordered as O
@@ -136,16 +137,32 @@ def weighted_sample_wor(spark, sf):
     return A.weighted_sample_wor(own, ["Country"], "w", "CustomerKey", 5, 3).select("Country", "CustomerKey")
 
 
-def ranges_sql(name: str, pool: str, group: str, weight: str, item: str) -> str:
-    """Shares of a pool as ranges [lo, hi), the last one up to 1."""
-    over = f"PARTITION BY {group} ORDER BY {item}"
-    return f"{name} AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY {group} ORDER BY {item} DESC) = 1 THEN 1.0::DOUBLE ELSE sum({weight}) OVER ({over}) / (sum({weight}) OVER (PARTITION BY {group}))::DOUBLE END AS hi, coalesce(sum({weight}) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (sum({weight}) OVER (PARTITION BY {group}))::DOUBLE AS lo FROM {pool} WHERE {weight} > 0)"
+def alias_sql(name: str, pool: str, group: str, weight: str, item: str) -> str:
+    """The alias table of a pool: `group`, item, n, slot, prob and other, by joins on which lender's stretch a slot begins in."""
+    on = " AND ".join(f"l.{g} = h.{g}" for g in group.split(", "))
+    of = lambda x: ", ".join(f"{x}.{g}" for g in group.split(", "))
+    return f"""{name}_m AS (SELECT {group}, {item}, greatest(1, floor({weight} / (sum({weight}) OVER (PARTITION BY {group}))::DOUBLE * 1000000000 + 0.5::DOUBLE))::BIGINT AS m FROM {pool} WHERE {weight} > 0),
+{name}_e AS (SELECT *, count(*) OVER (PARTITION BY {group}) AS n, (sum(m) OVER (PARTITION BY {group}))::BIGINT AS whole, row_number() OVER (PARTITION BY {group} ORDER BY {item}) - 1 AS slot FROM {name}_m),
+{name}_s AS (SELECT *, n * m - whole AS e, (sum(abs(n * m - whole)) OVER (PARTITION BY {group}, n * m < whole ORDER BY {item} ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM {name}_e),
+{name}_l AS (SELECT {of('l')}, l.{item}, l.n, l.slot, (l.m * l.n)::DOUBLE / l.whole AS prob, min(h.{item}) AS other FROM {name}_s l JOIN {name}_s h ON {on} AND h.e >= 0 AND h.upto > l.upto + l.e WHERE l.e < 0 GROUP BY ALL),
+{name}_h AS (SELECT {of('h')}, h.{item}, h.n, h.slot, 1.0::DOUBLE - coalesce(min(CASE WHEN l.e < 0 AND l.upto >= h.upto THEN l.upto END) - h.upto, 0)::DOUBLE / h.whole AS prob, coalesce(min(CASE WHEN l.e >= 0 AND l.{item} > h.{item} THEN l.{item} END), h.{item}) AS other
+  FROM {name}_s h JOIN {name}_s l ON {on} WHERE h.e >= 0 GROUP BY {of('h')}, h.{item}, h.n, h.slot, h.upto, h.whole),
+{name} AS (SELECT * FROM {name}_l UNION ALL BY NAME SELECT * FROM {name}_h)"""
 
 
-@q("weighted_pick", f", pool AS (SELECT Country, StoreKey, 1 + StoreKey % 4 AS w FROM stores), {ranges_sql('c', 'pool', 'Country', 'w', 'StoreKey')}, l AS (SELECT CustomerKey, Country, {u01_sql('CustomerKey', seed=11)} AS u FROM customers) SELECT CustomerKey, StoreKey FROM l LEFT JOIN c ON l.Country = c.Country AND u >= lo AND u < hi")
+def picked(item: str, name: str = "c") -> str:
+    """The item that a row with a number u picks, once it is joined by its group and `slot_is`."""
+    return f"CASE WHEN u * {name}.n - floor(u * {name}.n) < {name}.prob THEN {name}.{item} ELSE {name}.other END"
+
+
+def slot_is(name: str = "c") -> str:
+    return f"{name}.slot = floor(u * {name}.n)"
+
+
+@q("weighted_pick", f", pool AS (SELECT Country, StoreKey, 1 + StoreKey % 4 AS w FROM stores), {alias_sql('c', 'pool', 'Country', 'w', 'StoreKey')}, l AS (SELECT CustomerKey, Country, {u01_sql('CustomerKey', seed=11)} AS u FROM customers) SELECT CustomerKey, {picked('StoreKey')} AS StoreKey FROM l LEFT JOIN c ON l.Country = c.Country AND {slot_is()}")
 def weighted_pick(spark, sf):
     pool = S.stores(spark, sf).select("Country", "StoreKey", (1 + F.col("StoreKey") % 4).alias("w"))
-    return A.weighted_pick(S.customers(spark, sf).select("CustomerKey", "Country"), pool, "Country", "w", "StoreKey", "CustomerKey", 11).select("CustomerKey", "StoreKey")
+    return alias.weighted_pick(S.customers(spark, sf).select("CustomerKey", "Country"), pool, "Country", "w", "StoreKey", "CustomerKey", 11).select("CustomerKey", "StoreKey")
 
 
 @q("stratified_trim", f", s AS (SELECT Country, count(*) AS n FROM customers GROUP BY 1), a AS (SELECT *, 100 * n / (sum(n) OVER ())::DOUBLE AS e FROM s), b AS (SELECT *, floor(round(e, 9))::BIGINT AS f, round(e - floor(round(e, 9)), 9) AS r FROM a), qt AS (SELECT Country, f + CASE WHEN row_number() OVER (ORDER BY r DESC, Country) <= 100 - sum(f) OVER () THEN 1 ELSE 0 END AS quota FROM b) SELECT Country, CustomerKey FROM (SELECT *, row_number() OVER (PARTITION BY Country ORDER BY {u01_sql('CustomerKey', seed=4)}, CustomerKey) AS k FROM customers) JOIN qt USING (Country) WHERE k <= quota")

@@ -6,7 +6,7 @@ from granary.functions.hashing import hash_u01, u01_sql
 from granary.operators import allocation as A
 from granary.operators import picks as P
 from granary.plans import star as S
-from granary.plans.domain import ranges_sql
+from granary.plans.domain import alias_sql, picked, slot_is
 from granary.plans.history import ASSIGN, ORDERS, assignments, orders
 from granary.plans.registry import register
 from granary.plans.star import STAR
@@ -73,28 +73,41 @@ def hour_weight(spark, sf):
     return _hours(spark, sf).select("ChannelKey", "Hour", F.round("Weight", 9).alias("Weight"))
 
 
-@q("pick_order_minute", HOURS + f", {ranges_sql('c', 'hw', 'ChannelKey', 'Weight', 'Hour')}, o AS (SELECT OrderNumber, min(ChannelKey) AS ChannelKey, {u01_sql('OrderNumber', seed=13)} AS u, {u01_sql('OrderNumber', seed=13, salt=1)} AS m FROM sales GROUP BY OrderNumber) SELECT OrderNumber, (Hour * 60 + floor(m * 60))::INTEGER AS TimeKey FROM o LEFT JOIN c ON o.ChannelKey = c.ChannelKey AND u >= lo AND u < hi")
+@q("pick_order_minute", HOURS + f", {alias_sql('c', 'hw', 'ChannelKey', 'Weight', 'Hour')}, o AS (SELECT OrderNumber, min(ChannelKey) AS ChannelKey, {u01_sql('OrderNumber', seed=13)} AS u, {u01_sql('OrderNumber', seed=13, salt=1)} AS m FROM sales GROUP BY OrderNumber) SELECT OrderNumber, (({picked('Hour')}) * 60 + floor(m * 60))::INTEGER AS TimeKey FROM o LEFT JOIN c ON o.ChannelKey = c.ChannelKey AND {slot_is()}")
 def pick_order_minute(spark, sf):
     own = S.sales(spark, sf).groupBy("OrderNumber").agg(F.min("ChannelKey").alias("ChannelKey"))
     return P.pick_minute(own, _hours(spark, sf), 13).select("OrderNumber", "TimeKey")
 
 
-@q("promo_assign", f", promos AS (SELECT PromotionKey AS k, DATE '1995-01-01' + (PromotionKey * 97)::INTEGER AS f, DATE '1995-01-01' + (PromotionKey * 97 + 400)::INTEGER AS t FROM (SELECT DISTINCT PromotionKey FROM sales)), r AS (SELECT OrderNumber, OrderLineNumber, k, -ln(1 - {u01_sql('OrderNumber', 'OrderLineNumber', 'k', seed=5)}) / (k * 1.0::DOUBLE) AS race FROM sales JOIN promos ON OrderDate BETWEEN f AND t), b AS (SELECT OrderNumber, OrderLineNumber, arg_min(k, race) AS k FROM r GROUP BY 1, 2) SELECT OrderNumber, OrderLineNumber, coalesce(k, 1)::INTEGER AS PromotionKey FROM sales LEFT JOIN b USING (OrderNumber, OrderLineNumber)")
+PROMOS = """, promos AS (SELECT PromotionKey AS k, DATE '1995-01-01' + (PromotionKey * 97)::INTEGER AS f, DATE '1995-01-01' + (PromotionKey * 97 + 400)::INTEGER AS t, CASE PromotionKey % 3 WHEN 0 THEN 'digital' WHEN 1 THEN 'physical' END AS own FROM (SELECT DISTINCT PromotionKey FROM sales)),
+lines AS (SELECT OrderNumber, OrderLineNumber, OrderDate, CASE WHEN ChannelKey <= 2 THEN 'digital' ELSE 'physical' END AS g FROM sales),
+pool AS (SELECT DISTINCT g, OrderDate, k, k * 1.0::DOUBLE AS w FROM (SELECT DISTINCT g, OrderDate FROM lines) JOIN promos ON OrderDate BETWEEN f AND t AND coalesce(own, g) = g)"""
+
+
+@q("promo_assign", PROMOS + f", {alias_sql('c', 'pool', 'g, OrderDate', 'w', 'k')} SELECT OrderNumber, OrderLineNumber, coalesce({picked('k')}, 1)::INTEGER AS PromotionKey FROM (SELECT *, {u01_sql('OrderNumber', 'OrderLineNumber', seed=5)} AS u FROM lines) l LEFT JOIN c ON l.g = c.g AND l.OrderDate = c.OrderDate AND {slot_is()}")
 def promo_assign(spark, sf):
-    lines = S.sales(spark, sf)
+    """Promotions of a channel group serve its lines alone, those without one all lines."""
+    lines = S.sales(spark, sf).withColumn("ChannelGroup", F.when(F.col("ChannelKey") <= 2, "digital").otherwise("physical"))
     day0 = F.lit("1995-01-01").cast("date")
     k = F.col("PromotionKey")
-    promos = lines.select("PromotionKey").distinct().select("PromotionKey", F.date_add(day0, k * 97).alias("StartDate"), F.date_add(day0, k * 97 + 400).alias("EndDate"), (k * 1.0).alias("Weight"))
+    group = F.when(k % 3 == 0, "digital").when(k % 3 == 1, "physical")
+    promos = lines.select("PromotionKey").distinct().select("PromotionKey", group.alias("ChannelGroup"), F.date_add(day0, k * 97).alias("StartDate"), F.date_add(day0, k * 97 + 400).alias("EndDate"), (k * 1.0).alias("Weight"))
     return P.assign_promo(lines, promos, 5).select("OrderNumber", "OrderLineNumber", "PromotionKey")
 
 
-@q("assign_salesperson", ASSIGN + f", o AS (SELECT OrderNumber, min(OrderDate) AS OrderDate, min(StoreKey) AS StoreKey FROM sales GROUP BY 1), r AS (SELECT DISTINCT OrderNumber, a.EmployeeKey AS k FROM o JOIN assign a ON a.StoreKey = o.StoreKey AND OrderDate BETWEEN StartDate AND EndDate), b AS (SELECT OrderNumber, arg_min(k, -ln(1 - {u01_sql('OrderNumber', 'k', seed=6)})) AS k FROM r GROUP BY 1) SELECT OrderNumber, coalesce(k, -1)::BIGINT AS Seller FROM o LEFT JOIN b USING (OrderNumber)")
+STAFF = """, o AS (SELECT OrderNumber, min(OrderDate) AS OrderDate, min(StoreKey) AS StoreKey FROM sales GROUP BY 1),
+pool AS (SELECT StoreKey, OrderDate, EmployeeKey AS k, max(1 + EmployeeKey % 4)::DOUBLE AS w FROM (SELECT DISTINCT StoreKey, OrderDate FROM o) JOIN assign USING (StoreKey) WHERE OrderDate BETWEEN StartDate AND EndDate AND EmployeeKey % 10 <> 0 GROUP BY 1, 2, 3)"""
+
+
+@q("assign_salesperson", ASSIGN + STAFF + f", {alias_sql('c', 'pool', 'StoreKey, OrderDate', 'w', 'k')} SELECT OrderNumber, coalesce({picked('k')}, -1)::BIGINT AS Seller FROM (SELECT *, {u01_sql('OrderNumber', seed=6)} AS u FROM o) l LEFT JOIN c ON l.StoreKey = c.StoreKey AND l.OrderDate = c.OrderDate AND {slot_is()}")
 def assign_salesperson(spark, sf):
+    """By weight among those present who are no managers: in this star, employees whose key ends in 0 are the managers."""
     own = S.sales(spark, sf).groupBy("OrderNumber").agg(F.min("OrderDate").alias("OrderDate"), F.min("StoreKey").alias("StoreKey"))
-    return P.assign_employee(own, assignments(spark, sf), 6).select("OrderNumber", "Seller")
+    staff = assignments(spark, sf).withColumn("Weight", 1 + F.col("EmployeeKey") % 4)
+    return P.assign_employee(own, staff, F.col("EmployeeKey") % 10 == 0, 6).select("OrderNumber", "Seller")
 
 
-@q("geo_biased_store", ORDERS + f", pool AS (SELECT Country AS g, StoreKey, 1 AS w FROM stores UNION ALL SELECT '*', StoreKey, 1 FROM stores), {ranges_sql('c', 'pool', 'g', 'w', 'StoreKey')}, o AS (SELECT OrderNumber, CASE WHEN {u01_sql('OrderNumber', seed=9, salt=1)} < 0.7::DOUBLE AND Country IN (SELECT Country FROM stores) THEN Country ELSE '*' END AS g, {u01_sql('OrderNumber', seed=9)} AS u FROM orders1 JOIN customers USING (CustomerKey)) SELECT OrderNumber, StoreKey FROM o LEFT JOIN c ON o.g = c.g AND u >= lo AND u < hi")
+@q("geo_biased_store", ORDERS + f", pool AS (SELECT Country AS g, StoreKey, 1 AS w FROM stores UNION ALL SELECT '*', StoreKey, 1 FROM stores), {alias_sql('c', 'pool', 'g', 'w', 'StoreKey')}, o AS (SELECT OrderNumber, CASE WHEN {u01_sql('OrderNumber', seed=9, salt=1)} < 0.7::DOUBLE AND Country IN (SELECT Country FROM stores) THEN Country ELSE '*' END AS g, {u01_sql('OrderNumber', seed=9)} AS u FROM orders1 JOIN customers USING (CustomerKey)) SELECT OrderNumber, {picked('StoreKey')} AS StoreKey FROM o LEFT JOIN c ON o.g = c.g AND {slot_is()}")
 def geo_biased_store(spark, sf):
     own = orders(spark, sf).join(S.customers(spark, sf).select("CustomerKey", "Country"), "CustomerKey")
     return P.pick_store(own, S.stores(spark, sf), 0.7, 9).select("OrderNumber", "StoreKey")

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from granary.functions.hashing import hash_u01, u01_sql
 from granary.operators import weights as V
-from granary.operators.allocation import weighted_pick
+from granary.operators.alias import weighted_pick
 from granary.plans import star as S
-from granary.plans.domain import ranges_sql
+from granary.plans.domain import alias_sql, picked, slot_is
 from granary.plans.history import ASSIGN, MONTHS, assignments, months
 from granary.plans.registry import register
 from granary.plans.star import STAR
@@ -65,7 +65,7 @@ def store_channel_map(spark, sf):
     return rows.select("StoreKey", F.col("Channel").alias("ChannelKey"), F.round(F.col("w") / F.sum("w").over(W.partitionBy("StoreKey")), 9).alias("Probability"))
 
 
-@q("channel_by_store", MIX_SQL + f", {ranges_sql('c', 'mix', 't', 'w', 'ChannelKey')}, o AS (SELECT OrderNumber, min(StoreKey) AS StoreKey, {u01_sql('OrderNumber', seed=43)} AS u FROM sales GROUP BY OrderNumber) SELECT OrderNumber, c.ChannelKey AS Channel FROM o JOIN stores USING (StoreKey) LEFT JOIN c ON t = StoreType AND u >= lo AND u < hi")
+@q("channel_by_store", MIX_SQL + f", {alias_sql('c', 'mix', 't', 'w', 'ChannelKey')}, o AS (SELECT OrderNumber, min(StoreKey) AS StoreKey, {u01_sql('OrderNumber', seed=43)} AS u FROM sales GROUP BY OrderNumber) SELECT OrderNumber, {picked('ChannelKey')} AS Channel FROM o JOIN stores USING (StoreKey) LEFT JOIN c ON t = StoreType AND {slot_is()}")
 def channel_by_store(spark, sf):
     own = S.sales(spark, sf).groupBy("OrderNumber").agg(F.min("StoreKey").alias("StoreKey"))
     own = own.join(S.stores(spark, sf).select("StoreKey", F.col("StoreType").alias("t")), "StoreKey")
@@ -95,7 +95,7 @@ def product_scores(spark, sf):
     return S.products(spark, sf).select("ProductKey", F.round(1 + 4 * u(1), 1).alias("Rating"), F.floor(F.pow(u(2), 3) * 1000).cast("long").alias("Reviews"), months_of.alias("WarrantyMonths"), F.round(0.02 + 0.1 * u(3), 6).alias("ReturnRate"))
 
 
-@q("eligible_product_swap", f", pool AS (SELECT Category AS g, ProductKey, 1 AS w FROM products WHERE EligibleOnline), {ranges_sql('c', 'pool', 'g', 'w', 'ProductKey')}, l AS (SELECT OrderNumber, OrderLineNumber, s.ProductKey, Category, StoreType = 'Online' AND NOT EligibleOnline AS bad, {u01_sql('OrderNumber * 100 + OrderLineNumber', seed=45).replace('OrderNumber * 100 + OrderLineNumber::VARCHAR', '(OrderNumber * 100 + OrderLineNumber)::VARCHAR')} AS u FROM sales s JOIN stores USING (StoreKey) JOIN products p ON p.ProductKey = s.ProductKey) SELECT OrderNumber, OrderLineNumber, l.ProductKey AS Old, coalesce(c.ProductKey, l.ProductKey) AS ProductKey FROM l LEFT JOIN c ON bad AND g = Category AND u >= lo AND u < hi")
+@q("eligible_product_swap", f", pool AS (SELECT Category AS g, ProductKey, 1 AS w FROM products WHERE EligibleOnline), {alias_sql('c', 'pool', 'g', 'w', 'ProductKey')}, l AS (SELECT OrderNumber, OrderLineNumber, s.ProductKey, Category, StoreType = 'Online' AND NOT EligibleOnline AS bad, {u01_sql('OrderNumber * 100 + OrderLineNumber', seed=45).replace('OrderNumber * 100 + OrderLineNumber::VARCHAR', '(OrderNumber * 100 + OrderLineNumber)::VARCHAR')} AS u FROM sales s JOIN stores USING (StoreKey) JOIN products p ON p.ProductKey = s.ProductKey) SELECT OrderNumber, OrderLineNumber, l.ProductKey AS Old, coalesce({picked('ProductKey')}, l.ProductKey) AS ProductKey FROM l LEFT JOIN c ON bad AND g = Category AND {slot_is()}")
 def eligible_product_swap(spark, sf):
     goods = S.products(spark, sf).select("ProductKey", "Category", "EligibleOnline")
     rows = S.sales(spark, sf).select("OrderNumber", "OrderLineNumber", "ProductKey", "StoreKey", (F.col("OrderNumber") * 100 + F.col("OrderLineNumber")).alias("Line"))
@@ -106,7 +106,7 @@ def eligible_product_swap(spark, sf):
 CLOSED = "StoreKey % 3 = 1 AND OrderDate >= DATE '1998-02-10' AND OrderDate < DATE '1998-03-20'"
 
 
-@q("store_reassign_closed", f", pool AS (SELECT Country AS g, StoreKey, 1 AS w FROM stores WHERE StoreKey % 3 <> 1), {ranges_sql('c', 'pool', 'g', 'w', 'StoreKey')}, l AS (SELECT OrderNumber, OrderLineNumber, StoreKey, Country, {CLOSED} AS bad, {u01_sql('OrderNumber', seed=46)} AS u FROM sales JOIN stores USING (StoreKey)) SELECT OrderNumber, OrderLineNumber, l.StoreKey AS Old, coalesce(c.StoreKey, l.StoreKey) AS StoreKey FROM l LEFT JOIN c ON bad AND g = Country AND u >= lo AND u < hi")
+@q("store_reassign_closed", f", pool AS (SELECT Country AS g, StoreKey, 1 AS w FROM stores WHERE StoreKey % 3 <> 1), {alias_sql('c', 'pool', 'g', 'w', 'StoreKey')}, l AS (SELECT OrderNumber, OrderLineNumber, StoreKey, Country, {CLOSED} AS bad, {u01_sql('OrderNumber', seed=46)} AS u FROM sales JOIN stores USING (StoreKey)) SELECT OrderNumber, OrderLineNumber, l.StoreKey AS Old, coalesce({picked('StoreKey')}, l.StoreKey) AS StoreKey FROM l LEFT JOIN c ON bad AND g = Country AND {slot_is()}")
 def store_reassign_closed(spark, sf):
     """All lines of an order whose stores are closed and of one country move to the same store."""
     shops = S.stores(spark, sf).select("StoreKey", "Country")
