@@ -36,14 +36,36 @@ def scd2_merge(dim: DataFrame, batch: DataFrame, keys: list[str], start: str, at
     return dim.join(touched, keys, "left_anti").unionByName(rebuilt.select(dim.columns))
 
 
-def scd2_as_of(fact: DataFrame, date: str, dim: DataFrame, key: str, payload: list[str], start: str = "EffectiveStartDate") -> DataFrame:
+#: Keys of more versions than this are looked up by month.
+MANY_VERSIONS = 64
+#: So many keys of many versions at most are sent to all executors.
+FEW_KEYS = 20_000
+
+
+def scd2_as_of(fact: DataFrame, date: str, dim: DataFrame, key: str, payload: list[str], start: str = "EffectiveStartDate", many: int = MANY_VERSIONS) -> DataFrame:
     """The version valid at each row's date; dates before the first version take the first.
 
-    An equi-join with a range on it; the dimension's versions of a key are few, whatever the fact's size.
+    An equi-join with a range on it, for keys of few versions. A key with more than `many` is joined by key
+    and month: its versions are dealt to the months that they touch between the fact's first and last date, so
+    a row meets those of its month alone, and a key that most rows have is spread over its months.
     """
     w = W.partitionBy(key).orderBy(start)
-    spans = dim.select(F.col(key).alias("_k"), *payload, F.when(F.row_number().over(w) == 1, F.lit("0001-01-01").cast("date")).otherwise(F.col(start)).alias("_from"), F.coalesce(F.lead(start).over(w), F.lit("9999-12-31").cast("date")).alias("_to"))
-    return fact.join(spans, (F.col(key) == F.col("_k")) & (F.col(date) >= F.col("_from")) & (F.col(date) < F.col("_to")), "left").drop("_k", "_from", "_to")
+    rank = {"_at": F.row_number().over(w), "_to": F.coalesce(F.lead(start).over(w), F.lit("9999-12-31").cast("date"))}
+    spans = dim.withColumns(rank).select(F.col(key).alias("_k"), *payload, F.when(F.col("_at") == 1, F.lit("0001-01-01").cast("date")).otherwise(F.col(start)).alias("_from"), "_to")
+    heavy = dim.groupBy(F.col(key).alias("_h")).agg(F.count("*").alias("_n")).where(F.col("_n") > many).select("_h")
+    n_heavy = heavy.count()
+    valid = (F.col(key) == F.col("_k")) & (F.col(date) >= F.col("_from")) & (F.col(date) < F.col("_to"))
+    if not n_heavy:
+        return fact.join(spans, valid, "left").drop("_k", "_from", "_to")
+    heavy = F.broadcast(heavy) if n_heavy <= FEW_KEYS else heavy
+    plain = fact.join(heavy, F.col(key) == F.col("_h"), "left_anti").join(spans.join(heavy, F.col("_k") == F.col("_h"), "left_anti"), valid, "left")
+    ends = fact.agg(F.min(date).alias("_first"), F.max(date).alias("_last"))
+    dense = spans.join(heavy, F.col("_k") == F.col("_h"), "left_semi").crossJoin(F.broadcast(ends)).where((F.col("_from") <= F.col("_last")) & (F.col("_to") > F.col("_first")))
+    touched = F.sequence(month_index(F.greatest("_from", "_first")), month_index(F.least(F.date_sub("_to", 1), F.col("_last"))))
+    dense = dense.withColumn("_m", F.explode(touched)).drop("_first", "_last")
+    dated = fact.join(heavy, F.col(key) == F.col("_h"), "left_semi").withColumn("_fm", month_index(date))
+    met = dated.join(dense, valid & (F.col("_fm") == F.col("_m")), "left").drop("_fm", "_m")
+    return plain.unionByName(met).drop("_k", "_from", "_to")
 
 
 def month_index(date: str | Column) -> Column:

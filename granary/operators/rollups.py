@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.money import ratio, total
+from granary.operators.bitmaps import grouping_sets, rollup_sets
 from granary.operators.selection import quantiles
 
 
@@ -143,9 +144,11 @@ def measures(star_rows: DataFrame, by: list[str] = (), date_role: str = "OrderDa
 
 
 def matrix(star_rows: DataFrame, levels: list[str]) -> DataFrame:
-    """Measures with subtotals; distinct customers are counted anew at each level."""
-    cost = F.sum(F.col("Quantity") * F.col("UnitCost"))
-    return star_rows.rollup(*levels).agg(F.grouping_id().cast("long").alias("Level"), total(revenue()).alias("SalesAmount"), cost.cast("double").alias("CostAmount"), (F.sum(revenue()) - cost).cast("double").alias("ProfitAmount"), F.count("*").alias("Transactions"), F.countDistinct("CustomerKey").alias("Customers"))
+    """Measures with subtotals. Distinct customers merge from the finest level by bitmaps; money stays decimal until the end."""
+    sums = {"_revenue": F.sum(revenue()), "_cost": F.sum(F.col("Quantity") * F.col("UnitCost")), "Transactions": F.count("*")}
+    found = grouping_sets(star_rows, levels, rollup_sets(levels), "CustomerKey", "Customers", **sums)
+    profit = F.col("_revenue") - F.col("_cost")
+    return found.select(*levels, "Level", F.col("_revenue").cast("double").alias("SalesAmount"), F.col("_cost").cast("double").alias("CostAmount"), profit.cast("double").alias("ProfitAmount"), "Transactions", "Customers")
 
 
 def new_customers(sales: DataFrame, by: list[str]) -> DataFrame:

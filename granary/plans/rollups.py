@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from granary.operators import rollups as R
+from granary.operators.bitmaps import cells, counted, cube_sets, grouping_sets, merged
 from granary.plans import star as S
 from granary.plans.registry import register
 from granary.plans.star import STAR
@@ -461,3 +462,30 @@ def m_matrix_category_brand(spark, sf):
 @q("m_matrix_year_month", f'SELECT y AS "Year", m AS "Month", grouping(y, m)::BIGINT AS Level, {MATRIX} FROM (SELECT *, year(OrderDate) AS y, month(OrderDate) AS m FROM sales) GROUP BY ROLLUP (y, m)')
 def m_matrix_year_month(spark, sf):
     return R.matrix(S.sales(spark, sf).withColumns({"Year": F.year("OrderDate"), "Month": F.month("OrderDate")}), ["Year", "Month"])
+
+
+@q("m_cube_customers", 'SELECT y AS "Year", ChannelKey, CurrencyKey, grouping(y, ChannelKey, CurrencyKey)::BIGINT AS Level, sum(Quantity)::BIGINT AS Quantity, count(DISTINCT CustomerKey) AS Customers FROM (SELECT *, year(OrderDate) AS y FROM sales) GROUP BY CUBE (y, ChannelKey, CurrencyKey)')
+def m_cube_customers(spark, sf):
+    """Distinct customers of every combination of three levels, merged from the finest."""
+    levels = ["Year", "ChannelKey", "CurrencyKey"]
+    return grouping_sets(S.sales(spark, sf).withColumn("Year", F.year("OrderDate")), levels, cube_sets(levels), "CustomerKey", "Customers", Quantity=F.sum("Quantity"))
+
+
+@q("merge_distinct_partials", 'SELECT ProductKey, sum(Quantity)::BIGINT AS Quantity, count(DISTINCT CustomerKey) AS Customers FROM sales GROUP BY 1')
+def merge_distinct_partials(spark, sf):
+    """Each year's cells are made alone, and merged as later loads come: customers of several years count once."""
+    lines = S.sales(spark, sf)
+    years = [lines.where(F.year("OrderDate") % 2 == n) for n in (0, 1)]
+    first, second = (cells(part, ["ProductKey"], "CustomerKey", Quantity=F.sum("Quantity")) for part in years)
+    return counted(merged(first.unionByName(second), ["ProductKey"], ["Quantity"]), ["ProductKey"], ["Quantity"], "Customers")
+
+
+BOUNDS = [("orders", "o_orderkey"), ("orders", "o_custkey"), ("lineitem", "l_orderkey"), ("lineitem", "l_partkey"), ("part", "p_partkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey")]
+
+
+@register("key_bounds", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", min({c})::BIGINT AS lowest, max({c})::BIGINT AS highest, count({c}) AS filled FROM {t}" for t, c in BOUNDS))
+def key_bounds(spark, sf):
+    """Least and greatest keys, from the tables' footers: no row is read."""
+    from granary.sources.tables import footer_bounds
+
+    return footer_bounds(spark, sf, BOUNDS)

@@ -58,16 +58,51 @@ def scan_table(spark: SparkSession, root: str, name: str, columns: list[str] | N
     return df if columns is None else df.select(*[c for c in columns if c in df.columns])
 
 
+def from_footers(spark: SparkSession, path: str, *measures: Column) -> DataFrame:
+    """Counts and bounds of a Parquet table, answered from its footers where Spark can: COUNT, and MIN and MAX of numbers, flags and dates.
+
+    Timestamps, texts and decimals have no bounds that Spark takes from footers: a table asked for those is
+    scanned, that column alone. The table is read by a session of its own, whose settings push aggregates down.
+    """
+    own = spark.newSession()
+    v1 = [x for x in own.conf.get("spark.sql.sources.useV1SourceList").split(",") if x.strip() != "parquet"]
+    own.conf.set("spark.sql.sources.useV1SourceList", ",".join(v1))
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).agg(*measures)
+
+
+def answered(spark: SparkSession, path: str, *measures: Column):
+    """One row of aggregates, from the footers or, where some file's footer lacks a bound (all its values are null), from a scan."""
+    try:
+        return from_footers(spark, path, *measures).first()
+    except Exception as e:
+        if "No min/max found" not in str(e):
+            raise
+        return spark.read.parquet(path).agg(*measures).first()
+
+
 def row_counts(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
-    """table, rows for each name; null where the table is missing."""
-    parts = []
+    """table, rows for each name; null where the table is missing. Parquet tables answer from their footers."""
+    rows = []
     for name in names:
-        df = scan_table(spark, root, name)
-        parts.append((df.select(F.count(F.lit(1)).alias("rows")) if df is not None else spark.range(1).select(F.lit(None).cast("long").alias("rows"))).select(F.lit(name).alias("table"), "rows"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        found = resolve_table(spark, root, name)
+        if found and found[0] == "parquet":
+            n = answered(spark, found[1], F.count(F.lit(1)).alias("n")).n
+        else:
+            df = scan_table(spark, root, name) if found else None
+            n = df.count() if df is not None else None
+        rows.append((name, n))
+    return spark.createDataFrame(rows, "table string, rows long")
+
+
+def footer_bounds(spark: SparkSession, root: str, columns: list[tuple[str, str]]) -> DataFrame:
+    """table, column, lowest, highest, filled (rows that are not null) of whole-number columns of Parquet tables: one aggregate a table."""
+    rows = []
+    for table in dict.fromkeys(t for t, _ in columns):
+        own = [c for t, c in columns if t == table]
+        found = answered(spark, resolve_table(spark, root, table)[1], *[f(c).alias(f"{n}{i}") for i, c in enumerate(own) for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))])
+        rows += [(table, c, found[f"lo{i}"], found[f"hi{i}"], found[f"n{i}"]) for i, c in enumerate(own)]
+    return spark.createDataFrame(rows, "table string, column string, lowest long, highest long, filled long")
 
 
 def discover_tables(spark: SparkSession, root: str) -> DataFrame:
