@@ -141,9 +141,10 @@ def stratified_sample(df: DataFrame, group: str, key: str, n: int, seed: int) ->
     return first_n(df.join(quota, group), [group], hash_u01(F.col(key), seed=seed), key, "_quota").drop("_quota")
 
 
-def trim_value(df: DataFrame, column: str, value: str, most: int, key: str, seed: int) -> DataFrame:
-    """At most `most` rows of one value, by keyed hash; all rows of others."""
-    few = df.where(F.col(column) == value).orderBy(hash_u01(F.col(key), seed=seed), key).limit(most)
+def trim_value(df: DataFrame, column: str, value: str, most: int, key: str, seed: int, stratum: str) -> DataFrame:
+    """At most `most` rows of one value, spread over its strata by their sizes and taken by keyed hash; all rows of others, nulls among them."""
+    own = written(df.where(F.col(column) == value))
+    few = own if own.count() <= most else stratified_sample(own, stratum, key, most, seed).select(df.columns)
     return df.where(~F.col(column).eqNullSafe(value)).unionByName(few)
 
 

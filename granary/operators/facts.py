@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,14 +23,44 @@ def fx_monthly(daily: DataFrame) -> DataFrame:
     return daily.groupBy(F.trunc("Date", "month").alias("MonthStart"), "FromCurrency", "ToCurrency").agg(F.avg("Rate").alias("MeanRate"), F.min("Rate").alias("MinRate"), F.max("Rate").alias("MaxRate"), F.max_by("Rate", "Date").alias("EndRate"))
 
 
-def fx_stats(master: DataFrame, least: int = 30) -> DataFrame:
-    """Daily volatility of the non-zero log moves, and the slope of the log rate a year."""
+@dataclass(frozen=True)
+class FxRules:
+    """Bounds of volatility and of drift, how much of a drift counts, and how long a history must be."""
+
+    least_vol: float = 2e-4
+    most_vol: float = 0.04
+    least_moves: int = 30
+    least_rows: int = 250
+    window_years: int = 10
+    shrink: float = 0.6
+    most_drift: float = 0.06
+    fallback: float = 0.0
+
+
+def fx_stats(master: DataFrame, rules: FxRules = FxRules()) -> DataFrame:
+    """ToCurrency, Volatility, Drift.
+
+    Volatility is the deviation of the daily log moves that are not zero, between its bounds, the lower one for
+    fewer than `least_moves`. Drift is the yearly change by a line through the log rates of the last
+    `window_years` years (all of them where these are fewer than `least_rows`), shrunk and capped; a
+    currency of fewer rows has the fallback.
+    """
     w = W.partitionBy("ToCurrency").orderBy("Date")
-    moves = master.withColumn("m", F.ln(F.col("Rate") / F.lag("Rate").over(w)))
-    day = F.datediff("Date", F.lit("1995-01-01").cast("date")).cast("double")
+    log = F.ln(F.greatest(F.col("Rate"), F.lit(1e-12)))
+    moves = master.withColumns({"y": log, "m": log - F.lag(log).over(w)})
+    last = moves.groupBy(F.col("ToCurrency").alias("_c")).agg(F.max("Date").alias("last"))
+    rows = moves.join(last, F.col("ToCurrency") == F.col("_c")).withColumn("late", F.col("Date") >= F.add_months("last", -12 * rules.window_years))
+    day = F.datediff("Date", F.lit("1970-01-01").cast("date")).cast("double")
     moved = F.when(F.col("m") != 0, F.col("m"))
-    vol = F.when(F.count(moved) >= least, F.least(F.greatest(F.stddev_pop(moved), F.lit(0.0005)), F.lit(0.05)))
-    return moves.groupBy("ToCurrency").agg(vol.alias("Volatility"), (F.regr_slope(F.ln("Rate"), day) * 365.25).alias("Drift"))
+    slope = lambda y, d: F.regr_slope(y, d) * 365.25
+    found = rows.groupBy("ToCurrency").agg(F.count(moved).alias("n"), F.stddev_pop(moved).alias("vol"), F.count("*").alias("rows"), F.count(F.when(F.col("late"), 1)).alias("late_rows"), slope(F.col("y"), day).alias("every"), slope(F.when(F.col("late"), F.col("y")), F.when(F.col("late"), day)).alias("recent"))
+    between = lambda x, lo, hi: F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    drift = (F.exp(F.when(F.col("late_rows") < rules.least_rows, F.col("every")).otherwise(F.col("recent"))) - 1) * rules.shrink
+    return found.select(
+        "ToCurrency",
+        F.when(F.col("n") < rules.least_moves, rules.least_vol).otherwise(between(F.col("vol"), rules.least_vol, rules.most_vol)).alias("Volatility"),
+        between(F.when(F.col("rows") < rules.least_rows, rules.fallback).otherwise(drift), -rules.most_drift, rules.most_drift).alias("Drift"),
+    )
 
 
 def convert(fact: DataFrame, amount: str, date: str, currency: str, rates: DataFrame, to: str, name: str) -> DataFrame:
@@ -102,13 +134,16 @@ def returns_events(lines: DataFrame, rate: float = 0.1, most: int = 3, seed: int
 
 
 def billing_periods(subs: DataFrame, end: str) -> DataFrame:
-    """A row for each billing cycle from a subscription's start to its end or the window's: period bounds, first and churn flags."""
+    """A row for each billing cycle from a subscription's start to its end or the window's: period bounds, first, churn and trial flags.
+
+    The first cycle of a subscription with HasTrial is its trial.
+    """
     stop = F.least(F.coalesce("ChurnDate", F.lit(end).cast("date")), F.lit(end).cast("date"))
     n = F.greatest(F.lit(1), F.ceil((F.floor(F.months_between(stop, "StartDate")) + 1) / F.col("CycleMonths")).cast("int"))
     rows = subs.withColumn("_n", n).withColumn("BillingCycleNumber", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     begin = F.add_months("StartDate", (F.col("BillingCycleNumber") - 1) * F.col("CycleMonths"))
     after = F.add_months("StartDate", F.col("BillingCycleNumber") * F.col("CycleMonths"))
-    return rows.select("SubscriptionKey", "CustomerKey", "BillingCycleNumber", begin.alias("PeriodStartDate"), F.date_sub(after, 1).alias("PeriodEndDate"), (F.col("BillingCycleNumber") == 1).alias("IsFirstPeriod"), (F.col("ChurnDate").isNotNull() & (F.col("BillingCycleNumber") == F.col("_n"))).alias("IsChurnPeriod"))
+    return rows.select("SubscriptionKey", "CustomerKey", "BillingCycleNumber", begin.alias("PeriodStartDate"), F.date_sub(after, 1).alias("PeriodEndDate"), (F.col("BillingCycleNumber") == 1).alias("IsFirstPeriod"), ((F.col("BillingCycleNumber") == 1) & F.coalesce("HasTrial", F.lit(False))).alias("IsTrialPeriod"), (F.col("ChurnDate").isNotNull() & (F.col("BillingCycleNumber") == F.col("_n"))).alias("IsChurnPeriod"))
 
 
 def snap_price(price: Column, bands: list[tuple[float, float]], last: float, ending: float = 0.99) -> Column:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from granary.functions.hashing import hash_u01
 from granary.operators.selection import quantiles
+from granary.sources.tables import written
 
 
 def dense_surrogate_key(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """1..N in a stated order, in two passes: rows are range-partitioned and numbered within partitions, and each partition adds the rows before it. No window sees the whole table."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    parts = parts.persist()
+    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     numbered = parts.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
@@ -42,7 +42,8 @@ def ranked_classes(df: DataFrame, order: list[Column], cuts: list[tuple[float, s
     if within:
         ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(*within).orderBy(*order))).withColumn("_n", F.count("*").over(W.partitionBy(*within)))
     else:
-        parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+        parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+        parts = written(parts)
         counts = parts.groupBy("_part").agg(F.count("*").alias("_c"))
         before = counts.select("_part", F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(W.partitionBy()).alias("_n"))
         ranked = parts.withColumn("_k", F.row_number().over(W.partitionBy("_part").orderBy(*order))).join(F.broadcast(before), "_part").withColumn("_r", F.col("_k") + F.col("_before")).drop("_part", "_k", "_before")

@@ -71,9 +71,13 @@ def dist_sanity(spark, sf):
     return K.scorecard(_dist(spark, sf))
 
 
-@q("scorecard_union", DIST)
+FK_SQL = union(*[row(f"sales_{d}", f"{k} without a dimension row", f"(SELECT count(DISTINCT {k}) FROM sales WHERE {k} NOT IN (SELECT {k} FROM {d}))", "integrity", "foreign key") for k, d in FKS])
+
+
+@q("scorecard_union", f"SELECT * FROM ({DIST} UNION ALL {PK} UNION ALL {FK_SQL})")
 def scorecard_union(spark, sf):
-    return K.scorecard(_dist(spark, sf))
+    """Checks of three kinds as one scorecard."""
+    return K.scorecard([*_dist(spark, sf), pk_duplicate(spark, sf), fk_check(spark, sf)])
 
 
 @q("quality_report_table", f", every AS ({DIST} UNION ALL {PK}) SELECT category, result, count(*) AS Checks FROM every GROUP BY 1, 2")
@@ -82,8 +86,8 @@ def quality_report_table(spark, sf):
     return every.groupBy("category", "result").agg(F.count("*").alias("Checks"))
 
 
-@q("run_all_checks", f", every AS ({DIST}) SELECT * FROM every UNION ALL SELECT 'summary', 'summary', 'verdict', count(*) || ' checks', CASE WHEN count(CASE WHEN result = 'FAIL' THEN 1 END) = 0 THEN 'PASS' ELSE 'FAIL' END, count(CASE WHEN result = 'FAIL' THEN 1 END)::DOUBLE FROM every")
-def run_all_checks(spark, sf):
+@q("run_distribution_checks", f", every AS ({DIST}) SELECT * FROM every UNION ALL SELECT 'summary', 'summary', 'verdict', count(*) || ' checks', CASE WHEN count(CASE WHEN result = 'FAIL' THEN 1 END) = 0 THEN 'PASS' ELSE 'FAIL' END, count(CASE WHEN result = 'FAIL' THEN 1 END)::DOUBLE FROM every")
+def run_distribution_checks(spark, sf):
     return K.run_all(_dist(spark, sf))
 
 

@@ -170,9 +170,10 @@ def stratified_trim(spark, sf):
     return A.stratified_sample(S.customers(spark, sf).select("Country", "CustomerKey"), "Country", "CustomerKey", 100, 4).select("Country", "CustomerKey")
 
 
-@q("trim_dominant_value", f"SELECT CustomerKey, Segment FROM customers WHERE Segment <> 'BUILDING' UNION ALL (SELECT CustomerKey, Segment FROM customers WHERE Segment = 'BUILDING' ORDER BY {u01_sql('CustomerKey', seed=9)}, CustomerKey LIMIT 20)")
+@q("trim_dominant_value", f", own AS (SELECT CustomerKey, Segment, Country FROM customers), s AS (SELECT Country, count(*) AS n FROM own WHERE Segment = 'BUILDING' GROUP BY 1), a AS (SELECT *, least(60, (sum(n) OVER ())) * n / (sum(n) OVER ())::DOUBLE AS e FROM s), b AS (SELECT *, floor(round(e, 9))::BIGINT AS f, round(e - floor(round(e, 9)), 9) AS r FROM a), qt AS (SELECT Country, f + CASE WHEN row_number() OVER (ORDER BY r DESC, Country) <= (SELECT least(60, sum(n)) FROM s) - sum(f) OVER () THEN 1 ELSE 0 END AS quota FROM b) SELECT * FROM own WHERE Segment <> 'BUILDING' UNION ALL SELECT CustomerKey, Segment, Country FROM (SELECT *, row_number() OVER (PARTITION BY Country ORDER BY {u01_sql('CustomerKey', seed=9)}, CustomerKey) AS k FROM own WHERE Segment = 'BUILDING') JOIN qt USING (Country) WHERE k <= quota")
 def trim_dominant_value(spark, sf):
-    return A.trim_value(S.customers(spark, sf).select("CustomerKey", "Segment"), "Segment", "BUILDING", 20, "CustomerKey", 9)
+    """60 rows of the commonest segment, stratified by country; all rows of the others."""
+    return A.trim_value(S.customers(spark, sf).select("CustomerKey", "Segment", "Country"), "Segment", "BUILDING", 60, "CustomerKey", 9, "Country")
 
 
 @q("sequence_expand", "SELECT OrderNumber, OrderLineNumber, unnest(range(1, Quantity + 1))::INTEGER AS \"Index\" FROM sales WHERE StoreKey = 1")
@@ -244,9 +245,27 @@ def fx_monthly(spark, sf):
     return X.fx_monthly(X.fx_triangulate(master(spark, sf), CODES)).withColumn("MeanRate", F.round("MeanRate", 6))
 
 
-@q("fx_history_stats", MASTER + ", m AS (SELECT *, ln(Rate / lag(Rate) OVER (PARTITION BY ToCurrency ORDER BY Date)) AS m FROM master) SELECT ToCurrency, round(CASE WHEN count(CASE WHEN m <> 0 THEN m END) >= 30 THEN least(greatest(stddev_pop(CASE WHEN m <> 0 THEN m END), 0.0005), 0.05) END, 6) AS Volatility, round(regr_slope(ln(Rate), date_diff('day', DATE '1995-01-01', Date)::DOUBLE) * 365.25, 6) AS Drift FROM m GROUP BY 1")
+def fx_stats_sql(years: int, least_rows: int) -> str:
+    return f""", m AS (SELECT *, ln(greatest(Rate, 1e-12)) AS y, ln(greatest(Rate, 1e-12)) - lag(ln(greatest(Rate, 1e-12))) OVER (PARTITION BY ToCurrency ORDER BY Date) AS m, Date >= max(Date) OVER (PARTITION BY ToCurrency) - INTERVAL {years} YEAR AS late, date_diff('day', DATE '1970-01-01', Date)::DOUBLE AS d FROM history),
+s AS (SELECT ToCurrency, count(*) FILTER (m <> 0) AS n, stddev_pop(m) FILTER (m <> 0) AS vol, count(*) AS r, count(*) FILTER (late) AS lr, regr_slope(y, d) * 365.25 AS every, regr_slope(y, d) FILTER (late) * 365.25 AS recent FROM m GROUP BY 1)
+SELECT ToCurrency, round(CASE WHEN n < 30 THEN 0.0002 ELSE least(greatest(vol, 0.0002), 0.04) END, 6) AS Volatility, round(CASE WHEN r < {least_rows} THEN 0 ELSE least(greatest((exp(CASE WHEN lr < {least_rows} THEN every ELSE recent END) - 1) * 0.6, -0.06), 0.06) END, 6) AS Drift FROM s"""
+
+
+def _fx_rounded(stats):
+    return stats.withColumns({"Volatility": F.round("Volatility", 6), "Drift": F.round("Drift", 6)})
+
+
+@q("fx_history_stats", MASTER + ", history AS (SELECT * FROM master)" + fx_stats_sql(10, 250))
 def fx_history_stats(spark, sf):
-    return X.fx_stats(master(spark, sf)).withColumns({"Volatility": F.round("Volatility", 6), "Drift": F.round("Drift", 6)})
+    return _fx_rounded(X.fx_stats(master(spark, sf)))
+
+
+@q("fx_history_stats_short", MASTER + ", history AS (SELECT Date, ToCurrency, CASE WHEN ToCurrency = 'GBP' THEN 1 + date_diff('day', DATE '1995-01-01', Date) / 20000.0::DOUBLE ELSE Rate END AS Rate FROM master WHERE ToCurrency <> 'JPY' OR Date < DATE '1995-03-01')" + fx_stats_sql(2, 400))
+def fx_history_stats_short(spark, sf):
+    """A window of two years; a currency with a steady trend, and one whose history is too short, which has the fallback."""
+    trend = 1 + F.datediff("Date", F.lit("1995-01-01").cast("date")) / 20_000.0
+    rows = master(spark, sf).where("ToCurrency <> 'JPY' or Date < '1995-03-01'").withColumn("Rate", F.when(F.col("ToCurrency") == "GBP", trend).otherwise(F.col("Rate")))
+    return _fx_rounded(X.fx_stats(rows, X.FxRules(window_years=2, least_rows=400)))
 
 
 FILL = MASTER + ", few AS (SELECT * FROM master WHERE dayofweek(Date) NOT IN (0, 6) AND ToCurrency = 'EUR'), span AS (SELECT unnest(generate_series(least(min(Date), DATE '1996-01-06'), greatest(max(Date), DATE '1996-03-31'), INTERVAL 1 DAY))::DATE AS Date FROM few)"
@@ -334,10 +353,10 @@ def returns_events(spark, sf):
     return X.returns_events(S.sales(spark, sf), seed=8).withColumn("ReturnNetPrice", F.col("ReturnNetPrice").cast("double"))
 
 
-@q("subscription_periods", ", s AS (SELECT CustomerKey AS SubscriptionKey, CustomerKey, date_trunc('month', min(OrderDate))::DATE AS StartDate, CASE WHEN CustomerKey % 2 = 0 THEN max(OrderDate) END AS ChurnDate, (1 + 2 * (CustomerKey % 2))::INTEGER AS CycleMonths FROM sales GROUP BY CustomerKey), n AS (SELECT *, greatest(1, ceil((date_diff('month', StartDate, least(coalesce(ChurnDate, DATE '2001-12-31'), DATE '2001-12-31')) + 1) / CycleMonths::DOUBLE)::INTEGER) AS n FROM s), e AS (SELECT *, unnest(range(1, n + 1))::INTEGER AS BillingCycleNumber FROM n) SELECT SubscriptionKey, CustomerKey, BillingCycleNumber, (StartDate + to_months((BillingCycleNumber - 1) * CycleMonths))::DATE AS PeriodStartDate, (StartDate + to_months(BillingCycleNumber * CycleMonths))::DATE - 1 AS PeriodEndDate, BillingCycleNumber = 1 AS IsFirstPeriod, ChurnDate IS NOT NULL AND BillingCycleNumber = n AS IsChurnPeriod FROM e")
+@q("subscription_periods", ", s AS (SELECT CustomerKey AS SubscriptionKey, CustomerKey, date_trunc('month', min(OrderDate))::DATE AS StartDate, CASE WHEN CustomerKey % 2 = 0 THEN max(OrderDate) END AS ChurnDate, (1 + 2 * (CustomerKey % 2))::INTEGER AS CycleMonths, CustomerKey % 3 = 0 AS HasTrial FROM sales GROUP BY CustomerKey), n AS (SELECT *, greatest(1, ceil((date_diff('month', StartDate, least(coalesce(ChurnDate, DATE '2001-12-31'), DATE '2001-12-31')) + 1) / CycleMonths::DOUBLE)::INTEGER) AS n FROM s), e AS (SELECT *, unnest(range(1, n + 1))::INTEGER AS BillingCycleNumber FROM n) SELECT SubscriptionKey, CustomerKey, BillingCycleNumber, (StartDate + to_months((BillingCycleNumber - 1) * CycleMonths))::DATE AS PeriodStartDate, (StartDate + to_months(BillingCycleNumber * CycleMonths))::DATE - 1 AS PeriodEndDate, BillingCycleNumber = 1 AS IsFirstPeriod, BillingCycleNumber = 1 AND HasTrial AS IsTrialPeriod, ChurnDate IS NOT NULL AND BillingCycleNumber = n AS IsChurnPeriod FROM e")
 def subscription_periods(spark, sf):
     own = S.sales(spark, sf).groupBy("CustomerKey").agg(F.trunc(F.min("OrderDate"), "month").alias("StartDate"), F.max("OrderDate").alias("last"))
-    subs = own.select(F.col("CustomerKey").alias("SubscriptionKey"), "CustomerKey", "StartDate", F.when(F.col("CustomerKey") % 2 == 0, F.col("last")).alias("ChurnDate"), (1 + 2 * (F.col("CustomerKey") % 2)).cast("int").alias("CycleMonths"))
+    subs = own.select(F.col("CustomerKey").alias("SubscriptionKey"), "CustomerKey", "StartDate", F.when(F.col("CustomerKey") % 2 == 0, F.col("last")).alias("ChurnDate"), (1 + 2 * (F.col("CustomerKey") % 2)).cast("int").alias("CycleMonths"), (F.col("CustomerKey") % 3 == 0).alias("HasTrial"))
     return X.billing_periods(subs, "2001-12-31")
 
 

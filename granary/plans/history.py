@@ -258,12 +258,13 @@ def m_assignment_table(spark, sf):
     return rows.groupBy("StoreKey", "EmployeeKey", "StartDate", "EndDate").agg(R.total(R.revenue()).alias("SalesAmount"), F.count("*").alias("Lines"))
 
 
-MONTHS = ", months AS (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH))::DATE AS MonthStart) "
+MONTHS = ", months AS (SELECT unnest(generate_series((SELECT date_trunc('month', min(o_orderdate)) FROM orders)::DATE, (SELECT max(o_orderdate) FROM orders)::DATE, INTERVAL 1 MONTH))::DATE AS MonthStart) "
 
 
 def months(spark, sf):
-    bounds = S.read(spark, sf, "orders", ["o_orderdate"]).select(F.lit("1995-01-01").cast("date").alias("a")).limit(1)
-    return bounds.select(F.explode(F.expr("sequence(a, date '2001-12-01', interval 1 month)")).alias("MonthStart"))
+    """Every month from the table's first order to its last."""
+    bounds = S.read(spark, sf, "orders", ["o_orderdate"]).agg(F.trunc(F.min("o_orderdate"), "month").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
+    return bounds.select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("MonthStart"))
 
 
 @q("calendar_left_join", MONTHS + "SELECT MonthStart, coalesce(n, 0) AS \"Rows\" FROM months LEFT JOIN (SELECT date_trunc('month', OrderDate)::DATE AS MonthStart, count(*) AS n FROM sales WHERE StoreKey = 1 GROUP BY 1) USING (MonthStart)")

@@ -17,17 +17,27 @@ def q(name: str, sql: str):
     return register(name, STAR + sql)
 
 
-@q("staff_coverage_matrix", ASSIGN + MONTHS + "SELECT StoreKey, MonthStart, count(DISTINCT EmployeeKey) AS Staff FROM assign JOIN months ON StartDate <= MonthStart AND EndDate >= last_day(MonthStart) GROUP BY 1, 2")
+#: Stores of this kind are renovated in these days.
+RENOVATED, FROM, TO = "StoreKey % 3 = 1", "1998-02-10", "1998-03-20"
+
+
+@q("staff_coverage_matrix", ASSIGN + MONTHS + f"SELECT StoreKey, MonthStart, count(DISTINCT EmployeeKey) AS Staff FROM (SELECT StoreKey, MonthStart FROM stores CROSS JOIN months WHERE NOT ({RENOVATED} AND MonthStart <= DATE '{TO}' AND last_day(MonthStart) >= DATE '{FROM}')) g LEFT JOIN assign a USING (StoreKey) GROUP BY 1, 2".replace("count(DISTINCT EmployeeKey)", "count(DISTINCT CASE WHEN StartDate <= MonthStart AND EndDate >= last_day(MonthStart) THEN EmployeeKey END)"))
 def staff_coverage_matrix(spark, sf):
-    """Staff whose assignment holds the whole month: intervals are dealt to their months, not compared with all."""
+    """Staff of each open store in each month: those whose assignment holds the whole month, 0 where nobody's does; months of renovation are left out.
+
+    Intervals are dealt to their months, not compared with all.
+    """
     own = in_interval(months(spark, sf), "MonthStart", assignments(spark, sf), "StartDate", "EndDate")
-    return own.where(F.col("EndDate") >= F.last_day("MonthStart")).groupBy("StoreKey", "MonthStart").agg(F.countDistinct("EmployeeKey").alias("Staff"))
+    staff = own.where(F.col("EndDate") >= F.last_day("MonthStart")).groupBy("StoreKey", "MonthStart").agg(F.countDistinct("EmployeeKey").alias("Staff"))
+    closed = F.expr(RENOVATED) & (F.col("MonthStart") <= F.lit(TO).cast("date")) & (F.last_day("MonthStart") >= F.lit(FROM).cast("date"))
+    grid = S.stores(spark, sf).select("StoreKey").crossJoin(F.broadcast(months(spark, sf))).where(~closed)  # months are a bounded calendar
+    return grid.join(staff, ["StoreKey", "MonthStart"], "left").select("StoreKey", "MonthStart", F.coalesce("Staff", F.lit(0)).alias("Staff"))
 
 
 @q("product_assortment", f"SELECT StoreKey, ProductKey FROM stores s JOIN (SELECT DISTINCT Category FROM products) c ON {u01_sql('StoreKey', 'Category', seed=15)} < 0.5 JOIN products p USING (Category)")
 def product_assortment(spark, sf):
     categories = S.products(spark, sf).select("Category").distinct()
-    kept = S.stores(spark, sf).select("StoreKey").crossJoin(F.broadcast(categories)).where(hash_u01(F.col("StoreKey"), F.col("Category"), seed=15) < 0.5)
+    kept = S.stores(spark, sf).select("StoreKey").crossJoin(categories).where(hash_u01(F.col("StoreKey"), F.col("Category"), seed=15) < 0.5)
     return kept.join(S.products(spark, sf).select("Category", "ProductKey"), "Category").select("StoreKey", "ProductKey")
 
 
@@ -57,19 +67,26 @@ def customer_value_score(spark, sf):
     return S.customers(spark, sf).join(n, "CustomerKey", "left").select("CustomerKey", F.round(score, 6).alias("Score"))
 
 
-@q("month_demand_weight", MONTHS + ", w AS (SELECT MonthStart, (1 + 0.01::DOUBLE * date_diff('month', DATE '1995-01-01', MonthStart)) * (1 + 0.2::DOUBLE * sin(2 * pi() * month(MonthStart) / 12.0::DOUBLE)) AS w FROM months) SELECT MonthStart, round(w / sum(w) OVER (), 9) AS Weight FROM w")
+def _numbered(rows):
+    """Months by their number from the first, as i."""
+    first = rows.agg(F.min("MonthStart").alias("f"))
+    return rows.crossJoin(F.broadcast(first)).withColumn("i", (F.year("MonthStart") - F.year("f")) * 12 + F.month("MonthStart") - F.month("f")).drop("f")
+
+
+@q("month_demand_weight", MONTHS + ", w AS (SELECT MonthStart, (1 + 0.01::DOUBLE * date_diff('month', (SELECT min(MonthStart) FROM months), MonthStart)) * (1 + 0.2::DOUBLE * sin(2 * pi() * month(MonthStart) / 12.0::DOUBLE)) AS w FROM months) SELECT MonthStart, round(w / sum(w) OVER (), 9) AS Weight FROM w")
 def month_demand_weight(spark, sf):
-    trend = 1 + 0.01 * ((F.year("MonthStart") - 1995) * 12 + F.month("MonthStart") - 1)
-    rows = months(spark, sf).withColumn("w", trend * (1 + 0.2 * F.sin(2 * F.pi() * F.month("MonthStart") / 12.0)))
+    rows = _numbered(months(spark, sf))
+    trend = 1 + 0.01 * F.col("i")
+    rows = rows.withColumn("w", trend * (1 + 0.2 * F.sin(2 * F.pi() * F.month("MonthStart") / 12.0)))
     return rows.crossJoin(F.broadcast(rows.agg(F.sum("w").alias("t")))).select("MonthStart", F.round(F.col("w") / F.col("t"), 9).alias("Weight"))
 
 
-@q("acquisition_weight", MONTHS + ", l AS (SELECT MonthStart, 1 / (1 + exp(-0.1::DOUBLE * (date_diff('month', DATE '1995-01-01', MonthStart) - 40))) AS s FROM months) SELECT MonthStart, round(s - coalesce(lag(s) OVER (ORDER BY MonthStart), 0), 9) AS Weight FROM l")
+@q("acquisition_weight", MONTHS + ", l AS (SELECT MonthStart, 1 / (1 + exp(-0.1::DOUBLE * (date_diff('month', (SELECT min(MonthStart) FROM months), MonthStart) - 40))) AS s FROM months) SELECT MonthStart, round(s - coalesce(lag(s) OVER (ORDER BY MonthStart), 0), 9) AS Weight FROM l")
 def acquisition_weight(spark, sf):
-    index = (F.year("MonthStart") - 1995) * 12 + F.month("MonthStart") - 1
+    index = F.col("i")
     curve = lambda i: 1 / (1 + F.exp(-0.1 * (i - 40)))
     before = F.when(index == 0, 0.0).otherwise(curve(index - 1))
-    return months(spark, sf).select("MonthStart", F.round(curve(index) - before, 9).alias("Weight"))
+    return _numbered(months(spark, sf)).select("MonthStart", F.round(curve(index) - before, 9).alias("Weight"))
 
 
 @q("price_revisions", f", v AS (SELECT ProductKey, ListPrice, unnest(range(1, 1 + 1 + (ProductKey % 4)::INTEGER))::INTEGER AS VersionNumber FROM products), d AS (SELECT *, CASE WHEN VersionNumber = 1 THEN 1.0::DOUBLE ELSE 0.95::DOUBLE + 0.15::DOUBLE * {u01_sql('ProductKey', 'VersionNumber', seed=16)} END AS f FROM v) SELECT ProductKey, VersionNumber, round(ListPrice::DOUBLE * exp(sum(ln(f)) OVER (PARTITION BY ProductKey ORDER BY VersionNumber ROWS UNBOUNDED PRECEDING)), 4) AS Price FROM d")

@@ -148,7 +148,7 @@ def _row(suite, rule, sql) -> str:
 EVERY = " UNION ALL ".join(_row(s, r, sql) for s, rules in BOOK.items() for r, sql in rules)
 
 
-@register("run_suites", HEAD + f", every AS ({EVERY}) SELECT * FROM every UNION ALL SELECT 'summary', 'summary', 'verdict', count(*) || ' checks', CASE WHEN bool_or(result = 'FAIL') THEN 'FAIL' ELSE 'PASS' END, (count(*) FILTER (result = 'FAIL'))::DOUBLE FROM every")
-def run_all_suites(spark, sf):
+@register("run_all_checks", HEAD + f", every AS ({EVERY}) SELECT * FROM every UNION ALL SELECT 'summary', 'summary', 'verdict', count(*) || ' checks', CASE WHEN bool_or(result = 'FAIL') THEN 'FAIL' ELSE 'PASS' END, (count(*) FILTER (result = 'FAIL'))::DOUBLE FROM every")
+def run_all_checks(spark, sf):
     """All suites of the book, each table scanned once."""
     return run_suites(spark, {t: (lambda f=f: f(spark, sf)) for t, f in TABLES.items()}, suites())
