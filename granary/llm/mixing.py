@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.llm.common import free, whole_text
+from granary.llm.common import free, materialize, whole_text
 
 #: A table of sources up to this many rows is sent to all executors; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
@@ -17,20 +18,30 @@ def hash_uniform(*key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The Poisson distribution function at 0, 1, 2, ... as an array, as far as doubles below 1 can be told from 1.
+#: Above this rate the distribution function is made from where it can first be told from 0.
+LARGE_RATE = 400.0
 
-    Terms are made in logarithms, so that large rates do not underflow.
-    """
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("steps"))
 
-    def add(s: Column, k: Column) -> Column:
-        log = s["log"] + F.ln(rate) - F.ln(k.cast("double"))
-        total = s["sum"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("sum"), F.concat(s["steps"], F.array(total)).alias("steps"))
+def poisson_table(rates: DataFrame) -> DataFrame:
+    """`rates` (source, rate) with start and steps: the Poisson distribution function at start, start + 1, ... as far as doubles below 1 can be told from 1.
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, add, lambda s: s["steps"])).otherwise(F.array(F.lit(1.0)))
+    The terms are rows, numbered and added up by windows over a source, so a rate of r costs some 24 * sqrt(r)
+    rows (r + 12 * sqrt(r) up to LARGE_RATE) and no array is copied as it grows. They are made in logarithms, so
+    that large rates do not underflow; from a start above 0, whose own term is by Stirling's series, they are
+    made to end at 1. Below the start lies a probability under 1e-30.
+    """
+    rate, k = F.col("rate"), F.greatest(F.col("k").cast("double"), F.lit(1.0))
+    spread = 12 * F.sqrt(rate)
+    rows = rates.where(rate > 0).withColumn("start", F.when(rate > LARGE_RATE, F.floor(rate - spread)).otherwise(F.lit(0)).cast("long"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.col("start"), F.ceil(rate + spread + 40).cast("long"))))
+    factorial = k * F.ln(k) - k + F.ln(2 * F.pi() * k) / 2 + 1 / (12 * k) - 1 / (360 * k * k * k)
+    term = F.when(F.col("k") == 0, -rate).when(F.col("k") == F.col("start"), k * F.ln(rate) - rate - factorial).otherwise(F.ln(rate) - F.ln(k))
+    upto = W.partitionBy("source").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("log", F.sum(term).over(upto)).withColumn("sum", F.sum(F.exp("log")).over(upto))
+    rows = rows.withColumn("sum", F.when(F.col("start") > 0, F.col("sum") / F.max("sum").over(W.partitionBy("source"))).otherwise(F.col("sum")))
+    steps = rows.groupBy("source", "rate", "start").agg(F.array_sort(F.collect_list(F.struct("k", "sum"))).alias("s")).select("source", "rate", "start", F.col("s.sum").alias("steps"))
+    none = rates.where(rate <= 0).select("source", "rate", F.lit(0).cast("long").alias("start"), F.array(F.lit(1.0)).alias("steps"))
+    return steps.unionByName(none)
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, scale: float) -> DataFrame:
@@ -65,14 +76,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     """
     if clash := {"rate", "copy", "shuffle_key"} & set(docs.columns) if added else ():
         raise ValueError(f"columns would clash: {sorted(clash)}")
-    rate, copy, shuffle, source, steps, u, n = free(docs.columns, "rate", "copy", "shuffle_key", "_source", "_steps", "_u", "_n")
-    rates = source_rates(docs, weights, alpha, scale).withColumn("_steps", poisson_steps(F.col("rate")))
-    rates = rates.select(F.col("source").alias(source), F.col("rate").alias(rate), F.col("_steps").alias(steps)).persist()
+    rate, copy, shuffle, source, start, steps, u, n = free(docs.columns, "rate", "copy", "shuffle_key", "_source", "_start", "_steps", "_u", "_n")
+    rates = materialize(poisson_table(source_rates(docs, weights, alpha, scale)), "rates").toDF(source, rate, start, steps)
     small = rates.count() <= BROADCAST_ROWS
     joined = docs.join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col(source)))
-    times = F.size(F.filter(steps, lambda s: s <= F.col(u)))
-    copies = joined.withColumn(u, hash_uniform(F.col(key), seed=seed)).withColumn(n, times).where(F.col(n) > 0)
-    out = copies.select(*docs.columns, rate, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(copy))
+    times = (F.col(start) + F.size(F.filter(steps, lambda s: s <= F.col(u)))).cast("int")
+    copies = joined.withColumn(u, hash_uniform(F.col(key), seed=seed)).withColumn(n, times)
+    # no filter on n: Spark would push one that reads `u` within the lambda to the side of the rates, which lacks it
+    out = copies.select(*docs.columns, rate, F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1))).alias(copy))
     out = out.withColumn(shuffle, F.xxhash64(F.lit(seed), F.col(key), copy))
     out = out.repartitionByRange(shuffle).sortWithinPartitions(shuffle, key, copy)
     return out if added else out.select(docs.columns)

@@ -1,4 +1,5 @@
 import array
+import math
 import random
 import struct
 import zlib
@@ -206,6 +207,23 @@ def test_mixture_follows_the_inverse_distribution(spark):
         mixing.mix_sources(docs.withColumn("copy", F.lit(1)))
 
 
+def test_poisson_tables_of_small_and_large_rates(spark):
+    rates = [("none", 0.0), ("few", 0.3), (None, 7.5), ("edge", 400.0), ("more", 401.0), ("many", 30_000.0), ("most", 2_000_000.0)]
+    got = {r.source: r for r in mixing.poisson_table(spark.createDataFrame(rates, "source string, rate double")).collect()}
+    assert set(got) == {s for s, _ in rates} and got["none"].steps == [1.0]
+    for s, lam in rates[1:]:
+        r, total, log, last = got[s], 0.0, -lam, 0.0
+        assert len(r.steps) < 24 * lam**0.5 + 60 or lam <= 400
+        for k in range(r.start + len(r.steps) if lam < 1e5 else 0):
+            log += math.log(lam / k) if k else 0.0
+            total += math.exp(log)
+            if k >= r.start:
+                assert abs(r.steps[k - r.start] - total) < 1e-9 and r.steps[k - r.start] >= last
+                last = r.steps[k - r.start]
+        middle = next(k for k, x in enumerate(r.steps) if x >= 0.5) + r.start
+        assert lam - 1 <= middle <= lam + 1 and r.steps[-1] > 1 - 1e-12
+
+
 def test_stages_keep_columns_of_any_name(spark):
     names = ["score", "_score", "copy", "rate", "_n", "_u", "_source", "_steps", "shuffle_key", "score_"]
     docs = spark.createDataFrame([(i, f"some words number {i} here" + " grumble" * (i % 4 == 0), "s") for i in range(80)], "doc_id long, text string, source string")
