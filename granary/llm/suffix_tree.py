@@ -13,8 +13,8 @@ estimate of the divergence from the parent. A token is scored in the longest kep
 
 All statistics are sums over positions. Chunks ask for counts of runs of n words, n = 1, 2, ..., and tell
 the gains of their contexts; a frequent context is one entry a chunk, whatever follows it. Gains are added
-up as whole numbers, so that results do not depend on chunks. Runs of more than one word are told apart by
-their hash, cut so that one in 2^14 coincides with another by chance.
+up as whole numbers, so that results do not depend on chunks. Runs are told apart by 64-bit hashes
+whatever the size of the corpus, as words are: among 10^12 different ones about one in 2 * 10^7 shares its own.
 """
 
 from __future__ import annotations
@@ -64,12 +64,12 @@ class Runs:
     count: by position, once answered; slot: by position, the number of its run among `keys`.
     """
 
-    def __init__(self, x: Tokens, n: int, at: np.ndarray, run: np.ndarray, sure: np.ndarray | None, seen: np.ndarray, mask: np.uint64):
+    def __init__(self, x: Tokens, n: int, at: np.ndarray, run: np.ndarray, sure: np.ndarray | None, seen: np.ndarray):
         self.x, self.n, self.at, self.run = x, n, at, run
         self.sure = np.zeros(len(at), bool) if sure is None else sure
         self.seen = seen
         self.asked = at[~self.sure]
-        self.keys, inverse = hashes.distinct(run[self.asked] & mask)
+        self.keys, inverse = hashes.distinct(run[self.asked])
         self.slot = np.full(len(x.token), -1, np.int64)
         self.slot[self.asked] = inverse
 
@@ -96,10 +96,10 @@ def bin_of(n: np.ndarray) -> np.ndarray:
 
 
 def single_tokens(x: Tokens) -> Runs:
-    return Runs(x, 1, np.arange(len(x.token)), x.token, None, np.zeros(len(x.token), np.int64), ~np.uint64(0))
+    return Runs(x, 1, np.arange(len(x.token)), x.token, None, np.zeros(len(x.token), np.int64))
 
 
-def longer(x: Tokens, runs: Runs, mask: np.uint64) -> tuple[Runs, np.ndarray]:
+def longer(x: Tokens, runs: Runs) -> tuple[Runs, np.ndarray]:
     """Runs of one token more, where the tokens before the last are a candidate context; and the counts that are sure.
 
     A run has no more occurrences than its end: none where that has none, one where that is this very one.
@@ -111,13 +111,13 @@ def longer(x: Tokens, runs: Runs, mask: np.uint64) -> tuple[Runs, np.ndarray]:
     run[at] = hashes.mix(runs.run[at] * np.uint64(3) + hashes.mix(x.token[at - n] + np.uint64(n)))
     last = runs.count[at]
     sure = (last == 0) | ((last == 1) & x.train[at])
-    return Runs(x, n + 1, at, run, sure, runs.count[at - 1], mask), np.minimum(last, 1)
+    return Runs(x, n + 1, at, run, sure, runs.count[at - 1]), np.minimum(last, 1)
 
 
 class Walk:
     """What the answers so far say of a chunk's positions: runs of each length, and the probabilities."""
 
-    def __init__(self, t: pa.Table, told: pa.Table, found: dict[int, dict], mask: np.uint64):
+    def __init__(self, t: pa.Table, told: pa.Table, found: dict[int, dict]):
         self.x = x = Tokens(t)
         self.found, self.told = found, told
         runs = single_tokens(x)
@@ -126,7 +126,7 @@ class Walk:
         while self.next.n in found:
             self.next.answered(self._of(self.next.n, COUNTS), sure)
             self.runs.append(self.next)
-            self.next, sure = longer(x, self.next, mask)
+            self.next, sure = longer(x, self.next)
         if self.runs:
             n, v = found[1]["n"], found[1]["v"]
             self.p0 = (self.runs[0].count + 0.5) / (n + 0.5 * (v + 1))
@@ -239,7 +239,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     contexts; each one more is a further pass over the documents.
     """
     store = ChunkStore(docs)
-    buckets, mask = store.buckets, store.mask
+    buckets = store.buckets
 
     def answered(told: DataFrame) -> DataFrame:
         return told.where("chunk >= 0").select("chunk", "bucket", "kind", "answer", "level")
@@ -253,7 +253,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     for n in range(1, depth + 2):  # counts of runs of n tokens are known, and gains of contexts of n - 2 words
 
         def ask(chunk: int, t: pa.Table, told: pa.Table, n: int = n, found: dict = dict(found)) -> pa.Table:
-            w = Walk(t, told, found, mask)
+            w = Walk(t, told, found)
             parts = []
             if n <= depth:
                 keys, values, once = w.next.question()
@@ -271,7 +271,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             found[n + 1] = _tally(told, n + 1)
 
     def score(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
-        w = Walk(t, told, found, mask)
+        w = Walk(t, told, found)
         for level in range(1, depth + 1):
             w.learn(level)
         x, rows = w.x, t.num_rows
