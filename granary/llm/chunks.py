@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import hashes
-from granary.llm.common import narrow, pack, pack_sorted, unpack, unpack_sorted, whole_text
+from granary.llm.common import free_shuffles, narrow, pack, pack_sorted, unpack, unpack_sorted, whole_text
 
 CHUNK_BYTES, LARGEST_CHUNK, BUCKET_BYTES = 8 << 20, 64 << 20, 16 << 20
 #: Chunks grow towards LARGEST_CHUNK before there are more than so many.
@@ -72,6 +72,8 @@ class ChunkStore:
         """Adds rows with a chunk to a table bucketed as the documents are, and gives all of it: `meet` reads it as often as need be without a shuffle."""
         rows = rows.repartition(self.chunks, "chunk")
         rows.write.bucketBy(self.chunks, "chunk").option("compression", "zstd").saveAsTable(self.told_name, mode="append")
+        del rows
+        free_shuffles(self.spark)
         return self.spark.table(self.told_name)
 
     def drop(self) -> None:

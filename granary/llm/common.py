@@ -45,6 +45,15 @@ def discard(*tables: DataFrame) -> None:
         remove(t.sparkSession, t.granary_path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose results are written.
+
+    Spark does so once no plan in the driver's memory refers to them, which it otherwise notices at its next
+    collection: after half an hour, or when the heap is full.
+    """
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
