@@ -169,3 +169,20 @@ def pack(df: DataFrame, parent: str, item: str, count: str, threshold: int) -> D
 def index_band(df: DataFrame, index: str, total: Column, shards: int) -> DataFrame:
     """The shard of a global index when shards are contiguous and differ by one row at most."""
     return df.withColumn("Shard", F.floor(F.col(index) * shards / total).cast("int"))
+
+
+def greedy_hubs(sizes: DataFrame, scope: str, name: str, size: str, least: int) -> DataFrame:
+    """Adds Hub, from 1 in each scope: names of `least` or more stand alone, the others join, largest first, until their hub has so many.
+
+    A scope's last hub may stay smaller. A scope is a row of its names (areas of a country, countries of a zone).
+    """
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("n"), F.col(name).alias("name"))))
+    start = F.struct(F.lit(1).cast("long").alias("hub"), F.lit(0).cast("long").alias("held"), F.array().cast(f"array<struct<name:{sizes.schema[name].dataType.simpleString()},hub:bigint>>").alias("out"))
+
+    def put(a: Column, x: Column) -> Column:
+        held = a["held"] + (-x["n"]).cast("long")
+        full = held >= least
+        return F.struct((a["hub"] + full.cast("long")).alias("hub"), F.when(full, F.lit(0).cast("long")).otherwise(held).alias("held"), F.concat(a["out"], F.array(F.struct(x["name"].alias("name"), a["hub"].alias("hub")))).alias("out"))
+
+    packed = sizes.groupBy(scope).agg(ordered.alias("_names")).select(scope, F.explode(F.aggregate("_names", start, put)["out"]).alias("_p"))
+    return packed.select(scope, F.col("_p.name").alias(name), F.col("_p.hub").alias("Hub"))

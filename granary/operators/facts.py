@@ -152,3 +152,39 @@ def snap_price(price: Column, bands: list[tuple[float, float]], last: float, end
     for edge, width in reversed(bands):
         step = F.when(price <= edge, width).otherwise(step)
     return F.greatest(F.floor(price / step + 0.5) * step - 1 + ending, F.lit(ending))
+
+
+def reason_by_weight(u: Column, weights: dict[int, float]) -> Column:
+    """The reason whose stretch of the running sum of shares holds u."""
+    total, at, out = sum(weights.values()), 0.0, None
+    for reason, w in weights.items():
+        at += w
+        here = u < at / total
+        out = F.when(here, reason) if out is None else out.when(here, reason)
+    return out.otherwise(max(weights))
+
+
+def split_returns(lines: DataFrame, reasons: dict[int, float], logistics: set[int], rate: float = 0.1, most: int = 3, lag: tuple[int, int] = (1, 30), gap: tuple[int, int] = (1, 5), seed: int = 0) -> DataFrame:
+    """Returned lines in 1 to `most` events, whose quantities lie between sorted cut points drawn without repetition.
+
+    One lag a line and a gap before each later event, so dates rise with the sequence. Reasons of logistics
+    are drawn for late lines alone. A line's price is dealt in whole cents by the events' running
+    quantities, so that events add up to the price of what is returned. NetPrice is the line's.
+    """
+    key = (F.col("OrderNumber"), F.col("OrderLineNumber"))
+    u = lambda salt, *more: hash_u01(*key, *more, seed=seed, salt=salt)
+    rows = lines.where(u(1) < rate).withColumn("Returned", F.greatest(F.lit(1), F.ceil(F.col("Quantity") * u(2)).cast("int")))
+    rows = rows.withColumn("_k", F.least(F.col("Returned"), 1 + F.floor(u(3) * most).cast("int")))
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(1), F.col("Returned") - 1), lambda c: F.struct(u(5, c).alias("u"), c.alias("c"))))
+    cuts = F.when(F.col("_k") > 1, F.array_sort(F.transform(F.slice(drawn, 1, F.col("_k") - 1), lambda x: x["c"]))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_edge", F.concat(F.array(F.lit(0)), cuts, F.array("Returned")))
+    gaps = F.transform(F.sequence(F.lit(1), F.col("_k")), lambda i: F.when(i == 1, 0).otherwise(gap[0] + F.floor(u(6, i) * (gap[1] - gap[0] + 1)).cast("int")))
+    rows = rows.withColumns({"_gap": gaps, "_lag": lag[0] + F.floor(u(4) * (lag[1] - lag[0] + 1)).cast("int")})
+    rows = rows.withColumn("ReturnSequence", F.explode(F.sequence(F.lit(1), F.col("_k"))))
+    low, high = F.element_at("_edge", F.col("ReturnSequence")), F.element_at("_edge", F.col("ReturnSequence") + 1)
+    days = F.col("_lag") + F.aggregate(F.slice("_gap", 1, F.col("ReturnSequence")), F.lit(0), lambda a, x: a + x)
+    cents, whole = (F.col("NetPrice") * 100).cast("long"), F.col("Quantity").cast("long")
+    paid = F.expr("0L") + F.floor((2 * cents * F.col("Returned") + whole) / (2 * whole))
+    upto = lambda n: F.floor((2 * paid * n + F.col("Returned")) / (2 * F.col("Returned")))
+    reason = F.when(F.col("IsOrderDelayed"), reason_by_weight(u(7, F.col("ReturnSequence")), reasons)).otherwise(reason_by_weight(u(7, F.col("ReturnSequence")), {k: w for k, w in reasons.items() if k not in logistics}))
+    return rows.select("OrderNumber", "OrderLineNumber", "ReturnSequence", (high - low).alias("ReturnQuantity"), F.date_add("DeliveryDate", days).alias("ReturnDate"), reason.alias("ReturnReasonKey"), (upto(high) - upto(low)).cast("long").alias("ReturnCents"))

@@ -92,3 +92,28 @@ def brand_month_share(brands: DataFrame, months: DataFrame, exponent: float, boo
     index = F.year("MonthStart") * 12 + F.month("MonthStart")
     rows = months.crossJoin(F.broadcast(ranked)).withColumn("_w", F.greatest(F.col("_base") * F.when(index % F.col("_n") == F.col("_turn"), boost).otherwise(1.0), F.lit(floor)))
     return rows.withColumn("Share", F.col("_w") / F.sum("_w").over(W.partitionBy("MonthStart"))).select("MonthStart", "Brand", "Share")
+
+
+def rotating_winners(brands: DataFrame, months: DataFrame, exponent: float, boost: float, tapers: tuple[float, ...], noise: float, floor: float, seed: int) -> DataFrame:
+    """Each month's shares of the brands, where each year has a winner and the next years' winners rise before it.
+
+    A cycle of as many years as there are brands has each brand as winner once, in a keyed order of its own.
+    The winner of a year has the boost times the first taper, that of the next year the second, and so on; a
+    brand that comes twice has its first. Shares are keyed-noisy, none below a floor before they are made to
+    sum to 1. Brands and months are few: one row each, and windows over them.
+    """
+    base = F.pow(F.col("Size").cast("double"), F.lit(exponent))
+    sized = brands.withColumns({"_b": F.count("*").over(W.partitionBy()), "_base": base / F.sum(base).over(W.partitionBy())})
+    first = F.min("MonthStart").over(W.partitionBy())
+    year = F.floor(F.round(F.months_between("MonthStart", first)) / 12).cast("int")
+    dated = months.withColumn("_year", year).withColumn("_last", F.max("_year").over(W.partitionBy()))
+    cycles = sized.select("Brand", "_b").join(dated.select("_last").distinct(), how="cross").withColumn("_cycle", F.explode(F.sequence(F.lit(0), F.floor(F.col("_last") / F.col("_b")).cast("int"))))
+    turn = F.row_number().over(W.partitionBy("_cycle").orderBy(hash_u01(F.col("Brand"), F.col("_cycle"), seed=seed), "Brand")) - 1
+    winners = cycles.select("Brand", (F.col("_cycle") * F.col("_b") + turn).alias("_turn"))
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(tapers)]))
+    risen = dated.select("_year", "_last").distinct().withColumn("_s", steps).withColumn("_turn", F.least(F.col("_year") + F.col("_s.k"), F.col("_last")))
+    risen = risen.join(winners, "_turn").groupBy("_year", "Brand").agg(F.min("_s").alias("_s")).select("_year", "Brand", F.col("_s.t").alias("_taper"))
+    rows = dated.join(sized, how="cross").join(risen, ["_year", "Brand"], "left")
+    raised = F.col("_base") * (1 + F.coalesce("_taper", F.lit(0.0)) * (boost - 1)) * lognormal(F.col("MonthStart"), F.col("Brand"), spread=noise, seed=seed + 1)
+    rows = rows.withColumn("_w", F.greatest(raised, F.lit(floor)))
+    return rows.withColumn("Share", F.col("_w") / F.sum("_w").over(W.partitionBy("MonthStart"))).select("MonthStart", "Brand", "Share")
