@@ -129,7 +129,7 @@ def active_pool_families(spark, sf):
     return ranked.where("Pool = 'in'").select("Family", "ProductKey")
 
 
-@q("uncovered_codes", "SELECT Country, count(*) AS Customers FROM customers WHERE Country NOT IN (SELECT Country FROM stores) GROUP BY 1")
+@q("uncovered_codes", "SELECT Country, count(*) AS Customers FROM customers WHERE Country NOT IN (SELECT Country FROM stores WHERE StoreType = 'Online') GROUP BY 1")
 def uncovered_codes(spark, sf):
-    """Countries of customers that no store covers, with their customers."""
-    return S.customers(spark, sf).join(S.stores(spark, sf).select("Country"), "Country", "left_anti").groupBy("Country").agg(F.count("*").alias("Customers"))
+    """Countries of customers that no online store covers, with their customers."""
+    return S.customers(spark, sf).join(S.stores(spark, sf).where("StoreType = 'Online'").select("Country"), "Country", "left_anti").groupBy("Country").agg(F.count("*").alias("Customers"))
