@@ -35,6 +35,8 @@ LEAST, DEPTH, GAIN = 2, 4, 8.0
 PARTS, BINS = 64, 64
 END = np.uint64(0x5851F42D4C957F2D)
 HELD_OUT = 1
+#: Odd numbers, one for each place before a run's last token.
+STEPS = hashes.mix(np.arange(256, dtype=np.uint64)) | np.uint64(1)
 COUNTS, GAINS = 0, 1
 
 
@@ -105,19 +107,18 @@ def longer(x: Tokens, runs: Runs) -> tuple[Runs, np.ndarray]:
     A run has no more occurrences than its end: none where that has none, one where that is this very one.
     """
     n = runs.n
-    at = np.flatnonzero(x.place >= n)
-    at = at[runs.count[at - 1] >= LEAST]
+    at = np.flatnonzero((x.place[1:] >= n) & (runs.count[:-1] >= LEAST)) + 1
     run = np.zeros(len(x.token), np.uint64)
-    run[at] = hashes.mix(runs.run[at] * np.uint64(3) + hashes.mix(x.token[at - n] + np.uint64(n)))
+    run[at] = hashes.mix(runs.run[at] * np.uint64(3) + x.token[at - n] * STEPS[n])
     last = runs.count[at]
     sure = (last == 0) | ((last == 1) & x.train[at])
     return Runs(x, n + 1, at, run, sure, runs.count[at - 1]), np.minimum(last, 1)
 
 
 class Walk:
-    """What the answers so far say of a chunk's positions: runs of each length, and the probabilities."""
+    """What the answers so far say of a chunk's positions: runs of each length up to `longest`, and the probabilities."""
 
-    def __init__(self, t: pa.Table, told: pa.Table, found: dict[int, dict]):
+    def __init__(self, t: pa.Table, told: pa.Table, found: dict[int, dict], longest: int):
         self.x = x = Tokens(t)
         self.found, self.told = found, told
         runs = single_tokens(x)
@@ -126,6 +127,8 @@ class Walk:
         while self.next.n in found:
             self.next.answered(self._of(self.next.n, COUNTS), sure)
             self.runs.append(self.next)
+            if self.next.n == longest:
+                break
             self.next, sure = longer(x, self.next)
         if self.runs:
             n, v = found[1]["n"], found[1]["v"]
@@ -199,10 +202,11 @@ def _answer(asked: DataFrame) -> DataFrame:
             sums = np.bincount(place, value, len(every))
             cut = np.cumsum([0, *map(len, keys)])
             if kind == COUNTS:
-                result, bins = sums.astype(np.uint64), np.zeros(len(every), np.int64)
-                np.maximum.at(bins, place, np.concatenate([x[2] for x in told]))
+                result, single = sums.astype(np.uint64), sums == 1
+                # Where the sum is 1, one chunk alone has given a bin.
+                bins = np.bincount(place, np.concatenate([x[2] for x in told]), len(every))[single].astype(np.int64)
                 tally = sum((x[3].astype(np.int64) for x in told if len(x[3])), np.zeros(2 * BINS, np.int64))
-                tally[BINS:] += np.bincount(bins, sums == 1, BINS).astype(np.int64)
+                tally[BINS:] += np.bincount(bins, minlength=BINS)
                 tally = np.append(tally, (sums > 0).sum())
             else:
                 result, tally = (sums > GAIN * PARTS).astype(np.uint8), None
@@ -253,7 +257,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     for n in range(1, depth + 2):  # counts of runs of n tokens are known, and gains of contexts of n - 2 words
 
         def ask(chunk: int, t: pa.Table, told: pa.Table, n: int = n, found: dict = dict(found)) -> pa.Table:
-            w = Walk(t, told, found)
+            w = Walk(t, told, found, depth + 1)
             parts = []
             if n <= depth:
                 keys, values, once = w.next.question()
@@ -271,7 +275,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             found[n + 1] = _tally(told, n + 1)
 
     def score(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
-        w = Walk(t, told, found)
+        w = Walk(t, told, found, depth + 1)
         for level in range(1, depth + 1):
             w.learn(level)
         x, rows = w.x, t.num_rows
