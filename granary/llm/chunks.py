@@ -59,6 +59,14 @@ class ChunkStore:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def recode(self, f: Callable[[int, pa.Table], pa.Table], schema: str) -> None:
+        """Puts f(chunk, documents) in the documents' place, for questions that need no texts: a table bucketed as they were, written without a shuffle since a task holds whole chunks."""
+        name = self.name + "_coded"
+        self.map(f, schema).write.bucketBy(self.chunks, "chunk").option("compression", "zstd").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self.name = name
+        del self.table
+
     def map(self, f: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
         """f(chunk, documents) for each chunk."""
         return self.table.groupBy("chunk").applyInArrow(lambda key, t: f(key[0].as_py(), t), schema)

@@ -40,23 +40,41 @@ STEPS = hashes.mix(np.arange(256, dtype=np.uint64)) | np.uint64(1)
 COUNTS, GAINS = 0, 1
 
 
+CODED = "chunk int, tokens binary"
+
+
+def coded(chunk: int, t: pa.Table) -> pa.Table:
+    """A chunk's documents as one row: their ids, which of them are there, their numbers of tokens, the different tokens' hashes, and each token's number among these."""
+    hs, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for rows, data, offsets in batches(t):
+        h, d = hashes.words(data, offsets)
+        hs.append(h)
+        docs.append(rows[d])
+    doc = np.concatenate(docs)
+    size = np.bincount(doc, minlength=t.num_rows) + 1
+    token = np.full(int(size.sum()), END)
+    token[np.arange(len(doc)) + doc] = np.concatenate(hs)
+    keys, slot = hashes.distinct(token)
+    ids = t.column("doc_id")
+    row = pack(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy().astype(np.uint8), narrow(size), pack_sorted(keys), narrow(slot))
+    return pa.table({"chunk": pa.array([chunk], pa.int32()), "tokens": pa.array([row], pa.binary())})
+
+
 class Tokens:
-    """The tokens of a chunk's documents in order, each document's words and its end."""
+    """The tokens of a chunk's documents in order, each document's words and its end, from their row.
+
+    keys: the hashes of different tokens, sorted; slot: by position, the token's number among them.
+    """
 
     def __init__(self, t: pa.Table):
-        ids = t.column("doc_id").to_pylist()
-        self.fold = np.array([-1 if i is None else zlib.crc32(str(i).encode()) % 5 for i in ids], np.int64)
-        hs, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for rows, data, offsets in batches(t):
-            h, d = hashes.words(data, offsets)
-            hs.append(h)
-            docs.append(rows[d])
-        doc = np.concatenate(docs)
-        size = np.bincount(doc, minlength=len(ids)) + 1
+        ids, there, size, keys, slot = unpack(t.column("tokens")[0].as_py())
+        self.ids = pa.array(ids, mask=there == 0)
+        self.fold = np.array([-1 if i is None else zlib.crc32(str(i).encode()) % 5 for i in self.ids.to_pylist()], np.int64)
+        self.keys, self.slot = unpack_sorted(keys), slot.astype(np.int64)
+        self.token = self.keys[self.slot]
+        size = size.astype(np.int64)
         self.doc = np.repeat(np.arange(len(ids)), size)
         self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(size) - size, size)
-        self.token = np.full(len(self.doc), END)
-        self.token[np.arange(len(doc)) + doc] = np.concatenate(hs)
         self.train = ((self.fold >= 0) & (self.fold != HELD_OUT))[self.doc]
 
 
@@ -71,6 +89,9 @@ class Runs:
         self.sure = np.zeros(len(at), bool) if sure is None else sure
         self.seen = seen
         self.asked = at[~self.sure]
+        if n == 1:
+            self.keys, self.slot = x.keys, x.slot
+            return
         self.keys, inverse = hashes.distinct(run[self.asked])
         self.slot = np.full(len(x.token), -1, np.int64)
         self.slot[self.asked] = inverse
@@ -240,9 +261,10 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     neither held out nor learnt from. A null text counts as empty: its end is its one token. With no
     training rows all probabilities are 1. Rows that repeat a doc_id each count and have a row. An empty
     table gives an empty result. Other columns are ignored. `depth` is the number of words of the longest
-    contexts; each one more is a further pass over the documents.
+    contexts; each one more is a further pass over the coded tokens. Texts are read and hashed once.
     """
     store = ChunkStore(docs)
+    store.recode(coded, CODED)
     buckets = store.buckets
 
     def answered(told: DataFrame) -> DataFrame:
@@ -278,9 +300,9 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         w = Walk(t, told, found, depth + 1)
         for level in range(1, depth + 1):
             w.learn(level)
-        x, rows = w.x, t.num_rows
+        x, rows = w.x, len(w.x.ids)
         ints = lambda y: pa.array(np.bincount(x.doc, y, rows).astype(np.int64))
-        return pa.table({"doc_id": t.column("doc_id"), "held_out": pa.array(x.fold == HELD_OUT), "n_tokens": ints(np.ones(len(x.doc))), "n_known": ints(w.runs[0].count > 0), "train_tokens": pa.array(np.full(rows, found[1]["n"])), "base_score": pa.array(np.bincount(x.doc, np.log10(w.p0), rows)), "score": pa.array(np.bincount(x.doc, np.log10(w.p), rows))})
+        return pa.table({"doc_id": x.ids, "held_out": pa.array(x.fold == HELD_OUT), "n_tokens": ints(np.ones(len(x.doc))), "n_known": ints(w.runs[0].count > 0), "train_tokens": pa.array(np.full(rows, found[1]["n"])), "base_score": pa.array(np.bincount(x.doc, np.log10(w.p0), rows)), "score": pa.array(np.bincount(x.doc, np.log10(w.p), rows))})
 
     result = materialize(store.meet(answered(told), score, SCORES), "scores")
     store.drop()
