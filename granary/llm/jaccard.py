@@ -311,7 +311,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
 
 
 def keep_one_per_component(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, all columns, whose id is their component's smallest; rows with a null id stay."""
+    """The rows of `docs`, all columns, whose id is their component's smallest; rows with a null id stay.
+
+    Rows that repeat an id stand or fall together: they go where any of their texts has a smaller id in its component.
+    """
     found = jaccard_components(docs, n, percent)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
