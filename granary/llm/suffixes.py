@@ -96,7 +96,8 @@ class Entries:
         cut = np.flatnonzero(new)
         self.first, self.anchor = start[cut], anchor[start[cut]]
         self.count = np.diff(np.append(cut, len(start)))
-        self.row, self.key = rows[doc[start[cut]]], piece[self.anchor]
+        # An anchor's hash is the least of 26, so low ones abound: mixed again they fill all ranges of keys alike.
+        self.row, self.key = rows[doc[start[cut]]], hashes.mix(piece[self.anchor])
 
 
 def _doc_ids(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
