@@ -31,7 +31,8 @@ WINDOW = 40
 FEWEST = 5
 #: Step lengths of embeddings, output layer and bias.
 RATES = (4.0, 0.1, 0.1)
-MEMO = 500_000
+#: Words whose worth is kept, and tokens that a step of training holds at once (a longer text comes alone).
+MEMO, BLOCK = 500_000, 1 << 18
 
 
 def text_words(text: str) -> list[str]:
@@ -57,14 +58,15 @@ class Trainer:
 
     def __init__(self, texts: list[str], labels: np.ndarray, seed: int = 7):
         words: dict[str, int] = {}
-        docs = [np.array([words.setdefault(w, len(words)) for w in text_words(t)], np.int64) for t in texts]
+        docs = [np.array([words.setdefault(w, len(words)) for w in text_words(t)], np.int32) for t in texts]
         self.sizes = np.array([len(d) for d in docs])
-        self.tokens = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        subs = [subwords(w) for w in words]
+        self.tokens = np.concatenate(docs) if docs else np.zeros(0, np.int32)
+        subs = [np.array(subwords(w), np.int32) for w in words]
         self.per = np.array([len(s) for s in subs] or [0])
-        self.sub = np.array([b for s in subs for b in s], np.int64)
+        self.sub = np.concatenate(subs) if subs else np.zeros(0, np.int32)
         self.sub_at = np.concatenate([[0], np.cumsum(self.per)[:-1]])
-        self.word_of_sub = np.repeat(np.arange(len(subs)), self.per[: len(subs)])
+        self.word_of_sub = np.repeat(np.arange(len(subs), dtype=np.int32), self.per[: len(subs)])
+        del subs
         self.y = labels.astype(float)
         seen = np.zeros(BUCKETS, np.int64)
         for d in docs:
@@ -72,11 +74,6 @@ class Trainer:
             seen[np.unique(np.concatenate([self.sub[self.sub_at[w] : self.sub_at[w] + self.per[w]] for w in own] or [self.sub[:0]]))] += 1
         self.learnt = seen >= FEWEST
         self.n_words = len(words)
-        full = np.flatnonzero(self.sizes)
-        base = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]) if len(docs) else np.zeros(0, np.int64)
-        n_own = np.maximum(self.sizes[full] - SPAN + 1, 1)
-        self.seg_doc = np.repeat(full, n_own)
-        self.seg_at = np.arange(n_own.sum()) + np.repeat(base[full] - np.cumsum(n_own) + n_own, n_own)
         rng = np.random.default_rng(seed)
         self.emb = rng.normal(0, 0.01, (BUCKETS, DIM)) * self.learnt[:, None]
         self.out = rng.normal(0, 0.3, (2, DIM))
@@ -85,41 +82,51 @@ class Trainer:
     def fit(self, whole: int = 30, picked: int = 100) -> None:
         if not self.n_words or len(set(self.y)) < 2:
             return
-        seg_len = np.minimum(self.sizes, SPAN)[self.seg_doc]
-        doc_of_token = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        first = np.flatnonzero(np.diff(self.seg_doc, prepend=-1))
-        full = self.seg_doc[first]
+        full = np.flatnonzero(self.sizes)
+        size = self.sizes[full]
+        base = np.cumsum(size) - size
+        # Blocks of whole texts; sums run on from block to block in the order of tokens.
+        cuts = [0]
+        while cuts[-1] < len(full):
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(base + size, base[cuts[-1]] + BLOCK, "right"))))
+        blocks = list(zip(cuts[:-1], cuts[1:]))
         weight = np.where(self.y > 0, np.sqrt(max(1.0, (self.y == 0).sum() / max(1, (self.y > 0).sum()))), 1.0)[full]
         weight /= weight.sum()
         params = [self.emb, self.out, self.bias]
-        m, size = [np.zeros_like(p) for p in params], [0.0] * 3
+        m, scale = [np.zeros_like(p) for p in params], [0.0] * 3
+        grad, spare = np.empty_like(self.emb), np.empty_like(self.emb)
         for step in range(1, whole + picked + 1):
             way = self.out[1] - self.out[0]
             worth = np.add.reduceat((self.emb @ way)[self.sub], self.sub_at) / self.per
-            if step <= whole:  # each text's mean over all its words
-                used, share = slice(None), 1.0 / self.sizes[doc_of_token]
-                rows = np.searchsorted(full, doc_of_token)
-            else:  # the mean over its most toxic passage
-                sums = np.concatenate([[0.0], np.cumsum(worth[self.tokens])])
-                seg = (sums[self.seg_at + seg_len] - sums[self.seg_at]) / seg_len
-                best = np.flatnonzero(seg == np.repeat(np.maximum.reduceat(seg, first), np.diff(np.append(first, len(seg)))))
-                top = best[np.flatnonzero(np.diff(self.seg_doc[best], prepend=-1))]
-                size_top = seg_len[top]
-                rows = np.repeat(np.arange(len(top)), size_top)
-                used = np.arange(len(rows)) + (self.seg_at[top] - np.cumsum(size_top) + size_top)[rows]
-                share = 1.0 / size_top[rows]
-            tokens = self.tokens[used]
-            logit = np.bincount(rows, worth[tokens] * share, len(full)) + self.bias[1] - self.bias[0]
-            pull = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - self.y[full])
-            per_word = np.bincount(tokens, pull[rows] * share, self.n_words)
+            per_word, pulled, carried = np.zeros(self.n_words), np.empty(len(full)), 0.0
+            for lo, hi in blocks:
+                own, at = size[lo:hi], base[lo:hi]
+                if step > whole:  # the mean over each text's most toxic passage, else over all its words
+                    sums = np.cumsum(np.concatenate([[carried], worth[self.tokens[at[0] : at[-1] + own[-1]]]]))
+                    carried = sums[-1]
+                    top = best_passages(sums, at - at[0], own)
+                    own, at = np.minimum(own, SPAN), at + top
+                rows = np.repeat(np.arange(hi - lo), own)
+                share = (1.0 / own)[rows]
+                tokens = self.tokens[np.arange(len(rows)) + (at - np.cumsum(own) + own)[rows]]
+                logit = np.bincount(rows, worth[tokens] * share, hi - lo) + self.bias[1] - self.bias[0]
+                pulled[lo:hi] = pull = weight[lo:hi] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - self.y[full[lo:hi]])
+                np.add.at(per_word, tokens, pull[rows] * share)
             bucket = np.bincount(self.sub, (per_word / self.per)[self.word_of_sub], BUCKETS) * self.learnt
             toward = bucket @ self.emb
-            grads = [bucket[:, None] * way, np.stack([-toward, toward]) + 1e-5 * self.out, np.array([-pull.sum(), pull.sum()])]
+            np.multiply(bucket[:, None], way, out=grad)
+            grads = [grad, np.stack([-toward, toward]) + 1e-5 * self.out, np.array([-pulled.sum(), pulled.sum()])]
             pace = min(1.0, 2 * (1 - step / (whole + picked + 1)))
             for k, (p, g, a) in enumerate(zip(params, grads, m)):
-                a += 0.1 * (g - a)
-                size[k] += 0.02 * (np.sum(g * g) - size[k])
-                p -= pace * RATES[k] * (a / (1 - 0.9**step)) / (np.sqrt(size[k] / (1 - 0.98**step)) + 1e-12)
+                held = spare if k == 0 else np.empty_like(p)
+                scale[k] += 0.02 * (np.sum(np.multiply(g, g, out=held)) - scale[k])
+                np.subtract(g, a, out=held)
+                held *= 0.1
+                a += held
+                np.divide(a, 1 - 0.9**step, out=held)
+                held *= pace * RATES[k]
+                held /= np.sqrt(scale[k] / (1 - 0.98**step)) + 1e-12
+                p -= held
 
     def model(self, slope: float = 1.0, offset: float | None = None) -> bytes:
         """By bucket, what it adds to the logit of class 1; with the offset last."""
@@ -127,6 +134,18 @@ class Trainer:
         return pack(np.append(slope * (self.emb @ (self.out[1] - self.out[0])), offset))
 
 
+def best_passages(sums: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where in each text the first passage of SPAN words (all, if fewer) of largest mean begins. sums: the running sum of the words' worth, from before the first; at, size: where texts begin, and their words."""
+    n = np.maximum(size - SPAN + 1, 1)
+    first = np.cumsum(n) - n
+    begin = np.arange(n.sum()) + np.repeat(at - first, n)
+    length = np.repeat(np.minimum(size, SPAN), n)
+    mean = (sums[begin + length] - sums[begin]) / length
+    best = np.flatnonzero(mean == np.repeat(np.maximum.reduceat(mean, first), n))
+    text = np.repeat(np.arange(len(n)), n)[best]
+    return (best - first[text])[np.diff(text, prepend=-1) != 0]
+
+
 def calibrate(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve over raw scores, by Newton's method with a slight pull to 0."""
     scale = raw.std() or 1.0
