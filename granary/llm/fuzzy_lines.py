@@ -10,8 +10,9 @@ its runs also occur elsewhere. Counts of all runs, asked in packed form, leave f
 shared runs find most of the rest: lines that meet are compared with one of them, in rounds, and linked
 lines become components. SimHash cannot guarantee 0.8, so a last search does: of a line's shared runs,
 rarest first, the first ones are such that two linked lines have one of these in common. Runs whose lines
-are all in one component are done. For the others, each line is first compared with the line of another
-component that has most words in common with it, and then lines of components that are still apart are.
+are all in one component are done. For the others, the pairs that bags of words and lengths leave are first
+thinned to a forest over the components, most alike first, so that a large group joins with as many
+comparisons as it has lines; then all pairs of lines whose components are still apart are compared.
 
 Lines of up to six words meet on runs of two words, since one edit may touch all runs of three.
 """
@@ -28,18 +29,20 @@ from pyspark.sql import functions as F
 
 from granary.llm import hashes
 from granary.llm.chunks import ASKED, ChunkStore, answer_totals, answers, ask
-from granary.llm.common import discard, materialize
+from granary.llm.common import discard, free_shuffles, materialize
 from granary.llm.graph import joined_components, with_components
 
 SIMILARITY = 0.8
-#: Rounds that compare each line with one of those it meets, and with its nearest, before the last search.
+#: Rounds that compare each line with one of those it meets, and pairs of a forest, before the last search.
 ROUNDS = 1
 #: Runs that more lines share are dealt in blocks of so many lines, each pair of blocks on its own.
 BLOCK = 2048
-#: Open runs up to this number are sent to all executors; more are joined by shuffle.
-BROADCAST_RUNS = 500_000
-#: Bits of a line's set of words.
-BITS = 512
+#: Pairs that are compared at once.
+PAIRS = 1 << 18
+#: Open runs, pairs and components up to this number are sent to all executors; more are joined by shuffle.
+BROADCAST = 1_000_000
+#: Bits of a line's bag of words.
+BITS = 1024
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
@@ -109,54 +112,60 @@ def families(similarity: float) -> list[tuple[int, int, int]]:
 
 
 class Runs:
-    """Word runs of some lines: hash, line (its place in `own`), and distinct hashes with each run's place among them."""
+    """Word runs of some lines: hash, line (its place in `own`), place in the line, and distinct hashes with each run's slot among them."""
 
     def __init__(self, x: Lines, own: np.ndarray, similarity: float, mask: np.uint64):
         self.size = size = x.words[own]
         begin = np.cumsum(size) - size
-        self.place = np.arange(size.sum()) - np.repeat(begin, size)
+        word = np.arange(size.sum()) - np.repeat(begin, size)
         self.word_line = np.repeat(np.arange(len(own)), size)
         self.h = x.h[np.repeat(x.start[own] - begin, size) + np.arange(size.sum())]
         parts, self.family = [], []
         for q, least, most in families(similarity):
             n = max(0, len(self.h) - q + 1)
             of = size[self.word_line[:n]]
-            use = np.flatnonzero((self.place[:n] + q <= of) & (of >= least) & (of <= most))
-            joined = np.full(len(use), q, np.uint64)
-            for k in range(q):
-                joined = hashes.mix(joined + self.h[use + k] + np.uint64(k + 1))
-            parts.append((joined & mask, self.word_line[use]))
+            use = np.flatnonzero((word[:n] + q <= of) & (of >= least) & (of <= most))
+            up, _ = hashes.powers(q + 1)
+            joined = self.h[use] + np.uint64(q)
+            for k in range(1, q):
+                joined += self.h[use + k] * up[k]
+            parts.append((hashes.mix(joined) & mask, self.word_line[use], word[use]))
             self.family.append(slice(sum(len(p[0]) for p in parts[:-1]), sum(len(p[0]) for p in parts)))
-        self.hash, self.line = (np.concatenate(c) for c in zip(*parts))
+        self.hash, self.line, self.place = (np.concatenate(c) for c in zip(*parts))
         self.keys, self.slot = hashes.distinct(self.hash)
 
 
-LINE = "chunk int, doc_id long, line int, key long"
-SURVIVOR = "key long, size int, code string, seen binary, simhash long, run array<long>, often array<int>"
-_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+LINE = "chunk int, doc_id long, line int, key long, first boolean, bucket int, asked binary"
+SURVIVOR = "key long, size int, code string, seen binary, simhash long, run array<long>, often array<int>, at array<int>"
+_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int64()]
 
 
-def _survivors(x: Lines, own: np.ndarray, runs: Runs, counts: np.ndarray, similarity: float) -> pa.Table:
-    """Lines with enough shared runs to have a link, with their words as letters, set of words, SimHash, and the runs that they can be met on."""
+def _survivors(x: Lines, own: np.ndarray, runs: Runs, counts: np.ndarray, copies: np.ndarray, similarity: float) -> pa.Table:
+    """Lines with enough shared runs to have a link, with their words as letters, bag of words, SimHash, and the runs that they can be met on.
+
+    `copies` has the chunks that hold a line, which its runs are counted in; 0 leaves the line out.
+    """
     often = counts[runs.slot] if len(runs.slot) else np.zeros(0, np.int64)
+    others = often > copies[runs.line]
     parts = []
     for (q, least, most), s in zip(families(similarity), runs.family):
-        line, df, run = runs.line[s], often[s], runs.hash[s]
-        shared = np.bincount(line, df > 1, len(own)).astype(np.int64)
+        line, df, run, at = runs.line[s], often[s], runs.hash[s], runs.place[s]
+        shared = np.bincount(line, others[s], len(own)).astype(np.int64)
         need = runs.size - q + 1 - most_lost(q, runs.size, similarity)
-        able = (runs.size >= least) & (runs.size <= most) & (shared >= need)
-        use = np.flatnonzero((df > 1) & able[line])
-        line, df, run = line[use], df[use], run[use]
-        order = np.lexsort((run, df, line))
-        line, df, run = line[order], df[order], run[order]
+        able = (runs.size >= least) & (runs.size <= most) & (shared >= need) & (copies > 0)
+        use = np.flatnonzero(others[s] & able[line])
+        use = use[np.lexsort((run[use], df[use], line[use]))]
+        line, df, run, at = line[use], df[use], run[use], at[use]
         first = np.flatnonzero(np.diff(line, prepend=-1))
         rank = np.arange(len(line)) - np.repeat(first, np.diff(np.append(first, len(line))))
         keep = rank < (shared - need + 1)[line]
-        keep[1:] &= (run[1:] != run[:-1]) | (line[1:] != line[:-1])
-        parts.append((line[keep], df[keep], run[keep]))
-    line, df, run = (np.concatenate(c) for c in zip(*parts))
+        again = (run[1:] == run[:-1]) & (line[1:] == line[:-1])
+        at[1:][again] = at[:-1][again] = -1
+        keep[1:] &= ~again
+        parts.append((line[keep], df[keep], run[keep], at[keep]))
+    line, df, run, at = (np.concatenate(c) for c in zip(*parts))
     order = np.argsort(line, kind="stable")
-    line, df, run = line[order], df[order], run[order]
+    line, df, run, at = line[order], df[order], run[order], at[order]
     found, n = np.unique(line, return_counts=True)
     place = np.full(len(own), -1)
     place[found] = np.arange(len(found))
@@ -167,7 +176,12 @@ def _survivors(x: Lines, own: np.ndarray, runs: Runs, counts: np.ndarray, simila
     letters = (h % np.uint64(1 << 20) + np.uint64(1 << 16)).astype("<u4").tobytes().decode("utf-32-le")
     code = [letters[a:b] for a, b in zip(cut.tolist(), np.append(cut[1:], len(h)).tolist())]
     seen = np.zeros((len(found), BITS // 8), np.uint8)
-    bit = (h >> np.uint64(20)) % np.uint64(BITS)
+    # A word's second, third and further occurrences have bits of their own.
+    order = hashes.order_within(of, h)
+    again = np.zeros(len(h), np.int64)
+    fresh = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])])) if len(h) else np.zeros(0, np.int64)
+    again[order] = np.arange(len(h)) - np.repeat(fresh, np.diff(np.append(fresh, len(h))))
+    bit = hashes.mix(h + again.astype(np.uint64)) % np.uint64(BITS)
     np.bitwise_or.at(seen.reshape(-1), of * (BITS // 8) + (bit >> np.uint64(3)).astype(np.int64), (1 << (bit & np.uint64(7)).astype(np.int64)).astype(np.uint8))
     simhash = np.zeros(len(found), np.uint64)
     size = runs.size[found]
@@ -176,12 +190,19 @@ def _survivors(x: Lines, own: np.ndarray, runs: Runs, counts: np.ndarray, simila
         simhash |= (2 * ones > size).astype(np.uint64) << np.uint64(b)
     offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
     columns = [x.key[own][found].astype(np.int64), size, code, [s.tobytes() for s in seen], simhash.astype(np.int64)]
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(run.astype(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.minimum(df, (1 << 31) - 1).astype(np.int32)))]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, _KINDS)] + lists, names=["key", "size", "code", "seen", "simhash", "run", "often"])
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (run.astype(np.int64), np.minimum(df, (1 << 31) - 1).astype(np.int32), at.astype(np.int32))]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, _KINDS)] + lists, names=["key", "size", "code", "seen", "simhash", "run", "often", "at"])
+
+
+def _small(df: DataFrame) -> DataFrame | None:
+    """A written table to be sent to all executors, or None if it has too many rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else None
 
 
 def _similar(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose word sequences are similar."""
+    """The (written) pairs (a, b) of keys whose word sequences are similar."""
+    if (few := _small(pairs)) is not None:  # the other lines stay out of the shuffles
+        lines = lines.join(F.broadcast(few.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "key", "left_semi")
     a = lines.select(F.col("key").alias("a"), F.col("code").alias("a_code"), F.col("size").alias("a_size"))
     b = lines.select(F.col("key").alias("b"), F.col("code").alias("b_code"), F.col("size").alias("b_size"))
     edits = F.floor(F.greatest("a_size", "b_size") * (1 - similarity) + 1e-9).cast("int")
@@ -190,139 +211,195 @@ def _similar(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
 
 
 def _meetings(lines: DataFrame) -> DataFrame:
-    """token, key: pairs of the SimHash's four blocks, and each line's two smallest runs."""
+    """token, key, size: pairs of the SimHash's four blocks, and each line's two smallest runs."""
     block = [F.shiftrightunsigned("simhash", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
     pairs = [F.xxhash64(F.lit(4 * i + j), block[i], block[j]) for i in range(4) for j in range(i)]
-    return lines.select("key", F.explode(F.concat(F.array(*pairs), F.slice(F.array_sort("run"), 1, 2))).alias("token"))
+    return lines.select("key", "size", F.explode(F.concat(F.array(*pairs), F.slice(F.array_sort("run"), 1, 2))).alias("token"))
 
 
-def _one_each(lines: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _one_each(lines: DataFrame, comps: DataFrame | None, similarity: float) -> DataFrame:
     """Pairs (a, b): of each token's components one line each, with the smallest key that it meets."""
-    rows = with_components(_meetings(lines), comps, "key")
-    each = rows.groupBy("token", "comp").agg(F.min("key").alias("key"))
-    hub = each.groupBy("token").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("token", "a")
-    return each.join(hub, "token").where("a <> key").groupBy(F.col("key").alias("b")).agg(F.min("a").alias("a"))
-
-
-MET = "run long, i int, j int, key long, comp long, size int, seen binary"
-
-
-def _pairs_of(t: pa.Table, similarity: float) -> Iterator[np.ndarray]:
-    """Pairs of lines of one run and of different components that lengths and sets of words leave, and how many words one lacks."""
-    c = {k: t.column(k).to_numpy() for k in ("run", "i", "j", "key", "comp", "size")}
-    seen = np.frombuffer(b"".join(t.column("seen").to_pylist()), np.uint64).reshape(t.num_rows, BITS // 64)
-    new = np.zeros(t.num_rows, bool)
-    new[0] = True
-    for k in ("run", "i", "j"):
-        new[1:] |= c[k][1:] != c[k][:-1]
-    cut = np.flatnonzero(new)
-    for lo, hi in zip(cut.tolist(), np.append(cut[1:], t.num_rows).tolist()):
-        size, comp, key, sets = c["size"][lo:hi].astype(np.int64), c["comp"][lo:hi], c["key"][lo:hi], seen[lo:hi]
-        edits = most_edits(size, similarity)
-        # In order of size: a line's shorter partners begin where sizes reach its own less its edits.
-        first = np.searchsorted(size, size - edits)
-        for at in range(0, hi - lo, 128):
-            b = np.arange(at, min(at + 128, hi - lo))
-            a = np.arange(int(first[b[0]]), int(b[-1]) + 1)
-            able = (a[None] < b[:, None]) & (a[None] >= first[b][:, None]) & (comp[a][None] != comp[b][:, None])
-            y, x = np.nonzero(able)
-            x, y = a[x], b[y]
-            for k in range(0, len(x), 1 << 16):
-                p, r = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
-                lacks = np.maximum(np.bitwise_count(sets[p] & ~sets[r]).sum(1, dtype=np.int64), np.bitwise_count(sets[r] & ~sets[p]).sum(1, dtype=np.int64))
-                good = lacks <= edits[r]
-                if good.any():
-                    yield np.stack([np.minimum(key[p[good]], key[r[good]]), np.maximum(key[p[good]], key[r[good]]), lacks[good]], 1)
-
-
-def _nearest(pairs: np.ndarray) -> np.ndarray:
-    """For each line the pair of fewest lacking words; lines as first, partners as second number."""
-    both = np.concatenate([pairs, pairs[:, [1, 0, 2]]])
-    both = both[np.lexsort((both[:, 1], both[:, 2], both[:, 0]))]
-    return both[np.diff(both[:, 0], prepend=~both[0, 0]) != 0]
-
-
-def _all_left(lines: DataFrame, comps: DataFrame, similarity: float, nearest: bool = False) -> DataFrame:
-    """Pairs (a, b) of different components that share one of the runs that they can be met on; with `nearest` one of each line only."""
-    own = materialize(with_components(lines.select("key", "size", "seen", "run", "often"), comps, "key"), "grouped")
+    each = _meetings(lines)
+    if comps is not None:
+        each = with_components(each, comps, "key").groupBy("token", "comp").agg(F.min(F.struct("key", "size")).alias("m")).select("token", "m.key", "m.size")
+    hub = each.groupBy("token").agg(F.min(F.struct("key", "size")).alias("m"), F.max("key").alias("last")).where("m.key < last")
+    hub = hub.select("token", F.col("m.key").alias("a"), F.col("m.size").alias("a_size"))
+    near = F.abs(F.col("size") - F.col("a_size")) <= F.floor(F.greatest("size", "a_size") * (1 - similarity) + 1e-9)
+    return each.join(hub, "token").where("a <> key").where(near).groupBy(F.col("key").alias("b")).agg(F.min("a").alias("a"))
+
+
+def _candidates(t: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of one run and of different components that lengths, places of the run and sets of words leave: the rows, how many words one lacks, edits.
+
+    Rows are in order of run, blocks and size. The words before a run and those behind it need as many edits as
+    their numbers differ; this holds where neither line has the run twice (`at` is -1 there).
+    """
+    c = {k: t.column(k).to_numpy() for k in ("run", "i", "j", "mine", "comp", "size", "at")}
+    sets = np.frombuffer(b"".join(t.column("seen").to_pylist()), np.uint64).reshape(t.num_rows, BITS // 64)
+    held = np.bitwise_count(sets).sum(1, dtype=np.int64)
+    size, at, comp = c["size"].astype(np.int64), c["at"].astype(np.int64), c["comp"]
+    new = np.zeros(t.num_rows, np.int64)
+    new[1:] = np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in ("run", "i", "j")])
+    edits = most_edits(size, similarity)
+    # In order of size: a line's shorter partners begin where sizes reach its own less its edits.
+    ordered = np.cumsum(new) * (int(size.max()) + 1) + size
+    first = np.searchsorted(ordered, ordered - edits)
+    n = np.arange(t.num_rows) - first
+    total = np.cumsum(n)
+    lo = 0
+    while lo < t.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] - n[lo] + PAIRS, "right")))
+        m = n[lo:hi]
+        y = np.repeat(np.arange(lo, hi), m)
+        x = np.arange(len(y)) + np.repeat(first[lo:hi] - np.cumsum(m) + m, m)
+        before = at[x] - at[y]
+        use = (comp[x] != comp[y]) & ((at[x] < 0) | (at[y] < 0) | (np.abs(before) + np.abs(size[y] - size[x] + before) <= edits[y]))
+        use &= (c["i"][y] == c["j"][y]) | (c["mine"][x] != c["mine"][y])
+        x, y = x[use], y[use]
+        lacks = np.maximum(held[x], held[y]) - np.bitwise_count(sets[x] & sets[y]).sum(1, dtype=np.int64)
+        good = lacks <= edits[y]
+        if good.any():
+            yield x[good], y[good], lacks[good], edits[y[good]]
+        lo = hi
+
+
+def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the edges a, b of a least spanning forest."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    _, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    edge = np.argsort(weight, kind="stable")
+    a, b = ends[: len(a)][edge], ends[len(a) :][edge]
+    trees, found = np.arange(int(ends.max()) + 1), []
+    while len(edge):
+        # Each tree takes its least edge; of two that take the same one the smaller is the root.
+        least = np.full((2, len(trees)), len(edge))
+        for own, side in zip(least, (a, b)):
+            own[side[::-1]] = np.arange(len(edge))[::-1]
+        best = least.min(0)
+        tree = np.flatnonzero(best < len(edge))
+        take = best[tree]
+        found.append(edge[np.unique(take)])
+        to = trees.copy()
+        to[tree] = a[take] + b[take] - tree
+        root = (to[to] == trees) & (trees < to)
+        to[root] = trees[root]
+        while (to[to] != to).any():
+            to = to[to]
+        a, b = to[a], to[b]
+        apart = a != b
+        a, b, edge = a[apart], b[apart], edge[apart]
+    return np.concatenate(found)
+
+
+def _pairs_of(t: pa.Table, similarity: float, forest: bool) -> np.ndarray:
+    """Pairs of keys: all candidates, or those of a forest over the components that prefers pairs with the smallest share of their edits used."""
+    key, comp = t.column("key").to_numpy(), t.column("comp").to_numpy()
+    _, node = np.unique(key, return_inverse=True)
+    held, n = [np.zeros((0, 3), np.int64)], 0
+
+    def fewer() -> np.ndarray:
+        p = np.concatenate(held)
+        if forest:
+            return p[_forest(comp[p[:, 0]], comp[p[:, 1]], p[:, 2])]
+        low, high = np.minimum(node[p[:, 0]], node[p[:, 1]]), np.maximum(node[p[:, 0]], node[p[:, 1]])
+        return p[np.unique(low * len(node) + high, return_index=True)[1]]
+
+    for x, y, lacks, edits in _candidates(t, similarity):
+        held.append(np.stack([x, y, (lacks << 20) // np.maximum(edits, 1)], 1))
+        n += len(x)
+        if n >= 4 * PAIRS:
+            held = [fewer()]
+            n = 0
+    kept = fewer()
+    a, b = key[kept[:, 0]], key[kept[:, 1]]
+    return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+
+
+def _all_left(lines: DataFrame, comps: DataFrame, similarity: float, forest: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components that share one of the runs that they can be met on; with `forest` no more than join what meets in a task."""
+    few = _small(comps)
+    own = with_components(lines.select("key", "size", "seen", "run", "often", "at"), comps if few is None else few, "key")
+    if few is None:
+        own = materialize(own, "grouped")
     runs = own.select("comp", F.explode(F.arrays_zip("run", "often")).alias("r")).select("comp", "r.run", "r.often")
     met = runs.groupBy("run").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("often").alias("often"))
     left = materialize(met.where("low <> high").select("run", F.ceil(F.col("often") / BLOCK).cast("int").alias("blocks")), "open-runs")
-    n = left.count()
-    rows = own.select("key", "comp", "size", "seen", F.explode("run").alias("run")).join(F.broadcast(left) if n <= BROADCAST_RUNS else left, "run")
+    own_runs = F.explode(F.arrays_zip("run", "at")).alias("r")
+    if (open_ := _small(left)) is not None:
+        rows = own.select("key", "comp", "size", "seen", own_runs).select("key", "comp", "size", "seen", "r.run", "r.at").join(open_, "run")
+    else:  # bags of words are not sent along before it is known which runs of a line are open
+        met = own.select("key", own_runs).select("key", "r.run", "r.at").join(left, "run").groupBy("key").agg(F.collect_list(F.struct("run", "at", "blocks")).alias("r"))
+        rows = own.select("key", "comp", "size", "seen").join(met, "key").select("key", "comp", "size", "seen", F.inline("r"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("run", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "comp", "size", "seen")
+    rows = rows.select("run", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "comp", "size", "at", "seen")
     rows = rows.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "size", "key")
 
     def find(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            found = list(_pairs_of(t, similarity))
-            if found:
-                pair = _nearest(np.concatenate([_nearest(x) for x in found])) if nearest else np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, k]) for k in range(3)], names=["a", "b", "lacks"])
+        def done(t: pa.Table) -> pa.RecordBatch:
+            pair = _pairs_of(t, similarity, forest)
+            return pa.RecordBatch.from_arrays([pa.array(pair[:, k]) for k in range(2)], names=["a", "b"])
 
         for p in parts:
             held.append(p)
-            if sum(h.num_rows for h in held) >= 20_000:
+            if sum(h.num_rows for h in held) >= 100_000:
                 t = pa.Table.from_batches(held)
                 same = np.logical_and.reduce([t.column(k).to_numpy() == t.column(k)[-1].as_py() for k in ("run", "i", "j")])
                 if at := int(np.argmax(same)):
-                    yield from done(t.slice(0, at))
+                    yield done(t.slice(0, at))
                     held = t.slice(at).combine_chunks().to_batches()
         if held:
-            yield from done(pa.Table.from_batches(held))
+            yield done(pa.Table.from_batches(held))
 
-    found = rows.mapInArrow(find, "a long, b long, lacks long")
-    if nearest:
-        found = found.groupBy("a").agg(F.min(F.struct("lacks", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    discard(own, left)
+    pairs = materialize(rows.mapInArrow(find, "a long, b long").distinct(), "pairs")
+    discard(left, *([own] if few is None else []))
+    free_shuffles(lines.sparkSession)
     return pairs
 
 
+def _here(x: Lines, t: pa.Table) -> np.ndarray:
+    """A chunk's distinct lines with words, each where it occurs first there; rows without a doc_id have none."""
+    own = _lines_of(x, t)
+    return np.sort(own[np.unique(x.key[own], return_index=True)[1]])
+
+
+def _lines_of(x: Lines, t: pa.Table) -> np.ndarray:
+    return np.flatnonzero((x.words > 0) & t.column("doc_id").is_valid().to_numpy().astype(bool)[x.row])
+
+
 def _groups(lines: DataFrame, store: ChunkStore, similarity: float) -> DataFrame:
     """key, kept (the group's first occurrence) of lines that are equal or similar to others."""
-    buckets, mask = store.buckets, store.mask
-    nodes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "chunk")).alias("first"), F.count("*").alias("n"))
-    nodes = materialize(nodes.select("key", "first", F.col("n") > 1, F.col("first.chunk").alias("chunk"), F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")).toDF("key", "first", "twice", "chunk", "doc_id", "line"), "lines")
-    where = nodes.select("chunk", "doc_id", "line", "key")
-
-    def firsts(t: pa.Table, told: pa.Table) -> tuple[Lines, np.ndarray]:
-        """The lines told of, in the order of the chunk; of repeated rows of a document the first counts."""
-        x = Lines(t)
-        key = told.column("key").to_numpy().astype(np.int64)
-        if not len(key):
-            return x, np.zeros(0, np.int64)
-        order = np.argsort(key)
-        own = x.key.astype(np.int64)
-        at = order[np.minimum(np.searchsorted(key, own, sorter=order), len(key) - 1)]
-        doc = np.array([-1 if i is None else i for i in t.column("doc_id").to_pylist()], np.int64)[x.row]
-        null = np.array([i is None for i in t.column("doc_id").to_pylist()], bool)[x.row]
-        hit = np.flatnonzero((key[at] == own) & (told.column("doc_id").to_numpy()[at] == doc) & (told.column("line").to_numpy()[at] == x.line) & (x.words > 0) & ~null)
-        return x, np.sort(hit[np.unique(own[hit], return_index=True)[1]])
-
-    def ask_runs(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
-        runs = Runs(*firsts(t, told), similarity, mask)
-        return ask(chunk, runs.keys, np.bincount(runs.slot, minlength=len(runs.keys)), buckets)
-
-    counted = materialize(answer_totals(store.meet(where, ask_runs, ASKED)), "counts")
+    mask = store.mask
+    nodes = lines.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "line", "chunk")).alias("first"), F.count("*").alias("n"), F.count_if("first").cast("int").alias("copies"))
+    nodes = materialize(nodes.select("key", "first", F.expr("n > 1").alias("twice"), "copies"), "lines")
+    counted = materialize(answer_totals(lines.where("bucket is not null").select("chunk", "bucket", "asked")), "counts")
 
     def survive(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
         is_line = told.column("key").is_valid().to_numpy().astype(bool)
-        x, own = firsts(t, told.filter(pa.array(is_line)))
+        x = Lines(t)
+        own = _here(x, t)
         runs = Runs(x, own, similarity, mask)
-        return _survivors(x, own, runs, answers(told.filter(pa.array(~is_line))).astype(np.int64), similarity)
-
-    left = materialize(store.meet(where.unionByName(counted, allowMissingColumns=True), survive, SURVIVOR), "able-lines")
+        theirs = told.filter(pa.array(is_line)).sort_by("key")
+        key, copies = theirs.column("key").to_numpy(), np.zeros(len(own), np.int64)
+        if len(key):
+            mine = x.key[own].astype(np.int64)
+            at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+            copies = np.where(key[at] == mine, theirs.column("copies").to_numpy()[at], 0)
+        return _survivors(x, own, runs, answers(told.filter(pa.array(~is_line))).astype(np.int64), copies, similarity)
+
+    told = nodes.select("first.chunk", "key", "copies").unionByName(counted, allowMissingColumns=True)
+    left = materialize(store.meet(told, survive, SURVIVOR), "able-lines")
     discard(counted)
+    free_shuffles(store.spark)
     comps = None
     for _ in range(ROUNDS):
-        comps = joined_components(comps, _similar(_one_each(left, comps), left, similarity))
-        pairs = _all_left(left, comps, similarity, nearest=True)
+        met = materialize(_one_each(left, comps, similarity), "met")
+        comps = joined_components(comps, _similar(met, left, similarity))
+        pairs = _all_left(left, comps, similarity, forest=True)
         comps = joined_components(comps, _similar(pairs, left, similarity))
-        discard(pairs)
+        discard(met, pairs)
     pairs = _all_left(left, comps, similarity)
     comps = joined_components(comps, _similar(pairs, left, similarity))
     own = nodes.join(comps, F.col("key") == F.col("node"), "left").where("twice or comp is not null")
@@ -347,16 +424,22 @@ def drop_similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
     """
     store = ChunkStore(docs)
 
+    buckets, mask = store.buckets, store.mask
+
     def describe(chunk: int, t: pa.Table) -> pa.Table:
+        """The chunk's lines, and what it asks: in how many lines each run of its distinct lines occurs."""
         x = Lines(t)
-        ids = t.column("doc_id").to_pylist()
-        own = np.flatnonzero((x.words > 0) & np.array([i is not None for i in ids], bool)[x.row])
-        doc = np.array([0 if i is None else i for i in ids], np.int64)[x.row[own]]
-        return pa.table({"chunk": pa.array(np.full(len(own), chunk, np.int32)), "doc_id": doc, "line": pa.array(x.line[own].astype(np.int32)), "key": x.key[own].astype(np.int64)})
+        own, here = _lines_of(x, t), _here(x, t)
+        runs = Runs(x, here, similarity, mask)
+        asked = ask(chunk, runs.keys, np.bincount(runs.slot, minlength=len(runs.keys)), buckets)
+        doc = np.array([0 if i is None else i for i in t.column("doc_id").to_pylist()], np.int64)[x.row[own]]
+        told = pa.table({"chunk": pa.array(np.full(len(own), chunk, np.int32)), "doc_id": doc, "line": pa.array(x.line[own].astype(np.int32)), "key": x.key[own].astype(np.int64), "first": np.isin(own, here)})
+        both = pa.concat_tables([told, asked], promote_options="default")
+        return both.select(["chunk", "doc_id", "line", "key", "first", "bucket", "asked"])
 
     lines = materialize(store.map(describe, LINE), "all-lines")
     groups = _groups(lines, store, similarity)
-    gone = lines.join(groups, "key").where("doc_id <> kept.doc_id or line <> kept.line").select("chunk", "doc_id", "line", "key")
+    gone = lines.select("chunk", "doc_id", "line", "key").join(groups, "key").where("doc_id <> kept.doc_id or line <> kept.line").select("chunk", "doc_id", "line", "key")
 
     def cut(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
         drop: dict[int, set] = {}

@@ -155,3 +155,38 @@ def test_bounds_on_lost_runs():
                     bound = fuzzy_lines.most_lost(q, fuzzy_lines.np.array([len(x)]), 0.8)[0]
                     assert lost <= bound < len(x) - q + 1
         assert met or a == b
+
+
+def test_pairs_of_a_large_group_are_a_forest(spark):
+    import pyarrow as pa
+
+    n = 300
+    bag = fuzzy_lines.np.full(fuzzy_lines.BITS // 8, 85, fuzzy_lines.np.uint8).tobytes()
+    key = list(range(1000, 1000 + 2 * n))
+    columns = {"run": [1] * n + [2] * n, "i": [0] * 2 * n, "j": [0] * 2 * n, "mine": [0] * 2 * n, "key": key, "comp": key, "size": [40] * 2 * n, "at": [3] * (2 * n - 1) + [30], "seen": [bag] * 2 * n}
+    t = pa.table(columns)
+    every = {tuple(p) for p in fuzzy_lines._pairs_of(t, 0.8, False).tolist()}
+    # The last line has its run too far behind for the edits that it may have.
+    assert every == {(a, b) for at, m in ((1000, n), (1000 + n, n - 1)) for a in range(at, at + m) for b in range(a + 1, at + m)}
+    few = fuzzy_lines._pairs_of(t, 0.8, True).tolist()
+    assert len(few) == 2 * n - 3
+    joined = {k: k for k in key}
+    for a, b in few:
+        old, new = joined[b], joined[a]
+        joined = {k: new if v == old else v for k, v in joined.items()}
+    assert len(set(joined.values())) == 3
+
+
+def test_components_and_runs_are_joined_by_shuffle_or_broadcast_alike(spark, monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    docs = []
+    for d in range(60):
+        base = docs[rng.randrange(len(docs))][1].split("\n")[0].split() if docs and rng.random() < 0.6 else [rng.choice(words) for _ in range(rng.randrange(5, 40))]
+        line = [rng.choice(words) if rng.random() < 0.1 else w for w in base]
+        docs.append((d, "\n".join([" ".join(line), docs[d // 2][1].split("\n")[0] if docs else "one two three"])))
+    df = frame(spark, docs)
+    first = sorted(map(tuple, fuzzy_lines.drop_similar_lines(df).collect()))
+    monkeypatch.setattr(fuzzy_lines, "BROADCAST", 0)
+    assert sorted(map(tuple, fuzzy_lines.drop_similar_lines(df.repartition(5)).collect())) == first
+    assert sum(r[2] for r in first) > 60
