@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import hashes
 from granary.llm.chunks import ASKED, ChunkStore, answer_totals, answers, ask
-from granary.llm.common import discard, free_shuffles, materialize
+from granary.llm.common import discard, free_shuffles, materialize, remove
 from granary.llm.graph import joined_components, with_components
 
 SIMILARITY = 0.8
@@ -41,8 +41,8 @@ BLOCK = 2048
 PAIRS = 1 << 18
 #: Open runs, pairs and components up to this number are sent to all executors; more are joined by shuffle.
 BROADCAST = 1_000_000
-#: Bits of a line's bag of words.
-BITS = 1024
+#: Bits of a line's bag of words, in the search of a forest and in the last one.
+BITS, WIDE_BITS = 512, 2048
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
@@ -136,8 +136,8 @@ class Runs:
 
 
 LINE = "chunk int, doc_id long, line int, key long, first boolean, bucket int, asked binary"
-SURVIVOR = "key long, size int, code string, seen binary, simhash long, run array<long>, often array<int>, at array<int>"
-_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int64()]
+SURVIVOR = "key long, size int, code string, seen binary, wide binary, simhash long, run array<long>, often array<int>, at array<int>"
+_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
 
 
 def _survivors(x: Lines, own: np.ndarray, runs: Runs, counts: np.ndarray, copies: np.ndarray, similarity: float) -> pa.Table:
@@ -175,23 +175,26 @@ def _survivors(x: Lines, own: np.ndarray, runs: Runs, counts: np.ndarray, copies
     # Words as 2^20 letters beyond the basic plane.
     letters = (h % np.uint64(1 << 20) + np.uint64(1 << 16)).astype("<u4").tobytes().decode("utf-32-le")
     code = [letters[a:b] for a, b in zip(cut.tolist(), np.append(cut[1:], len(h)).tolist())]
-    seen = np.zeros((len(found), BITS // 8), np.uint8)
     # A word's second, third and further occurrences have bits of their own.
     order = hashes.order_within(of, h)
     again = np.zeros(len(h), np.int64)
     fresh = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])])) if len(h) else np.zeros(0, np.int64)
     again[order] = np.arange(len(h)) - np.repeat(fresh, np.diff(np.append(fresh, len(h))))
-    bit = hashes.mix(h + again.astype(np.uint64)) % np.uint64(BITS)
-    np.bitwise_or.at(seen.reshape(-1), of * (BITS // 8) + (bit >> np.uint64(3)).astype(np.int64), (1 << (bit & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+    bags = []
+    for bits in (BITS, WIDE_BITS):
+        bit = hashes.mix(h + again.astype(np.uint64)) % np.uint64(bits)
+        bag = np.zeros(len(found) * bits // 8, np.uint8)
+        np.bitwise_or.at(bag, of * (bits // 8) + (bit >> np.uint64(3)).astype(np.int64), (1 << (bit & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+        bags.append([x.tobytes() for x in bag.reshape(-1, bits // 8)])
     simhash = np.zeros(len(found), np.uint64)
     size = runs.size[found]
     for b in range(64 if len(found) else 0):
         ones = np.add.reduceat(((h >> np.uint64(b)) & np.uint64(1)).astype(np.int64), cut)
         simhash |= (2 * ones > size).astype(np.uint64) << np.uint64(b)
     offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-    columns = [x.key[own][found].astype(np.int64), size, code, [s.tobytes() for s in seen], simhash.astype(np.int64)]
+    columns = [x.key[own][found].astype(np.int64), size, code, *bags, simhash.astype(np.int64)]
     lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (run.astype(np.int64), np.minimum(df, (1 << 31) - 1).astype(np.int32), at.astype(np.int32))]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, _KINDS)] + lists, names=["key", "size", "code", "seen", "simhash", "run", "often", "at"])
+    return pa.table([pa.array(c, k) for c, k in zip(columns, _KINDS)] + lists, names=["key", "size", "code", "seen", "wide", "simhash", "run", "often", "at"])
 
 
 def _small(df: DataFrame) -> DataFrame | None:
@@ -235,7 +238,7 @@ def _candidates(t: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np
     their numbers differ; this holds where neither line has the run twice (`at` is -1 there).
     """
     c = {k: t.column(k).to_numpy() for k in ("run", "i", "j", "mine", "comp", "size", "at")}
-    sets = np.frombuffer(b"".join(t.column("seen").to_pylist()), np.uint64).reshape(t.num_rows, BITS // 64)
+    sets = np.frombuffer(b"".join(t.column("seen").to_pylist()), np.uint64).reshape(t.num_rows, -1)
     held = np.bitwise_count(sets).sum(1, dtype=np.int64)
     size, at, comp = c["size"].astype(np.int64), c["at"].astype(np.int64), c["comp"]
     new = np.zeros(t.num_rows, np.int64)
@@ -319,7 +322,7 @@ def _pairs_of(t: pa.Table, similarity: float, forest: bool) -> np.ndarray:
 def _all_left(lines: DataFrame, comps: DataFrame, similarity: float, forest: bool = False) -> DataFrame:
     """Pairs (a, b) of different components that share one of the runs that they can be met on; with `forest` no more than join what meets in a task."""
     few = _small(comps)
-    own = with_components(lines.select("key", "size", "seen", "run", "often", "at"), comps if few is None else few, "key")
+    own = with_components(lines.select("key", "size", F.col("seen" if forest else "wide").alias("seen"), "run", "often", "at"), comps if few is None else few, "key")
     if few is None:
         own = materialize(own, "grouped")
     runs = own.select("comp", F.explode(F.arrays_zip("run", "often")).alias("r")).select("comp", "r.run", "r.often")
@@ -372,9 +375,10 @@ def _lines_of(x: Lines, t: pa.Table) -> np.ndarray:
 def _groups(lines: DataFrame, store: ChunkStore, similarity: float) -> DataFrame:
     """key, kept (the group's first occurrence) of lines that are equal or similar to others."""
     mask = store.mask
-    nodes = lines.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "line", "chunk")).alias("first"), F.count("*").alias("n"), F.count_if("first").cast("int").alias("copies"))
+    nodes = lines.where("not asks").groupBy("key").agg(F.min(F.struct("doc_id", "line", "chunk")).alias("first"), F.count("*").alias("n"), F.count_if("first").cast("int").alias("copies"))
     nodes = materialize(nodes.select("key", "first", F.expr("n > 1").alias("twice"), "copies"), "lines")
-    counted = materialize(answer_totals(lines.where("bucket is not null").select("chunk", "bucket", "asked")), "counts")
+    counted = materialize(answer_totals(lines.where("asks").select("chunk", "bucket", "asked")), "counts")
+    remove(store.spark, f"{lines.granary_path}/asks=true")
 
     def survive(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
         is_line = told.column("key").is_valid().to_numpy().astype(bool)
@@ -437,9 +441,9 @@ def drop_similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
         both = pa.concat_tables([told, asked], promote_options="default")
         return both.select(["chunk", "doc_id", "line", "key", "first", "bucket", "asked"])
 
-    lines = materialize(store.map(describe, LINE), "all-lines")
+    lines = materialize(store.map(describe, LINE).withColumn("asks", F.expr("bucket is not null")), "all-lines", "asks")
     groups = _groups(lines, store, similarity)
-    gone = lines.select("chunk", "doc_id", "line", "key").join(groups, "key").where("doc_id <> kept.doc_id or line <> kept.line").select("chunk", "doc_id", "line", "key")
+    gone = lines.where("not asks").select("chunk", "doc_id", "line", "key").join(groups, "key").where("doc_id <> kept.doc_id or line <> kept.line").select("chunk", "doc_id", "line", "key")
 
     def cut(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
         drop: dict[int, set] = {}
