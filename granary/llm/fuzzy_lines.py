@@ -11,8 +11,8 @@ shared runs find most of the rest: lines that meet are compared with one of them
 lines become components. SimHash cannot guarantee 0.8, so a last search does: of a line's shared runs,
 rarest first, the first ones are such that two linked lines have one of these in common. Runs whose lines
 are all in one component are done. For the others, the pairs that bags of words and lengths leave are first
-thinned to a forest over the components, most alike first, so that a large group joins with as many
-comparisons as it has lines; then all pairs of lines whose components are still apart are compared.
+thinned to a forest over the components, most alike first, so that a large group joins with few edit
+distances (its bags are still compared pair by pair); then all pairs that are still apart are compared.
 
 Lines of up to six words meet on runs of two words, since one edit may touch all runs of three.
 """
