@@ -36,9 +36,28 @@ def staff_coverage_matrix(spark, sf):
 
 @q("product_assortment", f"SELECT StoreKey, ProductKey FROM stores s JOIN (SELECT DISTINCT Category FROM products) c ON {u01_sql('StoreKey', 'Category', seed=15)} < 0.5 JOIN products p USING (Category)")
 def product_assortment(spark, sf):
-    categories = S.products(spark, sf).select("Category").distinct()
-    kept = S.stores(spark, sf).select("StoreKey").crossJoin(categories).where(hash_u01(F.col("StoreKey"), F.col("Category"), seed=15) < 0.5)
-    return kept.join(S.products(spark, sf).select("Category", "ProductKey"), "Category").select("StoreKey", "ProductKey")
+    """Each store's products of the categories it keeps: as many rows as pairs, so a row of the join stands for a block of products, not for a category."""
+    return assortment(S.stores(spark, sf).select("StoreKey"), S.products(spark, sf).select("Category", "ProductKey"), 15)
+
+
+#: Products a block: what a task holds of the rows to come. Four runs of Parquet's bit packing, so blocks of one store after the other compress well.
+BLOCK = 2016
+
+
+def assortment(stores, products, seed: int, block: int = BLOCK):
+    """StoreKey, ProductKey of the keyed half of all pairs of store and category.
+
+    A joined row becomes all rows of its matches before one is handed on, so matches are one block each, on both
+    sides numbered by category. Sides are dealt to a fixed number of partitions, as their size tells nothing of the result's.
+    """
+    n = int(stores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.floor((F.row_number().over(W.partitionBy("Category").orderBy("ProductKey")) - 1) / block).cast("int")
+    blocks = products.where(F.col("Category").isNotNull()).withColumn("_b", at).groupBy("Category", "_b").agg(F.collect_list("ProductKey").alias("_keys"))
+    counts = blocks.groupBy("Category").agg(F.count("*").cast("int").alias("_n"))
+    kept = stores.crossJoin(counts).where(hash_u01(F.col("StoreKey"), F.col("Category"), seed=seed) < 0.5)
+    kept = kept.repartition(n, "StoreKey", "Category").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    pairs = kept.repartition(n, "Category", "_b").join(blocks.repartition(n, "Category", "_b").hint("merge"), ["Category", "_b"])
+    return pairs.select("StoreKey", F.explode("_keys").alias("ProductKey"))
 
 
 @q("replicate_variants", "SELECT ProductKey AS BaseProduct, i::INTEGER AS Variant, lpad(ProductKey::VARCHAR, 6, '0') || '-' || i AS Code FROM products CROSS JOIN range(1, 4) t(i)")
