@@ -1,8 +1,11 @@
 """Queries whose work or memory grew faster than their tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from granary.functions.hashing import hash_u01
+from granary.operators import picks
 from granary.plans import more
 
 
@@ -15,3 +18,26 @@ def test_assortment_in_blocks(spark):
     assert more.assortment(stores, products.where("false"), 15).count() == 0
     joined = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
     assert any("_b#" in line for line in joined)  # a row meets a block, not all products of its category
+
+
+def test_wishes_by_place(spark):
+    """Small categories, customers who have all of one, nobody's purchases and unknown products, against a plain loop."""
+    rng = random.Random(4)
+    goods = [(p, None if p == 59 else "ABCD"[min(p // 4, 3) if p < 14 else 3]) for p in range(60)]
+    bought = sorted({(c, rng.randrange(62)) for c in range(30) for _ in range(rng.randrange(1, 25))} | {(99, p) for p in range(8)}) + [(None, 1), (None, 20)]
+    products, purchases = spark.createDataFrame(goods, "ProductKey long, Category string"), spark.createDataFrame(bought, "CustomerKey long, ProductKey long")
+    u = {r.ProductKey: r.u for r in products.select("ProductKey", hash_u01(F.col("ProductKey"), seed=7).alias("u")).collect()}
+    both = purchases.select("CustomerKey").distinct().crossJoin(products.select("ProductKey"))
+    v = {(r[0], r[1]): r[2] for r in both.select("CustomerKey", "ProductKey", hash_u01(F.col("CustomerKey"), F.col("ProductKey"), seed=7)).collect()}
+    category, want = dict(goods), set()
+    for c in {c for c, _ in bought}:
+        own = [p for x, p in bought if x == c]
+        free = []
+        for k in {category.get(p) for p in own} - {None}:
+            n = sum(category.get(p) == k for p in own)
+            free += [(-n, v[c, p], p) for p in sorted((p for p, x in goods if x == k and (c is None or p not in own)), key=lambda p: (u[p], p))[:12]]
+        want |= {(c, p, r) for r, (_, _, p) in enumerate(sorted(free)[:3], 1)}
+    got = picks.wishlist(purchases, products, 3, 7)
+    assert set(map(tuple, got.collect())) == want and got.count() == len(want)
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert joins and not any("<=" in line for line in joins)  # places are looked up, not compared with all of a category
