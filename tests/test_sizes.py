@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from granary.functions.hashing import hash_u01
 from granary.operators import picks
-from granary.plans import more
+from granary.plans import more, registry, suites
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_assortment_in_blocks(spark):
@@ -41,3 +43,19 @@ def test_wishes_by_place(spark):
     assert set(map(tuple, got.collect())) == want and got.count() == len(want)
     joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
     assert joins and not any("<=" in line for line in joins)  # places are looked up, not compared with all of a category
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
+
+
+def test_shares_of_a_table_are_one_scan(spark):
+    assert scans(registry.queries()["correlation_scorecard"](spark, SF)) == 1
+
+
+def test_suites_share_scans(spark):
+    """All suites' conditions on a table and each key are looked at once, whatever the number of suites, and no plan holds two of them."""
+    frames = suites.together(suites.SUITES, spark, SF)
+    tables = {t for s in suites.SUITES for t, *_ in s.rules}
+    assert len(frames) == len(tables) + len({k for s in suites.SUITES for k, _ in s.keys}) < sum(len(s.rows) for s in suites.SUITES)
+    assert max(map(scans, frames)) <= 2 and scans(registry.queries()["all_suites"](spark, SF)) == 0
