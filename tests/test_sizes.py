@@ -1,11 +1,13 @@
 """Queries whose work or memory grew faster than their tables."""
 
+import datetime
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from granary.functions.hashing import hash_u01
-from granary.operators import picks
+from granary.operators import facts, picks
 from granary.plans import more, registry, suites
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +61,33 @@ def test_suites_share_scans(spark):
     tables = {t for s in suites.SUITES for t, *_ in s.rules}
     assert len(frames) == len(tables) + len({k for s in suites.SUITES for k, _ in s.keys}) < sum(len(s.rows) for s in suites.SUITES)
     assert max(map(scans, frames)) <= 2 and scans(registry.queries()["all_suites"](spark, SF)) == 0
+
+
+def test_ledger_folds_keys_together(spark):
+    """Keys that begin in different months, without a product, and in negative demand, against one key's own loop; quarters and the profile from its rows."""
+    rng = random.Random(9)
+    rows = [(None if p == 7 else p, w, m // 12, m % 12 + 1, rng.randrange(-1, 30)) for p in range(12) for w in range(2) for m in sorted(rng.sample(range(24020, 24050), rng.randrange(1, 20)))]
+    demand = spark.createDataFrame(rows, "ProductKey long, WarehouseKey int, Year int, Month int, QuantitySold long")
+    last, want, want_quarters, want_profile = max(y * 12 + m - 1 for _, _, y, m, _ in rows), set(), {}, {}
+    for p, w in {r[:2] for r in rows}:
+        own = {y * 12 + m - 1: q for a, b, y, m, q in rows if (a, b) == (p, w)}
+        if len(own) < 3:
+            continue
+        mean = math.ceil(sum(own.values()) / len(own))
+        stock, due = 2 * mean, [0, 0, 0]
+        for m in range(min(own), last + 1):
+            q, received = own.get(m, 0), due.pop(0)
+            sold = min(stock + received, q)
+            stock += received - sold
+            due.append(2 * mean if stock < mean else 0)
+            day = datetime.date(m // 12 + (m % 12 == 11), (m + 1) % 12 + 1, 1) - datetime.timedelta(1)
+            want.add((p, w, day, q, received, sold, stock, due[-1], stock < mean, sold < q))
+            old = want_quarters.get((p, w, m // 3), (0, 0, 0, False, False))
+            want_quarters[p, w, m // 3] = (stock, old[1] + sold, old[2] + received, old[3] or stock < mean, old[4] or sold < q)
+            want_profile.setdefault(day, set()).add((p, w))
+    assert set(map(tuple, facts.inventory_ledger(demand, lead=3).collect())) == want
+    quarters = {(r[0], r[1], (r[2].year * 12 + r[2].month - 1) // 3): tuple(r[3:]) for r in facts.inventory_ledger(demand, lead=3, quarters=True).collect()}
+    assert quarters == want_quarters
+    profile = {r[0]: tuple(r[1:]) for r in facts.ledger_profile(demand).collect()}
+    assert profile == {d: (len(k), len({p for p, _ in k} - {None}), len({w for _, w in k})) for d, k in want_profile.items()}
+    assert facts.inventory_ledger(demand.where("false")).count() == facts.ledger_profile(demand.where("false")).count() == 0
