@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.hashing import hash_u01
+from granary.sources.tables import written
 
 #: Weights count as whole parts of this.
 PARTS = 1_000_000_000
@@ -66,19 +67,20 @@ def day_pools(intervals: DataFrame, group: str, start: str, end: str, item: str,
     interval takes part in the run of segments from its own start to its end, found by the numbers of these
     bounds. Open starts and ends are `first` and `last`; days outside these are left out. Where all weights
     of a segment are zero its items are equal. An item counts once in a segment, with its greatest weight.
+    Bounds and table are used several times, so they are written, not made anew from the intervals each time.
     """
     own = intervals.select(group, F.col(item).alias("_it"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("_wt"), F.greatest(F.coalesce(F.col(start), first), first).alias("_a"), F.date_add(F.least(F.coalesce(F.col(end), last), last), 1).alias("_b"))
     own = own.where("_a < _b and _it is not null")
     bounds = own.select(group, F.explode(F.array("_a", "_b")).alias("_from")).distinct()
     w = W.partitionBy(group).orderBy("_from")
-    bounds = bounds.withColumns({"_seg": F.row_number().over(w), "_to": F.lead("_from").over(w)})
+    bounds = written(bounds.withColumns({"_seg": F.row_number().over(w), "_to": F.lead("_from").over(w)}))
     ends = [bounds.select(F.col(group).alias(f"_{x}g"), F.col("_from").alias(f"_{x}d"), F.col("_seg").alias(f"_{x}s")) for x in "ab"]
     runs = own
     for x, e in zip("ab", ends):
         runs = runs.join(e, (F.col(group) == F.col(f"_{x}g")) & (F.col(f"_{x}") == F.col(f"_{x}d")))
     members = runs.select(group, F.explode(F.expr("sequence(_as, _bs - 1)")).alias("_seg"), "_it", "_wt").groupBy(group, "_seg", "_it").agg(F.max("_wt").alias("_wt"))
     none = F.max("_wt").over(W.partitionBy(group, "_seg")) <= 0
-    table = alias_table(members.withColumn("_wt", F.when(none, 1.0).otherwise(F.col("_wt"))), [group, "_seg"], "_wt", "_it")
+    table = written(alias_table(members.withColumn("_wt", F.when(none, 1.0).otherwise(F.col("_wt"))), [group, "_seg"], "_wt", "_it"))
     days = bounds.where(F.col("_to").isNotNull()).select(group, "_seg", F.explode(F.expr("sequence(_from, date_sub(_to, 1))")).alias("_day"))
     return days, table
 

@@ -91,3 +91,8 @@ def test_ledger_folds_keys_together(spark):
     profile = {r[0]: tuple(r[1:]) for r in facts.ledger_profile(demand).collect()}
     assert profile == {d: (len(k), len({p for p, _ in k} - {None}), len({w for _, w in k})) for d, k in want_profile.items()}
     assert facts.inventory_ledger(demand.where("false")).count() == facts.ledger_profile(demand.where("false")).count() == 0
+
+
+def test_salesperson_reads_sales_once(spark):
+    """Orders, assignments, segments and their table are made once each; the last join reads them."""
+    assert scans(registry.queries()["assign_salesperson"](spark, SF)) == 0
